@@ -1,0 +1,11 @@
+"""Operators for large text corpora (training-data preparation).
+
+Nothing outside this subpackage imports it. Functions that run in Python
+workers are pickled by value, so that executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
