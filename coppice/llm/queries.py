@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, media, tag_paths, token_count
-from .common import table
+from . import byte_bpe, compress_quality, gru_langid, media, tag_paths, token_count, trigram_secrets
+from .common import held_out, table
 
 
 def _vocabulary(name: str) -> str:
@@ -30,12 +30,32 @@ def op3_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_paths.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = gru_langid.train(*gru_langid.sampled(docs.where(~held_out()), gru_langid.PER_LANG))
+    return gru_langid.predicted(docs.select("doc_id", held_out().alias("held_out"), "text"), net)
+
+
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    model = compress_quality.fit(*compress_quality.sampled(docs, labels, "quality", compress_quality.PER_CLASS))
+    return compress_quality.scored(docs.withColumn("held_out", held_out()), model).drop("text")
+
+
 def op7_overlap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_count.token_counts(docs, token_count.model_text(_vocabulary("word_bpe_49k.json")))
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trigram_secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["rank"] < len(trigram_secrets.BASE))
+    return found.select("doc_id", *[count(r.kind) for r in trigram_secrets.BASE], F.sha2(trigram_secrets.rendered(base), 256).alias("base_sha256"), trigram_secrets.rendered(F.col("spans")).alias("spans"))
+
+
 def op9_matrix_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +65,7 @@ def op9_matrix_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_interleaved_media, op3_tag_path_ratios, op7_overlap_token_counts, op9_matrix_byte_bpe)}
+    return {f.__name__: f for f in (op2_interleaved_media, op3_tag_path_ratios, op4_gru_language, op6_compression_quality, op7_overlap_token_counts, op8_trigram_secrets, op9_matrix_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
