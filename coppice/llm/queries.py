@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_quality, gru_langid, media, tag_paths, token_count, trigram_secrets
+from . import byte_bpe, compress_quality, fm_decontam, gru_langid, media, tag_paths, token_count, trigram_secrets
 from .common import held_out, table
 
 
@@ -17,6 +17,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = fm_decontam.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return marked.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"), F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("spans"))
+
+
 def op2_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), media.stored_image(F.col("text")).alias("stored"))
@@ -65,7 +71,7 @@ def op9_matrix_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_interleaved_media, op3_tag_path_ratios, op4_gru_language, op6_compression_quality, op7_overlap_token_counts, op8_trigram_secrets, op9_matrix_byte_bpe)}
+    return {f.__name__: f for f in (op1_fm_index_decontamination, op2_interleaved_media, op3_tag_path_ratios, op4_gru_language, op6_compression_quality, op7_overlap_token_counts, op8_trigram_secrets, op9_matrix_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
