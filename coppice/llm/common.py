@@ -100,3 +100,32 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     weight = powers(0x9E3779B97F4A7C15, int(lengths.max()) + 1)
     terms = mixed(raw[at].astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * weight[within]
     return mixed(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="coppice-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, read back from a table in the shared folder: cuts lineage and survives lost executors."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/coppice/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few columns of numbers that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if its row count, taken from the files, is within the limit."""
+    return F.broadcast(df) if df.count() <= limit else df

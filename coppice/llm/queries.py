@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_quality, fm_decontam, gru_langid, media, tag_paths, token_count, trigram_secrets
+from . import byte_bpe, compress_quality, fm_decontam, gru_langid, media, tag_paths, tensor_minhash, token_count, trigram_secrets
 from .common import held_out, table
 
 
@@ -70,8 +70,13 @@ def op9_matrix_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), packed, public_tokenizers.PATTERN)
 
 
+def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tensor_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fm_index_decontamination, op2_interleaved_media, op3_tag_path_ratios, op4_gru_language, op6_compression_quality, op7_overlap_token_counts, op8_trigram_secrets, op9_matrix_byte_bpe)}
+    return {f.__name__: f for f in (op1_fm_index_decontamination, op2_interleaved_media, op3_tag_path_ratios, op4_gru_language, op6_compression_quality, op7_overlap_token_counts, op8_trigram_secrets, op9_matrix_byte_bpe, op10_tensored_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
