@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_quality, fm_decontam, gru_langid, media, tag_paths, tensor_minhash, token_count, trigram_secrets
+from . import byte_bpe, compress_quality, fm_decontam, gru_langid, lpf_dedup, media, tag_paths, tensor_minhash, token_count, trigram_secrets
 from .common import held_out, table
 
 
@@ -42,6 +42,11 @@ def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_langid.predicted(docs.select("doc_id", held_out().alias("held_out"), "text"), net)
 
 
+def op5_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lpf_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out())
@@ -76,7 +81,7 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fm_index_decontamination, op2_interleaved_media, op3_tag_path_ratios, op4_gru_language, op6_compression_quality, op7_overlap_token_counts, op8_trigram_secrets, op9_matrix_byte_bpe, op10_tensored_minhash)}
+    return {f.__name__: f for f in (op1_fm_index_decontamination, op2_interleaved_media, op3_tag_path_ratios, op4_gru_language, op5_longest_previous_factors, op6_compression_quality, op7_overlap_token_counts, op8_trigram_secrets, op9_matrix_byte_bpe, op10_tensored_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
