@@ -9,8 +9,8 @@ over its positions.
 
 The fit uses a bounded sample: of each language at most about ``per_lang``
 documents with the least hash of the id. Prediction covers all bytes of all
-rows. A null text, or one without a letter, is ``und`` with score 0. Rows are
-independent. Without labelled rows there is nothing to learn: ValueError.
+rows. A null text, or one without a letter, is ``und`` with score 0; so is every
+text if there was no labelled row to learn from. Rows are independent.
 """
 
 from __future__ import annotations
@@ -119,9 +119,9 @@ def probabilities(x: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
 
 def train(texts: list[bytes], langs: list[str], steps: int = 260, rows: int = 192, rate: float = 0.02, seed: int = 5) -> Network:
     """Adam on windows drawn evenly from the languages."""
-    names = sorted(set(langs))
+    names = sorted({x for x, t in zip(langs, texts, strict=True) if t})
     if not names:
-        raise ValueError("labelled rows are needed")
+        return Network([], {})
     net, rng = fresh(names, seed=seed), np.random.default_rng(seed)
     p = net.params
     by = [[np.frombuffer(t, np.uint8) for t, x in zip(texts, langs, strict=True) if x == name and t] for name in names]
@@ -132,8 +132,6 @@ def train(texts: list[bytes], langs: list[str], steps: int = 260, rows: int = 19
         y = rng.integers(len(names), size=rows)
         x, mask = np.zeros((WINDOW, rows), np.uint8), np.zeros((WINDOW, 1, rows), np.float32)
         for i, c in enumerate(y):
-            if not by[c]:
-                continue
             t = by[c][rng.choice(len(by[c]), p=weights[c] / weights[c].sum())]
             at = rng.integers(max(1, len(t) - WINDOW + 1))
             part = t[at : at + WINDOW]
@@ -204,6 +202,9 @@ def predicted(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
             for part in chunks(batch, text, 1 << 20):
                 texts = part.column(text)
                 raw, offsets = flat(texts)
+                if not net.langs:
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts))], names=[*keep, "lang_pred", "score"])
+                    continue
                 prob = pooled(raw, offsets, net)
                 some = np.asarray(pa.compute.fill_null(pa.compute.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False), bool)
                 best = prob.argmax(axis=1)

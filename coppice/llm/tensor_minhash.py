@@ -300,3 +300,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     out = named.join(first, "_class")
     keep = [c for c in docs.columns if c not in (text, "n_shingles", "component_id")]
     return out.select(*keep, "n_shingles", F.when(F.col("_node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"), "_row", (F.col("_node").isNull() | (F.col("_row") == F.col("_least.row"))).alias("_first"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stand for their classes: one of each, the one with the least key."""
+    found = near_duplicates(docs.select(key, text), words, percent, text, key)
+    found = written(found.select("_row", "_first"))
+    rows = docs.withColumn("_row", row_key(key, text))
+    out = rows.join(small(written(found.where("not _first").select("_row").distinct())), "_row", "left_anti")
+    again = written(found.where("_first").groupBy("_row").count().where("count > 1").select("_row"))
+    if not again.isEmpty():  # rows that are equal in id and text
+        again = small(again)
+        out = out.join(again, "_row", "left_anti").unionByName(out.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return out.select(*docs.columns)
