@@ -40,7 +40,7 @@ def path_list(spark: SparkSession, path: str) -> DataFrame:
 
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """A JSON object as (key, value) rows; ``value`` is the values' type."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
