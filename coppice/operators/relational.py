@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
+
 
 def with_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys, on, "left_semi")
@@ -50,8 +52,12 @@ def chunked(df: DataFrame, order: Sequence[Column], batch: int, sub: int, keys:
 
 
 def enumerated(df: DataFrame, order: Sequence[Column], into: str, start: int = 1) -> DataFrame:
-    """Consecutive numbers over the whole table in order: range partitions are counted, and each starts where the one before ends."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """Consecutive numbers over the whole table in order: range partitions are counted, and each starts where the one before ends.
+
+    Bounds of range partitions are drawn from a sample, so the partitioned rows are written once and
+    both the counts and the numbers come from that table.
+    """
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy("_part").orderBy(*order)
     local = parts.withColumn("_local", F.row_number().over(w))
     sizes = parts.groupBy("_part").count()
