@@ -1,5 +1,7 @@
 """Cutting the lineage of iterated tables."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +14,7 @@ def written(df: DataFrame) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="coppice-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/coppice/{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
+from .spatial import in_ring
 
 
 def difference(surface: DataFrame, terrain: DataFrame) -> DataFrame:
@@ -47,6 +48,17 @@ def refined(cells: DataFrame, k: int) -> DataFrame:
     return inside.join(summed, ["row", "col"], "left")
 
 
+def masked(cells: DataFrame, ring: Column, fill: float = 128.0) -> DataFrame:
+    """Cells whose centre is outside a ring (of x = col, y = row) take the fill value; ``inside`` says which are not."""
+    inside = in_ring(F.col("col") + 0.5, F.col("row") + 0.5, ring)
+    return cells.withColumn("inside", inside).withColumn("value", F.when(F.col("inside"), F.col("value")).otherwise(F.lit(fill)))
+
+
+def scaled_to_byte(value: Column) -> Column:
+    """A share from 0 to 1 (others are cut off) as a whole number from 0 to 255; nodata stays."""
+    return F.when(value.isNotNull(), F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * 255).cast("int"))
+
+
 def in_tiles(cells: DataFrame, size: int, stride: int) -> DataFrame:
     """Cells with every tile (tile_row, tile_col) that holds them; tile t covers [t*stride, t*stride+size)."""
     tiles = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - size) / stride) + 1).cast("long"), F.floor(F.col(c) / stride).cast("long"))

@@ -308,3 +308,23 @@ def q57(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("<document><chunk><cameras>"), camera("a", "1.5"), camera("b", "2.5", F.col("s_suppkey") % 2 == 0), F.lit("<group>"), camera("g", "3.5"), F.lit("</group></cameras></chunk></document>"))
     docs = table(spark, d, "supplier").select("s_suppkey", body.alias("xml"))
     return files.cameras(docs).select("s_suppkey", "label", "x", "y", "z")
+
+
+@query("q64_not_yet_written", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def q64(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return relational.not_yet_written(table(spark, d, "orders").select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
+
+
+@query("q65_disjoint_splits", "SELECT DISTINCT l_suppkey AS plot FROM lineitem WHERE l_suppkey % 5 = 0")
+def q65(spark: SparkSession, d: str) -> DataFrame:
+    plots = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("plot")).distinct()
+    return relational.disjoint(plots.where("plot % 5 = 0"), plots.where("plot % 5 = 1"), "train and val plots")
+
+
+@query("q66_cumulative_cut", """WITH q AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS w FROM lineitem),
+  c AS (SELECT *, sum(w) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) - w AS before, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM q)
+  SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, w FROM c WHERE before < 300 OR rn = 1""")
+def q66(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("w"))
+    return relational.until_reached(q, ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], "w", F.lit(300))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nulls import holds
+from ..functions.scalars import jaccard
 from ..operators import aggregates, pairwise, raster, search, spatial
 from ..sources import files
 from . import inputs
@@ -219,3 +220,31 @@ def q60(spark: SparkSession, d: str) -> DataFrame:
 @query("q61_refined_raster")
 def q61(spark: SparkSession, d: str) -> DataFrame:
     return raster.refined(raster.clipped(inputs.surface(spark, d), (0, 19), (0, 19)), 3).withColumn("value", F.round("value", 4))
+
+
+# a triangle that no cell centre touches
+_TRIANGLE = ((10.25, 10.25), (90.25, 20.25), (40.25, 85.25))
+
+
+def _side(a: tuple, b: tuple) -> str:
+    return f"({b[0]} - {a[0]}) * (row + 0.5 - {a[1]}) - ({b[1]} - {a[1]}) * (col + 0.5 - {a[0]}) > 0"
+
+
+_INSIDE = " AND ".join(_side(a, b) for a, b in zip(_TRIANGLE, _TRIANGLE[1:] + _TRIANGLE[:1], strict=True))
+
+
+@query("q62_ring_mask", f"SELECT row, col, {_INSIDE} AS inside, CASE WHEN {_INSIDE} THEN round(value, 6) ELSE 128.0::DOUBLE END AS value, CAST(floor(least(greatest(value / 50000, 0), 1) * 255) AS INTEGER) AS shade FROM ({inputs.DSM}) s")
+def q62(spark: SparkSession, d: str) -> DataFrame:
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _TRIANGLE])
+    shade = raster.scaled_to_byte(F.col("value") / 50000)
+    out = raster.masked(inputs.surface(spark, d).withColumn("shade", shade), ring)
+    return out.select("row", "col", "inside", F.round("value", 6).alias("value"), "shade")
+
+
+@query("q63_selection_overlap", """WITH e AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY abs(CAST(embedding[1] AS DOUBLE)) DESC, vec_id) AS a, row_number() OVER (PARTITION BY label ORDER BY abs(CAST(embedding[2] AS DOUBLE)) DESC, vec_id) AS b FROM embeddings)
+  SELECT label, round(count_if(a <= 10 AND b <= 10) / count_if(a <= 10 OR b <= 10), 6) AS jaccard FROM e GROUP BY label""")
+def q63(spark: SparkSession, d: str) -> DataFrame:
+    rank = lambda i: pairwise.rank_window(["label"], [F.abs(F.col("embedding")[i].cast("double")).desc(), F.col("vec_id")])
+    e = table(spark, d, "embeddings").select("label", "vec_id", rank(0).alias("a"), rank(1).alias("b"))
+    sets = e.groupBy("label").agg(*[F.collect_list(F.when(F.col(c) <= 10, F.col("vec_id"))).alias(c) for c in "ab"])
+    return sets.select("label", F.round(jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
