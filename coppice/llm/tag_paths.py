@@ -25,15 +25,16 @@ from pyspark.sql import functions as F
 from . import html_tree
 
 # fixed values: element names, and words in class, id or role, of what is not the article
-BOILERPLATE_TAGS = frozenset("nav footer aside form button menu dialog head label input fieldset figcaption-nav".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside form button menu dialog head label input fieldset".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget".split()
 )
-#: Words that may stand in the class of an article's own body although they are listed above.
-OUTER_TAGS = frozenset(("html", "body", "article", "main"))
+#: Elements around the whole page, whose classes say nothing about their text, and what an article's class may say.
+OUTER_TAGS = frozenset(("html", "body", "main"))
+NO_ARTICLE_WORDS = frozenset("ad ads advert comment comments promo promoted related replies reply respond sponsored teaser".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？،؟।]")
 SPACE = re.compile(r"\s+")
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def is_boilerplate(path: tuple) -> bool:
@@ -44,8 +45,8 @@ def is_boilerplate(path: tuple) -> bool:
         if attrs and name not in OUTER_TAGS:
             if "hidden" in attrs or attrs.get("aria-hidden") == "true":
                 return True
-            words = WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower())
-            if not BOILERPLATE_WORDS.isdisjoint(words):
+            words = {w.lower() for w in WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}")}
+            if words & (NO_ARTICLE_WORDS if name == "article" else BOILERPLATE_WORDS):
                 return True
         inner |= name in ("article", "main")
     return False

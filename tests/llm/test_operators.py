@@ -86,7 +86,7 @@ def test_media(spark, docs, frame):
 ARTICLE = "<article><h1>Title here</h1><p><b>First <i>sentence</i>, with &amp; and\n  spaces.<br>Next line.<p>Second paragraph, which is rather longer than the menus are.</article>"
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no";</script></head><body><header><a href=x>Home</a></header>
 <nav><ul><li><a>One</a><li><a>Two</a></ul></nav><div class="cookie-notice">We use cookies, as everyone does. Really.</div>{ARTICLE}
-<aside class=sidebar>Related stories, many of them.</aside><section id="comments"><p>Nice article, I read it all, twice.</p></section><form><p>Subscribe, please.</p></form><footer>&copy; 2020, all rights.</footer>"""
+<aside class=sidebar>Related stories, many of them.</aside><section id="comments"><p>Nice article, I read it all, twice.</p></section><div class="userComments"><article class="comment"><p>So did I, and it was long, long, long.</p></article></div><form><p>Subscribe, please.</p></form><footer>&copy; 2020, all rights.</footer>"""
 
 
 def test_tag_paths(spark):
