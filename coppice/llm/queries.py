@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_quality, fm_decontam, gru_langid, lpf_dedup, media, tag_paths, tensor_minhash, token_count, trigram_secrets
+from . import byte_bpe, compress_quality, fm_decontam, gru_langid, lpf_dedup, media, oracle, tag_paths, tensor_minhash, token_count, trigram_secrets
 from .common import held_out, table
 
 
@@ -20,7 +20,7 @@ def _vocabulary(name: str) -> str:
 def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = fm_decontam.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
-    return marked.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"), F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("spans"))
+    return marked.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
 
 
 def op2_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_fm_index_decontamination": oracle.decontamination(), "op8_trigram_secrets": oracle.secrets(), "op10_tensored_minhash": oracle.near_duplicates()}
