@@ -72,3 +72,13 @@ def block_average(cells: DataFrame, k: int, row: str = "row", col: str = "col",
     """Means over k by k blocks; empty cells do not count."""
     block = lambda c: F.floor(F.col(c) / k).cast("long").alias(c)
     return cells.groupBy(block(row), block(col)).agg(F.avg(value).alias(value))
+
+
+def described(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, mean, population spread, extremes and median per group."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, F.lit(0.5)).alias("median"))
+
+
+def summary_text(df: DataFrame, key: str, species: str) -> DataFrame:
+    """A sentence per group: its rows and distinct values."""
+    return df.groupBy(key).agg(F.concat(F.count("*").cast("string"), F.lit(" trees from "), F.countDistinct(species).cast("string"), F.lit(" species")).alias("summary"))

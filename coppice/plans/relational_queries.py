@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, nulls, scalars
 from ..operators import aggregates, relational
 from ..sources import files, sinks
-from . import inputs, species
+from . import chips, inputs, species
 from .registry import query, table
 
 LEVELS = ["l1", "l2", "l3", "l4"]
@@ -328,3 +328,32 @@ def q65(spark: SparkSession, d: str) -> DataFrame:
 def q66(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("w"))
     return relational.until_reached(q, ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], "w", F.lit(300))
+
+
+@query("q67_summary_text", f"SELECT plot, count(*) || ' trees from ' || count(DISTINCT species) || ' species' AS summary FROM ({inputs.INV}) i GROUP BY plot")
+def q67(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.summary_text(inputs.inventory(spark, d), "plot", "species")
+
+
+@query("q68_described", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY event_type")
+def q68(spark: SparkSession, d: str) -> DataFrame:
+    out = aggregates.described(table(spark, d, "events"), ["event_type"], "value")
+    return out.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max", F.round("median", 6).alias("median"))
+
+
+@query("q69_chip_records", f"""WITH c AS ({_CODED}), p AS (SELECT l_suppkey % 7 AS dataset, l_orderkey % 500 AS image, l_partkey AS id, l_quantity AS area, CAST(l_linenumber * 40 AS DOUBLE) AS x, CAST(l_suppkey % 50 * 20 AS DOUBLE) AS y FROM lineitem),
+  m AS (SELECT *, max(area) OVER (PARTITION BY dataset, image, id) AS top FROM p), b AS (SELECT dataset, image, id, min(x) AS x0, min(y) AS y0, max(x) + 200 AS x1, max(y) + 220 AS y1 FROM m WHERE area > 0.5 * top GROUP BY 1, 2, 3 HAVING max(x) + 200 - min(x) > 210 AND max(y) + 220 - min(y) > 210)
+  SELECT dataset, image, id, code AS species_original, {', '.join('code IN (' + ', '.join(repr(c) for c in p) + f') AS primary_l{k}' for k, p in enumerate(species.primary(), 1))}, {', '.join(_case('code', m, 'code') + f' AS code_l{k}' for k, m in enumerate(species.mappings(), 1))},
+  CAST(greatest(floor(x0 - (x1 - x0) * 0.02), 0) AS BIGINT) AS px0, CAST(greatest(floor(y0 - (y1 - y0) * 0.02), 0) AS BIGINT) AS py0, CAST(least(ceil(x1 + (x1 - x0) * 0.02), 500) AS BIGINT) AS px1, CAST(least(ceil(y1 + (y1 - y0) * 0.02), 1200) AS BIGINT) AS py1 FROM b LEFT JOIN c ON p_partkey = id""")
+def q69(spark: SparkSession, d: str) -> DataFrame:
+    x, y = (F.col("l_linenumber") * 40).cast("double"), (F.col("l_suppkey") % 50 * 20).cast("double")
+    parts = table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("dataset"), (F.col("l_orderkey") % 500).alias("image"), F.col("l_partkey").alias("id"), F.col("l_quantity").alias("area"), x.alias("minx"), y.alias("miny"), (x + 200).alias("maxx"), (y + 220).alias("maxy"))
+    trees = _coded(spark, d).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("dataset"), F.col("p_partkey").alias("id"), F.col("code").alias("species"))
+    return chips.chip_records(parts, trees, F.lit(500), F.lit(1200), edge=210)
+
+
+@query("q70_samples_of_chunks", """WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) SELECT o_orderkey, r // 250 AS batch_id, (r % 250) // 32 AS sub_id FROM n WHERE (r // 250) % 3 = 0 AND (r % 250) // 32 IN (1, 7)""")
+def q70(spark: SparkSession, d: str) -> DataFrame:
+    chunks = relational.chunked(table(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], 250, 32)
+    chosen = chunks.select("batch_id", "sub_id").distinct().where("batch_id % 3 = 0 and sub_id in (1, 7)")
+    return relational.with_keys(chunks, chosen, ["batch_id", "sub_id"])

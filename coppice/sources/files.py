@@ -70,3 +70,17 @@ def chunk_transform(docs: DataFrame, xml: str = "xml") -> DataFrame:
     checked = F.when(n != 1, F.raise_error(F.lit("exactly one component is needed"))).when(text("rotation") == "", F.raise_error(F.lit("not georeferenced"))).otherwise(text("rotation"))
     keep = [c for c in docs.columns if c != xml]
     return docs.select(*keep, numbers(checked).alias("rotation"), numbers(text("translation")).alias("translation"), text("scale").cast("double").alias("scale"))
+
+
+def kml(spark: SparkSession, path: str) -> DataFrame:
+    """Placemarks of KML files: name, and the coordinates of their outer ring or point as (x, y) structs."""
+    rows = spark.read.format("xml").option("rowTag", "Placemark").schema("name string, Polygon struct<outerBoundaryIs: struct<LinearRing: struct<coordinates: string>>>, Point struct<coordinates: string>").load(path)
+    text = F.coalesce("Polygon.outerBoundaryIs.LinearRing.coordinates", "Point.coordinates")
+    part = lambda t, i: F.split(t, ",")[i].cast("double")
+    ring = F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda t: F.struct(part(t, 0).alias("x"), part(t, 1).alias("y")))
+    return rows.select("name", ring.alias("ring"))
+
+
+def numbered_names(names: DataFrame, column: str) -> DataFrame:
+    """Names of a listing that begin with a digit, without trailing slashes."""
+    return names.where(F.col(column).rlike(r"^\d")).withColumn(column, F.regexp_replace(column, "/+$", ""))

@@ -128,3 +128,18 @@ def test_jaccard_and_ids(spark):
     one, two = df.select(scalars.steady_id(F.lit("x")), scalars.steady_id(F.lit("x"))).first()
     assert one == two
     assert len(one) == 10
+
+
+def test_share_gate(spark):
+    df = spark.createDataFrame([(1,), (None,)], "v int")
+    assert classify.require_share(df, F.col("v").isNotNull(), 0.5).count() == 2
+    assert classify.require_share(df.limit(0), F.col("v").isNotNull()).count() == 0
+    with pytest.raises(Exception, match="too few"):
+        classify.require_share(df, F.col("v").isNotNull()).collect()
+
+
+def test_config():
+    from coppice.config import Config
+
+    c = Config.from_args(["--val-share", "0.3", "--resume", "no", "--unknown", "1", "--split-seed", "7"])
+    assert (c.val_share, c.resume, c.split_seed, c.least_rows) == (0.3, False, 7, 10)

@@ -81,3 +81,12 @@ def test_ingest_writes_once(spark, tmp_path):
     spark.createDataFrame([(2, "again"), (3, "c")], schema).write.mode("append").parquet(src)
     ingest(spark, src, schema, out, mark, ["k"]).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_kml_and_names(spark, tmp_path):
+    (tmp_path / "a.kml").write_text("<kml><Document><Placemark><name>N</name><Polygon><outerBoundaryIs><LinearRing><coordinates>1,2,0 3,4,0\n 1,2,0</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark></Document></kml>")
+    row = files.kml(spark, f"{tmp_path}/a.kml").first()
+    assert row["name"] == "N"
+    assert [tuple(p) for p in row["ring"]] == [(1.0, 2.0), (3.0, 4.0), (1.0, 2.0)]
+    names = spark.createDataFrame([("000123/",), ("notes/",)], "name string")
+    assert [r["name"] for r in files.numbered_names(names, "name").collect()] == ["000123"]
