@@ -229,7 +229,6 @@ def q43(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.weighted_pivot(inputs.inventory(spark, d).where("plot % 10 != 0"), plots, "plot", "species", _FIVE, "w")
 
 
-_SPLIT = "CASE WHEN plot % 5 = 0 THEN 'val' ELSE 'train' END"
 _REPORT = f"""WITH c AS (SELECT species, sum(CASE WHEN plot % 5 <> 0 THEN 1 ELSE 0 END) AS train, sum(CASE WHEN plot % 5 = 0 THEN 1 ELSE 0 END) AS val FROM ({inputs.INV}) i GROUP BY species),
   p AS (SELECT species, CAST(train AS BIGINT) AS train, CAST(val AS BIGINT) AS val, train / sum(train) OVER () AS tp, val / sum(val) OVER () AS vp FROM c)"""
 
