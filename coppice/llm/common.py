@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole texts are large.
+BATCH_ROWS = 4096
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder; the session's Arrow batches are bounded for texts on the way."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -106,9 +113,12 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        import atexit
+        import shutil
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="coppice-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -122,10 +132,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few columns of numbers that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers, or elements of an array column, that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 400_000
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table) marked for broadcast if its row count, taken from the files, is within the limit."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, array: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if its rows and its array's elements are within the limit."""
+    elements = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
+    n = df.agg(F.count("*").alias("rows"), elements.cast("long").alias("elements")).first()
+    return F.broadcast(df) if max(n["rows"], n["elements"]) <= limit else df

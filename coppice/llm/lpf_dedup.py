@@ -197,7 +197,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int, text: str = "text")
                 kinds = (pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names=["_row", "pos", "lo", "hi", "h", "c", "n", "many", "bytes"])
 
-    return docs.select("_row", text).join(small(wanted), "_row").mapInArrow(run, "_row long, pos int, lo short, hi short, h long, c long, n long, many long, bytes binary")
+    return docs.select("_row", text).join(small(wanted, "items"), "_row").mapInArrow(run, "_row long, pos int, lo short, hi short, h long, c long, n long, many long, bytes binary")
 
 
 def ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -274,7 +274,7 @@ def flat_binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, text: str = "text") -> DataFrame:
-    """(_row, spans): the byte ranges to remove, not yet merged, of each row key that has some. ``docs`` has _row and the text.
+    """(_row, spans): the byte ranges to remove, merged and in order, of each row key that has some. ``docs`` has _row and the text.
 
     With ``keep_first`` the first of equal windows, by row key and position, stays; rows that are equal
     in id and text share a key, so they stay or go together.
@@ -296,7 +296,29 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
     out = out.unionByName(by_factors(parts.where(F.col("many") <= CONTEXTS), length, keep_first))
     if not kinds.where(F.col("many") > CONTEXTS).isEmpty():
         out = out.unionByName(by_windows(parts.where(F.col("many") > CONTEXTS), length, keep_first))
-    return out.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return merged(out.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Overlapping and touching spans of each row joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for items in batch.column("spans").to_pylist():
+                joint: list[dict] = []
+                for a, b in sorted((x["start"], x["end"]) for x in items):
+                    if joint and a <= joint[-1]["end"]:
+                        joint[-1]["end"] = max(joint[-1]["end"], b)
+                    else:
+                        joint.append({"start": a, "end": b})
+                out.append(joint)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, SPANS)], names=["_row", "spans"])
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -304,30 +326,24 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, tex
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "spans", "n_removed", "kept_sha256")]
     rows = docs.withColumn("_row", row_key(key, text))
     found = written(spans(rows.select("_row", text), length, keep_first=keep_first, text=text))
-    joined = rows.select(*keep, "_row", text).join(small(found), "_row", "left").drop("_row")
+    joined = rows.select(*keep, "_row", text).join(small(found, "spans"), "_row", "left").drop("_row")
     span = "array<struct<start:int,end:int>>"
     schema = docs.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast(span).alias("spans"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_sha256")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, merged, gone, sums = [], [], [], []
+            sizes, spans_, gone, sums = [], [], [], []
             for t, items in zip(batch.column(text), batch.column("spans").to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-                joint: list[list[int]] = []
-                for a, b in sorted((x["start"], x["end"]) for x in items or ()):
-                    if joint and a <= joint[-1][1]:
-                        joint[-1][1] = max(joint[-1][1], b)
-                    else:
-                        joint.append([a, b])
                 rest, at = hashlib.sha256(), 0
-                for a, b in joint:
-                    rest.update(raw[at:a])
-                    at = b
+                for x in items or ():
+                    rest.update(raw[at : x["start"]])
+                    at = x["end"]
                 rest.update(raw[at:])
                 sizes.append(len(raw))
-                merged.append([{"start": a, "end": b} for a, b in joint])
-                gone.append(sum(b - a for a, b in joint))
+                spans_.append(items or [])
+                gone.append(sum(x["end"] - x["start"] for x in items or ()))
                 sums.append(rest.hexdigest())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(gone, pa.int64()), pa.array(sums, pa.string())], names=[*keep, "n_bytes", "spans", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(spans_, SPANS), pa.array(gone, pa.int64()), pa.array(sums, pa.string())], names=[*keep, "n_bytes", "spans", "n_removed", "kept_sha256"])
 
     return joined.mapInArrow(run, schema)
