@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of pieces that the table of counted pieces may hold.
+KNOWN_CHARS = 1 << 24
 #: White space for str.split() that the vocabulary's own pattern does not call white space.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -93,6 +95,7 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", huge: int = 1
         tokenizer.no_truncation()
         tokenizer.no_padding()
         counts: dict[str, int] = {}
+        held = 0
 
         def encode(part: str):
             out = tokenizer.encode(part, add_special_tokens=False)
@@ -113,9 +116,11 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", huge: int = 1
                         out[i] = whole(x)
                     else:
                         words[i] = x.split()
-                if len(counts) > known:
+                if len(counts) > known or held > KNOWN_CHARS:
                     counts.clear()
+                    held = 0
                 new = list({w for i in part if words[i] for w in words[i]}.difference(counts))
+                held += sum(map(len, new))
                 for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
                     counts[w] = len(e)
                 for i in part:
