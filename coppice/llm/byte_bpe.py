@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of pieces that the table of known pieces may hold.
+KNOWN_CHARS = 1 << 24
 BUCKETS = (4, 8, 16, 32, 64, 128)
 NONE = np.int64(1 << 40)
 
@@ -173,26 +175,27 @@ def encoded(docs: DataFrame, packed: bytes, pattern: str, text: str = "text", kn
 
         vocab, cut = Vocabulary(packed), regex.compile(pattern).findall
         table: dict[str, str] = {}  # a piece's ids as decimal text
+        held = 0
         names = {str(k): v for k, v in vocab.tokens.items()}
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
+        for part in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):
             counts, ids_hash, back_hash, all_ids = [], [], [], []
-            for begin in range(0, len(texts), 256):
-                pieces = [cut(t) if t else [] for t in texts[begin : begin + 256]]
-                if len(table) > known:
-                    table.clear()
-                new = list({p for x in pieces for p in x}.difference(table))
-                for p, ids in zip(new, encode_pieces([p.encode() for p in new], vocab), strict=True):
-                    table[p] = " ".join(map(str, ids))
-                for x in pieces:
-                    line = " ".join(map(table.__getitem__, x))
-                    ids = line.split(" ") if line else []
-                    counts.append(len(ids))
-                    ids_hash.append(hashlib.sha256(line.encode()).hexdigest())
-                    back_hash.append(hashlib.sha256(b"".join(map(names.__getitem__, ids))).hexdigest())
-                    if with_ids:
-                        all_ids.append(np.array(ids, dtype="U6").astype(np.int32) if ids else np.zeros(0, np.int32))
-            arrays = [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(back_hash, pa.string())]
+            pieces = [cut(t) if t else [] for t in part.column(text).to_pylist()]
+            if len(table) > known or held > KNOWN_CHARS:
+                table.clear()
+                held = 0
+            new = list({p for x in pieces for p in x}.difference(table))
+            held += sum(map(len, new))
+            for p, ids in zip(new, encode_pieces([p.encode() for p in new], vocab), strict=True):
+                table[p] = " ".join(map(str, ids))
+            for x in pieces:
+                line = " ".join(map(table.__getitem__, x))
+                ids = line.split(" ") if line else []
+                counts.append(len(ids))
+                ids_hash.append(hashlib.sha256(line.encode()).hexdigest())
+                back_hash.append(hashlib.sha256(b"".join(map(names.__getitem__, ids))).hexdigest())
+                if with_ids:
+                    all_ids.append(np.array(list(map(int, ids)), np.int32))
+            arrays = [*(part.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(back_hash, pa.string())]
             if with_ids:
                 arrays.append(pa.array(all_ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
