@@ -132,12 +132,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few numbers, or elements of an array column, that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 400_000
+#: Rows of a few numbers, and elements of an array of longs, that may be broadcast (tens of megabytes); beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_ELEMENTS = 4_000_000
 
 
-def small(df: DataFrame, array: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table) marked for broadcast if its rows and its array's elements are within the limit."""
+def small(df: DataFrame, array: str | None = None) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if its rows, and its array's elements, are within the limits."""
     elements = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
     n = df.agg(F.count("*").alias("rows"), elements.cast("long").alias("elements")).first()
-    return F.broadcast(df) if max(n["rows"], n["elements"]) <= limit else df
+    return F.broadcast(df) if n["rows"] <= BROADCAST_ROWS and n["elements"] <= BROADCAST_ELEMENTS else df

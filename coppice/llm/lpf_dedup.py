@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, flat, mixed, powers, row_key, small, written
@@ -43,7 +43,6 @@ CONTEXTS = 2048
 #: Bytes of contexts that go into one suffix array (more only for a single minimizer).
 ARRAY_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 
 
 class RangeHashes:
@@ -184,8 +183,20 @@ def contexts(docs: DataFrame, length: int, gram: int, text: str = "text") -> Dat
     return docs.select("_row", text).mapInArrow(run, "_row long, pos int, lo short, hi short, h long, c long")
 
 
-def cut_out(docs: DataFrame, wanted: DataFrame, length: int, text: str = "text") -> DataFrame:
-    """The bytes of wanted contexts: ``wanted`` has _row and one array of (pos, lo, hi, h, c, n) for it."""
+def packed(pos: Column, lo: Column, hi: Column, several: Column, hot: Column) -> Column:
+    """A context's place and two flags in one long, as ``unpacked`` reads it: lists of them stay small."""
+    out = pos.cast("long")
+    for part, bits in ((lo, 14), (hi, 14), (several, 1), (hot, 1)):
+        out = F.shiftleft(out, bits).bitwiseOR(part.cast("long"))
+    return out
+
+
+def unpacked(x: int) -> tuple[int, int, int, int, int]:
+    return x >> 30, x >> 16 & 0x3FFF, x >> 2 & 0x3FFF, x >> 1 & 1, x & 1
+
+
+def cut_out(docs: DataFrame, wanted: DataFrame, length: int, gram: int, text: str = "text") -> DataFrame:
+    """The bytes of wanted contexts, with their minimizers' hashes: ``wanted`` has _row and an array of packed places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,11 +204,16 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int, text: str = "text")
                 out: list[tuple] = []
                 for row, t, items in zip(part.column("_row").to_pylist(), part.column(text), part.column("items").to_pylist(), strict=True):
                     raw = t.as_buffer().to_pybytes()
-                    out += [(row, x["pos"], x["lo"], x["hi"], x["h"], x["c"], x["n"], x["many"], raw[x["pos"] - x["lo"] : x["pos"] - x["hi"] + length]) for x in items]
-                kinds = (pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names=["_row", "pos", "lo", "hi", "h", "c", "n", "many", "bytes"])
+                    for pos, lo, hi, several, hot in map(unpacked, items):
+                        out.append((row, pos, lo, 1 + several, bool(hot), raw[pos - lo : pos - hi + length]))
+                kinds = (pa.int64(), pa.int32(), pa.int16(), pa.int64(), pa.bool_(), pa.binary())
+                columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)]
+                raw, offsets = flat_binary(columns[-1])
+                at = offsets[:-1] + np.asarray(columns[2], np.int64)
+                h = RangeHashes(raw).of(at, at + gram).view(np.int64) if out else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(h)], names=["_row", "pos", "lo", "n", "hot", "bytes", "h"])
 
-    return docs.select("_row", text).join(small(wanted, "items"), "_row").mapInArrow(run, "_row long, pos int, lo short, hi short, h long, c long, n long, many long, bytes binary")
+    return docs.select("_row", text).join(small(wanted, "items"), "_row").mapInArrow(run, "_row long, pos int, lo short, n long, hot boolean, bytes binary, h long")
 
 
 def ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -274,13 +290,14 @@ def flat_binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, text: str = "text") -> DataFrame:
-    """(_row, spans): the byte ranges to remove, merged and in order, of each row key that has some. ``docs`` has _row and the text.
+    """(_row, spans): the byte ranges to remove, merged and in order, each as start * 2**32 + end, of each row key that has some. ``docs`` has _row and the text.
 
     With ``keep_first`` the first of equal windows, by row key and position, stays; rows that are equal
     in id and text share a key, so they stay or go together.
     """
     found = contexts(docs, length, gram, text)
-    twice = found.groupBy("h").count().where("count > 1").select("h")
+    # as a written table, so that the join's sides are dealt for the join alone and a hot minimizer can be split
+    twice = written(found.groupBy("h").count().where("count > 1").select("h"))
     found = written(found.join(twice, "h", "left_semi"))
     kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("_row", "pos", "lo", "hi")).alias("rep"))
     kinds = written(kinds.withColumn("many", F.count("*").over(Window.partitionBy("h"))))
@@ -289,13 +306,13 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
     if keep_first:
         copies = copies.where((F.col("_row") != F.col("rep._row")) | (F.col("pos") != F.col("rep.pos")))
     out = copies.select("_row", (F.col("pos") - F.col("lo")).cast("int").alias("start"), (F.col("pos") - F.col("hi") + length).cast("int").alias("end"))
-    asked = kinds.where("many > 1").select("rep._row", F.struct("rep.pos", "rep.lo", "rep.hi", "h", "c", "n", "many").alias("item"))
-    asked = written(asked.groupBy("_row").agg(F.collect_list("item").alias("items")))
+    place = packed(F.col("rep.pos"), F.col("rep.lo"), F.col("rep.hi"), F.col("n") > 1, F.col("many") > CONTEXTS)
+    asked = written(kinds.where("many > 1").select("rep._row", place.alias("item")).groupBy("_row").agg(F.collect_list("item").alias("items")))
     # equal rows share a key, and one of them is enough here
-    parts = cut_out(docs, asked, length, text).dropDuplicates(["_row", "pos"])
-    out = out.unionByName(by_factors(parts.where(F.col("many") <= CONTEXTS), length, keep_first))
+    parts = cut_out(docs, asked, length, gram, text).dropDuplicates(["_row", "pos"])
+    out = out.unionByName(by_factors(parts.where(~F.col("hot")), length, keep_first))
     if not kinds.where(F.col("many") > CONTEXTS).isEmpty():
-        out = out.unionByName(by_windows(parts.where(F.col("many") > CONTEXTS), length, keep_first))
+        out = out.unionByName(by_windows(parts.where("hot"), length, keep_first))
     return merged(out.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 
@@ -303,22 +320,22 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """Overlapping and touching spans of each row joined."""
+    """Overlapping and touching spans of each row joined, and packed into longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for items in batch.column("spans").to_pylist():
-                joint: list[dict] = []
+                joint: list[list[int]] = []
                 for a, b in sorted((x["start"], x["end"]) for x in items):
-                    if joint and a <= joint[-1]["end"]:
-                        joint[-1]["end"] = max(joint[-1]["end"], b)
+                    if joint and a <= joint[-1][1]:
+                        joint[-1][1] = max(joint[-1][1], b)
                     else:
-                        joint.append({"start": a, "end": b})
-                out.append(joint)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, SPANS)], names=["_row", "spans"])
+                        joint.append([a, b])
+                out.append([a << 32 | b for a, b in joint])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.list_(pa.int64()))], names=["_row", "spans"])
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, "_row long, spans array<long>")
 
 
 def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -333,16 +350,17 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans_, gone, sums = [], [], [], []
-            for t, items in zip(batch.column(text), batch.column("spans").to_pylist(), strict=True):
+            for t, longs in zip(batch.column(text), batch.column("spans").to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+                items = [{"start": x >> 32, "end": x & 0xFFFFFFFF} for x in longs or ()]
                 rest, at = hashlib.sha256(), 0
-                for x in items or ():
+                for x in items:
                     rest.update(raw[at : x["start"]])
                     at = x["end"]
                 rest.update(raw[at:])
                 sizes.append(len(raw))
-                spans_.append(items or [])
-                gone.append(sum(x["end"] - x["start"] for x in items or ()))
+                spans_.append(items)
+                gone.append(sum(x["end"] - x["start"] for x in items))
                 sums.append(rest.hexdigest())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(spans_, SPANS), pa.array(gone, pa.int64()), pa.array(sums, pa.string())], names=[*keep, "n_bytes", "spans", "n_removed", "kept_sha256"])
 
