@@ -119,7 +119,11 @@ def sequences(pages: DataFrame, html: str = "html", into: str = "sequence") -> D
 
 
 def resolved(rows: DataFrame, media: DataFrame, into: str = "sequence") -> DataFrame:
-    """One row per media reference: the row's other columns, position, caption, digest and the media's columns."""
+    """One row per media reference: the row's other columns, position, caption, digest and the media's columns.
+
+    ``media`` is best a written table: then either side of the join is dealt by digest for the join alone,
+    and adaptive execution can split a digest that very many rows refer to.
+    """
     keep = [c for c in rows.columns if c != into]
     refs = rows.select(*keep, F.explode(F.filter(into, lambda x: x["kind"] == "media")).alias("_item"))
     refs = refs.select(*keep, F.col("_item.position").alias("position"), F.col("_item.caption").alias("caption"), F.regexp_replace("_item.ref", f"^{SCHEME}", "").alias("digest"))

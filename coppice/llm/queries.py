@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, compress_quality, fm_decontam, gru_langid, lpf_dedup, media, oracle, tag_paths, tensor_minhash, token_count, trigram_secrets
-from .common import held_out, table
+from .common import held_out, table, written
 
 
 def _vocabulary(name: str) -> str:
@@ -28,7 +28,7 @@ def op2_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), media.stored_image(F.col("text")).alias("stored"))
     page = F.concat(F.lit("<article><p>document</p><figure><img src='" + media.SCHEME), F.sha2("stored", 256), F.lit("'><figcaption>"), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     rows = media.sequences(docs.select("doc_id", "n_bytes", page.alias("html")))
-    out = media.resolved(rows, media.described(docs))
+    out = media.resolved(rows, written(media.described(docs)))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")
 
 
