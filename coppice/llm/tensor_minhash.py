@@ -271,12 +271,12 @@ def big_cluster_links(members: DataFrame, links: DataFrame, percent: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without ``text`` plus ``n_shingles``, ``component_id`` (least ``key`` of the class) and ``_row``, ``_first``.
+    """One row per row of ``docs``: ``key``, ``n_shingles``, ``component_id`` (least ``key`` of the class), ``_row``, ``_first``.
 
-    ``_row`` is the row's key; ``_first`` says whether it is the row that stands for its class.
+    ``_row`` is the row's key, made of ``key`` and ``text``; ``_first`` says whether the row stands for its class.
     """
-    rows = docs.withColumn("_row", row_key(key, text))
-    named = with_nodes(rows, words, text)
+    rows = docs.select(key, text, row_key(key, text).alias("_row"))
+    named = written(with_nodes(rows, words, text))
     tables = table_keys(docs, words, bands(percent / 100), text=text)
     meet = tables.withColumn("least", F.min("node").over(Window.partitionBy("key"))).where("node != least")
     clusters = components(meet.select(F.col("least").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
@@ -285,7 +285,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     stands = written(stands)
     blocks = stands.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
     stands = written(stands.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("_node", F.lit(17)), F.col("blocks")).cast("int")))
-    members = sets(rows.select("_row", text).join(small(stands), "_row").select("cluster", "block", "blocks", F.col("_node").alias("node"), text), words, text)
+    standing = rows.select("_row", text).join(small(stands), "_row")
+    if not named.groupBy("_row").count().where("count > 1").isEmpty():  # rows that are equal in key and text
+        standing = standing.dropDuplicates(["_row"])
+    members = sets(standing.select("cluster", "block", "blocks", F.col("_node").alias("node"), text), words, text)
     task = F.xxhash64("cluster", "block").alias("task")
     several = stands.where("blocks > 1")
     if several.isEmpty():
@@ -295,16 +298,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         links = written(confirmed(members.select(task, "node", F.col("node").alias("group"), F.lit(True).alias("probe"), "_set"), percent))
         links = links.unionByName(big_cluster_links(members.where("blocks > 1"), links, percent))
     classes = components(links).withColumnRenamed("node", "_node")
-    named = named.join(classes, "_node", "left").withColumn("_class", F.coalesce("root", "_node", F.xxhash64(F.lit("alone"), "_row")))
-    first = named.groupBy("_class").agg(F.min(key).alias("component_id"), F.min(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("id"), F.col("_row").alias("row"))).alias("_least"))
-    out = named.join(first, "_class")
-    keep = [c for c in docs.columns if c not in (text, "n_shingles", "component_id")]
-    return out.select(*keep, "n_shingles", F.when(F.col("_node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"), "_row", (F.col("_node").isNull() | (F.col("_row") == F.col("_least.row"))).alias("_first"))
+    named = named.join(small(classes), "_node", "left").withColumn("_class", F.coalesce("root", "_node"))
+    least = F.min(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("id"), F.col("_row").alias("row")))
+    first = named.where("_class is not null").groupBy("_class").agg(F.count("*").alias("_n"), F.min(key).alias("_id"), least.alias("_least")).where("_n > 1")
+    out = named.join(small(written(first)), "_class", "left")
+    alone = F.col("_n").isNull()
+    return out.select(key, "n_shingles", F.when(alone, F.col(key)).otherwise(F.col("_id")).alias("component_id"), "_row", (alone | (F.col("_row") == F.col("_least.row"))).alias("_first"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stand for their classes: one of each, the one with the least key."""
-    found = near_duplicates(docs.select(key, text), words, percent, text, key)
+    found = near_duplicates(docs, words, percent, text, key)
     found = written(found.select("_row", "_first"))
     rows = docs.withColumn("_row", row_key(key, text))
     out = rows.join(small(written(found.where("not _first").select("_row").distinct())), "_row", "left_anti")
