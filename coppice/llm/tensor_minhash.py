@@ -37,7 +37,7 @@ from .common import chunks, flat, lowered, mixed, row_key, small, word_hashes, w
 from .components import components
 
 ROWS = 3
-MISS = 4e-4
+MISS = 5e-5
 #: Shingles in one block of a cluster (8 bytes each).
 BLOCK = 1 << 20
 
