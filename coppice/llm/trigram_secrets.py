@@ -6,7 +6,8 @@ OR of branches, each an AND of trigrams that any match of that branch contains
 rule asks for and every shard of rows, the keys of the rows that contain it.
 Branches intersect postings, rules unite branches, and only candidate rows are
 scanned with the regular expression. A rule without mandatory trigrams scans
-every row. Text moves only for rows with at least one posting.
+every row. The candidates' keys are broadcast if they are few; else the text of
+rows with at least one posting is shuffled to them.
 
 Rows are keyed by a hash of id and text, so the plan needs no stable row order;
 equal rows share a key and get equal spans. A null text is empty and has no
@@ -22,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, written
+
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -162,7 +165,7 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str =
     out = rows.withColumn("_full", F.concat(empty, *full))
     if asked:
         some = rows.select("_key", F.col(key).alias("_id"), body.alias("_text"), F.lower(body).alias("_folded"))
-        cands = candidates(postings(some, vocabulary, shards), asked)
+        cands = small(written(candidates(postings(some, vocabulary, shards), asked)))
         some = some.where(reduce(lambda a, b: a | b, [F.contains(F.col("_folded"), F.lit(t)) for t in vocabulary])).drop("_folded")
         spans = [F.when(F.array_contains("_rules", r.kind), found(F.col("_text"), r, k)).otherwise(empty) for k, r in enumerate(rules) if r.kind in asked]
         verified = some.join(cands, "_key").select("_key", "_id", F.concat(empty, *spans).alias("_part")).where(F.size("_part") > 0).dropDuplicates(["_key", "_id"])
