@@ -172,6 +172,26 @@ def q44_best(spark: SparkSession, d: str) -> DataFrame:
     return search.best_trial(_scores(spark, d)).withColumn("score", F.round("score", 9))
 
 
+# the same search over every plot and the operator's 200 trials; the two queries above show it on a slice
+_ALL_SCORES = _SCORES.replace(" WHERE plot < 60", "").replace(" WHERE s_suppkey < 60", "").replace("range(50)", "range(200)")
+
+
+def _all_scores(spark: SparkSession, d: str) -> DataFrame:
+    plots = table(spark, d, "supplier").select(F.col("s_suppkey").alias("plot"), (1 + F.col("s_suppkey") % 3).alias("weight"))
+    counts = inputs.inventory(spark, d).groupBy("plot", "species").agg(F.count("*").alias("n"))
+    return search.balanced_split(plots, counts, "plot", "weight", "species", "n")
+
+
+@query("q44_balanced_split_all", _ALL_SCORES + " SELECT trial, round(sum(gap * gap), 9) AS score, CAST(sum(nv) AS BIGINT) AS n_val FROM g GROUP BY trial HAVING sum(gap * gap) IS NOT NULL")
+def q44_all(spark: SparkSession, d: str) -> DataFrame:
+    return _all_scores(spark, d).withColumn("score", F.round("score", 9))
+
+
+@query("q44_best_split_all", _ALL_SCORES + " SELECT trial, round(sum(gap * gap), 9) AS score, CAST(sum(nv) AS BIGINT) AS n_val FROM g GROUP BY trial ORDER BY sum(gap * gap), trial LIMIT 1")
+def q44_best_all(spark: SparkSession, d: str) -> DataFrame:
+    return search.best_trial(_all_scores(spark, d)).withColumn("score", F.round("score", 9))
+
+
 @query("q50_plot_centroids", f"""WITH u AS (SELECT 'test' AS type, ds AS plot FROM (SELECT DISTINCT ds FROM ({inputs.PTS}) z WHERE ds % 3 = 0) a UNION ALL SELECT 'train', ds FROM (SELECT DISTINCT ds FROM ({inputs.PTS}) z) b)
   SELECT u.type, u.plot, CASE WHEN u.type = 'test' THEN NULL ELSE u.plot * 2 END AS mission, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(min(x) - 10, 6) AS minx, round(max(y) + 10, 6) AS maxy FROM u LEFT JOIN ({inputs.PTS}) p ON p.ds = u.plot GROUP BY 1, 2""")
 def q50(spark: SparkSession, d: str) -> DataFrame:
