@@ -239,7 +239,7 @@ def q60(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q61_refined_raster")
 def q61(spark: SparkSession, d: str) -> DataFrame:
-    return raster.refined(raster.clipped(inputs.surface(spark, d), (0, 19), (0, 19)), 3).withColumn("value", F.round("value", 4))
+    return raster.refined(inputs.surface(spark, d), 3).withColumn("value", F.round("value", 4))
 
 
 # a triangle that no cell centre touches

@@ -47,3 +47,22 @@ def test_split_search_takes_every_plot(spark, tables):
     assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=2e-9) for k in want)
     best = entry.queries()["q44_best_split_all"](spark, d).collect()
     assert [r["trial"] for r in best] == [min(want, key=lambda k: (want[k][0], k))]
+
+
+def test_refined_raster_covers_the_surface(spark, tables):
+    rng = random.Random(61)
+    cells = {(r, c): round(rng.uniform(900, 1100), 2) for r in range(17, 26) for c in range(15, 24) if (r, c) != (21, 20)} | {(99, 99): 5.0}
+    d = tables(lineitem=([(i, 1, r, c, v, 1.0) for i, ((r, c), v) in enumerate(cells.items())], LINES))
+
+    def cubic(t):
+        t = abs(t)
+        return (1.5 * t - 2.5) * t * t + 1 if t <= 1 else ((-0.5 * t + 2.5) * t - 4) * t + 2 if t < 2 else 0.0
+
+    def fine(row, col):
+        y, x = (row + 0.5) / 3 - 0.5, (col + 0.5) / 3 - 0.5
+        near = [(cubic(y - r) * cubic(x - c), v) for (r, c), v in cells.items()]
+        return sum(w * v for w, v in near) / sum(w for w, _ in near)
+
+    got = {(r["row"], r["col"]): r["value"] for r in entry.queries()["q61_refined_raster"](spark, d).collect()}
+    assert set(got) == {(3 * r + i, 3 * c + j) for r, c in cells for i in range(3) for j in range(3)}
+    assert all(v == pytest.approx(fine(*k), abs=1e-3) for k, v in got.items())
