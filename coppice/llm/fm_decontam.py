@@ -13,7 +13,8 @@ Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. A
 test phrase is a window of ``n`` consecutive words of an item; an item of fewer
 words, but not none, is one phrase. Words are compared by hash first and byte by
 byte before they enter the index. The benchmark is broadcast in blocks of at
-most ``BLOCK_BYTES`` of text, one pass over the documents for each block.
+most ``BLOCK_BYTES`` of text, one pass over the documents for each block; all
+blocks judge the same text, and cleaning cuts only what all of them found.
 
 Null and empty texts have no words. Rows are independent: repeated rows and
 tables with extra columns need nothing special; clashing columns give way to
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, lowered, word_hashes, word_spans
+from .common import chunks, flat, lowered, word_hashes, word_spans, written
 
 BLOCK_BYTES = 16 << 20
 SAMPLING = 8
@@ -246,11 +247,15 @@ def searched(texts: pa.Array, p: Phrases) -> tuple[np.ndarray, list[list[tuple[i
     return np.diff(per), spans, items
 
 
+def n_blocks(benchmark: DataFrame) -> int:
+    total = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(1, -(-int(total) // (BLOCK_BYTES // 2)))
+
+
 def blocks(benchmark: DataFrame, n: int) -> Iterator[Phrases]:
     """The benchmark in blocks of bounded size; every item is in one block."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    many = max(1, -(-int(total) // (BLOCK_BYTES // 2)))
+    many = n_blocks(benchmark)
     for k in range(many):
         part = rows if many == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(many)) == k)
         yield phrases(sorted((r["item"], r["text"]) for r in part.toLocalIterator()), n)
@@ -295,36 +300,85 @@ def marked(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text
     return out
 
 
+def cut(x: pa.Scalar, spans: list[tuple[int, int]]) -> str:
+    """The text without its spans of bytes."""
+    raw, out, last = x.as_buffer().to_pybytes(), [], 0
+    for a, b in spans:
+        out.append(raw[last:a])
+        last = b
+    return b"".join([*out, raw[last:]]).decode()
+
+
 def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of ``text``, again where a cut has joined a phrase anew, until none is left."""
-    columns, schema = docs.columns, docs.schema
+    """``docs`` with the spans cut out of ``text``, again where a cut has joined a phrase anew, until none is left.
 
-    def one(p: Phrases):
+    What is cut at once is the union of all blocks' spans of the same text, so the blocks' size and order change nothing.
+    """
+    columns, schema = docs.columns, docs.schema
+    if n_blocks(benchmark) > 1:
+        return cleaned_by_all(docs, benchmark, n, text)
+    p = next(blocks(benchmark, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text):
+                at, now, changed = np.arange(part.num_rows), part.column(text), {}
+                while len(at):
+                    _, spans, _ = searched(now, p)
+                    again = [i for i, s in enumerate(spans) if s]
+                    for i in again:
+                        changed[int(at[i])] = cut(now[i], [s[2:] for s in spans[i]])
+                    at = at[again]
+                    now = pa.array([changed[int(i)] for i in at], pa.string())
+                arrays = {c: part.column(c) for c in columns}
+                if changed:
+                    texts = part.column(text).to_pylist()
+                    for i, x in changed.items():
+                        texts[i] = x
+                    arrays[text] = pa.array(texts, part.schema.field(text).type)
+                yield pa.RecordBatch.from_arrays([arrays[c] for c in columns], names=columns)
+
+    return docs.mapInArrow(run, schema)
+
+
+def cleaned_by_all(docs: DataFrame, benchmark: DataFrame, n: int, text: str) -> DataFrame:
+    """Rounds over written tables: every block is searched in the same text, then the union is cut; cut texts go round again."""
+    columns = docs.columns
+    spans = "_spans"
+    while spans in {c.lower() for c in columns}:
+        spans = "_" + spans
+    wide = docs.withColumn(spans, F.lit(None).cast("array<struct<first:int,last:int,start:int,end:int>>")).schema
+    flagged = docs.withColumn(spans, F.lit(True)).schema
+
+    def find(p: Phrases):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch, text):
-                    at, now, changed = np.arange(part.num_rows), part.column(text), {}
-                    while len(at):
-                        _, spans, _ = searched(now, p)
-                        again = [i for i, s in enumerate(spans) if s]
-                        for i in again:
-                            raw, out, last = now[i].as_buffer().to_pybytes(), [], 0
-                            for _, _, a, b in spans[i]:
-                                out.append(raw[last:a])
-                                last = b
-                            changed[int(at[i])] = b"".join([*out, raw[last:]]).decode()
-                        at = at[again]
-                        now = pa.array([changed[int(i)] for i in at], pa.string())
-                    arrays = {c: part.column(c) for c in columns}
-                    if changed:
-                        texts = part.column(text).to_pylist()
-                        for i, x in changed.items():
-                            texts[i] = x
-                        arrays[text] = pa.array(texts, part.schema.field(text).type)
-                    yield pa.RecordBatch.from_arrays([arrays[c] for c in columns], names=columns)
+                    _, found, _ = searched(part.column(text), p)
+                    if spans in part.schema.names:  # an earlier block's findings
+                        before = [[tuple(s.values()) for s in x] for x in part.column(spans).to_pylist()]
+                        found = [united(a + b) for a, b in zip(before, found, strict=True)]
+                    rows = [[dict(zip(("first", "last", "start", "end"), s, strict=True)) for s in x] for x in found]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(rows, SPAN)], names=[*columns, spans])
 
         return run
 
-    for p in blocks(benchmark, n):
-        docs = docs.mapInArrow(one(p), schema)
-    return docs
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text):
+                now, found = part.column(text), part.column(spans).to_pylist()
+                arrays = {c: part.column(c) for c in columns}
+                if any(found):
+                    arrays[text] = pa.array([cut(x, [(s["start"], s["end"]) for s in f]) if f else x.as_py() for x, f in zip(now, found, strict=True)], part.schema.field(text).type)
+                yield pa.RecordBatch.from_arrays([*(arrays[c] for c in columns), pa.array([bool(f) for f in found])], names=[*columns, spans])
+
+    out = None
+    while True:
+        for p in blocks(benchmark, n):
+            docs = docs.mapInArrow(find(p), wide)
+        docs = written(docs.mapInArrow(without, flagged))
+        done = docs.where(~F.col(spans)).select(*[F.col(f"`{c}`") for c in columns])
+        out = done if out is None else out.unionAll(done)
+        docs = docs.where(F.col(spans)).select(*[F.col(f"`{c}`") for c in columns])
+        if docs.isEmpty():
+            return out
