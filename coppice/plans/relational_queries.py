@@ -229,6 +229,16 @@ def q43(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.weighted_pivot(inputs.inventory(spark, d).where("plot % 10 != 0"), plots, "plot", "species", _FIVE, "w")
 
 
+# every brand and every plot; the query above shows five brands and makes empty plots
+_ALL_BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+
+
+@query("q43_weighted_pivot_all", "SELECT s_suppkey AS plot, " + ", ".join(f'CAST(coalesce(sum(CASE WHEN species = \'{b}\' THEN 1 ELSE 0 END), 0) * {_W} AS BIGINT) AS "{b}"' for b in _ALL_BRANDS) + f" FROM supplier LEFT JOIN ({inputs.INV}) i ON plot = s_suppkey GROUP BY s_suppkey")
+def q43_all(spark: SparkSession, d: str) -> DataFrame:
+    plots = table(spark, d, "supplier").select(F.col("s_suppkey").alias("plot"), F.when(F.col("s_suppkey") % 4 == 0, 3).otherwise(1).alias("w"))
+    return aggregates.weighted_pivot(inputs.inventory(spark, d), plots, "plot", "species", _ALL_BRANDS, "w")
+
+
 _REPORT = f"""WITH c AS (SELECT species, sum(CASE WHEN plot % 5 <> 0 THEN 1 ELSE 0 END) AS train, sum(CASE WHEN plot % 5 = 0 THEN 1 ELSE 0 END) AS val FROM ({inputs.INV}) i GROUP BY species),
   p AS (SELECT species, CAST(train AS BIGINT) AS train, CAST(val AS BIGINT) AS val, train / sum(train) OVER () AS tp, val / sum(val) OVER () AS vp FROM c)"""
 

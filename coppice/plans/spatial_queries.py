@@ -135,6 +135,18 @@ def q36(spark: SparkSession, d: str) -> DataFrame:
     return inputs.points(spark, d).join(F.broadcast(shifts), "ds").select("id", F.round(moved[0], 6).alias("x"), F.round(moved[1], 6).alias("y"))
 
 
+# a shift for every ds of the points; the query above has a fixed document of eight
+@query("q36_translate_all", f"""SELECT id, round(x + CAST(ds AS DOUBLE) / 10, 6) AS x, round(y - CAST(ds AS DOUBLE) / 5, 6) AS y FROM ({inputs.PTS}) p""")
+def q36_all(spark: SparkSession, d: str) -> DataFrame:
+    p = inputs.points(spark, d)
+    pair = F.struct(F.col("ds").cast("string").alias("key"), F.array(F.array(F.col("ds") / 10, -F.col("ds") / 5)).alias("value"))
+    doc = p.where("ds is not null").select("ds").distinct().agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("doc"))
+    shifts = doc.select(files.json_rows(F.col("doc"), "array<array<double>>").alias("key", "shift"))
+    shifts = shifts.select(F.col("key").cast("long").alias("ds"), F.col("shift")[0][0].alias("dx"), F.col("shift")[0][1].alias("dy"))
+    moved = spatial.shifted(F.col("x"), F.col("y"), F.col("dx"), F.col("dy"))
+    return p.join(F.broadcast(shifts), "ds", "left").select("id", F.round(moved[0], 6).alias("x"), F.round(moved[1], 6).alias("y"))
+
+
 @query("q39_bbox_dissolve", f"SELECT ds, round(min(x), 6) AS minx, round(min(y), 6) AS miny, round(max(x), 6) AS maxx, round(max(y), 6) AS maxy FROM ({inputs.PTS}) p GROUP BY ds HAVING max(x) - min(x) > 20 AND max(y) - min(y) > 20")
 def q39(spark: SparkSession, d: str) -> DataFrame:
     out = aggregates.bounds(inputs.points(spark, d), ["ds"], ("x", "y", "x", "y"), 20)
