@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def guarded(df: DataFrame, known: Iterable[str], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``change(df)`` with all columns but the ``known`` ones renamed meanwhile, so that no name of the caller's, in
+    upper or lower case, can meet one that the operator uses. A column called like one of the result gives way.
+    """
+    known = set(known)
+    names = [c if c in known else f"_x{i}" for i, c in enumerate(df.columns)]
+    out = change(df.toDF(*names))
+    back = dict(zip(names, df.columns, strict=True))
+    made = {c.lower() for c in out.columns if c not in back}
+    kept = [c for c in out.columns if c not in back or back[c].lower() not in made]
+    return out.select(*[F.col(c).alias(back.get(c, c)) for c in kept])
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 0 modulo 5; a null id is held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

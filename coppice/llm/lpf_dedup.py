@@ -14,13 +14,24 @@ same minimizer hash can share a window.
    give the longest previous factor, the previous and next larger ones the
    longest following factor; a window is repeated where one of them reaches
    ``length``.
-4. A minimizer with more than ``CONTEXTS`` distinct contexts would not fit one
-   task; its windows are counted by 128-bit hashes instead.
-
-Only hashes and positions of repeated minimizers, contexts of step 3 and spans
-are shuffled; texts are, unless what is joined to them may be broadcast.
-Null and empty texts, and texts shorter than ``length``, lose nothing. Repeated
-rows are copies like any others.
+4. Where a minimizer has more than ``CONTEXTS`` distinct contexts, the windows of
+   each are dealt into two halves, those with more of the window before the
+   minimizer and those with more after it. All windows of a half share a longer
+   gram, which becomes its key; then steps 1 to 3 apply to the halves, and so on
+   until no key has too many contexts. After at most eight divisions (for 200
+   bytes) the key is the whole window, and its contexts are all equal.
+
+Only hashes and positions of repeated minimizers, contexts of steps 3 and 4 and
+spans are shuffled; texts are, unless what is joined to them may be broadcast.
+Hashes have 64 bits. Grams' hashes only bring contexts together; contexts count
+as equal by a second hash, so two of m distinct contexts of one minimizer are
+taken for copies with a chance of about m * m / 2**65 (1e-8 for a million).
+
+Null and empty texts, and texts shorter than ``length``, lose nothing. Very long
+texts are worked through in pieces that overlap by ``length`` - 1 bytes. Repeated
+rows are copies like any others. Extra columns are kept, whatever their names;
+one that is called like a column of the result gives way. An empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -30,15 +41,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, mixed, powers, row_key, small, written
+from .common import chunks, flat, guarded, mixed, powers, row_key, small, written
 
 LENGTH = 200
 GRAM = 48
 CHUNK = 1 << 20
-#: Distinct contexts of one minimizer that one task takes.
+#: Distinct contexts of one key that go into one suffix array; more are divided under longer keys.
 CONTEXTS = 2048
 #: Bytes of contexts that go into one suffix array (more only for a single minimizer).
 ARRAY_BYTES = 1 << 19
@@ -176,44 +187,89 @@ def contexts(docs: DataFrame, length: int, gram: int, text: str = "text") -> Dat
         for batch in batches:
             for part in chunks(batch, text, CHUNK):
                 raw, offsets = flat(part.column(text))
-                doc, p, lo, hi, h, c = minimizers(raw, offsets, length, gram)
-                rows = pa.compute.take(part.column("_row"), pa.array(doc))
-                yield pa.RecordBatch.from_arrays([rows, pa.array((p - offsets[doc]).astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], names=["_row", "pos", "lo", "hi", "h", "c"])
+                for begin in range(0, len(raw), CHUNK):  # a piece holds the windows that start in it
+                    piece = raw[begin : begin + CHUNK + length - 1]
+                    doc, p, lo, hi, h, c = minimizers(piece, np.clip(offsets - begin, 0, len(piece)), length, gram)
+                    rows = pa.compute.take(part.column("_row"), pa.array(doc))
+                    yield pa.RecordBatch.from_arrays([rows, pa.array((p + begin - offsets[doc]).astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], names=["_row", "pos", "lo", "hi", "h", "c"])
 
     return docs.select("_row", text).mapInArrow(run, "_row long, pos int, lo short, hi short, h long, c long")
 
 
-def packed(pos: Column, lo: Column, hi: Column, several: Column, hot: Column) -> Column:
-    """A context's place and two flags in one long, as ``unpacked`` reads it: lists of them stay small."""
+def packed(pos: Column, lo: Column, hi: Column, several: Column) -> Column:
+    """A context's place and a flag in one long, as ``unpacked`` reads it: lists of them stay small."""
     out = pos.cast("long")
-    for part, bits in ((lo, 14), (hi, 14), (several, 1), (hot, 1)):
+    for part, bits in ((lo, 14), (hi, 14), (several, 1)):
         out = F.shiftleft(out, bits).bitwiseOR(part.cast("long"))
     return out
 
 
-def unpacked(x: int) -> tuple[int, int, int, int, int]:
-    return x >> 30, x >> 16 & 0x3FFF, x >> 2 & 0x3FFF, x >> 1 & 1, x & 1
+def unpacked(x: int) -> tuple[int, int, int, int]:
+    return x >> 29, x >> 15 & 0x3FFF, x >> 1 & 0x3FFF, x & 1
+
+
+#: A context with its bytes: its windows start from pos - lo to pos - hi and all hold the gram from pos - left on, with ``right`` more bytes; n > 1 if they are known to be repeated.
+PART = "_row long, pos int, lo short, hi short, left short, right short, n long, h long, bytes binary"
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int, gram: int, text: str = "text") -> DataFrame:
-    """The bytes of wanted contexts, with their minimizers' hashes: ``wanted`` has _row and an array of packed places."""
+    """The wanted contexts with their bytes and minimizers' hashes: ``wanted`` has _row and an array of packed places."""
+    places = wanted.select("_row", packed(F.col("pos"), F.col("lo"), F.col("hi"), F.col("n") > 1).alias("item")).groupBy("_row").agg(F.collect_list("item").alias("items"))
+
+    def emit(out: list[tuple]) -> pa.RecordBatch:
+        row, pos, lo, hi, n, data = zip(*out, strict=True)
+        data = pa.array(data, pa.binary())
+        raw, offsets = flat_binary(data)
+        at = offsets[:-1] + np.array(lo, np.int64)
+        h = RangeHashes(raw).of(at, at + gram).view(np.int64)
+        none = pa.array(np.zeros(len(out), np.int16))
+        small_ = [pa.array(x, pa.int16()) for x in (lo, hi)]
+        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(pos, pa.int32()), *small_, none, none, pa.array(n, pa.int64()), pa.array(h), data], names=["_row", "pos", "lo", "hi", "left", "right", "n", "h", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
         for batch in batches:
-            for part in chunks(batch, text, CHUNK):
-                out: list[tuple] = []
-                for row, t, items in zip(part.column("_row").to_pylist(), part.column(text), part.column("items").to_pylist(), strict=True):
-                    raw = t.as_buffer().to_pybytes()
-                    for pos, lo, hi, several, hot in map(unpacked, items):
-                        out.append((row, pos, lo, 1 + several, bool(hot), raw[pos - lo : pos - hi + length]))
-                kinds = (pa.int64(), pa.int32(), pa.int16(), pa.int64(), pa.bool_(), pa.binary())
-                columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)]
-                raw, offsets = flat_binary(columns[-1])
-                at = offsets[:-1] + np.asarray(columns[2], np.int64)
-                h = RangeHashes(raw).of(at, at + gram).view(np.int64) if out else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(h)], names=["_row", "pos", "lo", "n", "hot", "bytes", "h"])
+            for row, t, items in zip(batch.column("_row").to_pylist(), batch.column(text), batch.column("items"), strict=True):
+                raw = t.as_buffer()
+                for pos, lo, hi, several in map(unpacked, items.as_py()):
+                    data = raw.slice(pos - lo, lo - hi + length).to_pybytes()
+                    out.append((row, pos, lo, hi, 1 + several, data))
+                    held += len(data)
+                    if held >= CHUNK:
+                        yield emit(out)
+                        out, held = [], 0
+        if out:
+            yield emit(out)
+
+    cut = docs.select("_row", text).join(small(written(places), "items"), "_row").mapInArrow(run, PART)
+    return cut.dropDuplicates(["_row", "pos", "lo"])  # equal rows share a key, and one of them is enough here
 
-    return docs.select("_row", text).join(small(wanted, "items"), "_row").mapInArrow(run, "_row long, pos int, lo short, n long, hot boolean, bytes binary, h long")
+
+def divided(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The windows of each context in two halves, each under the hash of the longer gram that all its windows hold; ``c`` is the half's own hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw, offsets = flat_binary(batch.column("bytes"))
+            pos, lo, hi, left, right = (np.asarray(batch.column(x)).astype(np.int64) for x in ("pos", "lo", "hi", "left", "right"))
+            hashes, at = RangeHashes(raw), offsets[:-1] + lo
+            slack = length - gram - left - right
+            half = (slack + 1) // 2
+            before = (lo, np.maximum(hi, left + half), left + half, right)
+            after = (np.minimum(lo, left + half - 1), hi, left, right + slack - half + 1)
+            for a, b, more, rest in (before, after):
+                ok = np.flatnonzero((a >= b) & (slack > 0))
+                a, b, more, rest, here = a[ok], b[ok], more[ok], rest[ok], at[ok]
+                key = mixed(hashes.of(here - more, here + gram + rest) + more.astype(np.uint64) * np.uint64(BASE))
+                own = hashes.of(here - a, here - b + length)
+                data = pa.array([raw[x:y].tobytes() for x, y in zip((here - a).tolist(), (here - b + length).tolist(), strict=True)], pa.binary())
+                kept = [pa.compute.take(batch.column(x), pa.array(ok)) for x in ("_row", "pos", "n")]
+                yield pa.RecordBatch.from_arrays([kept[0], kept[1], *(pa.array(x.astype(np.int16)) for x in (a, b, more, rest)), kept[2], pa.array(key.view(np.int64)), data, pa.array(own.view(np.int64))], names=["_row", "pos", "lo", "hi", "left", "right", "n", "h", "bytes", "c"])
+
+    return parts.mapInArrow(run, PART + ", c long")
 
 
 def ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -259,29 +315,6 @@ def by_factors(parts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return parts.select("_row", "pos", "lo", "h", "n", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, "_row long, start int, end int")
 
 
-def by_windows(parts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """The same for minimizers with too many contexts: windows counted by two 64-bit hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                raw, offsets = flat_binary(part.column("bytes"))
-                count = np.diff(offsets) - length + 1
-                owner = np.repeat(np.arange(len(count)), count)
-                start = offsets[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                one, two = RangeHashes(raw).of(start, start + length), RangeHashes(raw, 0xD1342543DE82EF95).of(start, start + length)
-                pos = np.asarray(part.column("pos")).astype(np.int64) - np.asarray(part.column("lo")).astype(np.int64)
-                at = (pos[owner] + start - offsets[owner]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.compute.take(part.column("_row"), pa.array(owner)), pa.array(at), pa.compute.take(part.column("n"), pa.array(owner)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["_row", "start", "n", "one", "two"])
-
-    windows = parts.select("_row", "pos", "lo", "n", "bytes").mapInArrow(run, "_row long, start int, n long, one long, two long")
-    counts = windows.groupBy("one", "two").agg(F.count("*").alias("times"), F.min(F.struct("_row", "start")).alias("least")).where("times > 1")
-    hits = windows.join(counts, ["one", "two"])
-    hits = hits.where((F.col("_row") != F.col("least._row")) | (F.col("start") != F.col("least.start"))) if keep_first else hits.where("n = 1")
-    return hits.select("_row", "start", (F.col("start") + length).cast("int").alias("end"))
-
-
 def flat_binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     array = array.cast(pa.large_binary())
     _, offsets, data = array.buffers()
@@ -296,26 +329,43 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
     in id and text share a key, so they stay or go together.
     """
     found = contexts(docs, length, gram, text)
-    # as a written table, so that the join's sides are dealt for the join alone and a hot minimizer can be split
+    # as written tables, so that a join's sides are dealt for the join alone and a hot key can be split
     twice = written(found.groupBy("h").count().where("count > 1").select("h"))
-    found = written(found.join(twice, "h", "left_semi"))
-    kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("_row", "pos", "lo", "hi")).alias("rep"))
-    kinds = written(kinds.withColumn("many", F.count("*").over(Window.partitionBy("h"))))
-    whole = kinds.where("n > 1").select("h", "c", "rep")
-    copies = found.join(whole, ["h", "c"])
-    if keep_first:
-        copies = copies.where((F.col("_row") != F.col("rep._row")) | (F.col("pos") != F.col("rep.pos")))
-    out = copies.select("_row", (F.col("pos") - F.col("lo")).cast("int").alias("start"), (F.col("pos") - F.col("hi") + length).cast("int").alias("end"))
-    place = packed(F.col("rep.pos"), F.col("rep.lo"), F.col("rep.hi"), F.col("n") > 1, F.col("many") > CONTEXTS)
-    asked = written(kinds.where("many > 1").select("rep._row", place.alias("item")).groupBy("_row").agg(F.collect_list("item").alias("items")))
-    # equal rows share a key, and one of them is enough here
-    parts = cut_out(docs, asked, length, gram, text).dropDuplicates(["_row", "pos"])
-    out = out.unionByName(by_factors(parts.where(~F.col("hot")), length, keep_first))
-    if not kinds.where(F.col("many") > CONTEXTS).isEmpty():
-        out = out.unionByName(by_windows(parts.where("hot"), length, keep_first))
+    found = written(found.join(twice, "h", "left_semi").withColumn("n", F.lit(1).cast("long")))
+    out, several = sorted_out(found, ["pos", "lo", "hi", "n"], length, keep_first)
+    out = out.unionByName(by_factors(cut_out(docs, several.where(F.col("many") <= CONTEXTS), length, gram, text), length, keep_first))
+    crowded = several.where(F.col("many") > CONTEXTS)
+    if not crowded.isEmpty():
+        parts = cut_out(docs, crowded, length, gram, text)
+        while True:
+            halves = written(divided(parts, length, gram))
+            twice = written(halves.groupBy("h").count().where("count > 1").select("h"))
+            halves = halves.join(small(twice), "h", "left_semi")
+            copies, several = sorted_out(halves, ["pos", "lo", "hi", "left", "right", "n", "bytes"], length, keep_first)
+            out = out.unionByName(copies).unionByName(by_factors(several.where(F.col("many") <= CONTEXTS), length, keep_first))
+            parts = several.where(F.col("many") > CONTEXTS)
+            if parts.isEmpty():
+                break
     return merged(out.groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 
+def sorted_out(found: DataFrame, columns: list[str], length: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
+    """Spans (_row, start, end) of contexts that are equal as a whole; and one of each of the contexts whose key has several, with their number ``many``."""
+    rep = F.min(F.struct("_row", *columns)).alias("rep")
+    kinds = written(found.groupBy("h", "c").agg(F.count("*").alias("times"), rep))
+    whole = kinds.where("times > 1").select("h", "c", F.col("rep._row").alias("_first"), F.col("rep.pos").alias("_at"), F.col("rep.lo").alias("_lo"))
+    copies = found.select("h", "c", "_row", "pos", "lo", "hi", "n").join(whole, ["h", "c"])
+    if keep_first:
+        copies = copies.where((F.col("_row") != F.col("_first")) | (F.col("pos") != F.col("_at")) | (F.col("lo") != F.col("_lo")))
+    else:
+        copies = copies.where("n = 1")
+    copies = copies.select("_row", (F.col("pos") - F.col("lo")).cast("int").alias("start"), (F.col("pos") - F.col("hi") + length).cast("int").alias("end"))
+    crowd = kinds.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
+    kept = [F.col(f"rep.{x}").alias(x) for x in columns if x != "n"]
+    several = kinds.join(written(crowd), "h").select("h", "many", "rep._row", *kept, F.when(F.col("times") > 1, 2).otherwise(F.col("rep.n")).cast("long").alias("n"))
+    return copies, written(several)
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -340,7 +390,11 @@ def merged(rows: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without ``text`` plus ``n_bytes``, ``spans`` (merged byte ranges), ``n_removed`` and ``kept_sha256``."""
-    keep = [c for c in docs.columns if c not in (text, "n_bytes", "spans", "n_removed", "kept_sha256")]
+    return guarded(docs, (text, key), lambda d: _removed(d, length, keep_first, text, key))
+
+
+def _removed(docs: DataFrame, length: int, keep_first: bool, text: str, key: str) -> DataFrame:
+    keep = [c for c in docs.columns if c != text]
     rows = docs.withColumn("_row", row_key(key, text))
     found = written(spans(rows.select("_row", text), length, keep_first=keep_first, text=text))
     joined = rows.select(*keep, "_row", text).join(small(found, "spans"), "_row", "left").drop("_row")
