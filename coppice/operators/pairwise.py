@@ -1,44 +1,74 @@
 """Pairs by distance, dominance, one-to-one matching, overlap suppression, local maxima."""
 
+from functools import reduce
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
+from .graph import components
 from .spatial import box_join, distance
 
+#: Rounds of a matching or suppression before connected parts are finished one by one.
+ROUNDS = 8
+#: Edges of a connected part that one task may finish.
+PART_EDGES = 1_000_000
+
+
+def within_reach(owner: DataFrame, other: DataFrame, at: tuple[str, str], to: tuple[str, str], radius: Column, on: list[tuple[str, str]], condition: Column) -> DataFrame:
+    """Pairs of an owner and another point that meet ``condition``, which must imply that both |dx| and |dy| are at most the owner's radius.
+
+    Owners are classed by the power of two above their radius, and each class has cells of that size:
+    an owner covers at most nine of them, and a point looks in one cell for every class that its
+    group has. So a few huge radii cost a class more, not a huge number of cells.
+    """
+    level = F.ceil(F.log2(F.greatest(radius, F.lit(2.0**-20)))).cast("int")
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    cell = lambda c: F.floor(c / size).cast("long")
+    a = owner.withColumn("_level", level).withColumn("_reach", F.greatest(radius, F.lit(0.0))).where("_level is not null")
+    classes = a.select(*[F.col(x).alias(f"_c{i}") for i, (x, _) in enumerate(on)], F.col("_level").alias("_of")).distinct()
+    for c, name in zip(at, ("_xl", "_yl"), strict=True):
+        a = a.withColumn(name, F.explode(F.sequence(cell(F.col(c) - F.col("_reach")), cell(F.col(c) + F.col("_reach")))))
+    b = other.join(classes, reduce(lambda p, q: p & q, [F.col(y) == F.col(f"_c{i}") for i, (_, y) in enumerate(on)]))
+    size = F.pow(F.lit(2.0), F.col("_of"))
+    for c, name in zip(to, ("_xr", "_yr"), strict=True):
+        b = b.withColumn(name, F.floor(F.col(c) / size).cast("long"))
+    same = [F.col(x) == F.col(y) for x, y in [*on, ("_level", "_of"), ("_xl", "_xr"), ("_yl", "_yr")]]
+    pairs = a.join(b, reduce(lambda p, q: p & q, [*same, condition]))
+    return pairs.drop("_level", "_reach", "_of", "_xl", "_yl", "_xr", "_yr", *[f"_c{i}" for i in range(len(on))])
+
+
+def _side(points: DataFrame, prefix: str, columns: tuple[str, ...] = ("ds", "id", "x", "y", "h")) -> DataFrame:
+    return points.select(*[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+
 
-def _point_box(df: DataFrame, x: str, y: str, reach: Column, names: tuple[str, ...]) -> DataFrame:
-    return df.withColumns({names[0]: F.col(x) - reach, names[1]: F.col(y) - reach, names[2]: F.col(x) + reach, names[3]: F.col(y) + reach})
+_DISTANCE = ("l_x", "l_y", "r_x", "r_y")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, share: float = 0.5, slope: float = 0.1, intercept: float = 1.0, cell: float = 8.0) -> DataFrame:
+def candidate_pairs(left: DataFrame, right: DataFrame, share: float = 0.5, slope: float = 0.1, intercept: float = 1.0) -> DataFrame:
     """Pairs (ds, left_id, right_id, dist): right heights within ``share`` of the left one, nearer than slope * height + intercept (all strict).
 
     Both tables: ds, id, x, y, h.
     """
-    a = left.select(*[F.col(c).alias(f"l_{c}") for c in ("ds", "id", "x", "y", "h")])
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in ("ds", "id", "x", "y", "h")])
-    reach = F.greatest(F.col("l_h") * slope + intercept, F.lit(0.0))
-    a = _point_box(a, "l_x", "l_y", reach, ("_a0", "_a1", "_a2", "_a3"))
-    b = _point_box(b, "r_x", "r_y", F.lit(0.0), ("_b0", "_b1", "_b2", "_b3"))
-    dist = distance(F.col("l_x"), F.col("l_y"), F.col("r_x"), F.col("r_y"))
-    near = (F.col("r_h") > F.col("l_h") * (1 - share)) & (F.col("r_h") < F.col("l_h") * (1 + share)) & (dist < F.col("l_h") * slope + intercept)
-    pairs = box_join(a, b, ("_a0", "_a1", "_a2", "_a3"), ("_b0", "_b1", "_b2", "_b3"), cell, [("l_ds", "r_ds")], near)
+    reach = F.col("l_h") * slope + intercept
+    dist = distance(*map(F.col, _DISTANCE))
+    near = (F.col("r_h") > F.col("l_h") * (1 - share)) & (F.col("r_h") < F.col("l_h") * (1 + share)) & (dist < reach)
+    pairs = within_reach(_side(left, "l"), _side(right, "r"), ("l_x", "l_y"), ("r_x", "r_y"), reach, [("l_ds", "r_ds")], near)
     return pairs.select(F.col("l_ds").alias("ds"), F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), dist.alias("dist"))
 
 
-def overstory(points: DataFrame, slope: float = 0.1, intercept: float = 1.0, cell: float = 8.0) -> DataFrame:
+def overstory(points: DataFrame, slope: float = 0.1, intercept: float = 1.0) -> DataFrame:
     """Points that no higher point of their group dominates: dist < slope * (height difference) + intercept.
 
-    ``points``: ds, id, x, y, h. How far a point can be dominated from is bounded by its group's height.
+    ``points``: ds, id, x, y, h. A point dominates no farther than its height over the group's least allows.
     """
-    top = points.groupBy("ds").agg(F.max("h").alias("_top"))
-    low = points.join(top, "ds").select(*[F.col(c).alias(f"l_{c}") for c in ("ds", "id", "x", "y", "h")], "_top")
-    low = _point_box(low, "l_x", "l_y", (F.col("_top") - F.col("l_h")) * slope + intercept, ("_a0", "_a1", "_a2", "_a3"))
-    high = points.select(*[F.col(c).alias(f"r_{c}") for c in ("ds", "id", "x", "y", "h")])
-    high = _point_box(high, "r_x", "r_y", F.lit(0.0), ("_b0", "_b1", "_b2", "_b3"))
-    dominates = (F.col("r_h") > F.col("l_h")) & (distance(F.col("l_x"), F.col("l_y"), F.col("r_x"), F.col("r_y")) < (F.col("r_h") - F.col("l_h")) * slope + intercept)
-    pairs = box_join(low, high, ("_a0", "_a1", "_a2", "_a3"), ("_b0", "_b1", "_b2", "_b3"), cell, [("l_ds", "r_ds")], dominates)
+    least = points.groupBy(F.col("ds").alias("_ds")).agg(F.min("h").alias("_least"))
+    high = _side(points, "r").join(least, F.col("r_ds") == F.col("_ds")).drop("_ds")
+    reach = (F.col("r_h") - F.col("_least")) * slope + intercept
+    dominates = (F.col("r_h") > F.col("l_h")) & (distance(*map(F.col, _DISTANCE)) < (F.col("r_h") - F.col("l_h")) * slope + intercept)
+    pairs = within_reach(high, _side(points, "l"), ("r_x", "r_y"), ("l_x", "l_y"), reach, [("r_ds", "l_ds")], dominates)
     return points.join(pairs.select(F.col("l_ds").alias("ds"), F.col("l_id").alias("id")).distinct(), ["ds", "id"], "left_anti")
 
 
@@ -50,25 +80,67 @@ def mutual_best(edges: DataFrame) -> DataFrame:
     return a.join(b.select("ds", "left_id", "right_id"), ["ds", "left_id", "right_id"], "left_semi")
 
 
+def _node(side: str, key: str) -> Column:
+    return F.xxhash64(F.lit(side), F.col("ds"), F.col(key))
+
+
+def by_parts(edges: DataFrame, a: Column, b: Column) -> tuple[DataFrame, DataFrame]:
+    """``edges`` plus ``root``, their connected part: those of parts that one task can finish, and the others."""
+    rooted = edges.withColumn("_a", a)
+    rooted = written(rooted.join(components(rooted.select(F.col("_a").alias("a"), b.alias("b"))).withColumnRenamed("node", "_a"), "_a").drop("_a"))
+    big = written(rooted.groupBy("root").count().where(F.col("count") > PART_EDGES).select("root"))
+    return rooted.join(big, "root", "left_anti"), rooted.join(big, "root", "left_semi")
+
+
+def _greedy(part: pd.DataFrame) -> pd.DataFrame:
+    left, right, kept = set(), set(), []
+    part = part.sort_values(["ds", "dist", "left_id", "right_id"]).reset_index(drop=True)
+    for i, a, b in zip(range(len(part)), zip(part["ds"], part["left_id"]), zip(part["ds"], part["right_id"])):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            kept.append(i)
+    return part.loc[kept, ["ds", "left_id", "right_id", "dist"]]
+
+
 def greedy_match(edges: DataFrame) -> DataFrame:
-    """One-to-one matching by ascending distance: rounds of mutually best edges until none is left.
+    """One-to-one matching by ascending distance: rounds of mutually best edges, which equal the sequential greedy under one total order.
 
-    Every round takes at least the best remaining edge of each group, so it ends; the result equals
-    the sequential greedy's under the same total order.
+    A chain of ever nearer neighbours would take a round for every pair, so after ``ROUNDS`` rounds the
+    connected parts that are left are finished one a task; parts of more than ``PART_EDGES`` edges go
+    on in rounds. ``edges``: ds, left_id, right_id, dist, none of them null.
     """
-    left, done = written(edges), None
-    while not left.isEmpty():
+    edges = edges.select("ds", "left_id", "right_id", "dist")
+    left, done = written(edges), edges.limit(0)
+    for n in count(1):
+        if left.isEmpty():
+            return done
+        if n % ROUNDS == 0:
+            few, many = by_parts(left, _node("l", "left_id"), _node("r", "right_id"))
+            done = done.unionByName(written(few.groupBy("root").applyInPandas(lambda part: _greedy(part), edges.schema)))
+            left = written(many.drop("root"))
+            continue
         best = written(mutual_best(left))
-        done = best if done is None else done.unionByName(best)
+        done = done.unionByName(best)
         left = written(left.join(best, ["ds", "left_id"], "left_anti").join(best.select("ds", "right_id"), ["ds", "right_id"], "left_anti"))
-    return (done if done is not None else left).select("ds", "left_id", "right_id", "dist")
+
+
+def _survivors(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.sort_values(["ds", "score", "winner"], ascending=[True, False, False])
+    gone, out = set(), {}
+    for ds, winner, loser in zip(part["ds"], part["winner"], part["loser"]):
+        out[(ds, winner)] = out[(ds, loser)] = None
+        if (ds, winner) not in gone:
+            gone.add((ds, loser))
+    return pd.DataFrame([k for k in out if k not in gone], columns=["ds", "id"])
 
 
 def suppressed(boxes: DataFrame, threshold: float, cell: float, group: str = "ds") -> DataFrame:
     """Non-maximum suppression by intersection over the smaller area: the boxes that greedy selection keeps.
 
     ``boxes``: group, id, score, minx, miny, maxx, maxy. Rounds: an undecided box without an undecided
-    overlapping neighbour of higher (score, id) is kept, and its neighbours go.
+    overlapping neighbour of higher (score, id) is kept, and its neighbours go. After ``ROUNDS`` rounds
+    connected parts are finished one a task, as in ``greedy_match``.
     """
     pick = lambda p: boxes.select(*[F.col(c).alias(f"{p}{c}") for c in (group, "id", "score", "minx", "miny", "maxx", "maxy")])
     box = lambda p: tuple(f"{p}{c}" for c in ("minx", "miny", "maxx", "maxy"))
@@ -78,42 +150,46 @@ def suppressed(boxes: DataFrame, threshold: float, cell: float, group: str = "ds
     shared = wide * high / F.nullif(F.least(area("a_"), area("b_")), F.lit(0.0))
     above = F.struct("a_score", "a_id") > F.struct("b_score", "b_id")
     pairs = box_join(pick("a_"), pick("b_"), box("a_"), box("b_"), cell, [(f"a_{group}", f"b_{group}")], above & (shared > threshold))
-    edges = written(pairs.select(F.col(f"a_{group}").alias("ds"), F.col("a_id").alias("winner"), F.col("b_id").alias("loser")))
+    edges = written(pairs.select(F.col(f"a_{group}").alias("ds"), F.col("a_id").alias("winner"), F.col("b_id").alias("loser"), F.col("a_score").alias("score")))
     open_ = written(boxes.select(F.col(group).alias("ds"), "id"))
-    kept = None
-    while not open_.isEmpty():
+    kept = open_.limit(0)
+    for n in count(1):
+        if edges.isEmpty():  # nobody is in anybody's way any more
+            kept = kept.unionByName(open_)
+            break
+        if n % ROUNDS == 0:
+            few, many = by_parts(edges, _node("", "winner"), _node("", "loser"))
+            few = written(few)
+            ends = few.select("ds", F.explode(F.array("winner", "loser")).alias("id")).distinct()
+            kept = kept.unionByName(written(few.groupBy("root").applyInPandas(lambda part: _survivors(part), open_.schema)))
+            open_, edges = written(open_.join(ends, ["ds", "id"], "left_anti")), written(many.drop("root"))
+            continue
         losers = edges.select("ds", F.col("loser").alias("id")).distinct()
         best = written(open_.join(losers, ["ds", "id"], "left_anti"))
-        kept = best if kept is None else kept.unionByName(best)
+        kept = kept.unionByName(best)
         gone = written(edges.join(best.withColumnRenamed("id", "winner"), ["ds", "winner"], "left_semi").select("ds", F.col("loser").alias("id")).distinct())
         open_ = written(open_.join(best, ["ds", "id"], "left_anti").join(gone, ["ds", "id"], "left_anti"))
         edges = written(edges.join(open_.withColumnRenamed("id", "winner"), ["ds", "winner"], "left_semi").join(open_.withColumnRenamed("id", "loser"), ["ds", "loser"], "left_semi"))
-    out = kept if kept is not None else open_
-    return boxes.join(out.withColumnRenamed("ds", group), [group, "id"], "left_semi")
+    return boxes.join(kept.withColumnRenamed("ds", group), [group, "id"], "left_semi")
 
 
-def local_maxima(points: DataFrame, a: float = 0.0, b: float = 0.0325, c: float = 0.25, cell: float = 8.0) -> DataFrame:
+def local_maxima(points: DataFrame, a: float = 0.0, b: float = 0.0325, c: float = 0.25) -> DataFrame:
     """Points without a higher one within a*h*h + b*h + c (their own height h; our reading of a variable window).
 
     ``points``: ds, id, x, y, h. Of equally high points the one with the lesser id wins.
     """
-    low = points.select(*[F.col(n).alias(f"l_{n}") for n in ("ds", "id", "x", "y", "h")])
     radius = a * F.col("l_h") * F.col("l_h") + b * F.col("l_h") + c
-    low = _point_box(low, "l_x", "l_y", radius, ("_a0", "_a1", "_a2", "_a3"))
-    high = points.select(*[F.col(n).alias(f"r_{n}") for n in ("ds", "id", "x", "y", "h")])
-    high = _point_box(high, "r_x", "r_y", F.lit(0.0), ("_b0", "_b1", "_b2", "_b3"))
-    near = distance(F.col("l_x"), F.col("l_y"), F.col("r_x"), F.col("r_y")) <= radius
+    near = distance(*map(F.col, _DISTANCE)) <= radius
     above = (F.col("r_h") > F.col("l_h")) | ((F.col("r_h") == F.col("l_h")) & (F.col("r_id") < F.col("l_id")))
-    pairs = box_join(low, high, ("_a0", "_a1", "_a2", "_a3"), ("_b0", "_b1", "_b2", "_b3"), cell, [("l_ds", "r_ds")], near & above)
+    pairs = within_reach(_side(points, "l"), _side(points, "r"), ("l_x", "l_y"), ("r_x", "r_y"), radius, [("l_ds", "r_ds")], near & above)
     return points.join(pairs.select(F.col("l_ds").alias("ds"), F.col("l_id").alias("id")).distinct(), ["ds", "id"], "left_anti")
 
 
-def nearest_marker(cells: DataFrame, markers: DataFrame, reach: float, cell: float = 8.0) -> DataFrame:
+def nearest_marker(cells: DataFrame, markers: DataFrame, reach: float) -> DataFrame:
     """Each cell's nearest marker within reach (our substitute for a marker-seeded watershed): ds, id, marker_id, dist."""
-    a = _point_box(cells.select(*[F.col(n).alias(f"l_{n}") for n in ("ds", "id", "x", "y")]), "l_x", "l_y", F.lit(float(reach)), ("_a0", "_a1", "_a2", "_a3"))
-    b = _point_box(markers.select(*[F.col(n).alias(f"r_{n}") for n in ("ds", "id", "x", "y")]), "r_x", "r_y", F.lit(0.0), ("_b0", "_b1", "_b2", "_b3"))
-    dist = distance(F.col("l_x"), F.col("l_y"), F.col("r_x"), F.col("r_y"))
-    pairs = box_join(a, b, ("_a0", "_a1", "_a2", "_a3"), ("_b0", "_b1", "_b2", "_b3"), cell, [("l_ds", "r_ds")], dist <= reach)
+    four = ("ds", "id", "x", "y")
+    dist = distance(*map(F.col, _DISTANCE))
+    pairs = within_reach(_side(cells, "l", four), _side(markers, "r", four), ("l_x", "l_y"), ("r_x", "r_y"), F.lit(float(reach)), [("l_ds", "r_ds")], dist <= reach)
     best = pairs.groupBy(F.col("l_ds").alias("ds"), F.col("l_id").alias("id")).agg(F.min(F.struct(dist.alias("dist"), F.col("r_id").alias("marker_id"))).alias("_m"))
     return best.select("ds", "id", "_m.marker_id", "_m.dist")
 

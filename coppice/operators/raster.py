@@ -1,9 +1,11 @@
 """Rasters as tables of cells (row, col, value); a missing cell or NULL is nodata."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
+from .graph import components as connected
 from .spatial import in_ring
 
 
@@ -72,21 +74,60 @@ def off_edge(tiled: DataFrame, size: int, stride: int) -> DataFrame:
     return tiled.where(inside("row", "tile_row") & inside("col", "tile_col"))
 
 
+_CELL = 1 << 31
+
+
 def components(mask: DataFrame) -> DataFrame:
     """4-connected parts of equal ids: (row, col, id) plus ``part``, the part's least cell number. Id 0 is background.
 
-    Labels spread to neighbours and then jump to their label's label, until nothing changes.
+    Neighbours become edges between cell numbers (row and col from 0 to 2**31 - 1), whose components
+    are found by contraction: the rounds are logarithmic and the edges shrink.
+    """
+    key = F.col("row") * F.lit(_CELL) + F.col("col")
+    cells = written(mask.where("id != 0").select("row", "col", "id", key.alias("_cell")))
+    there = cells.select(F.col("_cell").alias("b"), "id")
+    sides = F.explode(F.array(F.col("_cell") + 1, F.col("_cell") + F.lit(_CELL))).alias("b")
+    edges = cells.select(F.col("_cell").alias("a"), "id", sides).join(there, ["b", "id"]).select("a", "b")
+    roots = connected(edges).withColumnsRenamed({"node": "_cell"})
+    return cells.join(roots, "_cell", "left").select("row", "col", "id", F.coalesce("root", "_cell").alias("part"))
+
+
+def outlines(parts: DataFrame) -> DataFrame:
+    """(id, part, n_cells, rings): the polygons of ``components``, each as rings of corner points (x = col, y = row), holes included.
+
+    Only the sides between a cell and another part remain for a task, not the cells.
     """
-    cells = mask.where("id != 0")
-    key = F.col("row") * F.lit(1 << 31) + F.col("col")
-    now = written(cells.select("row", "col", "id", key.alias("part")))
-    while True:
-        sides = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
-        sent = now.select(F.explode(F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in sides])).alias("_to"), "id", "part")
-        least = sent.select("_to.*", "id", "part").groupBy("row", "col", "id").agg(F.min("part").alias("_least"))
-        step = now.join(least, ["row", "col", "id"]).select("row", "col", "id", "part", "_least")
-        jump = step.select(key.alias("_least"), F.col("_least").alias("_next"))
-        after = written(step.join(jump, "_least", "left").select("row", "col", "id", F.least("_least", "_next").alias("part"), (F.least("_least", "_next") != F.col("part")).alias("_moved")))
-        if after.where("_moved").isEmpty():
-            return after.drop("_moved")
-        now = after.drop("_moved")
+    sides = [(-1, 0, 0, 0, 1, 0), (1, 0, 1, 1, 0, 1), (0, 1, 1, 0, 1, 1), (0, -1, 0, 1, 0, 0)]  # neighbour's row and col; from x, y to x, y, clockwise
+    one = [F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col"), *[(F.col(k) + v).alias(n) for n, k, v in (("x0", "col", x0), ("y0", "row", y0), ("x1", "col", x1), ("y1", "row", y1))]) for r, c, x0, y0, x1, y1 in sides]
+    all_ = parts.select("id", "part", F.explode(F.array(*one)).alias("_s")).select("id", "part", "_s.*")
+    edge = all_.join(parts.select("row", "col", "id", "part"), ["row", "col", "id", "part"], "left_anti").drop("row", "col")
+    point = "array<array<struct<x:bigint,y:bigint>>>"
+    rings = edge.groupBy("id", "part").applyInPandas(lambda rows: _rings(rows), f"id {parts.schema['id'].dataType.simpleString()}, part bigint, rings {point}")
+    return parts.groupBy("id", "part").agg(F.count("*").alias("n_cells")).join(rings, ["id", "part"])
+
+
+def _rings(rows: pd.DataFrame) -> pd.DataFrame:
+    """Chains directed sides into closed rings; where two begin at one corner, the turn to the right keeps 4-connected rings apart."""
+    after: dict[tuple, list[tuple]] = {}
+    for a, b in zip(zip(rows["x0"], rows["y0"]), zip(rows["x1"], rows["y1"])):
+        after.setdefault(a, []).append(b)
+    out = []
+    while after:
+        start = min(after, key=lambda p: (p[1], p[0]))
+        ring, at, step = [], start, None
+        while at in after:
+            ends = after[at]
+            if step is not None and len(ends) > 1:  # a clockwise turn, seen with y downwards
+                right = (-step[1], step[0])
+                nxt = next((e for e in ends if (e[0] - at[0], e[1] - at[1]) == right), ends[0])
+            else:
+                nxt = ends[0]
+            ends.remove(nxt)
+            if not ends:
+                del after[at]
+            now = (nxt[0] - at[0], nxt[1] - at[1])
+            if now != step:
+                ring.append({"x": int(at[0]), "y": int(at[1])})
+            step, at = now, nxt
+        out.append([*ring, ring[0]])
+    return pd.DataFrame({"id": [rows["id"].iloc[0]], "part": [rows["part"].iloc[0]], "rings": [out]})

@@ -25,8 +25,42 @@ def suffixed_join(left: DataFrame, right: DataFrame, on: list[str], how: str, su
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: Sequence[Column]) -> DataFrame:
-    """Of the rows with equal keys the first in order (give a total order)."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+    """Of the rows with equal keys the first in ascending order (give a total order; negate a number to turn it round; nulls come first).
+
+    A least struct, so that map tasks send one row a key and a hot key costs nothing more.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_best"))
+    return best.select(*[c if c in keys else F.col("_best")[c].alias(c) for c in df.columns])
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: str | None = None) -> DataFrame:
+    """``df`` plus ``_rank`` (from 1, in order, within the keys) and, with a weight, ``_before``: the sum of the weights of earlier rows.
+
+    Rows are dealt by ranges of (keys, order), so that a hot key lies in several partitions; each
+    starts where the one before ends. Bounds of range partitions are drawn from a sample, so the
+    partitioned rows are written once and all sums come from that table.
+    """
+    parts = written(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy("_part", *keys).orderBy(*order)
+    rows = parts.withColumn("_rank", F.row_number().over(local).cast("long"))
+    sums = [F.count("*").alias("_n")]
+    if weight:
+        rows = rows.withColumn("_before", F.sum(weight).over(local.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight))
+        sums.append(F.sum(weight).alias("_s"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = parts.groupBy("_part", *keys).agg(*sums)
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    shift = per.select(F.col("_part").alias("_p"), *[F.col(k).alias(n) for k, n in names.items()], *[F.sum(c).over(earlier).alias(c + "0") for c in ("_n", "_s") if c in per.columns])
+    # of the keys of a partition only one can have begun in an earlier partition, so this is at most a row a partition
+    shift = F.broadcast(shift.where("_n0 > 0"))
+    on = F.col("_part") == F.col("_p")
+    for k, n in names.items():
+        on &= F.col(k).eqNullSafe(F.col(n))
+    out = rows.join(shift, on, "left").withColumn("_rank", F.col("_rank") + F.coalesce("_n0", F.lit(0)))
+    if weight:
+        out = out.withColumn("_before", F.col("_before") + F.coalesce("_s0", F.lit(0)))
+    return out.select(*df.columns, "_rank", *["_before"] * bool(weight))
 
 
 def until_reached(df: DataFrame, keys: list[str], order: Sequence[Column], weight: str, target: Column) -> DataFrame:
@@ -34,36 +68,28 @@ def until_reached(df: DataFrame, keys: list[str], order: Sequence[Column], weigh
 
     If the target is never reached, only the first row stays.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)
-    total = F.sum(weight).over(Window.partitionBy(*keys))
-    out = df.withColumn("_before", before).withColumn("_total", total).withColumn("_rn", F.row_number().over(w)).withColumn("_target", target)
-    return out.where("_rn = 1 or (_total >= _target and _before < _target)").drop("_before", "_total", "_rn", "_target")
+    totals = df.groupBy(*keys).agg(F.sum(weight).alias("_total")).withColumnsRenamed({k: f"_t_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
+    out = running(df, keys, order, weight).withColumn("_target", target).join(totals, same)
+    return out.where("_rank = 1 or (_total >= _target and _before < _target)").select(*df.columns)
 
 
 def chunked(df: DataFrame, order: Sequence[Column], batch: int, sub: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Batch ids, and sub-batch ids that never cross a batch; both from 0, within ``keys``.
-
-    Without keys the rows are numbered by a range sort and per-partition offsets, not in one task.
-    """
-    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) if keys else enumerated(df, order, "_n", 0)
-    n = F.col("_n")
-    return numbered.withColumn("batch_id", F.floor(n / batch).cast("long")).withColumn("sub_id", F.floor((n % batch) / sub).cast("long")).drop("_n")
+    """Batch ids, and sub-batch ids that never cross a batch; both from 0, within ``keys``."""
+    n = F.col("_rank") - 1
+    out = running(df, keys, order)
+    return out.withColumn("batch_id", F.floor(n / batch).cast("long")).withColumn("sub_id", F.floor((n % batch) / sub).cast("long")).drop("_rank")
 
 
 def enumerated(df: DataFrame, order: Sequence[Column], into: str, start: int = 1) -> DataFrame:
-    """Consecutive numbers over the whole table in order: range partitions are counted, and each starts where the one before ends.
+    """Consecutive numbers over the whole table in order."""
+    return running(df, (), order).withColumn(into, F.col("_rank") + F.lit(start - 1)).drop("_rank")
 
-    Bounds of range partitions are drawn from a sample, so the partitioned rows are written once and
-    both the counts and the numbers come from that table.
-    """
-    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    w = Window.partitionBy("_part").orderBy(*order)
-    local = parts.withColumn("_local", F.row_number().over(w))
-    sizes = parts.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    return local.join(F.broadcast(offsets), "_part").withColumn(into, F.col("_before") + F.col("_local") + F.lit(start - 1)).drop("_part", "_local", "_before")
+
+def label_index(df: DataFrame, label: str, into: str) -> DataFrame:
+    """Whole numbers from 0 for the distinct labels in ascending order; a missing label has none."""
+    names = enumerated(df.where(F.col(label).isNotNull()).select(label).distinct(), [F.col(label)], into, 0)
+    return df.join(names, label, "left").select(*df.columns, into)
 
 
 def top_by_size(df: DataFrame, value: str, tie: str, k: int) -> DataFrame:

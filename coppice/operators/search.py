@@ -6,39 +6,57 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
+
 
 def shuffled_trials(items: DataFrame, key: str, weight: str, trials: int, share: float, seed: int) -> DataFrame:
-    """(trial, key) of every trial's validation part: items in an order drawn from md5 until the weight reaches the share."""
+    """(trial, key) of every trial's validation part: items in an order drawn from md5 until the weight reaches the share.
+
+    What is broadcast are the trials' numbers, a parameter; the items are streamed past them. The
+    first digits of the draw deal a trial's items into 4,096 ranges. Their sums say which ranges come
+    before the cut, and only within a range items are sorted, so no task holds a whole trial.
+    """
     spark = items.sparkSession
     total = items.agg(F.floor(F.sum(weight) * share).cast("long").alias("_target"))
-    every = spark.range(trials).withColumnRenamed("id", "trial").crossJoin(F.broadcast(items.select(key, weight))).crossJoin(F.broadcast(total))
+    numbers = spark.range(trials).select(F.col("id").alias("trial"))
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), F.col(key).cast("string")))
-    w = Window.partitionBy("trial").orderBy(draw, key)
-    before = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)
-    return every.withColumn("_before", before).withColumn("_rn", F.row_number().over(w)).where("_before < _target or _rn = 1").select("trial", key)
+    every = items.select(key, weight).crossJoin(F.broadcast(numbers)).withColumn("_draw", draw).withColumn("_range", F.substring("_draw", 1, 3))
+    w = Window.partitionBy("trial").orderBy("_range")
+    ranges = every.groupBy("trial", "_range").agg(F.sum(weight).alias("_sum"))
+    ranges = ranges.withColumn("_base", F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).withColumn("_nth", F.row_number().over(w))
+    ranges = ranges.crossJoin(F.broadcast(total)).where("_base < _target or _nth = 1").drop("_sum")
+    w = Window.partitionBy("trial", "_range").orderBy("_draw", key)
+    before = F.col("_base") + F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)
+    rows = every.join(ranges, ["trial", "_range"]).withColumn("_before", before).withColumn("_rn", F.row_number().over(w))
+    return rows.where("_before < _target or (_nth = 1 and _rn = 1)").select("trial", key)
 
 
 def balanced_split(items: DataFrame, counts: DataFrame, key: str, weight: str, label: str, n: str, trials: int = 200, share: float = 0.2, seed: int = 35) -> DataFrame:
-    """Trials scored by the squared difference of label proportions between the parts, best first.
+    """Trials scored by the squared difference of label proportions between the parts; scores are rounded to nine digits, so that ties are ties.
 
     ``counts``: key, label, n. Only validation sums are formed per trial; the other part's follow from the totals.
     """
-    val = shuffled_trials(items, key, weight, trials, share, seed)
+    val = written(shuffled_trials(items, key, weight, trials, share, seed))
     totals = counts.groupBy(label).agg(F.sum(n).alias("_all"))
     sums = val.join(counts, key).groupBy("trial", label).agg(F.sum(n).alias("_v"))
-    trial = val.select("trial").distinct()
-    full = trial.crossJoin(F.broadcast(totals)).join(sums, ["trial", label], "left").withColumn("_v", F.coalesce("_v", F.lit(0)))
-    w = Window.partitionBy("trial")
-    v_all, t_all = F.sum("_v").over(w), F.sum(F.col("_all") - F.col("_v")).over(w)
-    full = full.withColumn("_pv", F.col("_v") / F.nullif(v_all, F.lit(0))).withColumn("_pt", (F.col("_all") - F.col("_v")) / F.nullif(t_all, F.lit(0)))
-    gap = F.col("_pv") - F.col("_pt")
-    return full.groupBy("trial").agg(F.sum(gap * gap).alias("score"), F.sum("_v").cast("long").alias("n_val")).where("score is not null")
+    trial = val.select("trial").distinct()  # at most ``trials`` rows
+    full = totals.crossJoin(F.broadcast(trial)).join(sums, ["trial", label], "left").withColumn("_v", F.coalesce("_v", F.lit(0)))
+    both = full.groupBy("trial").agg(F.sum("_v").alias("_v_all"), F.sum(F.col("_all") - F.col("_v")).alias("_t_all"))
+    full = full.join(F.broadcast(both), "trial")
+    gap = F.col("_v") / F.nullif("_v_all", F.lit(0)) - (F.col("_all") - F.col("_v")) / F.nullif("_t_all", F.lit(0))
+    return full.groupBy("trial").agg(F.round(F.sum(gap * gap), 9).alias("score"), F.sum("_v").cast("long").alias("n_val")).where("score is not null")
 
 
 def best_trial(scores: DataFrame) -> DataFrame:
+    """The trial with the least (rounded) score, of equal ones the first."""
     return scores.orderBy("score", "trial").limit(1)
 
 
+def budget(ratio: float, parts: int) -> int:
+    """How many of so many parts a selection may take: the whole part of their share."""
+    return int(ratio * parts)
+
+
 def pursuit(columns: DataFrame, budget: int, key: str = "id", vector: str = "vector", tolerance: float = 1e-4, ridge: float = 1.0) -> DataFrame:
     """Orthogonal matching pursuit towards the sum of all vectors: (key, weight, rank) of ``budget`` columns.
 
@@ -48,6 +66,7 @@ def pursuit(columns: DataFrame, budget: int, key: str = "id", vector: str = "vec
     """
     spark = columns.sparkSession
     kind = columns.schema[key].dataType
+    columns = written(columns.select(key, vector))  # read once for every pick
     size = columns.select(F.size(vector).alias("n")).limit(1).collect()
     chosen, weights, vectors = [], np.zeros(0), []
     if size and budget > 0:

@@ -80,6 +80,20 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(step, F.lit(0.0), lambda a, b: a + b)) / 2
 
 
+def signed_area(ring: Column) -> Column:
+    """Area of a closed ring of (x, y) structs, negative if it turns counter-clockwise (y downwards)."""
+    at = lambda i: F.element_at(ring, i)
+    step = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: (at(i)["x"] * at(i + 1)["y"] - at(i + 1)["x"] * at(i)["y"]).cast("double"))
+    return F.aggregate(step, F.lit(0.0), lambda a, b: a + b) / 2
+
+
+def perimeter(ring: Column) -> Column:
+    """Length of a closed ring of (x, y) structs."""
+    at = lambda i: F.element_at(ring, i)
+    step = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: distance(at(i)["x"], at(i)["y"], at(i + 1)["x"], at(i + 1)["y"]))
+    return F.aggregate(step, F.lit(0.0), lambda a, b: a + b)
+
+
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point is inside a ring, by counting crossings."""
     n = F.size(ring)

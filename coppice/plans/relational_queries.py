@@ -71,9 +71,9 @@ def q05(spark: SparkSession, d: str) -> DataFrame:
     return classify.valid_share(table(spark, d, "lineitem"), "l_suppkey", F.col("l_discount") < 0.095).withColumn("share", F.round("share", 6))
 
 
-@query("q06_summary_left_join", f"SELECT s_suppkey AS mission_id, s_name, mean_altitude, cv_altitude FROM supplier LEFT JOIN (SELECT * FROM ({_SUMMARY}) z WHERE mission_id % 3 <> 0) y ON s_suppkey = mission_id")
+@query("q06_summary_left_join", f"SELECT s_suppkey AS mission_id, s_name, mean_altitude, cv_altitude FROM supplier LEFT JOIN (SELECT * FROM ({_SUMMARY}) z WHERE terrain_correlation > 0) y ON s_suppkey = mission_id")
 def q06(spark: SparkSession, d: str) -> DataFrame:
-    summary = _summary(spark, d).where("mission_id % 3 != 0").select("mission_id", "mean_altitude", "cv_altitude")
+    summary = _summary(spark, d).where("terrain_correlation > 0").select("mission_id", "mean_altitude", "cv_altitude")
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("mission_id"), "s_name").join(summary, "mission_id", "left")
 
 
@@ -140,7 +140,7 @@ def q16(spark: SparkSession, d: str) -> DataFrame:
 @query("q17_best_match_dedupe", """SELECT l_partkey, l_suppkey, l_discount, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount, l_extendedprice, l_suppkey DESC) AS rn FROM lineitem) q WHERE rn = 1""")
 def q17(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_discount", "l_extendedprice")
-    return relational.first_per_key(rows, ["l_partkey"], [F.col("l_discount"), F.col("l_extendedprice"), F.col("l_suppkey").desc()])
+    return relational.first_per_key(rows, ["l_partkey"], [F.col("l_discount"), F.col("l_extendedprice"), -F.col("l_suppkey")])
 
 
 @query("q19_join_diff_keys_mean", "SELECT c_nationkey, round(avg(CASE WHEN o_totalprice > 50000 THEN o_totalprice END), 4) AS mean_agl, count(*) AS n_images FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
@@ -219,24 +219,14 @@ def q42(spark: SparkSession, d: str) -> DataFrame:
     return relational.without_keys(table(spark, d, "orders").select("o_orderkey", "o_custkey"), withheld, ["o_custkey"])
 
 
-_FIVE = ["Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#34"]
+_BRAND_NAMES = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
 _W = "CASE WHEN s_suppkey % 4 = 0 THEN 3 ELSE 1 END"
 
 
-@query("q43_weighted_pivot", "SELECT s_suppkey AS plot, " + ", ".join(f'CAST(coalesce(sum(CASE WHEN species = \'{b}\' THEN 1 ELSE 0 END), 0) * {_W} AS BIGINT) AS "{b}"' for b in _FIVE) + f" FROM supplier LEFT JOIN (SELECT * FROM ({inputs.INV}) z WHERE plot % 10 <> 0) i ON plot = s_suppkey GROUP BY s_suppkey")
+@query("q43_weighted_pivot", "SELECT s_suppkey AS plot, " + ", ".join(f'CAST(coalesce(sum(CASE WHEN species = \'{b}\' THEN 1 ELSE 0 END), 0) * {_W} AS BIGINT) AS "{b}"' for b in _BRAND_NAMES) + f" FROM supplier LEFT JOIN ({inputs.INV}) i ON plot = s_suppkey GROUP BY s_suppkey")
 def q43(spark: SparkSession, d: str) -> DataFrame:
     plots = table(spark, d, "supplier").select(F.col("s_suppkey").alias("plot"), F.when(F.col("s_suppkey") % 4 == 0, 3).otherwise(1).alias("w"))
-    return aggregates.weighted_pivot(inputs.inventory(spark, d).where("plot % 10 != 0"), plots, "plot", "species", _FIVE, "w")
-
-
-# every brand and every plot; the query above shows five brands and makes empty plots
-_ALL_BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
-
-
-@query("q43_weighted_pivot_all", "SELECT s_suppkey AS plot, " + ", ".join(f'CAST(coalesce(sum(CASE WHEN species = \'{b}\' THEN 1 ELSE 0 END), 0) * {_W} AS BIGINT) AS "{b}"' for b in _ALL_BRANDS) + f" FROM supplier LEFT JOIN ({inputs.INV}) i ON plot = s_suppkey GROUP BY s_suppkey")
-def q43_all(spark: SparkSession, d: str) -> DataFrame:
-    plots = table(spark, d, "supplier").select(F.col("s_suppkey").alias("plot"), F.when(F.col("s_suppkey") % 4 == 0, 3).otherwise(1).alias("w"))
-    return aggregates.weighted_pivot(inputs.inventory(spark, d), plots, "plot", "species", _ALL_BRANDS, "w")
+    return aggregates.weighted_pivot(inputs.inventory(spark, d), plots, "plot", "species", _BRAND_NAMES, "w")
 
 
 _REPORT = f"""WITH c AS (SELECT species, sum(CASE WHEN plot % 5 <> 0 THEN 1 ELSE 0 END) AS train, sum(CASE WHEN plot % 5 = 0 THEN 1 ELSE 0 END) AS val FROM ({inputs.INV}) i GROUP BY species),
@@ -249,6 +239,25 @@ def q45(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.split_report(counts, "species", "split", "n")
 
 
+@query("q45_split_gap", _REPORT + """, r AS (SELECT species, train, val, tp, vp, round(abs(tp - vp), 3) AS diff FROM p), t AS (SELECT CAST(sum(train + val) AS BIGINT) AS total FROM r)
+  SELECT round(sum((tp - vp) * (tp - vp)), 9) AS balance, max(diff) AS max_diff, (SELECT species FROM r ORDER BY diff DESC, species LIMIT 1) AS max_key, round(avg(diff), 6) AS mean_diff, any_value(total) AS total, format('{:,}', any_value(total)) || ' trees' AS text FROM r, t""")
+def q45_gap(spark: SparkSession, d: str) -> DataFrame:
+    counts = inputs.inventory(spark, d).groupBy("species", F.when(F.col("plot") % 5 == 0, "val").otherwise("train").alias("split")).agg(F.count("*").alias("n"))
+    out = aggregates.split_gap(aggregates.split_report(counts, "species", "split", "n"), "species")
+    return out.withColumn("balance", F.round("balance", 9)).withColumn("mean_diff", F.round("mean_diff", 6))
+
+
+@query("q46_unmatched", f"""SELECT split, count(*) AS n_rows, count(DISTINCT plot) AS n_keys FROM ({inputs.INV}) i LEFT JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM supplier WHERE s_acctbal > 0) s ON s_suppkey = plot GROUP BY split""")
+def q46_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    splits = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("plot"), F.when(F.col("s_suppkey") % 5 == 0, "val").otherwise("train").alias("split"))
+    return aggregates.unmatched(inputs.inventory(spark, d), splits, "plot", "split")
+
+
+@query("q72_label_index", "SELECT p_partkey, p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS label FROM part")
+def q72(spark: SparkSession, d: str) -> DataFrame:
+    return relational.label_index(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "label")
+
+
 @query("q46_split_consistency", """WITH s AS (SELECT l_suppkey AS plot, CASE WHEN l_suppkey % 5 = 0 THEN CASE l_linenumber % 2 WHEN 0 THEN 'val' ELSE 'train' END WHEN l_suppkey % 5 = 1 THEN NULL ELSE 'train' END AS split FROM lineitem)
   SELECT plot, count(DISTINCT split) AS n_values FROM s GROUP BY plot HAVING count(DISTINCT split) > 1""")
 def q46(spark: SparkSession, d: str) -> DataFrame:
@@ -332,11 +341,12 @@ def q65(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q66_cumulative_cut", """WITH q AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS w FROM lineitem),
-  c AS (SELECT *, sum(w) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) - w AS before, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM q)
-  SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, w FROM c WHERE before < 300 OR rn = 1""")
+  c AS (SELECT *, sum(w) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) - w AS before, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn, sum(w) OVER (PARTITION BY l_suppkey) AS total FROM q)
+  SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, w FROM c WHERE rn = 1 OR (before < CASE WHEN l_suppkey % 4 = 0 THEN 100000000 ELSE 300 END AND total >= CASE WHEN l_suppkey % 4 = 0 THEN 100000000 ELSE 300 END)""")
 def q66(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("w"))
-    return relational.until_reached(q, ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], "w", F.lit(300))
+    target = F.when(F.col("l_suppkey") % 4 == 0, 100_000_000).otherwise(300)  # never reached for every fourth key
+    return relational.until_reached(q, ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], "w", target)
 
 
 @query("q67_summary_text", f"SELECT plot, count(*) || ' trees from ' || count(DISTINCT species) || ' species' AS summary FROM ({inputs.INV}) i GROUP BY plot")
