@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder, written
+
+__all__ = ["chunks", "flat", "guarded", "held_out", "lowered", "mixed", "powers", "row_key", "shared_folder", "small", "table", "word_hashes", "word_spans", "written"]
+
 #: Bytes of text that a Python worker handles at once (bounds its memory).
 CHUNK_BYTES = 2 << 20
 
@@ -124,36 +128,15 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import atexit
-        import shutil
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="coppice-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: cuts lineage and survives lost executors."""
-    import uuid
-
-    path = f"{shared_folder(df.sparkSession)}/coppice/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: Rows of a few numbers, and elements of an array of longs, that may be broadcast (tens of megabytes); beyond it the join shuffles.
+#: Rows of a few numbers, elements of an array of longs, and bytes of strings that may be broadcast (tens of megabytes); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_ELEMENTS = 4_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame, array: str | None = None) -> DataFrame:
-    """``df`` (a written table) marked for broadcast if its rows, and its array's elements, are within the limits."""
+    """``df`` (a written table) marked for broadcast if its rows, its array's elements and its strings are within the limits."""
     elements = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
-    n = df.agg(F.count("*").alias("rows"), elements.cast("long").alias("elements")).first()
-    return F.broadcast(df) if n["rows"] <= BROADCAST_ROWS and n["elements"] <= BROADCAST_ELEMENTS else df
+    strings = [F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    n = df.agg(F.count("*").alias("rows"), elements.cast("long").alias("elements"), sum(strings, F.lit(0)).cast("long").alias("bytes")).first()
+    return F.broadcast(df) if n["rows"] <= BROADCAST_ROWS and n["elements"] <= BROADCAST_ELEMENTS and n["bytes"] <= BROADCAST_BYTES else df

@@ -1,34 +1,5 @@
-"""Connected components of an edge table, by contraction; nothing is gathered on the driver."""
+"""Connected components, as the library's other operators find them."""
 
-from __future__ import annotations
+from ..operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import written
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a long, b long); a root is the least node of its component.
-
-    In each round every node points to the least node beside it (or to itself), and the edges move to
-    what their ends point to, until none joins two nodes. A node's own edge to what it points to moves
-    along, so nothing comes apart. Every node that still has an edge is merged in
-    each round, so the rounds are logarithmic in the number of nodes. An empty table has no nodes.
-    """
-    now = written(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if now.isEmpty():
-        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = None
-    while True:
-        both = now.select(F.col("b").alias("node"), F.col("a").alias("beside")).unionByName(now.select(F.col("a").alias("node"), F.col("b").alias("beside")))
-        to = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("beside")).alias("to")))
-        if roots is None:
-            roots = to.withColumnRenamed("to", "root")
-        else:
-            step = to.withColumnRenamed("node", "root")
-            roots = written(roots.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        moved = now.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        now = written(moved.where(F.col("ta") != F.col("tb")).select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-        if now.isEmpty():
-            return roots
+__all__ = ["components"]

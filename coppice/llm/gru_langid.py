@@ -7,10 +7,14 @@ the whole text is cut into windows of ``WINDOW`` bytes, the network gives every
 position a probability per language, and a document's probabilities are the mean
 over its positions.
 
-The fit uses a bounded sample: of each language at most about ``per_lang``
-documents with the least hash of the id. Prediction covers all bytes of all
-rows. A null text, or one without a letter, is ``und`` with score 0; so is every
-text if there was no labelled row to learn from. Rows are independent.
+The fit uses a bounded sample: of each of the ``LANGS`` most frequent languages
+about ``PER_LANG`` documents with the least hash of id and text (equal rows count
+once), and of each document at most ``PARTS`` parts of ``PART`` bytes, spread evenly from its
+beginning to its end. Prediction covers all bytes of all rows. A null text, or
+one without a letter, is ``und`` with score 0; so is every text if there was no
+labelled row to learn from. Rows are independent, so repeated rows and empty
+tables need nothing special; a text may be of any length. Extra columns are kept,
+whatever their names; ``lang_pred`` and ``score`` give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat
+from .common import chunks, flat, guarded
 
 WINDOW = 64
 HIDDEN = 8
 PER_LANG = 600
-#: Bytes of one document that training windows are drawn from; all of a text is predicted on.
-SAMPLE_BYTES = 1 << 14
+#: Languages that are learned at most, the most frequent ones.
+LANGS = 1000
+#: Parts of a sampled document that training windows are drawn from, and their bytes; a shorter document is taken whole.
+PARTS, PART = 16, 1024
 
 
 @dataclass
@@ -179,22 +185,39 @@ def pooled(raw: np.ndarray, offsets: np.ndarray, net: Network, rows: int = 2048)
     return out / np.maximum(sizes, 1)[:, None]
 
 
-def sampled(docs: DataFrame, per_lang: int) -> tuple[list[bytes], list[str]]:
-    """Texts and languages of a bounded number of documents, spread over the languages by a hash of the id."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
-    hashed = (F.xxhash64("doc_id") % F.lit(1_000_000) + F.lit(1_000_000)) % F.lit(1_000_000)
-    limit = F.lit(None).cast("long")
-    for lang, n in totals.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(1_000_000, -(-1_000_000 * per_lang // n)))).otherwise(limit)
-    rows = known.where(hashed < limit).select("doc_id", "lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    got = sorted((r["doc_id"], r["lang"], r["text"]) for r in rows.toLocalIterator())
-    return [t.encode() for _, _, t in got], [x for _, x, _ in got]
+def parts(raw: bytes) -> list[bytes]:
+    """A document's text for training: whole, or in parts evenly spread over it."""
+    if len(raw) <= PARTS * PART:
+        return [raw]
+    return [raw[a : a + PART] for a in (k * (len(raw) - PART) // (PARTS - 1) for k in range(PARTS))]
+
+
+def sampled(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[bytes], list[str]]:
+    """Texts (or their parts) and languages of a bounded number of documents (doc_id, text, lang) with a language."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
+    if not totals:
+        return [], []
+    scale = 1_000_000
+    limits = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(scale, -(-scale * per_lang // n)))])
+    rows = known.where(F.pmod("_h", F.lit(scale)) < F.element_at(limits, F.col("lang"))).dropDuplicates(["_h", "lang"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([parts(v.as_buffer().to_pybytes()) for v in batch.column("text")], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("lang"), made], names=["_h", "lang", "parts"])
+
+    got = rows.mapInArrow(run, "_h long, lang string, parts array<binary>").orderBy("_h", "lang").collect()
+    return [bytes(x) for r in got for x in r["parts"]], [r["lang"] for r in got for _ in r["parts"]]
 
 
 def predicted(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """``docs`` without ``text`` plus ``lang_pred`` and ``score``."""
-    keep = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    return guarded(docs, (text,), lambda d: _predicted(d, net, text))
+
+
+def _predicted(docs: DataFrame, net: Network, text: str) -> DataFrame:
+    keep = [c for c in docs.columns if c != text]
     schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,8 @@ GRAM = 48
 CHUNK = 1 << 20
 #: Distinct contexts of one key that go into one suffix array; more are divided under longer keys.
 CONTEXTS = 2048
+#: Copies of a context from which it may count as hot, and hot contexts that there can be at most.
+HOT_COPIES, MOST_HOT = 1024, 100_000
 #: Bytes of contexts that go into one suffix array (more only for a single minimizer).
 ARRAY_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15
@@ -353,8 +355,13 @@ def sorted_out(found: DataFrame, columns: list[str], length: int, keep_first: bo
     """Spans (_row, start, end) of contexts that are equal as a whole; and one of each of the contexts whose key has several, with their number ``many``."""
     rep = F.min(F.struct("_row", *columns)).alias("rep")
     kinds = written(found.groupBy("h", "c").agg(F.count("*").alias("times"), rep))
-    whole = kinds.where("times > 1").select("h", "c", F.col("rep._row").alias("_first"), F.col("rep.pos").alias("_at"), F.col("rep.lo").alias("_lo"))
-    copies = found.select("h", "c", "_row", "pos", "lo", "hi", "n").join(whole, ["h", "c"])
+    whole = kinds.where("times > 1").select("h", "c", "times", F.col("rep._row").alias("_first"), F.col("rep.pos").alias("_at"), F.col("rep.lo").alias("_lo"))
+    members = found.select("h", "c", "_row", "pos", "lo", "hi", "n")
+    # contexts with very many copies are broadcast (there cannot be more than MOST_HOT of them), the others joined by key
+    total = kinds.agg(F.sum("times").alias("n")).first()["n"] or 0
+    often = F.col("times") > max(HOT_COPIES, total // MOST_HOT)
+    hot = F.broadcast(whole.where(often))
+    copies = members.join(hot, ["h", "c"]).unionByName(members.join(hot, ["h", "c"], "left_anti").join(whole.where(~often), ["h", "c"]))
     if keep_first:
         copies = copies.where((F.col("_row") != F.col("_first")) | (F.col("pos") != F.col("_at")) | (F.col("lo") != F.col("_lo")))
     else:
