@@ -9,11 +9,19 @@ the compressed share of the text's own size (endless repeats compress to almost
 nothing) and the text's length, fitted on labelled rows that the dictionaries have not seen,
 turns it into a score from 0 to 1.
 
-The fit uses a bounded sample: the ``per_class`` labelled rows of each class
-with the least hash of the id. Everything else covers all rows. Null and empty
-texts have difference 0 and get the curve's value there. Rows are independent.
-Without labelled rows of both classes there is nothing to tell apart: every text
-gets the smoothed share of label 1 (0.5 without any labelled row).
+The fit uses a bounded sample: the ``PER_CLASS`` labelled rows of each class
+with the least hash of the id. Every second of them gives the dictionaries' text,
+at most ``PER_TEXT`` pieces a text, spread evenly from its beginning to its end;
+the others give the curve, from whole texts and where they lie: only five numbers
+a text come to the driver. Everything else covers all rows and all of each text.
+
+Null and empty texts have difference 0 and get the curve's value there. Rows are
+independent, so repeated rows and empty tables need nothing special; a text may
+be of any length. An id whose labels conflict counts as 1; of several texts of one id
+the least is learned from. Without labelled rows of both classes there is nothing to tell apart:
+every text gets the smoothed share of label 1 (0.5 without any labelled row).
+Extra columns are kept, whatever their names; ``score`` and ``predicted`` give
+way to the operator's own.
 """
 
 from __future__ import annotations
@@ -26,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import guarded
+
 PIECE = 1024
 DICTIONARY = 48 * 1024
 LEVEL = 3
 PER_CLASS = 2000
-#: Bytes of one document that go into a dictionary's training; all of a text is scored.
-SAMPLE_BYTES = 1 << 15
+#: Pieces of one sampled document that go into a dictionary's training, from all over it.
+PER_TEXT = 32
 
 
 @dataclass
@@ -83,10 +93,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
-def dictionary(texts: list[bytes]) -> bytes:
+def dictionary(samples: list[bytes]) -> bytes:
     import zstandard
 
-    samples = [p for t in texts for p in pieces(t[:SAMPLE_BYTES]) if len(p) >= 8]
+    samples = [p for p in samples if len(p) >= 8]
     total = sum(map(len, samples))
     try:
         return zstandard.train_dictionary(min(DICTIONARY, max(1024, total // 8)), samples).as_bytes()
@@ -94,39 +104,63 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:] or b"\0" * 8
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """Dictionaries from every second row, the curve from the other rows; then dictionaries from all rows would leak, so they stay."""
-    y = np.array(labels)
-    if len(set(labels)) < 2:
-        share = (float(y.sum()) + 1) / (len(y) + 2)
-        return Model(b"\0" * 8, b"\0" * 8, (0.0, 0.0, 0.0, 0.0, 0.0, float(np.log(share / (1 - share)))))
-    fold = np.zeros(len(y), int)
-    for c in (0, 1):
-        at = np.flatnonzero(y == c)
-        fold[at] = np.arange(len(at)) % 2
-    for c in (0, 1):  # one row of a class serves both
-        if (fold[y == c] == 1).sum() == 0:
-            fold[y == c] = -1
-    good = dictionary([t for t, c, f in zip(texts, labels, fold, strict=True) if c == 1 and f <= 0])
-    bad = dictionary([t for t, c, f in zip(texts, labels, fold, strict=True) if c == 0 and f <= 0])
-    compress = compressors(good, bad)
-    at = np.flatnonzero(fold != 0)
-    x = np.array([features(texts[i], compress) for i in at])
-    return Model(good, bad, tuple(logistic(x, y[at].astype(float)).tolist()))
-
-
-def sampled(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list[bytes], list[int]]:
-    """Whole texts and labels of a bounded number of rows of each class, the ones with the least hash of the id."""
+def spread(raw: bytes, most: int = PER_TEXT) -> list[bytes]:
+    """At most so many pieces, evenly spread over the whole text."""
+    n = -(-len(raw) // PIECE)
+    return [raw[i * PIECE : (i + 1) * PIECE] for i in (range(n) if n <= most else sorted({round(k * (n - 1) / (most - 1)) for k in range(most)}))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> Model:
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id and the label, 0 or 1).
+
+    Dictionaries come from every second sampled row of a class, the curve from the others, which the dictionaries
+    have not seen; the only row of a class serves both.
+    """
+    spark = docs.sparkSession
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
-    chosen = [known.where(F.col("_label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    got = sorted((r["doc_id"], r["_label"], r["text"]) for r in rows.groupBy("doc_id", "_label").agg(F.min(F.substring("text", 1, SAMPLE_BYTES)).alias("text")).toLocalIterator())
-    return [t.encode() for _, _, t in got], [c for _, c, _ in got]
+    # only ids come to the driver, at most ``per_class`` of each class
+    there = docs.where(F.col("text").isNotNull()).select("doc_id").distinct()
+    chosen = []
+    for c in (0, 1):
+        rows = known.where(F.col("_label") == c).join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id").collect()
+        chosen += [(r["doc_id"], c, i % 2 if len(rows) > 1 else -1) for i, r in enumerate(rows)]
+    kinds = {c for _, c, _ in chosen}
+    if len(kinds) < 2:
+        share = (sum(c for _, c, _ in chosen) + 1) / (len(chosen) + 2)
+        return Model(b"\0" * 8, b"\0" * 8, (0.0, 0.0, 0.0, 0.0, 0.0, float(np.log(share / (1 - share)))))
+    folds = spark.createDataFrame(chosen, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _label int, _fold int")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(folds), "doc_id")
+    rows = rows.groupBy("doc_id", "_label", "_fold").agg(F.min("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([spread(v.as_buffer().to_pybytes()) for v in batch.column("text")], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), made], names=["doc_id", "_label", "pieces"])
+
+    samples: tuple[list[bytes], list[bytes]] = ([], [])
+    schema = rows.select("doc_id", "_label", F.array(F.lit(b"")).alias("pieces")).schema
+    for r in rows.where("_fold <= 0").mapInArrow(cut, schema).orderBy("doc_id").collect():
+        samples[r["_label"]].extend(map(bytes, r["pieces"]))
+    bad, good = dictionary(samples[0]), dictionary(samples[1])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = compressors(good, bad)
+        for batch in batches:
+            made = pa.array([features(v.as_buffer().to_pybytes(), compress) for v in batch.column("text")], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), made], names=["doc_id", "_label", "x"])
+
+    schema = rows.select("doc_id", "_label", F.array(F.lit(0.0)).alias("x")).schema
+    points = rows.where("_fold != 0").mapInArrow(measured, schema).orderBy("doc_id").collect()
+    return Model(good, bad, tuple(logistic(np.array([r["x"] for r in points]), np.array([float(r["_label"]) for r in points])).tolist()))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """``docs`` plus ``score`` (double) and ``predicted`` (int, 1 where score >= threshold)."""
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    return guarded(docs, (text,), lambda d: _scored(d, model, threshold, text))
+
+
+def _scored(docs: DataFrame, model: Model, threshold: float, text: str) -> DataFrame:
+    keep = docs.columns
     schema = docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

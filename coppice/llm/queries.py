@@ -38,7 +38,7 @@ def op3_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    net = gru_langid.train(*gru_langid.sampled(docs.where(~held_out()), gru_langid.PER_LANG))
+    net = gru_langid.train(*gru_langid.sampled(docs.where(~held_out())))
     return gru_langid.predicted(docs.select("doc_id", held_out().alias("held_out"), "text"), net)
 
 
@@ -50,7 +50,7 @@ def op5_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out())
-    model = compress_quality.fit(*compress_quality.sampled(docs, labels, "quality", compress_quality.PER_CLASS))
+    model = compress_quality.fit(docs, labels, "quality")
     return compress_quality.scored(docs.withColumn("held_out", held_out()), model).drop("text")
 
 

@@ -20,25 +20,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm import byte_bpe, compress_quality, fm_decontam, tensor_minhash, trigram_secrets
-from coppice.llm.common import held_out, table, written
+from coppice.llm.common import guarded, held_out, table, written
 
 
 def _carried(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``change(docs)`` with the columns it does not know renamed meanwhile, so that no name can clash."""
-    names = {c: c if c in ("doc_id", "text") else f"_x{i}" for i, c in enumerate(docs.columns)}
-    out = change(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
-    columns = []
-    for c, n in names.items():
-        col = F.col(n)
-        if c == "n_chars":
-            col = F.coalesce(F.length("text").cast(docs.schema[c].dataType), col)
-        columns.append(col.alias(c))
-    return out.select(*columns)
+    """``change(docs)`` with the columns of ``docs`` alone, whatever their names; n_chars follows the text."""
+
+    def changed(d: DataFrame) -> DataFrame:
+        out = change(d).select(*d.columns)
+        if "n_chars" in docs.columns:
+            i = docs.columns.index("n_chars")
+            out = out.withColumn(d.columns[i], F.coalesce(F.length("text").cast(docs.schema[i].dataType), F.col(d.columns[i])))
+        return out
+
+    return guarded(docs, ("doc_id", "text"), changed)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out())
-    model = compress_quality.fit(*compress_quality.sampled(docs, labels, "quality", compress_quality.PER_CLASS))
+    model = compress_quality.fit(docs, labels, "quality")
     return _carried(docs, lambda d: compress_quality.scored(d, model).where("predicted = 1"))
 
 

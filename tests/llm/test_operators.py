@@ -178,13 +178,13 @@ def test_quality(spark):
     rows = [(i, good() if i % 3 else bad()) for i in range(240)]
     df = spark.createDataFrame([*rows, (990, None), (991, ""), (992, good() * 300)], SCHEMA)
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(160)] + [(5, 1), (None, 1), (7, None)], "doc_id long, quality int")
-    model = compress_quality.fit(*compress_quality.sampled(df, labels, "quality", 60))
+    model = compress_quality.fit(df, labels, "quality", 60)
     out = {r["doc_id"]: r for r in compress_quality.scored(df.withColumn("predicted", F.lit("clash")), model).collect()}
     assert len(out) == 243
     assert np.mean([out[i]["predicted"] == int(i % 3 > 0) for i in range(160, 240)]) > 0.95
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in out.values())
     assert out[990]["score"] == out[991]["score"]
-    one = compress_quality.fit(*compress_quality.sampled(df, labels.limit(0), "quality", 60))
+    one = compress_quality.fit(df, labels.limit(0), "quality", 60)
     assert {r["score"] for r in compress_quality.scored(df, one).collect()} == {0.5}
 
 
