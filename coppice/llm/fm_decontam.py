@@ -12,29 +12,36 @@ touching occurrences merge into removal spans.
 Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. A
 test phrase is a window of ``n`` consecutive words of an item; an item of fewer
 words, but not none, is one phrase. Words are compared by hash first and byte by
-byte before they enter the index. The benchmark is broadcast in blocks of at
-most ``BLOCK_BYTES`` of text, one pass over the documents for each block; all
-blocks judge the same text, and cleaning cuts only what all of them found.
-
-Null and empty texts have no words. Rows are independent: repeated rows and
-tables with extra columns need nothing special; clashing columns give way to
-the operator's own. A null item id counts as the empty string. An empty
+byte before they enter the index.
+
+The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text (a longer
+item is a block of its own). With several blocks a task gathers ``GROUP_BYTES`` of
+documents, loads one block after the other, searches all of them with it and
+lets it go. All blocks judge the same text; cleaning cuts the union of what they
+found and searches what is left with all blocks again, until nothing is found.
+
+Null and empty texts have no words. Very long texts are shards of their own.
+Rows are independent, so repeated rows and empty tables need nothing special.
+Extra columns are kept, whatever their names; one that is called like a column
+of the result gives way. A null item id counts as the empty string. An empty
 benchmark contaminates nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, lowered, word_hashes, word_spans, written
+from .common import chunks, flat, guarded, lowered, word_hashes, word_spans
 
-BLOCK_BYTES = 16 << 20
+#: Text of the benchmark that one index of phrases holds, and text of documents that a task holds where there are several.
+BLOCK_BYTES, GROUP_BYTES = 4 << 20, 32 << 20
 SAMPLING = 8
 SENTINEL, SEPARATOR, FIRST = 0, 1, 2
 
@@ -117,7 +124,7 @@ class FMIndex:
             alive = alive[(hi[alive] > lo[alive]) & (lengths[alive] > step)]
             if not len(alive):
                 break
-            symbol = patterns[alive, width - 1 - step]
+            symbol = patterns[alive, width - 1 - step].astype(np.int64)
             lo[alive] = self.before[symbol] + self.tree.rank(symbol, lo[alive])
             hi[alive] = self.before[symbol] + self.tree.rank(symbol, hi[alive])
         return lo, hi
@@ -139,37 +146,48 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """A block of the benchmark: its vocabulary by hash, distinct phrases, and the items of each phrase."""
+    """A block of the benchmark: its vocabulary by hash, distinct phrases, and the items of each phrase; arrays only, as it is broadcast."""
 
     hashes: np.ndarray  # sorted
     words: np.ndarray  # the vocabulary's bytes, end to end, in the order of hashes
     offsets: np.ndarray
     patterns: np.ndarray  # right-aligned, symbols from FIRST on
     lengths: np.ndarray
-    item_of: list[list[str]] = field(default_factory=list)
+    names: list[str]  # item ids
+    items: np.ndarray  # places in ``names``, phrase by phrase
+    first: np.ndarray  # where a phrase's items begin, and the end of all
+
+    def arrays(self) -> tuple:
+        return tuple(self.__dict__.values())
+
+    def item_of(self, phrase: int) -> list[str]:
+        return [self.names[i] for i in self.items[self.first[phrase] : self.first[phrase + 1]].tolist()]
 
 
 def phrases(items: list[tuple[str, str]], n: int = 10) -> Phrases:
-    texts = pa.array([t or "" for _, t in items], pa.string())
-    raw, offsets = flat(texts)
+    raw, offsets = flat(pa.array([t or "" for _, t in items], pa.string()))
     raw = lowered(raw)
     starts, ends, per = word_spans(raw, offsets, word_table())
     words = [raw[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-    names = sorted(set(words))
-    flat_raw, flat_offsets = np.frombuffer(b"".join(names), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in names])]).astype(np.int64)
-    hashes = word_hashes(flat_raw, flat_offsets[:-1], flat_offsets[1:]) if names else np.zeros(0, np.uint64)
+    vocabulary = sorted(set(words))
+    sizes = lambda xs: np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int64)
+    ends_ = sizes(vocabulary)
+    hashes = word_hashes(np.frombuffer(b"".join(vocabulary), np.uint8), ends_[:-1], ends_[1:]) if vocabulary else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
-    names = [names[i] for i in order]
-    symbol = {w: FIRST + i for i, w in enumerate(names)}
-    by: dict[tuple, dict[str, None]] = {}
+    vocabulary = [vocabulary[i] for i in order]
+    symbol = {w: FIRST + i for i, w in enumerate(vocabulary)}
+    names = sorted({item for item, _ in items})
+    place = {x: i for i, x in enumerate(names)}
+    by: dict[tuple, dict[int, None]] = {}
     for k, (item, _) in enumerate(items):
         line = [symbol[w] for w in words[per[k] : per[k + 1]]]
         for at in range(max(1, len(line) - n + 1) if line else 0):
-            by.setdefault(tuple(line[at : at + n]), {})[item] = None
-    patterns = np.zeros((len(by), n), np.int64)
+            by.setdefault(tuple(line[at : at + n]), {})[place[item]] = None
+    patterns = np.zeros((len(by), n), np.int32)
     for i, p in enumerate(by):
         patterns[i, n - len(p) :] = p
-    return Phrases(hashes[order], np.frombuffer(b"".join(names), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in names])]).astype(np.int64), patterns, np.array([len(p) for p in by], np.int64), [list(x) for x in by.values()])
+    flat_items = np.array([x for v in by.values() for x in v], np.int32)
+    return Phrases(hashes[order], np.frombuffer(b"".join(vocabulary), np.uint8), sizes(vocabulary), patterns, np.array([len(p) for p in by], np.int64), names, flat_items, sizes(by.values()))
 
 
 def symbols(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: Phrases) -> np.ndarray:
@@ -233,7 +251,7 @@ def searched(texts: pa.Array, p: Phrases) -> tuple[np.ndarray, list[list[tuple[i
         at, which = occurrences(symbol, per, lambda w: same_bytes(raw, starts[w], ends[w], symbol[w], p), p)
         doc = np.searchsorted(per, at, side="right") - 1
         for d, k in {*zip(doc.tolist(), which.tolist(), strict=True)}:
-            items[d].update(p.item_of[k])
+            items[d].update(p.item_of(k))
         depth = np.zeros(len(starts) + 1, np.int64)
         np.add.at(depth, at, 1)
         np.add.at(depth, at + p.lengths[which], -1)
@@ -247,18 +265,55 @@ def searched(texts: pa.Array, p: Phrases) -> tuple[np.ndarray, list[list[tuple[i
     return np.diff(per), spans, items
 
 
-def n_blocks(benchmark: DataFrame) -> int:
-    total = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return max(1, -(-int(total) // (BLOCK_BYTES // 2)))
+def blocks(benchmark: DataFrame, n: int) -> list[Broadcast]:
+    """The benchmark, broadcast in blocks of bounded size; every item is in one block. The driver holds one block at a time."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    context, out = benchmark.sparkSession.sparkContext, []
+    held, size = [], 0
+    for r in rows.orderBy("item", "text").toLocalIterator():
+        held.append((r["item"], r["text"]))
+        size += len(r["text"].encode())
+        if size >= BLOCK_BYTES:
+            out.append(context.broadcast(phrases(held, n).arrays()))
+            held, size = [], 0
+    if held or not out:
+        out.append(context.broadcast(phrases(held, n).arrays()))
+    return out
 
 
-def blocks(benchmark: DataFrame, n: int) -> Iterator[Phrases]:
-    """The benchmark in blocks of bounded size; every item is in one block."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    many = n_blocks(benchmark)
-    for k in range(many):
-        part = rows if many == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(many)) == k)
-        yield phrases(sorted((r["item"], r["text"]) for r in part.toLocalIterator()), n)
+def loaded(handles: list[Broadcast]) -> Iterator[Phrases]:
+    """One block after the other; of several none stays in the worker's memory."""
+    for handle in handles:
+        yield Phrases(*handle.value)
+        if len(handles) > 1:
+            handle.__dict__.pop("_value", None)
+
+
+def groups(batches: Iterator[pa.RecordBatch], text: str, several: bool) -> Iterator[list[pa.RecordBatch]]:
+    """Shards to search together: with one block each by itself."""
+    held, size = [], 0
+    for batch in batches:
+        for part in chunks(batch, text):
+            held.append(part)
+            size += pa.compute.sum(pa.compute.binary_length(part.column(text))).as_py() or 0
+            if not several or size >= GROUP_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def found(texts: list[pa.Array], handles: list[Broadcast]) -> list[tuple[np.ndarray, list[list], list[set[str]]]]:
+    """What ``searched`` says of each array of texts, united over all blocks."""
+    out: list = [None] * len(texts)
+    for p in loaded(handles):
+        for i, x in enumerate(texts):
+            count, spans, items = searched(x, p)
+            if out[i] is not None:
+                spans = [united(a + b) if a and b else a or b for a, b in zip(out[i][1], spans, strict=True)]
+                items = [a | b for a, b in zip(out[i][2], items, strict=True)]
+            out[i] = (count, spans, items)
+    return out
 
 
 def united(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -277,27 +332,21 @@ SPAN = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start"
 
 def marked(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text") -> DataFrame:
     """``docs`` plus ``n_words``, ``spans`` (words and UTF-8 bytes, ends exclusive, merged) and ``items`` (sorted ids)."""
-    keep = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    out = docs.select(*keep)
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<first:int,last:int,start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items")).schema
-
-    def one(p: Phrases):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in chunks(batch, text):
-                    count, spans, items = searched(part.column(text), p)
-                    if "spans" in part.schema.names:  # an earlier block's findings
-                        before = [[tuple(s.values()) for s in x] for x in part.column("spans").to_pylist()]
-                        spans = [united(a + b) for a, b in zip(before, spans, strict=True)]
-                        items = [a | set(b) for a, b in zip(items, part.column("items").to_pylist(), strict=True)]
-                    rows = [[dict(zip(("first", "last", "start", "end"), s, strict=True)) for s in x] for x in spans]
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(count, pa.int64()), pa.array(rows, SPAN), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*keep, "n_words", "spans", "items"])
-
-        return run
-
-    for p in blocks(benchmark, n):
-        out = out.mapInArrow(one(p), schema)
-    return out
+    return guarded(docs, (text,), lambda d: _marked(d, benchmark, n, text))
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, n: int, text: str) -> DataFrame:
+    schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<first:int,last:int,start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items")).schema
+    handles = blocks(benchmark, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, text, len(handles) > 1):
+            for part, (count, spans, items) in zip(group, found([x.column(text) for x in group], handles), strict=True):
+                rows = [[dict(zip(("first", "last", "start", "end"), s, strict=True)) for s in x] for x in spans]
+                made = [pa.array(count, pa.int64()), pa.array(rows, SPAN), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "n_words", "spans", "items"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def cut(x: pa.Scalar, spans: list[tuple[int, int]]) -> str:
@@ -312,73 +361,35 @@ def cut(x: pa.Scalar, spans: list[tuple[int, int]]) -> str:
 def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text") -> DataFrame:
     """``docs`` with the spans cut out of ``text``, again where a cut has joined a phrase anew, until none is left.
 
-    What is cut at once is the union of all blocks' spans of the same text, so the blocks' size and order change nothing.
+    What is cut at once is the union of all blocks' spans of the same text, and what was cut is searched
+    with all blocks again, so the blocks' size and order change nothing.
     """
-    columns, schema = docs.columns, docs.schema
-    if n_blocks(benchmark) > 1:
-        return cleaned_by_all(docs, benchmark, n, text)
-    p = next(blocks(benchmark, n))
+    return guarded(docs, (text,), lambda d: _cleaned(d, benchmark, n, text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, text):
-                at, now, changed = np.arange(part.num_rows), part.column(text), {}
-                while len(at):
-                    _, spans, _ = searched(now, p)
-                    again = [i for i, s in enumerate(spans) if s]
-                    for i in again:
-                        changed[int(at[i])] = cut(now[i], [s[2:] for s in spans[i]])
-                    at = at[again]
-                    now = pa.array([changed[int(i)] for i in at], pa.string())
-                arrays = {c: part.column(c) for c in columns}
-                if changed:
-                    texts = part.column(text).to_pylist()
-                    for i, x in changed.items():
-                        texts[i] = x
-                    arrays[text] = pa.array(texts, part.schema.field(text).type)
-                yield pa.RecordBatch.from_arrays([arrays[c] for c in columns], names=columns)
-
-    return docs.mapInArrow(run, schema)
 
+def _cleaned(docs: DataFrame, benchmark: DataFrame, n: int, text: str) -> DataFrame:
+    handles = blocks(benchmark, n)
 
-def cleaned_by_all(docs: DataFrame, benchmark: DataFrame, n: int, text: str) -> DataFrame:
-    """Rounds over written tables: every block is searched in the same text, then the union is cut; cut texts go round again."""
-    columns = docs.columns
-    spans = "_spans"
-    while spans in {c.lower() for c in columns}:
-        spans = "_" + spans
-    wide = docs.withColumn(spans, F.lit(None).cast("array<struct<first:int,last:int,start:int,end:int>>")).schema
-    flagged = docs.withColumn(spans, F.lit(True)).schema
-
-    def find(p: Phrases):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in chunks(batch, text):
-                    _, found, _ = searched(part.column(text), p)
-                    if spans in part.schema.names:  # an earlier block's findings
-                        before = [[tuple(s.values()) for s in x] for x in part.column(spans).to_pylist()]
-                        found = [united(a + b) for a, b in zip(before, found, strict=True)]
-                    rows = [[dict(zip(("first", "last", "start", "end"), s, strict=True)) for s in x] for x in found]
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(rows, SPAN)], names=[*columns, spans])
-
-        return run
-
-    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, text):
-                now, found = part.column(text), part.column(spans).to_pylist()
-                arrays = {c: part.column(c) for c in columns}
-                if any(found):
-                    arrays[text] = pa.array([cut(x, [(s["start"], s["end"]) for s in f]) if f else x.as_py() for x, f in zip(now, found, strict=True)], part.schema.field(text).type)
-                yield pa.RecordBatch.from_arrays([*(arrays[c] for c in columns), pa.array([bool(f) for f in found])], names=[*columns, spans])
-
-    out = None
-    while True:
-        for p in blocks(benchmark, n):
-            docs = docs.mapInArrow(find(p), wide)
-        docs = written(docs.mapInArrow(without, flagged))
-        done = docs.where(~F.col(spans)).select(*[F.col(f"`{c}`") for c in columns])
-        out = done if out is None else out.unionAll(done)
-        docs = docs.where(F.col(spans)).select(*[F.col(f"`{c}`") for c in columns])
-        if docs.isEmpty():
-            return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, text, len(handles) > 1):
+            now = [part.column(text) for part in group]  # what is left to search of each shard, its rows' places and new texts
+            places = [np.arange(len(x)) for x in now]
+            changed: list[dict[int, str]] = [{} for _ in group]
+            open_ = list(range(len(group)))
+            while open_:
+                for i, (_, spans, _) in zip(open_, found([now[i] for i in open_], handles), strict=True):
+                    again = [k for k, s in enumerate(spans) if s]
+                    for k in again:
+                        changed[i][int(places[i][k])] = cut(now[i][k], [s[2:] for s in spans[k]])
+                    places[i] = places[i][again]
+                    now[i] = pa.array([changed[i][int(k)] for k in places[i]], pa.string())
+                open_ = [i for i in open_ if len(places[i])]
+            for part, texts in zip(group, changed, strict=True):
+                if texts:
+                    values = part.column(text).to_pylist()
+                    for k, x in texts.items():
+                        values[k] = x
+                    part = part.set_column(part.schema.get_field_index(text), text, pa.array(values, part.schema.field(text).type))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)

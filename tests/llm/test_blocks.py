@@ -24,13 +24,16 @@ def test_blocks_change_no_text(spark, monkeypatch):
         a, b, c = ([f"{x}{k}y{i}" for i in range(11)] for x in "abc")
         items += [" ".join(a), " ".join(b), " ".join(c)]  # one inside another, twice over
         docs.append(" ".join(["before", *a[:5], *b[:6], *c, *b[6:], *a[5:], "after"]))
+    items += ["c d e", "a b x y z w q r s t"]  # the cut of the one joins the other
+    docs.append("a b x y z c d e w q r s t")
     docs += [" ".join(rng.choices(docs[0].split(), k=40)), "clean words", "", None]
     frame = spark.createDataFrame([(i, t, "kept", i) for i, t in enumerate(docs)], "doc_id long, text string, _spans string, items long").repartition(3)
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     whole = {r["doc_id"]: tuple(r) for r in fm_decontam.cleaned(frame, benchmark).collect()}
-    for size in (1500,):
+    for size in (750, 100):
         monkeypatch.setattr(fm_decontam, "BLOCK_BYTES", size)
-        assert fm_decontam.n_blocks(benchmark) > 1
+        assert len(fm_decontam.blocks(benchmark, 10)) > 1
+        monkeypatch.setattr(fm_decontam, "GROUP_BYTES", 500)
         out = fm_decontam.cleaned(frame, benchmark)
         assert out.columns == frame.columns
         assert {r["doc_id"]: tuple(r) for r in out.collect()} == whole
