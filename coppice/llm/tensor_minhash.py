@@ -12,15 +12,17 @@ once per batch.
 Nodes that meet in a table form candidate clusters (connected components).
 Inside a cluster, links are confirmed on the full sets, and the classes are the
 components of confirmed links. Big clusters are split into blocks of bounded
-size: first every block by itself; then members of the blocks' largest classes
-are compared; at last every node outside a cluster's largest class is compared
-with all other blocks. So every pair of candidates is either compared or already
-in one class, and no task holds more than two blocks.
+size, each with a few of the whole cluster's nodes (pivots) beside its own: what
+is alike everywhere meets through them. Then the nodes outside a cluster's
+largest class, packed into as few groups as hold them, are compared with all
+blocks. So every pair of candidates is either compared or already in one class,
+and no task holds more than a block, a group and the pivots.
 
 Shingles are compared as 64-bit hashes, and a node is a 64-bit hash of a set.
 Null and empty texts, and texts without words, have empty sets and are alone.
 A text with fewer words than a shingle has its whole sequence as its only
-shingle. Repeated rows are copies like any others. Null ids sort last.
+shingle. Repeated rows are copies like any others. Null ids sort last. A text may
+be of any length; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, lowered, mixed, row_key, small, word_hashes, word_spans, written
+from .common import chunks, flat, guarded, lowered, mixed, row_key, small, word_hashes, word_spans, written
 from .components import components
 
 ROWS = 3
 MISS = 5e-5
-#: Shingles in one block of a cluster (8 bytes each).
-BLOCK = 1 << 20
+#: Shingles in one block of a cluster (8 bytes each; a longer set is a block of its own), and a big cluster's pivots (about).
+BLOCK, PIVOTS = 1 << 16, 24
 
 
 def bands(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -223,7 +225,7 @@ def linked(node: np.ndarray, group: np.ndarray, probe: np.ndarray, members: list
 
 
 def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) of each task; ``tasks``: task, node, group, probe, _set. A task's rows fit one worker."""
+    """Confirmed links (a, b) of each task; ``tasks``: task, node, group, probe, _set. A task's rows fit one worker; a node may come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, {}
@@ -236,38 +238,35 @@ def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            names = batch.column("task").to_pylist()
-            for i, name in enumerate(names):
+            for name, node, group, probe, set_ in zip(*(batch.column(c).to_pylist() for c in ("task", "node", "group", "probe", "_set")), strict=True):
                 if name != task:
                     yield from done()
                     task, held = name, {}
-                node = batch.column("node")[i].as_py()
-                held[node] = (node, batch.column("group")[i].as_py(), batch.column("probe")[i].as_py(), batch.column("_set")[i].as_py())
+                held[node] = (node, group, probe or (node in held and held[node][2]), set_)
         yield from done()
 
     return tasks.select("task", "node", "group", "probe", "_set").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def big_cluster_links(members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links across the blocks of clusters of several blocks. ``members``: cluster, block, blocks, node, _set (written)."""
-    graph = components(links)
-    classed = members.join(graph, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
-    sizes = classed.groupBy("cluster", "block", "group").count()
-    largest = sizes.groupBy("cluster", "block").agg(F.max_by("group", F.struct("count", "group")).alias("group"))
-    nth = F.row_number().over(Window.partitionBy("cluster", "block", "group").orderBy("node"))
-    picked = classed.select("cluster", "block", "group", "node").join(largest, ["cluster", "block", "group"], "left_semi").withColumn("n", nth).where("n <= 16").select("node")
-    hubs = classed.join(picked, "node", "left_semi").select(F.col("cluster").alias("task"), "node", "group", F.lit(True).alias("probe"), "_set")
-    more = written(confirmed(hubs, percent))
-    graph = components(links.unionByName(more))
-    classed = members.join(graph, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+def block_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links inside every block, with a big cluster's pivots in each of its blocks. ``members``: cluster, block, blocks, nodes, node, _set."""
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(29)), F.col("nodes")) < PIVOTS)
+    blocks = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    rows = members.withColumn("_at", F.explode(blocks))
+    return confirmed(rows.select(F.xxhash64("cluster", "_at").alias("task"), "node", F.col("node").alias("group"), F.lit(True).alias("probe"), "_set"), percent)
+
+
+def outside_links(members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links of the nodes outside the largest classes of clusters of several blocks with all other nodes of their clusters. ``members`` is written."""
+    classed = members.join(components(links), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
     main = classed.groupBy("cluster", "group").count().groupBy("cluster").agg(F.max_by("group", F.struct("count", "group")).alias("main"))
-    classed = classed.join(main, "cluster").withColumn("probe", F.col("group") != F.col("main"))
-    outside = written(classed.where("probe").select("cluster", "block").distinct().withColumnRenamed("block", "from"))
-    task = F.xxhash64("cluster", "from", "to").alias("task")
-    probes = classed.where("probe").withColumn("from", F.col("block")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("from != to")
-    targets = classed.withColumn("to", F.col("block")).join(outside, "cluster").where("from != to").withColumn("probe", F.lit(False))
-    both = [x.select(task, "node", "group", "probe", "_set") for x in (probes, targets)]
-    return more.unionByName(confirmed(both[0].unionByName(both[1]), percent))
+    classed = written(classed.join(main, "cluster").withColumn("probe", F.col("group") != F.col("main")))
+    outside = classed.where("probe")
+    packs = written(outside.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("_set")) / F.lit(8 * BLOCK)).cast("int").alias("packs")))
+    task = F.xxhash64("cluster", "pack", "to").alias("task")
+    probes = outside.join(packs, "cluster").withColumn("pack", F.pmod(F.xxhash64("node", F.lit(31)), F.col("packs")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    targets = classed.join(packs, "cluster").withColumn("to", F.col("block")).withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1))).withColumn("probe", F.lit(False))
+    return confirmed(probes.select(task, "node", "group", "probe", "_set").unionByName(targets.select(task, "node", "group", "probe", "_set")), percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -283,20 +282,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     # one row stands for each node of a cluster; its set is made where its text lies
     stands = named.where("_node is not null").join(clusters.withColumnRenamed("node", "_node"), "_node").groupBy("_node", "cluster").agg(F.min("_row").alias("_row"), F.max("n_shingles").alias("n"))
     stands = written(stands)
-    blocks = stands.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = stands.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("nodes"))
     stands = written(stands.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("_node", F.lit(17)), F.col("blocks")).cast("int")))
     standing = rows.select("_row", text).join(small(stands), "_row")
     if not named.groupBy("_row").count().where("count > 1").isEmpty():  # rows that are equal in key and text
         standing = standing.dropDuplicates(["_row"])
-    members = sets(standing.select("cluster", "block", "blocks", F.col("_node").alias("node"), text), words, text)
-    task = F.xxhash64("cluster", "block").alias("task")
-    several = stands.where("blocks > 1")
-    if several.isEmpty():
-        links = confirmed(members.select(task, "node", F.col("node").alias("group"), F.lit(True).alias("probe"), "_set"), percent)
+    members = sets(standing.select("cluster", "block", "blocks", "nodes", F.col("_node").alias("node"), text), words, text)
+    if stands.where("blocks > 1").isEmpty():
+        links = block_links(members, percent)
     else:
         members = written(members)
-        links = written(confirmed(members.select(task, "node", F.col("node").alias("group"), F.lit(True).alias("probe"), "_set"), percent))
-        links = links.unionByName(big_cluster_links(members.where("blocks > 1"), links, percent))
+        links = written(block_links(members, percent))
+        links = links.unionByName(outside_links(members.where("blocks > 1"), links, percent))
     classes = components(links).withColumnRenamed("node", "_node")
     named = named.join(small(classes), "_node", "left").withColumn("_class", F.coalesce("root", "_node"))
     least = F.min(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("id"), F.col("_row").alias("row")))
@@ -307,9 +304,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stand for their classes: one of each, the one with the least key."""
-    found = near_duplicates(docs, words, percent, text, key)
-    found = written(found.select("_row", "_first"))
+    """The rows of ``docs`` that stand for their classes: one of each, the one with the least key. Extra columns are kept, whatever their names."""
+    return guarded(docs, (text, key), lambda d: _deduplicated(d, words, percent, text, key))
+
+
+def _deduplicated(docs: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
+    found = written(near_duplicates(docs.select(key, text), words, percent, text, key).select("_row", "_first"))
     rows = docs.withColumn("_row", row_key(key, text))
     out = rows.join(small(written(found.where("not _first").select("_row").distinct())), "_row", "left_anti")
     again = written(found.where("_first").groupBy("_row").count().where("count > 1").select("_row"))
