@@ -6,7 +6,10 @@ row merges its leftmost pair of least rank, found by a hashed table of pairs,
 and rows are compacted. Pieces longer than the widest bucket are merged exactly
 with a heap, in n log n steps. Decoding maps ids back to bytes.
 
-Null and empty texts have no ids and decode to no bytes. Rows are independent.
+Null and empty texts have no ids and decode to no bytes. Rows are independent, so
+repeated rows and empty tables need nothing special; a text may be of any length.
+Extra columns are kept, whatever their names; one that is called like a column of
+the result gives way.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import guarded
+
 #: Characters of pieces that the table of known pieces may hold.
 KNOWN_CHARS = 1 << 24
 BUCKETS = (4, 8, 16, 32, 64, 128)
@@ -165,6 +170,10 @@ def encoded(docs: DataFrame, packed: bytes, pattern: str, text: str = "text", kn
 
     ``packed`` is the content of a rank file; ``known`` bounds the table of pieces already encoded.
     """
+    return guarded(docs, (text,), lambda d: _encoded(d, packed, pattern, text, known, with_ids))
+
+
+def _encoded(docs: DataFrame, packed: bytes, pattern: str, text: str, known: int, with_ids: bool) -> DataFrame:
     keep = [c for c in docs.columns if c != text]
     new = [F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")]
     new += [F.array(F.lit(0)).alias("ids")] if with_ids else []

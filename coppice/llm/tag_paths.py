@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import html_tree
+from .common import guarded
 
 # fixed values: element names, and words in class, id or role, of what is not the article
 BOILERPLATE_TAGS = frozenset("nav footer aside form button menu dialog head label input fieldset".split())
@@ -127,7 +128,11 @@ def main_text(page: str | None, share: float = 0.25) -> str:
 
 def extracted(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """``pages`` without ``html`` plus the main text and ``n_chars``; a clashing column of that name gives way."""
-    keep = [c for c in pages.columns if c not in (html, into, "n_chars")]
+    return guarded(pages, (html,), lambda d: _extracted(d, html, into))
+
+
+def _extracted(pages: DataFrame, html: str, into: str) -> DataFrame:
+    keep = [c for c in pages.columns if c != html]
     schema = pages.select(*keep, F.lit("").alias(into), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

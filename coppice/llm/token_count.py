@@ -9,8 +9,9 @@ where both chunks start a token, with equal (id, start, end) for every token
 from there to the last white space inside the overlap. Without such a position
 the overlap is widened; at last the rest is encoded in one go.
 
-Null and empty texts have 0 tokens. Rows are independent: repeated rows, extra
-columns and empty tables need nothing special.
+Null and empty texts have 0 tokens. Rows are independent, so repeated rows and
+empty tables need nothing special. Extra columns are kept, whatever their names;
+``n_bytes`` and ``n_tokens`` give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import guarded
+
 #: Characters of pieces that the table of counted pieces may hold.
 KNOWN_CHARS = 1 << 24
 #: White space for str.split() that the vocabulary's own pattern does not call white space.
@@ -82,6 +85,10 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", huge: int = 1
 
     ``known`` bounds the table of pieces already counted.
     """
+    return guarded(docs, (text,), lambda d: _token_counts(d, model, text, huge, chunk, overlap, known))
+
+
+def _token_counts(docs: DataFrame, model: str, text: str, huge: int, chunk: int, overlap: int, known: int) -> DataFrame:
     keep = [c for c in docs.columns if c != text]
     schema = docs.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens")).schema
 

@@ -10,9 +10,12 @@ every row. The candidates' keys are broadcast if they are few; else the text of
 rows with at least one posting is shuffled to them.
 
 Rows are keyed by a hash of id and text, so the plan needs no stable row order;
-equal rows share a key and get equal spans. A null text is empty and has no
-spans. Spans are (kind, start, end) in code points, end exclusive, by start and
-then by the rules' order. Any extra columns of the input are kept.
+equal rows share a key and get equal spans. A shard of the index holds about
+``SHARD_ROWS`` rows, however many the table has. A null text is empty and has no
+spans; a text may be of any length; an empty table gives an empty one. Spans are
+(kind, start, end) in code points, end exclusive, by start and then by the rules'
+order. Extra columns are kept, whatever their names; one that is called like the
+result's gives way.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import guarded, small, written
 
+#: Rows in a shard of the index: no list of postings is longer.
+SHARD_ROWS = 1 << 15
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -152,24 +157,27 @@ def candidates(index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFra
     return pairs.groupBy("_key").agg(F.collect_set("_rule").alias("_rules"))
 
 
-def scanned(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str = "text", key: str = "doc_id", into: str = "spans", shards: int | None = None) -> DataFrame:
-    """``docs`` plus an array of spans. ``shards`` divides the index; by default eight times the shuffle partitions."""
-    spark = docs.sparkSession
-    shards = shards or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def scanned(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str = "text", key: str = "doc_id", into: str = "spans") -> DataFrame:
+    """``docs`` plus an array of spans."""
+    return guarded(docs, (text, key), lambda d: _scanned(d, rules, text, key, into))
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text: str, key: str, into: str) -> DataFrame:
     asked = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     vocabulary = sorted({t for q in asked.values() for branch in q for t in branch})
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.drop(into).withColumn("_key", F.xxhash64(F.col(key), body))
+    rows = docs.withColumn("_key", F.xxhash64(F.col(key), body))
     empty = F.array().cast(SPANS)
     full = [found(body, r, k) for k, r in enumerate(rules) if r.kind not in asked]
     out = rows.withColumn("_full", F.concat(empty, *full))
     if asked:
         some = rows.select("_key", F.col(key).alias("_id"), body.alias("_text"), F.lower(body).alias("_folded"))
+        holding = some.where(reduce(lambda a, b: a | b, [F.contains(F.col("_folded"), F.lit(t)) for t in vocabulary]))
+        shards = max(1, -(-docs.count() // SHARD_ROWS))
         cands = small(written(candidates(postings(some, vocabulary, shards), asked)))
-        some = some.where(reduce(lambda a, b: a | b, [F.contains(F.col("_folded"), F.lit(t)) for t in vocabulary])).drop("_folded")
         spans = [F.when(F.array_contains("_rules", r.kind), found(F.col("_text"), r, k)).otherwise(empty) for k, r in enumerate(rules) if r.kind in asked]
-        verified = some.join(cands, "_key").select("_key", "_id", F.concat(empty, *spans).alias("_part")).where(F.size("_part") > 0).dropDuplicates(["_key", "_id"])
-        verified = verified.withColumnRenamed("_key", "_vkey")
+        verified = holding.drop("_folded").join(cands, "_key").select("_key", "_id", F.concat(empty, *spans).alias("_part")).where(F.size("_part") > 0).dropDuplicates(["_key", "_id"])
+        verified = small(written(verified.withColumnRenamed("_key", "_vkey")), "_part")
         out = out.join(verified, (F.col("_key") == F.col("_vkey")) & F.col(key).eqNullSafe(F.col("_id")), "left")
         joined = F.concat(F.col("_full"), F.coalesce(F.col("_part"), empty))
     else:
