@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import shared_folder, written
 
-__all__ = ["chunks", "flat", "guarded", "held_out", "lowered", "mixed", "powers", "row_key", "shared_folder", "small", "table", "word_hashes", "word_spans", "written"]
+__all__ = ["chunks", "flat", "guarded", "held_out", "lowered", "mixed", "picked", "powers", "row_key", "shared_folder", "small", "table", "word_hashes", "word_spans", "written"]
 
 #: Bytes of text that a Python worker handles at once (bounds its memory).
 CHUNK_BYTES = 2 << 20
@@ -41,6 +41,11 @@ def guarded(df: DataFrame, known: Iterable[str], change: Callable[[DataFrame], D
     return out.select(*[F.col(c).alias(back.get(c, c)) for c in kept])
 
 
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """Some columns by their exact names, whatever others are called like them in other letters."""
+    return df.toDF(*[c if c in names else f"_x{i}" for i, c in enumerate(df.columns)]).select(*names)
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 0 modulo 5; a null id is held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -2,13 +2,19 @@
 
 ``sequences`` parses HTML into an ordered array of (position, kind, text, ref,
 caption) structs; ``resolved`` explodes its media references and joins them by
-digest, so that position and caption stay beside the payload's columns.
-``stored_image`` is a lossless 8-bit form: a binary grey map, 64 samples wide.
-Payload bytes never move: a media table is described where its bytes lie
-(``described``), and only digests and descriptions are shuffled.
+digest with any media table (payloads, or descriptions of them), so that
+position and caption stay beside the payload's columns. ``stored_image`` is a
+lossless 8-bit form: a binary grey map, 64 samples wide. ``stored`` writes the
+media table, one row per distinct digest, chosen by digests alone so that no
+payload is shuffled; ``described`` reads the stored bytes back from it where
+they lie, and only digests and descriptions are shuffled.
 
 Null and empty texts are stored as 64 zero samples. Equal payloads have one row
-in the media table. An unresolved reference keeps its row, with nulls.
+in the media table, whichever rows they come from. An unresolved reference keeps
+its row, with nulls. Null and empty pages have empty sequences; pages and
+payloads may be of any length, empty tables give empty ones, and repeated rows
+keep their own references. Extra columns are kept, whatever their names; one that
+is called like a column of the result gives way.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import html_tree
+from .common import guarded, picked, small, written
 
 WIDTH = 64
 SCHEME = "sha256:"
@@ -51,13 +58,23 @@ def samples(stored: bytes) -> np.ndarray:
 
 
 def feature(image: np.ndarray) -> str:
-    """Height, mean, spread and entropy of the samples."""
-    share = np.bincount(image.ravel(), minlength=256) / image.size
+    """Height, sum, sum of squares and number of values of the samples: whole numbers, the same everywhere."""
+    count = np.bincount(image.ravel(), minlength=256)
     level = np.arange(256)
-    mean = float(share @ level)
-    spread = float(np.sqrt(max(0.0, share @ (level * level) - mean * mean)))
-    some = share[share > 0]
-    return f"h={image.shape[0]};mean={mean:.4f};std={spread:.4f};entropy={float(-(some * np.log2(some)).sum()):.4f}"
+    return f"h={image.shape[0]};sum={int(count @ level)};squares={int(count @ (level * level))};values={int((count > 0).sum())}"
+
+
+def kept(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The stored forms of all texts, written: digest, stored bytes, and the row's place in the written table."""
+    rows = picked(docs, text).select(stored_image(F.col(text)).alias("stored"))
+    return written(rows.select(F.sha2("stored", 256).alias("digest"), "stored", F.monotonically_increasing_id().alias("place")))
+
+
+def media_table(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row of digest and stored bytes for each distinct text; which copy stands for all is settled by digests and places alone."""
+    table = kept(docs, text)
+    first = written(table.groupBy("digest").agg(F.min("place").alias("place")).select("place"))
+    return table.join(small(first), "place", "left_semi").select("digest", "stored")
 
 
 def described(media: DataFrame, stored: str = "stored") -> DataFrame:
@@ -82,31 +99,51 @@ def described(media: DataFrame, stored: str = "stored") -> DataFrame:
 def sequence(page: str | None) -> list[dict]:
     """Ordered text and media structs of one page; a figure's caption stands at its media, not as text."""
     out: list[dict] = []
-    last, figure = None, None
-    for kind, path, block, value in html_tree.nodes(page or ""):
-        inside = next((p for p in path if p[0] == "figure"), None)
-        if inside is not figure:
-            figure = inside
+    shown: dict = {}  # the last media of each figure
+    around: dict = {None: (None, False)}  # an element's figure, and whether it is in a caption
+    last = None
+
+    def place(element) -> tuple:
+        chain = []
+        while element not in around:
+            chain.append(element)
+            element = element.parent
+        figure, caption = around[element]
+        for e in reversed(chain):
+            figure, caption = (e, False) if e.name == "figure" else (figure, caption or (e.name == "figcaption" and figure is not None))
+            around[e] = (figure, caption)
+        return figure, caption
+
+    for kind, element, block, value in html_tree.nodes(page or ""):
+        figure, caption = place(element)
         if kind == "media":
-            out.append({"kind": "media", "text": None, "ref": value.get("src") or value.get("data-src"), "caption": value.get("alt") or None, "figure": inside})
+            out.append({"kind": "media", "text": None, "ref": value.get("src") or value.get("data-src"), "caption": [value.get("alt") or ""]})
+            if figure is not None:
+                shown[figure] = out[-1]
             last = None
-        elif any(p[0] == "figcaption" for p in path) and inside is not None:
-            for item in reversed(out):
-                if item["kind"] == "media" and item["figure"] is inside:
-                    item["caption"] = " ".join(f"{item['caption'] or ''} {value}".split()) or None
-                    break
+        elif caption:
+            if figure in shown:
+                shown[figure]["caption"].append(value)
         elif last == block and out and out[-1]["kind"] == "text":
-            out[-1]["text"] += value
+            out[-1]["text"].append(value)
         else:
-            out.append({"kind": "text", "text": value, "ref": None, "caption": None, "figure": None})
+            out.append({"kind": "text", "text": [value], "ref": None, "caption": []})
             last = block
-    kept = [x for x in out if x["kind"] == "media" or x["text"].strip()]
-    return [{"position": i, "kind": x["kind"], "text": " ".join(x["text"].split()) if x["text"] else None, "ref": x["ref"], "caption": x["caption"]} for i, x in enumerate(kept)]
+    rows = []
+    for x in out:
+        text = " ".join("".join(x["text"]).split()) if x["text"] else None
+        if x["kind"] == "media" or text:
+            rows.append({"position": len(rows), "kind": x["kind"], "text": text, "ref": x["ref"], "caption": " ".join(" ".join([x["caption"][0], "".join(x["caption"][1:])]).split()) or None if x["caption"] else None})
+    return rows
 
 
 def sequences(pages: DataFrame, html: str = "html", into: str = "sequence") -> DataFrame:
     """``pages`` without ``html`` plus the ordered array of text and media structs."""
-    keep = [c for c in pages.columns if c not in (html, into)]
+    return guarded(pages, (html,), lambda d: _sequences(d, html, into))
+
+
+def _sequences(pages: DataFrame, html: str, into: str) -> DataFrame:
+    keep = [c for c in pages.columns if c != html]
     schema = pages.select(*keep, F.lit(None).cast(SEQUENCE).alias(into)).schema
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 
@@ -121,10 +158,23 @@ def sequences(pages: DataFrame, html: str = "html", into: str = "sequence") -> D
 def resolved(rows: DataFrame, media: DataFrame, into: str = "sequence") -> DataFrame:
     """One row per media reference: the row's other columns, position, caption, digest and the media's columns.
 
-    ``media`` is best a written table: then either side of the join is dealt by digest for the join alone,
-    and adaptive execution can split a digest that very many rows refer to.
+    ``media`` has one row per ``digest`` and is best a written table: then either side of the join is dealt by
+    digest for the join alone, and adaptive execution can split a digest that very many rows refer to.
     """
-    keep = [c for c in rows.columns if c != into]
-    refs = rows.select(*keep, F.explode(F.filter(into, lambda x: x["kind"] == "media")).alias("_item"))
-    refs = refs.select(*keep, F.col("_item.position").alias("position"), F.col("_item.caption").alias("caption"), F.regexp_replace("_item.ref", f"^{SCHEME}", "").alias("digest"))
-    return refs.join(media, "digest", "left")
+
+    def joined(d: DataFrame) -> DataFrame:
+        keep = [c for c in d.columns if c != into]
+        refs = d.select(*keep, F.explode(F.filter(into, lambda x: x["kind"] == "media")).alias("_item"))
+        refs = refs.select(*keep, F.col("_item.position").alias("position"), F.col("_item.caption").alias("caption"), F.regexp_replace("_item.ref", f"^{SCHEME}", "").alias("digest"))
+        return refs.join(media, "digest", "left")
+
+    return guarded(rows, (into,), joined)
+
+
+def illustrated(text: Column, digest: Column, caption: Column) -> Column:
+    """A text as a page: a paragraph for each line, and after the first one a figure that refers to a digest."""
+    escaped = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.split(escaped, "\n")
+    figure = F.concat(F.lit("<figure><img src='" + SCHEME), digest, F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure>"))
+    rest = F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    return F.concat(F.lit("<article><p>"), lines[0], F.lit("</p>"), figure, F.concat_ws("", rest), F.lit("</article>"))

@@ -29,6 +29,30 @@ def decontamination(n: int = 10) -> str:
   FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
 
+def crc_table() -> list[int]:
+    """The table of the reflected polynomial 0xEDB88320."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def media() -> str:
+    """The payload's bytes as pairs of hexadecimal digits; the checksum by a table, byte by byte."""
+    pairs = "[" + ", ".join(f"'{i:02X}'" for i in range(256)) + "]"
+    blank = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]*"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, encode(coalesce(text, '')) AS raw FROM documents), p AS (SELECT doc_id, text, octet_length(raw) AS n, greatest(1, (octet_length(raw) + 63) // 64) AS h, raw FROM d),
+  q AS (SELECT doc_id, n, h, CASE WHEN regexp_full_match(split_part(text, chr(10), 1), '{blank}') THEN 0 ELSE 1 END AS position, raw || unhex(repeat('00', CAST(h * 64 - n AS BIGINT))) AS payload FROM p),
+  x AS (SELECT *, regexp_extract_all(hex(payload), '..') AS x, encode('P5' || chr(10) || '64 ' || h || chr(10) || '255' || chr(10)) || payload AS stored FROM q),
+  v AS (SELECT unnest({pairs}) AS pair, unnest(range(256)) AS level), c AS (SELECT doc_id, pair, count(*) AS n FROM (SELECT doc_id, unnest(x) AS pair FROM x) u GROUP BY 1, 2),
+  f AS (SELECT doc_id, CAST(sum(n * level) AS BIGINT) AS total, CAST(sum(n * level * level) AS BIGINT) AS squares, count(*) AS many FROM c JOIN v ON c.pair = v.pair GROUP BY doc_id)
+  SELECT x.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(h * 64 AS BIGINT) AS payload_bytes, sha256(payload) AS payload_sha256,
+    xor(list_reduce(list_transform(x[-64:], lambda b: CAST(list_position({pairs}, b) - 1 AS BIGINT)), lambda crc, b: xor(crc >> 8, CAST({crc_table()}[CAST((xor(crc, b) & 255) + 1 AS INTEGER)] AS BIGINT)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS tail_crc32,
+    CAST(octet_length(stored) AS BIGINT) AS media_bytes, sha256(stored) AS media_sha256, 'h=' || h || ';sum=' || total || ';squares=' || squares || ';values=' || many AS feature, CAST(position AS INTEGER) AS position, n || ' bytes' AS caption FROM x JOIN f ON f.doc_id = x.doc_id"""
+
+
 def secrets() -> str:
     rules = trigram_secrets.BASE + trigram_secrets.EXTRA
 
