@@ -3,12 +3,19 @@
 Every text node belongs to a root-to-leaf tag path (element names with their
 classes). Per page and path, text length and punctuation are aggregated and
 divided by the path's node count. Both ratios are smoothed along the page with a
-Gaussian window, fused by their product, and the paths whose fused ratio reaches
-a threshold are content. Short nodes inside the same content container (titles,
-list items) are kept too. Paths through elements that name themselves
-boilerplate (navigation, adverts, comments and the like) have ratio 0.
-
-An empty or null page has an empty text. Pages are independent of each other.
+Gaussian window and fused by their product. A prior divides the ratio of paths
+through elements that name themselves boilerplate (navigation, adverts, comments
+and the like) by twenty. Paths whose fused ratio reaches a threshold, a share of
+the page's mean weighted by length and prior, are content, wherever they stand.
+
+An article also has short nodes: titles, list items, captions. So the element
+that holds most of the content's weight, an article if there is one, is taken
+as its container, and all text in it is kept whose path has no such prior.
+
+An empty or null page has an empty text. Pages are independent of each other, so
+repeated rows and empty tables need nothing special. A page may be of any length:
+the time is proportional to it. Extra columns are kept, whatever their names; one
+that is called like a column of the result gives way.
 """
 
 from __future__ import annotations
@@ -25,38 +32,47 @@ from pyspark.sql import functions as F
 from . import html_tree
 from .common import guarded
 
-# fixed values: element names, and words in class, id or role, of what is not the article
-BOILERPLATE_TAGS = frozenset("nav footer aside form button menu dialog head label input fieldset".split())
-BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget".split()
+# fixed values: elements of what is not the article, and of what is no prose
+BOILERPLATE_TAGS = frozenset("nav footer aside form button menu dialog head label input fieldset select option svg".split())
+#: Words of a class, id or role that say so wherever they stand in it ("site-footer", "userComments") ...
+STRONG_WORDS = frozenset(
+    "advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter pager pagination popup promo promoted promotion respond sidebar sidenav signup sponsored subscribe subscription toolbar topbar".split()
 )
-#: Elements around the whole page, whose classes say nothing about their text, and what an article's class may say.
-OUTER_TAGS = frozenset(("html", "body", "main"))
+#: ... and words that do so alone or with neutral ones ("share-buttons", but not "share-price").
+WEAK_WORDS = frozenset("ad ads adv banner consent header notice notices notification related replies reply search share sharing skip social sponsor toc widget".split())
+NEUTRAL_WORDS = frozenset("area bar block bottom box button buttons container content form group icon icons inner item items left link links list main module outer page panel post right row section site slot small title top unit user wrap wrapper".split())
+#: Elements around the whole page, whose classes say nothing about their text; what an article's class may say; what can hold an article.
+OUTER_TAGS = frozenset(("html", "body", "main", ""))
 NO_ARTICLE_WORDS = frozenset("ad ads advert comment comments promo promoted related replies reply respond sponsored teaser".split())
+HOLDERS = frozenset("html body main article section div center table tbody tr td".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？،؟।]")
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-
-def is_boilerplate(path: tuple) -> bool:
-    inner = False
-    for name, attrs in path:
-        if name in BOILERPLATE_TAGS or (name == "header" and not inner):
-            return True
-        if attrs and name not in OUTER_TAGS:
-            if "hidden" in attrs or attrs.get("aria-hidden") == "true":
+PRIOR = 0.05
+#: Share of the content's weight that a container holds.
+HELD = 0.7
+
+
+def names_boilerplate(element: html_tree.Element) -> bool:
+    """Whether an element names itself, whatever is around it."""
+    name, attrs = element.name, element.attrs
+    if name in BOILERPLATE_TAGS:
+        return True
+    if not attrs or name in OUTER_TAGS:
+        return False
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true":
+        return True
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".split():
+        words = {w.lower() for w in WORDS.findall(token)}
+        if name == "article":
+            if words & NO_ARTICLE_WORDS:
                 return True
-            words = {w.lower() for w in WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}")}
-            if words & (NO_ARTICLE_WORDS if name == "article" else BOILERPLATE_WORDS):
-                return True
-        inner |= name in ("article", "main")
+        elif words & STRONG_WORDS or (words & WEAK_WORDS and words <= WEAK_WORDS | NEUTRAL_WORDS):
+            return True
     return False
 
 
-def label(path: tuple) -> tuple[str, ...]:
-    return tuple(name + ("." + ".".join(sorted(attrs["class"].split())) if attrs.get("class") else "") for name, attrs in path)
-
-
 def smoothed(values: list[float], width: float = 1.0) -> list[float]:
     """Gaussian smoothing over neighbours, renormalised at the ends."""
     reach = max(1, math.ceil(2 * width))
@@ -71,57 +87,60 @@ def smoothed(values: list[float], width: float = 1.0) -> list[float]:
     return out
 
 
+def fused_ratios(nodes: list[tuple[int, str, float]]) -> dict[int, float]:
+    """Each path's fused ratio; ``nodes``: (path, text, prior) of the text nodes that are not white space, in page order."""
+    length, points, count = (defaultdict(int) for _ in range(3))
+    for path, text, _ in nodes:
+        length[path] += len(text)
+        points[path] += len(PUNCTUATION.findall(text))
+        count[path] += 1
+    text_ratio = smoothed([prior * length[path] / count[path] for path, _, prior in nodes])
+    point_ratio = smoothed([prior * points[path] / count[path] for path, _, prior in nodes])
+    out: dict[int, float] = defaultdict(float)
+    for (path, _, prior), a, b in zip(nodes, text_ratio, point_ratio, strict=True):
+        out[path] += prior * a * (1.0 + b) / count[path]
+    return out
+
+
 def main_text(page: str | None, share: float = 0.25) -> str:
-    """The page's main text; ``share`` of the mean fused ratio (weighted by length) is the threshold."""
-    found: list[tuple[tuple, tuple, int, str]] = []
-    known: dict[int, tuple[tuple[str, ...], bool]] = {}
-    held = []  # keeps the paths alive while their ids are keys
-    for kind, path, block, value in html_tree.nodes(page or ""):
-        if kind != "text":
-            continue
-        if id(path) not in known:
-            held.append(path)
-            known[id(path)] = (label(path), is_boilerplate(path))
-        found.append((*known[id(path)], block, value))
-    if not found:
-        return ""
-    length: dict[tuple, int] = defaultdict(int)
-    points: dict[tuple, int] = defaultdict(int)
-    count: dict[tuple, int] = defaultdict(int)
-    sizes = []
-    for tag_path, _, _, value in found:
-        n = len(value) if not value.isspace() else 0
-        sizes.append(n)
-        if n:
-            length[tag_path] += n
-            points[tag_path] += len(PUNCTUATION.findall(value))
-            count[tag_path] += 1
-    order = [k for k, n in enumerate(sizes) if n]
-    text_ratio = smoothed([0.0 if found[k][1] else length[found[k][0]] / count[found[k][0]] for k in order])
-    point_ratio = smoothed([0.0 if found[k][1] else points[found[k][0]] / count[found[k][0]] for k in order])
-    fused: dict[tuple, float] = defaultdict(float)
-    for k, a, b in zip(order, text_ratio, point_ratio, strict=True):
-        if not found[k][1]:
-            fused[found[k][0]] += a * (1.0 + b) / count[found[k][0]]
-    if not fused:
+    """The page's main text; ``share`` of the mean fused ratio (weighted by length and prior) is the threshold."""
+    reader = html_tree.Reader()
+    found = [(element, block, value) for kind, element, block, value in reader.nodes(page or "") if kind == "text"]
+    boilerplate: dict[html_tree.Element, bool] = {}
+    inner: dict[html_tree.Element, bool] = {}  # inside an article or main
+    for e in reader.elements:  # parents come first
+        within = e.parent is not None and inner[e.parent]
+        boilerplate[e] = (e.parent is not None and boilerplate[e.parent]) or (e.name == "header" and not within) or names_boilerplate(e)
+        inner[e] = within or e.name in ("article", "main")
+    some = [(e.path, value, PRIOR if boilerplate[e] else 1.0) for e, _, value in found if not value.isspace()]
+    if all(prior < 1 for _, _, prior in some):
         return ""
-    weight = sum(length[p] for p in fused)
-    threshold = share * sum(fused[p] * length[p] for p in fused) / weight
-    content = {p for p, score in fused.items() if score >= threshold}
-    # the container: the deepest elements that hold what was selected
-    heavy = max(content, key=lambda p: (length[p], p))
-    containers = {p[: k + 1] for p in content for k, part in enumerate(p) if part.split(".")[0] in ("article", "main")}
-    if not containers and len(heavy) > 3:
-        containers = {heavy[:-1]}
+    ratio = fused_ratios(some)
+    threshold = share * sum(ratio[p] * len(t) * w for p, t, w in some) / sum(len(t) * w for _, t, w in some)
+    content = {p for p, r in ratio.items() if r >= threshold}
+    # the container: downwards as long as one element holds most of the content's weight, no deeper than an article
+    weight: dict[html_tree.Element, float] = dict.fromkeys(reader.elements, 0.0)
+    for e, _, value in found:
+        if e.path in content and not boilerplate[e]:
+            weight[e] += ratio[e.path] * len(value)
+    heaviest: dict[html_tree.Element, html_tree.Element] = {}
+    for e in reversed(reader.elements[1:]):
+        weight[e.parent] += weight[e]
+        if e.name in HOLDERS and (e.parent not in heaviest or weight[e] >= weight[heaviest[e.parent]]):
+            heaviest[e.parent] = e
+    holder = reader.root
+    least = HELD * weight[holder]
+    while least and holder.name != "article" and (deeper := heaviest.get(holder)) is not None and weight[deeper] >= least:
+        holder = deeper
+    inside: dict[html_tree.Element, bool] = {}
+    for e in reader.elements:
+        inside[e] = bool(least) and (e is holder or (e.parent is not None and inside[e.parent]))
     blocks: list[tuple[int, list[str]]] = []
-    for tag_path, boilerplate, block, value in found:
-        if boilerplate or not (tag_path in content or any(tag_path[: len(c)] == c for c in containers)):
-            continue
-        if containers and any(c[-1].split(".")[0] in ("article", "main") for c in containers) and not any(tag_path[: len(c)] == c for c in containers):
-            continue
-        if not blocks or blocks[-1][0] != block:
-            blocks.append((block, []))
-        blocks[-1][1].append(value)
+    for e, block, value in found:
+        if e.path in content or (inside[e] and not boilerplate[e]):
+            if not blocks or blocks[-1][0] != block:
+                blocks.append((block, []))
+            blocks[-1][1].append(value)
     lines = (SPACE.sub(" ", "".join(parts)).strip() for _, parts in blocks)
     return "\n\n".join(x for x in lines if x)
 
