@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded
+from .common import guarded, picked
 
 PIECE = 1024
 DICTIONARY = 48 * 1024
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLA
     Dictionaries come from every second sampled row of a class, the curve from the others, which the dictionaries
     have not seen; the only row of a class serves both.
     """
-    spark = docs.sparkSession
+    spark, docs, labels = docs.sparkSession, picked(docs, "doc_id", "text"), picked(labels, "doc_id", label)
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     # only ids come to the driver, at most ``per_class`` of each class
     there = docs.where(F.col("text").isNotNull()).select("doc_id").distinct()
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLA
         share = (sum(c for _, c, _ in chosen) + 1) / (len(chosen) + 2)
         return Model(b"\0" * 8, b"\0" * 8, (0.0, 0.0, 0.0, 0.0, 0.0, float(np.log(share / (1 - share)))))
     folds = spark.createDataFrame(chosen, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _label int, _fold int")
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(folds), "doc_id")
+    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(folds), "doc_id")
     rows = rows.groupBy("doc_id", "_label", "_fold").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, guarded, lowered, word_hashes, word_spans
+from .common import chunks, flat, guarded, lowered, picked, word_hashes, word_spans
 
 #: Text of the benchmark that one index of phrases holds, and text of documents that a task holds where there are several.
 BLOCK_BYTES, GROUP_BYTES = 4 << 20, 32 << 20
@@ -267,7 +267,7 @@ def searched(texts: pa.Array, p: Phrases) -> tuple[np.ndarray, list[list[tuple[i
 
 def blocks(benchmark: DataFrame, n: int) -> list[Broadcast]:
     """The benchmark, broadcast in blocks of bounded size; every item is in one block. The driver holds one block at a time."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = picked(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     context, out = benchmark.sparkSession.sparkContext, []
     held, size = [], 0
     for r in rows.orderBy("item", "text").toLocalIterator():

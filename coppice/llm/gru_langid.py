@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, guarded
+from .common import chunks, flat, guarded, picked
 
 WINDOW = 64
 HIDDEN = 8
@@ -194,6 +194,7 @@ def parts(raw: bytes) -> list[bytes]:
 
 def sampled(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[bytes], list[str]]:
     """Texts (or their parts) and languages of a bounded number of documents (doc_id, text, lang) with a language."""
+    docs = picked(docs, "doc_id", "text", "lang")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
     totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not totals:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, guarded, lowered, mixed, row_key, small, word_hashes, word_spans, written
+from .common import chunks, flat, guarded, lowered, mixed, picked, row_key, small, word_hashes, word_spans, written
 from .components import components
 
 ROWS = 3
@@ -274,6 +274,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
 
     ``_row`` is the row's key, made of ``key`` and ``text``; ``_first`` says whether the row stands for its class.
     """
+    docs = picked(docs, key, text)
     rows = docs.select(key, text, row_key(key, text).alias("_row"))
     named = written(with_nodes(rows, words, text))
     tables = table_keys(docs, words, bands(percent / 100), text=text)

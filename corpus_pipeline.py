@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm import byte_bpe, compress_quality, fm_decontam, tensor_minhash, trigram_secrets
-from coppice.llm.common import guarded, held_out, table, written
+from coppice.llm.common import guarded, held_out, picked, table, written
 
 
 def _carried(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -59,7 +59,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         packed = f.read()
-    return byte_bpe.encoded(docs.select("doc_id", "text"), packed, public_tokenizers.PATTERN, with_ids=True)
+    return byte_bpe.encoded(picked(docs, "doc_id", "text"), packed, public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact_secrets", redact_secrets), ("encode", encode)]

@@ -64,6 +64,7 @@ def test_fm_index_counts_and_places():
 
 def test_media(spark, docs, frame):
     rows = frame.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"), media.stored_image(F.col("text")).alias("stored"))
+    assert media.media_table(frame).count() == len({(t or "").encode().ljust(-(-max(1, len((t or "").encode())) // 64) * 64, b"\0") for _, t in docs})
     page = F.concat(F.lit("<p>before</p><figure><img src='sha256:"), F.sha2("stored", 256), F.lit("'><figcaption>cap &amp; tion</figcaption></figure><p>after"))
     seq = media.sequences(rows.select("doc_id", "n", page.alias("html")))
     assert [x["kind"] for x in seq.first()["sequence"]] == ["text", "media", "text"]
@@ -101,6 +102,85 @@ def test_tag_paths(spark):
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in out] == [(1, want, len(want)), (2, "", 0), (2, "", 0)]
 
 
+def test_ratios_decide_also_beside_an_article():
+    prose = "A sentence that goes on, with commas, for quite a while; then it ends. " * 4
+    page = f"<body><p>{prose}</p><article><h1>Head</h1><p>{prose}</p><p class='share-price'>It cost 5.</p><ul><li>one<li>two</ul><math><mi>x</mi></math><object>fallback</object><svg/><p>after</p></article><div class='cookie-notice'>{prose}</div><footer>{prose}</footer></body>"
+    want = [prose.strip(), "Head", prose.strip(), "It cost 5.", "one", "two", "xfallback", "after"]
+    assert tag_paths.main_text(page).split("\n\n") == want
+    assert tag_paths.main_text(f"<div class='comments'><p>{prose}</p></div>") == ""
+    two = f"<body><div class=a><p>{prose}</p></div><div class=b>{'<span>word </span>' * 9}</div></body>"
+    assert tag_paths.main_text(two) == prose.strip()
+    assert tag_paths.main_text(two, share=0.0) == prose.strip() + "\n\n" + " ".join(["word"] * 9)
+
+
+def test_fused_ratios_equal_a_plain_version():
+    rng = np.random.default_rng(8)
+    nodes = [(int(rng.integers(4)), "".join(rng.choice(list("ab .,"), rng.integers(1, 30))), float(rng.choice([1.0, 0.05]))) for _ in range(50)]
+    priors = {p: w for p, _, w in nodes}
+    nodes = [(p, t, priors[p]) for p, t, _ in nodes]
+    weight = lambda k: np.exp(-k * k / 2)
+
+    def smooth(values, i):
+        near = [k for k in range(i - 2, i + 3) if 0 <= k < len(values)]
+        return sum(weight(k - i) * values[k] for k in near) / sum(weight(k - i) for k in near)
+
+    members = {p: [t for q, t, _ in nodes if q == p] for p in priors}
+    text = [w * sum(map(len, members[p])) / len(members[p]) for p, _, w in nodes]
+    point = [w * sum(t.count(".") + t.count(",") for t in members[p]) / len(members[p]) for p, _, w in nodes]
+    got = tag_paths.fused_ratios(nodes)
+    for p in members:
+        at = [i for i, (q, _, _) in enumerate(nodes) if q == p]
+        assert got[p] == pytest.approx(np.mean([priors[p] * smooth(text, i) * (1 + smooth(point, i)) for i in at]))
+
+
+def test_main_text_of_made_pages():
+    """Pages of several shapes whose article is known: words found against words wanted."""
+    rng = np.random.default_rng(12)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) + rng.choice(["", "", "", ",", "."]) for _ in range(n)).capitalize() + "."
+    links = lambda n: "<ul>" + "".join(f"<li><a href=x>{prose(2)}</a>" for _ in range(n)) + "</ul>"
+    hit = got_n = want_n = 0
+    for k in range(60):
+        parts = [prose(int(rng.integers(3, 9)))] + [prose(int(rng.integers(15, 80))) for _ in range(int(rng.integers(2, 9)))]
+        body = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{x}" for x in parts[1:])
+        inner = [f"<article>{body}</article>", f"<div class='post-body'>{body}</div>", f"<main><section>{body}</section></main>", f"<div id=content><div class=text>{body}</div></div>"][k % 4]
+        noise = [f"<nav>{links(6)}</nav>", f"<div class='sidebar-left'>{links(5)}<p>{prose(12)}</p></div>", f"<div class=cookieNotice>{prose(30)}</div>", f"<section id=comments><p>{prose(40)}</p><p>{prose(25)}</p></section>", f"<form><p>{prose(9)}</p></form>"]
+        rng.shuffle(noise)
+        page = f"<html><body><header>{prose(3)}</header>{''.join(noise[:2])}{inner}{''.join(noise[2:])}<footer>{prose(20)}</footer></body></html>"
+        got, want = Counter(tag_paths.main_text(page).split()), Counter(" ".join(parts).split())
+        hit, got_n, want_n = hit + (got & want).total(), got_n + got.total(), want_n + want.total()
+    assert 2 * hit / (got_n + want_n) >= 0.95
+
+
+def test_reading_takes_time_in_proportion():
+    import time
+
+    for page in ("<b>" * 40_000 + "x.", "<div><b>" * 20_000 + "x." + "</div>" * 20_000, "<article><p>some text here, and more.</article>" * 20_000):
+        start = time.time()
+        tag_paths.main_text(page)
+        assert time.time() - start < 10
+
+
+def test_media_of_real_pages(spark):
+    import pathlib
+
+    if not pathlib.Path("/root/testdata/sf0.001/pages.parquet").exists():
+        pytest.skip("test tables are not there")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in media.sequences(pages).collect():
+        assert [x["position"] for x in r["sequence"]] == list(range(len(r["sequence"])))
+        assert all((x["kind"] == "text") == bool(x["text"]) and (x["kind"] == "media") == bool(x["ref"]) for x in r["sequence"])
+
+
+def test_several_media_of_a_page_stay_in_order(spark):
+    page = "<p>one<figure><img src='sha256:a' alt=A><figcaption>cap <b>a</b></figcaption></figure><p>two</p><img src='sha256:b'><figure><img src='sha256:a'><img src='sha256:zz'><figcaption>last</figcaption></figure>end"
+    assert [(x["kind"], x["text"], x["ref"], x["caption"]) for x in media.sequence(page)] == [
+        ("text", "one", None, None), ("media", None, "sha256:a", "A cap a"), ("text", "two", None, None), ("media", None, "sha256:b", None), ("media", None, "sha256:a", None), ("media", None, "sha256:zz", "last"), ("text", "end", None, None)
+    ]
+    table = spark.createDataFrame([("a", b"1"), ("b", b"2")], "digest string, payload binary")
+    out = media.resolved(media.sequences(spark.createDataFrame([(7, page)], "id long, html string")), table).orderBy("position").collect()
+    assert [(r["id"], r["position"], r["digest"], r["payload"] and bytes(r["payload"])) for r in out] == [(7, 1, "a", b"1"), (7, 3, "b", b"2"), (7, 4, "a", b"1"), (7, 5, "zz", None)]
+
+
 def test_language(spark):
     rng = np.random.default_rng(0)
     make = lambda letters: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(40))
@@ -235,16 +315,10 @@ def test_byte_bpe(spark, docs, frame):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, packed.splitlines())}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     whole = docs + [(200, "a" * 2000), (201, "é" * 500 + "   \n\n x"), (202, "".join(chr(0x4E00 + i % 300) for i in range(700)))]
-    out = byte_bpe.encoded(spark.createDataFrame(whole, SCHEMA).withColumn("ids", F.lit("clash")).drop("ids"), packed, public_tokenizers.PATTERN, with_ids=True).collect()
-    ids = {i: encoding.encode_ordinary(t or "") for i, t in whole if i is not None}
-    for r in out:
-        if r["doc_id"] is None:
-            continue
-        assert r["ids"] == ids[r["doc_id"]]
-        assert r["n_tokens"] == len(r["ids"])
-        assert r["ids_sha256"] == brute.sha(" ".join(map(str, r["ids"])))
-        assert r["decoded_sha256"] == brute.sha(dict(whole)[r["doc_id"]] or "")
-    assert len(out) == len(whole)
+    out = byte_bpe.encoded(spark.createDataFrame(whole, SCHEMA).withColumn("ids", F.lit("clash")), packed, public_tokenizers.PATTERN, with_ids=True).collect()
+    by = lambda i, ids: (i, len(ids), tuple(ids), brute.sha(" ".join(map(str, ids))))
+    assert counted((*by(r["doc_id"], r["ids"]), r["decoded_sha256"]) for r in out) == counted((*by(i, encoding.encode_ordinary(t or "")), brute.sha(t or "")) for i, t in whole)
+    assert all((r["n_tokens"], r["ids_sha256"]) == (len(r["ids"]), by(0, r["ids"])[3]) for r in out)
 
 
 @pytest.mark.parametrize(("words", "percent", "block"), [(3, 85, None), (5, 80, None), (3, 85, 400)])
