@@ -3,6 +3,8 @@
 import argparse
 from dataclasses import dataclass, fields
 
+from .functions.scalars import SWITCH
+
 
 @dataclass
 class Config:
@@ -45,15 +47,13 @@ class Config:
         """One flag per field (dashes for underscores); unknown flags are ignored."""
         parser = argparse.ArgumentParser(allow_abbrev=False)
         for f in fields(cls):
-            kind = truth if f.type in (bool, "bool") else {"int": int, "float": float}.get(getattr(f.type, "__name__", f.type), str)
+            kind = switch if f.type in (bool, "bool") else {"int": int, "float": float}.get(getattr(f.type, "__name__", f.type), str)
             parser.add_argument("--" + f.name.replace("_", "-"), type=kind, default=f.default)
         return cls(**vars(parser.parse_known_args(args)[0]))
 
 
-def truth(text: str) -> bool:
-    low = text.strip().lower()
-    if low in ("true", "t", "1", "yes", "y"):
-        return True
-    if low in ("false", "f", "0", "no", "n"):
-        return False
-    raise argparse.ArgumentTypeError(f"not a truth value: {text}")
+def switch(word: str) -> bool:
+    try:
+        return SWITCH[word.strip().lower()]
+    except KeyError:
+        raise ValueError(f"expected one of {', '.join(SWITCH)}, not {word!r}") from None

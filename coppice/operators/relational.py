@@ -30,6 +30,8 @@ def first_per_key(df: DataFrame, keys: list[str], order: Sequence[Column]) -> Da
     A least struct, so that map tasks send one row a key and a hot key costs nothing more.
     """
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_best"))
     return best.select(*[c if c in keys else F.col("_best")[c].alias(c) for c in df.columns])
 

@@ -1,16 +1,35 @@
-"""GeoPackage layers as a Spark data source: one task per range of row ids, geometry as WKB.
+"""GeoPackage layers as a Spark data source (one task per so many rows, Arrow batches, geometry as WKB) and as a sink.
 
-A GeoPackage is an SQLite file, so its path must be readable by the executors.
+A GeoPackage is an SQLite file, so its path must be readable by the executors, and one process writes it.
 """
 
 import sqlite3
 import struct
+from contextlib import contextmanager
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 #: Envelope sizes by the code in the header's flags.
 ENVELOPE = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
+#: What SQLite holds (a column's values may differ in type) as what the column declares.
+PLAIN = {"int64": int, "double": float, "string": str, "binary": lambda v: v if isinstance(v, bytes) else str(v).encode(), "bool": bool}
+KINDS = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+#: Rows of an Arrow batch, and of an insertion.
+BATCH = 4096
+
+
+@contextmanager
+def connected(path: str, mode: str = "ro"):
+    """An open GeoPackage, closed in the end; what was written is kept only if nothing failed."""
+    db = sqlite3.connect(f"file:{path}?mode={mode}", uri=True)
+    try:
+        with db:
+            yield db
+    finally:
+        db.close()
 
 
 def wkb(blob: bytes | None) -> bytes | None:
@@ -26,7 +45,7 @@ def header(wkb_bytes: bytes, srid: int) -> bytes:
 
 
 class Rows(InputPartition):
-    def __init__(self, low: int, high: int):
+    def __init__(self, low: int, high: int | None):
         self.low, self.high = low, high
 
 
@@ -37,17 +56,24 @@ def quoted(name: str) -> str:
 class GeoPackageReader(DataSourceReader):
     def __init__(self, path: str, layer: str, schema: StructType, geometry: str | None, rows: int):
         self.path, self.layer, self.columns, self.geometry, self.rows = path, layer, [f.name for f in schema.fields], geometry, rows
+        self.kinds = [KINDS[f.dataType.typeName()] for f in schema.fields]
 
     def partitions(self):
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            low, high = db.execute(f"select min(rowid), max(rowid) from {quoted(self.layer)}").fetchone()
-        return [Rows(a, min(high + 1, a + self.rows)) for a in range(low, high + 1, self.rows)] if low is not None else []
+        """Ranges of row ids that hold ``rows`` rows each, however sparse the ids are."""
+        every = f"select rowid as r, row_number() over (order by rowid) as n from {quoted(self.layer)}"
+        with connected(self.path) as db:
+            starts = [r for (r,) in db.execute(f"select r from ({every}) where (n - 1) % ? = 0 order by r", (self.rows,))]
+        return [Rows(a, b) for a, b in zip(starts, [*starts[1:], None], strict=True)]
 
     def read(self, partition):
         names = ", ".join(map(quoted, self.columns))
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            for row in db.execute(f"select {names} from {quoted(self.layer)} where rowid >= ? and rowid < ?", (partition.low, partition.high)):
-                yield tuple(wkb(v) if n == self.geometry else v for n, v in zip(self.columns, row, strict=True))
+        convert = [wkb if n == self.geometry else PLAIN[str(k)] for n, k in zip(self.columns, self.kinds, strict=True)]
+        end, bounds = ("", (partition.low,)) if partition.high is None else (" and rowid < ?", (partition.low, partition.high))
+        with connected(self.path) as db:
+            rows = db.execute(f"select {names} from {quoted(self.layer)} where rowid >= ?{end} order by rowid", bounds)
+            while some := rows.fetchmany(BATCH):
+                columns = [[None if v is None else c(v) for v in values] for c, values in zip(convert, zip(*some, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, self.kinds, strict=True)], names=self.columns)
 
 
 class GeoPackage(DataSource):
@@ -58,7 +84,7 @@ class GeoPackage(DataSource):
         return "gpkg"
 
     def _layer(self):
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
+        with connected(self.options["path"]) as db:
             layer = self.options.get("layer") or db.execute("select table_name from gpkg_contents order by table_name").fetchone()[0]
             geometry = db.execute("select column_name from gpkg_geometry_columns where table_name = ?", (layer,)).fetchone()
             return layer, geometry and geometry[0], db.execute(f"pragma table_info({quoted(layer)})").fetchall()
@@ -70,6 +96,8 @@ class GeoPackage(DataSource):
             declared = declared.upper()
             if name == geometry or "BLOB" in declared:
                 return BinaryType()
+            if "BOOL" in declared:
+                return BooleanType()
             return LongType() if "INT" in declared else DoubleType() if any(x in declared for x in ("REAL", "DOUBLE", "FLOAT")) else StringType()
 
         return StructType([StructField(name, kind(name, declared)) for _, name, declared, *_ in columns])
@@ -83,3 +111,35 @@ def read_gpkg(spark, path: str, layer: str | None = None):
     spark.dataSource.register(GeoPackage)
     reader = spark.read.format("gpkg").option("path", path)
     return (reader.option("layer", layer) if layer else reader).load()
+
+
+def write_gpkg(df: DataFrame, path: str, layer: str, geometry: str | None = None, srid: int = 4326, kind: str = "GEOMETRY") -> None:
+    """A table as a layer of a new or existing GeoPackage; ``geometry`` is a column of WKB. A layer of that name is replaced.
+
+    The file is written by the driver from a stream of partitions, one in memory at a time. Booleans become
+    0 and 1, and what SQLite has no type for becomes text.
+    """
+    declared, columns = [], []
+    for f in df.schema.fields:
+        name = f.dataType.typeName()
+        if f.name == geometry:
+            declared.append(f"{quoted(f.name)} {kind}")
+        else:
+            declared.append(f"{quoted(f.name)} " + {"double": "DOUBLE", "float": "DOUBLE", "binary": "BLOB", "boolean": "BOOLEAN"}.get(name, "INTEGER" if name in ("long", "integer", "short", "byte") else "TEXT"))
+        plain = name in ("double", "float", "binary", "boolean", "long", "integer", "short", "byte", "string")
+        columns.append(df[f"`{f.name}`"] if plain else df[f"`{f.name}`"].cast("string").alias(f.name))
+    at = next((i for i, f in enumerate(df.schema.fields) if f.name == geometry), None)
+    with connected(path, "rwc") as db:
+        # fixed values: the tables that the format asks for
+        db.execute("pragma application_id = 1196444487")
+        db.execute("create table if not exists gpkg_spatial_ref_sys (srs_name text not null, srs_id integer primary key, organization text not null, organization_coordsys_id integer not null, definition text not null, description text)")
+        db.execute("create table if not exists gpkg_contents (table_name text primary key, data_type text not null, identifier text unique, description text default '', last_change text, min_x double, min_y double, max_x double, max_y double, srs_id integer)")
+        db.execute("create table if not exists gpkg_geometry_columns (table_name text primary key, column_name text not null, geometry_type_name text not null, srs_id integer not null, z tinyint not null, m tinyint not null)")
+        db.execute("insert or ignore into gpkg_spatial_ref_sys values (?, ?, 'EPSG', ?, 'undefined', null)", (f"EPSG:{srid}", srid, srid))
+        db.execute(f"drop table if exists {quoted(layer)}")
+        db.execute(f"create table {quoted(layer)} ({', '.join(declared)})")
+        db.execute("insert or replace into gpkg_contents (table_name, data_type, identifier, srs_id) values (?, ?, ?, ?)", (layer, "features" if geometry else "attributes", layer, srid))
+        if geometry:
+            db.execute("insert or replace into gpkg_geometry_columns values (?, ?, ?, ?, 0, 0)", (layer, geometry, kind, srid))
+        insert = f"insert into {quoted(layer)} values ({', '.join('?' * len(columns))})"
+        db.executemany(insert, ([None if v is None else header(bytes(v), srid) if i == at else bytes(v) if isinstance(v, bytearray) else v for i, v in enumerate(row)] for row in df.select(*columns).toLocalIterator()))

@@ -33,6 +33,14 @@ def missing(manifest_: DataFrame, listing: DataFrame) -> DataFrame:
     return manifest_.join(listing.select(F.col("path").alias("source")), "source", "left_anti")
 
 
+def paired_files(left: DataFrame, right: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """Files of two listings that differ in their extension alone (folder and stem are equal), and how many of the left ones have no partner."""
+    key = F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+    a = left.select(key.alias("key"), F.col(path).alias("left_path"))
+    joined = a.join(right.select(key.alias("key"), F.col(path).alias("right_path")), "key", "left")
+    return joined.where("right_path is not null"), joined.where("right_path is null").agg(F.count("*").alias("n_missing"))
+
+
 def override_document(offset: Column, name: Column, parts: dict[str, Column]) -> Column:
     """A derived configuration as JSON."""
     return F.to_json(F.struct(F.struct(name.alias("name"), offset.alias("altitude_offset"), *[c.alias(k) for k, c in parts.items()]).alias("project")))

@@ -1,10 +1,11 @@
 import sqlite3
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coppice.sources import files, gpkg, sinks
+from coppice.sources import files, gpkg, rasters, sinks
 from coppice.streaming.incremental import ingest
 
 
@@ -57,6 +58,113 @@ def test_geopackage(spark, tmp_path):
     assert got[4]["height"] == 2.5
 
 
+def test_geopackage_round_trip(spark, tmp_path):
+    path = str(tmp_path / "out.gpkg")
+    point = lambda x: struct.pack("<BIdd", 1, 1, float(x), 4.0)
+    rows = [(10**i if i < 12 else -i, bytearray(point(i)), f"s{i}" if i % 3 else None, i / 4, i % 2 == 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "n long, geom binary, species string, height double, live boolean").repartition(3)
+    gpkg.write_gpkg(df, path, "trees", "geom", 32610)
+    gpkg.write_gpkg(df.select("n", "species").limit(2), path, "names")
+    gpkg.write_gpkg(df, path, "trees", "geom", 32610)  # replaces the layer
+    spark.dataSource.register(gpkg.GeoPackage)
+    got = spark.read.format("gpkg").option("path", path).option("layer", "trees").option("rows", 6).load()
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted((r["n"], bytes(r["geom"]), r["species"] or "", r["height"], r["live"]) for r in got.collect()) == sorted((n, bytes(g), s or "", h, v) for n, g, s, h, v in rows)
+    assert gpkg.read_gpkg(spark, path, "names").count() == 2
+    gpkg.write_gpkg(df.limit(0), path, "none", "geom")
+    assert gpkg.read_gpkg(spark, path, "none").count() == 0
+
+
+def tiff(samples, order="<", tile=None, deflate=False, predictor=1, geo=True, nodata=None) -> bytes:
+    """A small writer of TIFF files, for the tests."""
+    import zlib
+
+    high, wide, bands = samples.shape
+    size = samples.dtype.itemsize
+    code = {"u": 1, "i": 2, "f": 3}[samples.dtype.kind]
+    pieces = []
+    if tile:
+        for r in range(0, high, tile):
+            for c in range(0, wide, tile):
+                full = np.zeros((tile, tile, bands), samples.dtype)
+                part = samples[r : r + tile, c : c + tile]
+                full[: part.shape[0], : part.shape[1]] = part
+                pieces.append(full)
+    else:
+        pieces = [samples[r : r + 3] for r in range(0, high, 3)]
+    coded = []
+    for x in pieces:
+        if predictor == 2:
+            x = np.concatenate([x[:, :1], np.diff(x, axis=1)], axis=1)
+        raw = x.astype(x.dtype.newbyteorder(order)).tobytes()
+        coded.append(zlib.compress(raw) if deflate else raw)
+    body, places = b"", []
+    for x in coded:
+        places.append(8 + len(body))
+        body += x + b"\0" * (len(x) % 2)
+    at, size_ = ((324, 325), [(322, 3, [tile]), (323, 3, [tile])]) if tile else ((273, 279), [(278, 3, [3])])
+    tags = [(256, 4, [wide]), (257, 4, [high]), (258, 3, [8 * size] * bands), (259, 3, [8 if deflate else 1]), (277, 3, [bands]), (317, 3, [predictor]), (339, 3, [code] * bands), (at[0], 4, places), (at[1], 4, [len(x) for x in coded]), *size_]
+    if geo:
+        tags += [(33550, 12, [2.0, 2.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 100.0, 500.0, 0.0])]
+    if nodata is not None:
+        tags.append((42113, 2, f"{nodata}\0".encode()))
+    form = {2: "s", 3: "H", 4: "I", 12: "d"}
+    tags.sort(key=lambda t: t[0])
+    directory, extra = struct.pack(order + "H", len(tags)), b""
+    start = 8 + len(body)
+    after = start + 2 + 12 * len(tags) + 4
+    for tag, kind, values in tags:
+        packed = values if kind == 2 else struct.pack(order + form[kind] * len(values), *values)
+        if len(packed) <= 4:
+            cell = packed.ljust(4, b"\0")
+        else:
+            cell = struct.pack(order + "I", after + len(extra))
+            extra += packed + b"\0" * (len(packed) % 2)
+        directory += struct.pack(order + "HHI", tag, kind, len(values)) + cell
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, start)
+    return head + body + directory + struct.pack(order + "I", 0) + extra
+
+
+def test_rasters(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 60000, (10, 7, 1)).astype(np.uint16)
+    two = rng.normal(size=(9, 20, 2)).astype(np.float32)
+    two[0, 0, 0], two[1, 1, 1] = -9999, np.nan
+    three = rng.integers(0, 2**31, (4, 5, 1)).astype(np.uint32)
+    for name, data in (("a.tif", tiff(one, deflate=True, predictor=2)), ("b.tif", tiff(two, order=">", tile=16, nodata=-9999)), ("c.tif", tiff(three, geo=False))):
+        (tmp_path / name).write_bytes(data)
+    cells = rasters.geotiff(spark, f"{tmp_path}/*.tif").withColumn("name", F.regexp_extract("path", r"(\w)\.tif$", 1)).collect()
+    for name, want in (("a", one), ("b", two), ("c", three)):
+        got = {(r["row"], r["col"], r["band"] - 1): r for r in cells if r["name"] == name}
+        assert len(got) == want.size
+        for at, r in got.items():
+            v = float(want[at])
+            assert r["value"] is None if np.isnan(v) or v == -9999 else r["value"] == v
+            assert (r["x"], r["y"]) == ((None, None) if name == "c" else (100 + 2 * at[1] + 1, 500 - 2 * at[0] - 1))
+    kept, skipped = rasters.of_type(rasters.sample_types(spark, f"{tmp_path}/*.tif"))
+    assert [r["width"] for r in kept.collect()] == [5]
+    assert {(r["type"], r["n_skipped"]) for r in skipped.collect()} == {("uint16", 1), ("float32", 1)}
+
+
+def test_images(spark, tmp_path):
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\x01\x02\x03\x04\x05\x06")) + chunk(b"IEND", b"")
+    (tmp_path / "p.png").write_bytes(png)
+    (tmp_path / "q.png").write_bytes(b"no image")
+    (row,) = rasters.images(spark, str(tmp_path)).collect()
+    assert (row["width"], row["height"], row["channels"], bytes(row["data"])) == (2, 1, 3, b"\x03\x02\x01\x06\x05\x04")
+
+
+def test_paired_files(spark):
+    left = spark.createDataFrame([("/m/a.tif",), ("/m/b.x.tif",), ("/m/c.tif",)], "path string")
+    right = spark.createDataFrame([("/m/a.JPG",), ("/m/b.x.jpg",), ("/n/c.jpg",)], "path string")
+    pairs, missing = sinks.paired_files(left, right)
+    assert sorted((r["left_path"], r["right_path"]) for r in pairs.collect()) == [("/m/a.tif", "/m/a.JPG"), ("/m/b.x.tif", "/m/b.x.jpg")]
+    assert missing.first()["n_missing"] == 1
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("train", "a", "/old/1.png"), ("val", "b", "/else/2.png")], "split string, class string, path string")
     listed = sinks.manifest(df, "path", "/old/", "/new/", ["split", "class"])
