@@ -63,7 +63,7 @@ class GeoPackageReader(DataSourceReader):
         every = f"select rowid as r, row_number() over (order by rowid) as n from {quoted(self.layer)}"
         with connected(self.path) as db:
             starts = [r for (r,) in db.execute(f"select r from ({every}) where (n - 1) % ? = 0 order by r", (self.rows,))]
-        return [Rows(a, b) for a, b in zip(starts, [*starts, None][1:], strict=True)]
+        return [Rows(a, b) for a, b in zip(starts, [*starts, None][1:], strict=True)] or [Rows(0, 0)]
 
     def read(self, partition):
         names = ", ".join(map(quoted, self.columns))
