@@ -80,7 +80,7 @@ def spliced(text: str, encode, chunk: int, overlap: int) -> list[int]:
     return done + [t[0] for t in left]
 
 
-def token_counts(docs: DataFrame, model: str, text: str = "text", huge: int = 1 << 16, chunk: int = 1 << 15, overlap: int = 1 << 10, known: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, model: str, text: str = "text", huge: int = 1 << 14, chunk: int = 1 << 13, overlap: int = 1 << 9, known: int = 400_000) -> DataFrame:
     """``docs`` without ``text`` plus ``n_bytes`` and ``n_tokens``; ``model`` is the content of a tokenizer's JSON file.
 
     ``known`` bounds the table of pieces already counted.
