@@ -225,7 +225,9 @@ def test_repeated_bytes(spark, docs, frame, monkeypatch):
     want = counted((i, *r) for (i, _), r in zip(docs, brute.repeated([t for _, t in docs], 200), strict=True))
     got = lambda: counted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in lpf_dedup.removed(frame.withColumn("spans", F.lit(1))).collect())
     assert got() == want
-    monkeypatch.setattr(lpf_dedup, "CONTEXTS", 2)
+    monkeypatch.setattr(lpf_dedup, "CONTEXTS", 2)  # keys are divided under longer grams
+    monkeypatch.setattr(lpf_dedup, "CHUNK", 1500)  # texts are worked through in pieces
+    monkeypatch.setattr(lpf_dedup, "HOT_COPIES", 2)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert got() == want
     assert lpf_dedup.removed(frame.limit(0)).count() == 0

@@ -64,3 +64,24 @@ def test_queries_on_tables(spark, tables):
     for name, query in queries.queries().items():
         n = query(spark, sf_dir).count()
         assert n == (1 if name.startswith("op3_") else len(rows)), name
+
+
+def test_empty_tables(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    labels, benchmark = "doc_id long, quality int, toxic int", "item_id long, text string"
+
+    def made(name, docs, marks, items):
+        spark.createDataFrame(docs, columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(marks, labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame(items, benchmark).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        return f"{tmp_path}/{name}"
+
+    assert corpus_pipeline.run(spark, made("none", [], [], [])).collect() == []
+    docs = [(i, t, None, None, None) for i, t in enumerate(["one two three", None, "", "one two three", "another text"])]
+    # without labels every text has the score 0.5 and stays; without benchmark nothing is cut
+    rows = corpus_pipeline.run(spark, made("unlabelled", docs, [], [])).collect()
+    assert sorted(r["doc_id"] for r in rows) == [0, 1, 2, 4]
+    assert {r["doc_id"]: r["decoded_sha256"] for r in rows} == {i: brute.sha(docs[i][1] or "") for i in (0, 1, 2, 4)}
+    for name, query in queries.queries().items():
+        if not name.startswith("op3_"):
+            assert query(spark, f"{tmp_path}/none").count() == 0, name
