@@ -96,6 +96,76 @@ def test_greedy_match(spark):
     assert rows(pairwise.greedy_match(spark.createDataFrame(data, edges.schema))) == sorted(want)
 
 
+def test_chains_are_finished_in_parts(spark, monkeypatch):
+    """Ever nearer neighbours: each round of mutual bests would match one pair."""
+    monkeypatch.setattr(pairwise, "ROUNDS", 2)
+    chain = [("g", k // 2 + k % 2, k // 2, 100.0 - k) for k in range(40)]  # l0-r0, l1-r0, l1-r1, ...
+    want, used = [], set()
+    for g, a, b, dist in sorted(chain, key=lambda e: e[3]):
+        if ("l", a) not in used and ("r", b) not in used:
+            used |= {("l", a), ("r", b)}
+            want.append((g, a, b, dist))
+    df = spark.createDataFrame(chain, "ds string, left_id long, right_id long, dist double")
+    assert rows(pairwise.greedy_match(df)) == sorted(want)
+    boxes = [("g", i, float(i), i * 1.0, 0.0, i + 1.5, 1.0) for i in range(30)] + [("g", 99, 1.0, 500.0, 0.0, 501.0, 1.0)]
+    df = spark.createDataFrame(boxes, "ds string, id long, score double, minx double, miny double, maxx double, maxy double")
+    assert sorted(r["id"] for r in pairwise.suppressed(df, 0.3, 3.0).collect()) == [*range(1, 30, 2), 99]
+
+
+def test_huge_heights_make_classes_not_cells(spark):
+    rng = random.Random(6)
+    data = [("g", i, rng.uniform(0, 50), rng.uniform(0, 50), rng.uniform(1, 30)) for i in range(80)] + [("g", 900, 25.0, 25.0, 1e6), ("g", 901, 1e7, 0.0, 2.0)]
+    df = spark.createDataFrame(data, "ds string, id long, x double, y double, h double")
+    far = lambda a, b: ((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) ** 0.5
+    want = [a[1] for a in data if not any(b[4] > a[4] and far(a, b) < (b[4] - a[4]) * 0.1 + 1 for b in data)]
+    assert sorted(r["id"] for r in pairwise.overstory(df).collect()) == sorted(want)
+    want = [a[1] for a in data if not any(far(a, b) <= 0.3 * a[4] + 0.25 and (b[4], -b[1]) > (a[4], -a[1]) for b in data)]
+    assert sorted(r["id"] for r in pairwise.local_maxima(df, 0.0, 0.3, 0.25).collect()) == sorted(want)
+
+
+def test_ranks_and_sums_over_hot_keys(spark):
+    rng = random.Random(7)
+    data = [(None if i % 9 == 0 else "hot" if i % 3 else f"k{i % 5}", i * 7919 % 1009, rng.randrange(4)) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, o long, w long").repartition(7)
+    want = []
+    for key in {d[0] for d in data}:
+        total = 0
+        for n, (k, o, w) in enumerate(sorted((d for d in data if d[0] == key), key=lambda d: d[1]), 1):
+            want.append((str(k), o, w, n, total))
+            total += w
+    got = relational.running(df, ["k"], [F.col("o")], "w").collect()
+    assert sorted((str(r["k"]), r["o"], r["w"], r["_rank"], r["_before"]) for r in got) == sorted(want)
+    medians = {r["k"]: r["_p"] for r in aggregates.percentiles(df, ["k"], F.col("o").cast("double"), [0.0, 0.37, 0.5]).collect()}
+    for key in medians:
+        assert medians[key] == pytest.approx(np.quantile([d[1] for d in data if d[0] == key], [0.0, 0.37, 0.5]).tolist())
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from coppice.operators import graph
+
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, plain=graph.written: tables.append(1) or plain(df))
+    roots = graph.components(spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {r["root"] for r in roots.collect()} == {0}
+    assert roots.count() == 401
+    assert len(tables) < 3 * 20
+
+
+def test_equal_scores_go_to_the_first_trial(spark):
+    scores = spark.createDataFrame([(5, 0.25, 1), (3, 0.25, 1), (4, 0.5, 1)], "trial long, score double, n_val long")
+    assert search.best_trial(scores).first()["trial"] == 3
+
+
+def test_outlines(spark):
+    grid = ["111", "101", "111", "001"]
+    cells = spark.createDataFrame([(r, c, int(v)) for r, line in enumerate(grid) for c, v in enumerate(line)], "row long, col long, id int")
+    (row,) = raster.outlines(raster.components(cells)).collect()
+    assert (row["n_cells"], len(row["rings"])) == (9, 2)
+    outer, hole = sorted(row["rings"], key=len, reverse=True)
+    assert [(p["x"], p["y"]) for p in outer] == [(0, 0), (3, 0), (3, 4), (2, 4), (2, 3), (0, 3), (0, 0)]
+    assert {(p["x"], p["y"]) for p in hole} == {(1, 1), (2, 1), (2, 2), (1, 2)}
+
+
 def test_suppression(spark):
     rng = random.Random(5)
     data = [("g", i, float(rng.randrange(4)), x := rng.uniform(0, 10), y := rng.uniform(0, 10), x + rng.uniform(1, 4), y + rng.uniform(1, 4)) for i in range(30)]
