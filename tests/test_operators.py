@@ -211,6 +211,25 @@ def test_pursuit(spark):
     assert search.pursuit(df.limit(0), 4).count() == 0
 
 
+def test_pursuit_equals_a_plain_one(spark):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(15, 7))
+    target = a.sum(axis=0)
+    rest, chosen, weights = target.copy(), [], np.zeros(0)
+    while len(chosen) < 5:
+        best = int(np.argmax(np.abs(a @ rest)))
+        if best in chosen:
+            break
+        chosen.append(best)
+        some = a[chosen]
+        gram = some @ some.T + (np.eye(len(chosen)) if len(chosen) > 1 else 0)
+        weights = np.linalg.solve(gram, some @ target)
+        rest = target - weights @ some
+    got = {r["id"]: r["weight"] for r in search.pursuit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id long, vector array<double>"), 5).collect()}
+    assert {i: got[i] for i in chosen} == pytest.approx(dict(zip(chosen, weights, strict=True)))
+    assert len(got) == 5
+
+
 def test_split_is_balanced(spark):
     plots = spark.range(12).select(F.col("id").alias("plot"), F.lit(1).alias("w"))
     counts = spark.range(12).select(F.col("id").alias("plot"), (F.col("id") % 2).alias("label"), F.lit(3).alias("n"))
