@@ -9,12 +9,13 @@ from ..functions.lineage import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); a root is the least node of its component.
 
-    In each round nodes draw lots by a hash that differs from round to round, every node points to the
-    one with the least lot among itself and its neighbours, and the edges move to what their ends
-    point to, until none joins two nodes. A node's own edge to what it points to moves along, so
-    nothing comes apart. Each round merges a share of the nodes that does not hang on how they are
-    numbered (in a chain numbered from end to end, pointing to the least number would merge one), so
-    the expected rounds are logarithmic, and the edges shrink. An empty table has no nodes.
+    In each round every node points to the one with the least lot among itself and its neighbours, and
+    the edges move to what their ends point to, until none joins two nodes. A node's own edge to what it
+    points to moves along, so nothing comes apart. In odd rounds a node's lot is its number, which
+    merges stars at once; in even rounds it is a hash that differs from round to round, which merges a
+    share of the nodes however they are numbered (in a chain numbered from end to end, the least
+    number would merge one). So the expected rounds are logarithmic, and the edges shrink. An empty
+    table has no nodes.
     """
     now = written(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if now.isEmpty():
@@ -22,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     roots, turn = None, 0
     while True:
         turn += 1
-        lot = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("lot"), F.col(c).alias("at"))  # noqa: B023, E731
+        lot = lambda c: F.struct((F.col(c) if turn % 2 else F.xxhash64(F.col(c), F.lit(turn))).alias("lot"), F.col(c).alias("at"))  # noqa: B023, E731
         both = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), lot("b").alias("beside")), F.struct(F.col("b").alias("node"), lot("a").alias("beside")))).alias("_e")).select("_e.*")
         to = written(both.groupBy("node").agg(F.least(lot("node"), F.min("beside"))["at"].alias("to")))
         if roots is None:
