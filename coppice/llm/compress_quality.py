@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLA
     spark, docs, labels = docs.sparkSession, picked(docs, "doc_id", "text"), picked(labels, "doc_id", label)
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     # only ids come to the driver, at most ``per_class`` of each class
-    there = docs.where(F.col("text").isNotNull()).select("doc_id").distinct()
+    there = docs.where(F.col("text").isNotNull()).select("doc_id")
     chosen = []
     for c in (0, 1):
         rows = known.where(F.col("_label") == c).join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id").collect()
