@@ -179,11 +179,11 @@ def sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def linked(node: np.ndarray, group: np.ndarray, probe: np.ndarray, members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A forest of confirmed links between nodes of different groups, at least one of which is a probe.
+def linked(group: np.ndarray, probe: np.ndarray, members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """What confirmed links between sets of different groups, at least one of them a probe, make of the groups: (least, other) of each joint class.
 
-    Sets are compared through their shingles' postings, one node against all before it; a link inside
-    one class adds nothing and is not reported.
+    Sets are compared through their shingles' postings, one node against all before it. Stars and not the
+    links themselves are reported, so that few rounds unite what several tasks have found.
     """
     order = np.argsort([len(x) for x in members], kind="stable")
     sizes = np.array([len(members[i]) for i in order], np.int64)
@@ -203,7 +203,6 @@ def linked(node: np.ndarray, group: np.ndarray, probe: np.ndarray, members: list
 
     place = np.empty(len(flat_values), np.int64)  # where a shingle's own entry stands in its posting list
     place[by] = np.arange(len(by))
-    out = []
     for k in range(1, len(order)):
         mine = slice(offsets[k], offsets[k + 1])
         low, high = bounds[ids[mine]], place[mine]
@@ -220,12 +219,11 @@ def linked(node: np.ndarray, group: np.ndarray, probe: np.ndarray, members: list
                 a, b = root(int(group[i])), root(int(group[me]))
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-                    out.append((int(node[i]), int(node[me])))
-    return out
+    return [(least, g) for g in list(parent) if (least := root(g)) != g]
 
 
 def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) of each task; ``tasks``: task, node, group, probe, _set. A task's rows fit one worker; a node may come twice."""
+    """Groups (a, b) that links of each task join; ``tasks``: task, node, group (a node), probe, _set. A task's rows fit one worker; a node may come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, {}
@@ -233,7 +231,7 @@ def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
         def done():
             if len(held) > 1:
                 rows = list(held.values())
-                links = linked(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [np.frombuffer(r[3], np.uint64) for r in rows], percent)
+                links = linked(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows], percent)
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
@@ -242,7 +240,7 @@ def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
                 if name != task:
                     yield from done()
                     task, held = name, {}
-                held[node] = (node, group, probe or (node in held and held[node][2]), set_)
+                held[node] = (group, probe or (node in held and held[node][1]), set_)
         yield from done()
 
     return tasks.select("task", "node", "group", "probe", "_set").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
