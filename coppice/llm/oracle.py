@@ -82,3 +82,23 @@ def near_duplicates(n: int = 3, percent: int = 85) -> str:
   m AS (SELECT node, min(reach) AS least FROM r GROUP BY node)
   SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m.least, d.doc_id)) AS kept
   FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id"""
+
+
+def vector_codes(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """One CTE for each assignment and each round's codebooks; vectors of one length that ``parts`` divides are assumed."""
+    nearest = lambda k: f"""a{k} AS MATERIALIZED (SELECT id, part, min_by(entry, dist * {entries} + entry) AS entry, min(dist) AS dist
+    FROM (SELECT v.id, v.part, c.entry, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM v JOIN b{k} c ON c.part = v.part) q GROUP BY id, part)"""
+    # a floor, as integer division goes towards zero
+    moved = lambda k: f"""s{k} AS (SELECT a.part, a.entry, place, sum(v.x[place]) AS s, count(*) AS n FROM a{k} a JOIN v ON v.id = a.id AND v.part = a.part, unnest(range(1, len(v.x) + 1)) AS u(place) GROUP BY 1, 2, 3),
+  m{k} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS x FROM s{k} GROUP BY 1, 2),
+  b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry)"""
+    steps = ",\n  ".join(f"{nearest(k)},\n  {moved(k)}" for k in range(rounds))
+    return f"""WITH e AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  v AS MATERIALIZED (SELECT id, part, x[part * (len(x) // {parts}) + 1:(part + 1) * (len(x) // {parts})] AS x FROM e, unnest(range({parts})) AS p(part)),
+  b0 AS MATERIALIZED (SELECT part, id - 1 AS entry, x FROM v WHERE id <= {entries}),
+  {steps},
+  {nearest(rounds)},
+  r AS (SELECT id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY id),
+  h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS books FROM b{rounds})
+  SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT books FROM h) AS codebooks_sha256 FROM e JOIN r ON r.id = e.id"""

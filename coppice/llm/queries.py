@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_quality, fm_decontam, gru_langid, lpf_dedup, media, oracle, tag_paths, tensor_minhash, token_count, trigram_secrets
+from . import byte_bpe, compress_quality, fm_decontam, gru_langid, lpf_dedup, media, oracle, tag_paths, tensor_minhash, token_count, trigram_secrets, vector_codes
 from .common import held_out, table, written
 
 
@@ -80,9 +80,32 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fm_index_decontamination, op2_interleaved_media, op3_tag_path_ratios, op4_gru_language, op5_longest_previous_factors, op6_compression_quality, op7_overlap_token_counts, op8_trigram_secrets, op9_matrix_byte_bpe, op10_tensored_minhash)}
+    every = (
+        op1_fm_index_decontamination,
+        op2_interleaved_media,
+        op3_tag_path_ratios,
+        op4_gru_language,
+        op5_longest_previous_factors,
+        op6_compression_quality,
+        op7_overlap_token_counts,
+        op8_trigram_secrets,
+        op9_matrix_byte_bpe,
+        op10_tensored_minhash,
+        op11_vector_codes,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_fm_index_decontamination": oracle.decontamination(), "op2_interleaved_media": oracle.media(), "op8_trigram_secrets": oracle.secrets(), "op10_tensored_minhash": oracle.near_duplicates()}
+    return {
+        "op1_fm_index_decontamination": oracle.decontamination(),
+        "op2_interleaved_media": oracle.media(),
+        "op8_trigram_secrets": oracle.secrets(),
+        "op10_tensored_minhash": oracle.near_duplicates(),
+        "op11_vector_codes": oracle.vector_codes(),
+    }
