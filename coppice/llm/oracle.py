@@ -102,3 +102,22 @@ def vector_codes(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: i
   r AS (SELECT id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY id),
   h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS books FROM b{rounds})
   SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT books FROM h) AS codebooks_sha256 FROM e JOIN r ON r.id = e.id"""
+
+
+def prefix_trie(every: int = 20, kinds: int = 4) -> str:
+    """Nodes are lists of (role, text); every subtree is summed by giving a node's share to all of its prefixes."""
+    digits = "list_transform(string_split(CAST(o.conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    step = f"xor(crc >> 8, CAST({crc_table()}[CAST((xor(crc, b) & 255) + 1 AS INTEGER)] AS BIGINT))"
+    crc = f"xor(list_reduce({digits}, lambda crc, b: {step}, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+  o AS MATERIALIZED (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST, sha256(octet_length(encode(r)) || ':' || r || x)) AS own FROM t GROUP BY conv_id),
+  c AS (SELECT o.conv_id, o.own, b.own AS head, CAST({crc} % {kinds} AS INTEGER) AS h FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % {every}),
+  s AS MATERIALIZED (SELECT conv_id, CASE WHEN head IS NULL THEN own[h + 1:] ELSE list_concat(head[1:h], own[h + 1:]) END AS seq FROM c),
+  n AS MATERIALIZED (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = len(seq)) AS ended
+    FROM (SELECT conv_id, seq, d, seq[1:d] AS path FROM s, unnest(range(0, len(seq) + 1)) AS u(d)) q GROUP BY path, d),
+  k AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+  f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.path[n.d].x, '[^\\x20\\x09-\\x0D]+')) END AS saved
+    FROM n LEFT JOIN k ON k.path = n.path AND k.d = n.d),
+  a AS (SELECT f.path[1:u.d] AS path, u.d AS d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved FROM f, unnest(range(0, f.d + 1)) AS u(d) GROUP BY 1, 2)
+  SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, a.n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ended, '')) AS ends_sha256
+  FROM f JOIN a ON a.path = f.path AND a.d = f.d LEFT JOIN f p ON f.d > 0 AND p.d = f.d - 1 AND p.path = f.path[1:f.d - 1]"""
