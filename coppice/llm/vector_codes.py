@@ -133,7 +133,8 @@ def trained(
     df: DataFrame, vector: str = "embedding", key: str = "vec_id", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE
 ) -> Books:
     """The codebooks, as arrays of Python's integers; none if no vector is usable."""
-    all_ = df.where(usable(F.col(vector)) & (F.size(vector) > 0) & (F.size(vector) % parts == 0)).select(key, vector)
+    all_ = picked(df, key, vector)
+    all_ = all_.where(usable(F.col(vector)) & (F.size(vector) > 0) & (F.size(vector) % parts == 0))
     order = [F.col(key).asc_nulls_last(), F.col(vector)]
     head = all_.orderBy(*order).limit(1).collect()
     if not head:
@@ -156,7 +157,7 @@ def coded(df: DataFrame, books: Books, vector: str = "embedding", scale: int = S
 def _coded(df: DataFrame, books: Books, vector: str, scale: int) -> DataFrame:
     keep = [c for c in df.columns if c != vector]
     df = df.where(usable(F.col(vector))).select(*keep, vector)
-    schema = df.select(*keep, F.lit("").alias("code"), F.lit(0).cast("long").alias("error")).schema
+    schema = df.select(*keep, F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error")).schema
     width = books[0].shape[1] if books else 0
     length = len(books) * width
 
