@@ -72,7 +72,7 @@ def secrets() -> str:
   SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in trigram_secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
 
 
-def near_duplicates(n: int = 3, percent: int = 85) -> str:
+def near_duplicates(n: int = 3, percent: int = 85, kept: bool = True) -> str:
     split = words(r"[^\x20\x09-\x0D]+")
     return f"""WITH RECURSIVE d AS (SELECT doc_id, {split} AS ws FROM documents), s AS (SELECT DISTINCT doc_id, unnest({windows(n)}) AS shingle FROM d),
   c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
@@ -80,7 +80,7 @@ def near_duplicates(n: int = 3, percent: int = 85) -> str:
   e AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * p.n >= {percent} * (cx.n + cy.n - p.n)),
   g AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), r AS (SELECT x AS node, x AS reach FROM g UNION SELECT r.node, g.y FROM r JOIN g ON r.reach = g.x),
   m AS (SELECT node, min(reach) AS least FROM r GROUP BY node)
-  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m.least, d.doc_id)) AS kept
+  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id{", d.doc_id = least(d.doc_id, coalesce(m.least, d.doc_id)) AS kept" if kept else ""}
   FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id"""
 
 

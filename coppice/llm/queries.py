@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_quality, fm_decontam, gru_langid, lpf_dedup, media, oracle, prefix_trie, tag_paths, tensor_minhash, token_count, trigram_secrets, vector_codes
+from . import byte_bpe, compress_quality, fm_decontam, gru_langid, lpf_dedup, media, metric_join, oracle, prefix_trie, tag_paths, tensor_minhash, token_count, trigram_secrets, vector_codes
 from .common import held_out, table, written
 
 
@@ -84,6 +84,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op12_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.joined(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.shared_heads(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
 
@@ -101,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_matrix_byte_bpe,
         op10_tensored_minhash,
         op11_vector_codes,
+        op12_jaccard_metric_join,
         op13_prefix_trie,
     )
     return {f.__name__: f for f in every}
@@ -113,5 +118,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_trigram_secrets": oracle.secrets(),
         "op10_tensored_minhash": oracle.near_duplicates(),
         "op11_vector_codes": oracle.vector_codes(),
+        "op12_jaccard_metric_join": oracle.near_duplicates(3, 90, kept=False),
         "op13_prefix_trie": oracle.prefix_trie(),
     }
