@@ -16,9 +16,12 @@ a set is in its own ring and the one below. Shingles that many sets hold
 come last in the order (counts over all documents, of a quarter of all shingles by
 hash); the order decides what is compared, never what is found.
 
-Overlapping regions with more than one set are joined together, so that a set moves
-once. Where that is more than a block, it is cut recursively: some sets become
-pivots, everything within r of a pivot is linked to it at once, and pivots that lie
+In a region of few sets all pairs are named, and each is tested by its distances to 64
+(for large sets 256 or 1,024) more pivots, classes of hashes: how many shingles two sets
+have in each of them differs, in sum, by no more than the sets do. That leaves out
+nearly all that meet by chance. What is left, and the larger regions, whose sets are
+mostly copies, are joined where they overlap, so that a set moves once. Where that is more
+than a block, it is cut recursively: some sets become pivots, everything within r of a pivot is linked to it at once, and pivots that lie
 apart make regions. A set belongs to the nearest pivot if that is nearer than
 1 - r, else to the outside; it is also sent wherever a set within r could belong:
 to pivots at most 2r farther away than its nearest, and to the outside if its
@@ -51,6 +54,8 @@ from .tensor_minhash import confirmed, shingle_sets
 
 #: Weight of sets (shingles, LIGHT at least for each) that one task compares.
 BLOCK, LIGHT = 1 << 16, 64
+#: Rows of a region whose pairs are all named.
+FEW = 24
 #: Pivots of a region at most, and how far apart those lie that make regions.
 PIVOTS, APART = 64, 0.5
 #: Shingles that so many sets hold come last; of the counted part of all hashes; at most so many (they are broadcast, 8 bytes each).
@@ -105,18 +110,46 @@ class Sets:
                 yield nodes[pick], values[at], np.concatenate([[0], np.cumsum(sizes[pick])])
 
 
+def classes_of(size: int) -> int:
+    """How many classes of hashes a sketch of a set of this size has; each is four of the finer kind."""
+    return 64 if size < 1 << 11 else 256 if size < 1 << 15 else 1024
+
+
+def sketches(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """How many shingles of each set are in each class, as numbers of 16 bits (counts beyond that stay at the end of the scale)."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        many = classes_of(b - a)
+        # the values themselves decide on order and windows, so classes are of a hash of their own
+        at = mixed(values[a:b] + np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(64 - many.bit_length() + 1)
+        out.append(np.minimum(np.bincount(at.astype(np.int64), minlength=many), 65535).astype("<u2").tobytes())
+    return out
+
+
+def unlike(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of two sets' symmetric difference, by their sketches."""
+    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
+    if len(x) != len(y):
+        x, y = (v.reshape(min(len(x), len(y)), -1).sum(axis=1) for v in (x, y))
+        if max(x.max(), y.max()) >= 65535:
+            return 0
+    return int(np.abs(x - y).sum())
+
+
 def named(docs: DataFrame, key: str, sets: Sets) -> DataFrame:
-    """(key, row, first, second, n_shingles) of every row; the hashes are null for an empty set."""
+    """(key, row, first, second, n_shingles, sketch) of every row; the hashes and the sketch are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offsets in sets.each(batches):
             n = np.diff(offsets)
             both = [pa.array(h, pa.int64(), mask=n == 0) for h in numbers(values, offsets, sets.bits)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), *both, pa.array(n)], names=["id", "row", "first", "second", "n_shingles"])
+            sketch = pa.array(sketches(values, offsets), pa.binary(), mask=n == 0)
+            columns = [part.column("id"), part.column("row"), *both, pa.array(n), sketch]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "first", "second", "n_shingles", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), row_key(key, sets.text).alias("row"), sets.text)
-    return rows.mapInArrow(run, f"id {kind}, row long, first long, second long, n_shingles long")
+    return rows.mapInArrow(run, f"id {kind}, row long, first long, second long, n_shingles long, sketch binary")
 
 
 def crowded(docs: DataFrame, sets: Sets) -> np.ndarray:
@@ -168,10 +201,35 @@ def region_rows(docs: DataFrame, sets: Sets, last: np.ndarray, percent: int) ->
     return docs.select(sets.text).mapInArrow(run, "region long, node long")
 
 
-def met(rows: DataFrame) -> DataFrame:
-    """(a, b): the least set of every region with each other one in it. ``rows`` is written."""
-    shared = rows.groupBy("region").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("region", "a")
-    return rows.join(small(written(shared)), "region").where("a != node").select("a", F.col("node").alias("b"))
+def met(rows: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs whose components hold all near pairs. Of a region of few sets the pairs that are not certainly far from each other,
+    of a larger one the least set with each other one. ``rows`` is written; a region's sets may come several times.
+    """
+    shared = rows.groupBy("region").agg(F.min("node").alias("a"), F.max("node").alias("most"), F.count("*").alias("n"))
+    shared = written(shared.where("a < most").select("region", "a", (F.col("n") <= FEW).alias("few")))
+    rows = rows.join(small(shared), "region")
+    stars = rows.where("not few and a != node").select("a", F.col("node").alias("b"))
+    sets_ = rows.where("few").groupBy("region").agg(F.array_sort(F.collect_set("node")).alias("of"))
+    left = sets_.select("of", F.posexplode("of").alias("i", "a"))
+    pairs = left.select("a", F.explode(F.slice("of", F.col("i") + 2, F.size("of"))).alias("b")).distinct()
+    return stars.unionByName(maybe_near(pairs, names, percent))
+
+
+def maybe_near(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that their sketches do not tell to be farther from each other than links reach."""
+    one = names.where("node is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.max("n_shingles").alias("n"))
+    one = small(written(one))
+    side = lambda s: one.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = [unlike(x.as_py(), y.as_py()) for x, y in zip(batch.column("sketch_a"), batch.column("sketch_b"), strict=True)]
+            total = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
+            near = np.array(bound, np.int64) * (100 + percent) <= total * (100 - percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def standing(docs: DataFrame, key: str, names: DataFrame, sets: Sets, clusters: DataFrame) -> DataFrame:
@@ -367,7 +425,7 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     names = names.withColumn("node", node)
     last = crowded(docs, sets)
     rows = written(region_rows(docs, sets, last, percent))
-    clusters = components(met(rows)).withColumnRenamed("root", "region")
+    clusters = components(met(rows, names, percent)).withColumnRenamed("root", "region")
     members = written(standing(docs, key, names, sets, clusters))
     classes = components(links(members, percent))
     all_ = names.join(small(classes), "node", "left").withColumn("class", F.coalesce("root", "node"))
