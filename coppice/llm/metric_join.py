@@ -186,33 +186,98 @@ def ring(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def region_rows(docs: DataFrame, sets: Sets, last: np.ndarray, percent: int) -> DataFrame:
-    """(region, node): every set in the regions and rings of its window."""
-    session = docs.sparkSession
-    held = session.sparkContext.broadcast(last)
+    """(region, node, crowded): every set in the regions and rings of its window.
+
+    Of a region with many sets of one batch only the least goes on, marked as ``crowded``, and each other one meets it in a region
+    of their own; so the rows of a hot region are few for each batch.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, values, offsets in sets.fresh(batches):
             pivot, owner = windows(values, offsets, held.value, percent)
             at = ring(np.diff(offsets), percent)[owner].view(np.uint64)
-            keys = [mixed(pivot * np.uint64(0x9E3779B97F4A7C15) + at - np.uint64(k)).view(np.int64) for k in (0, 1)]
-            rows = [pa.array(np.concatenate(keys)), pa.array(np.tile(nodes[owner], 2))]
-            yield pa.RecordBatch.from_arrays(rows, names=["region", "node"])
+            region = np.concatenate([mixed(pivot * np.uint64(0x9E3779B97F4A7C15) + at - np.uint64(k)).view(np.int64) for k in (0, 1)])
+            node = np.tile(nodes[owner], 2)
+            order = np.lexsort((node, region))
+            region, node = region[order], node[order]
+            start, size = _runs(region)
+            many = size > FEW
+            first, long = np.repeat(start, size), np.repeat(many, size)
+            crowd = long.copy()
+            stays = ~long | (np.arange(len(region)) == first)
+            pairs = np.unique(np.stack([node[first[~stays]], node[~stays]]), axis=1)
+            own = mixed(mixed(pairs[0].view(np.uint64)) + pairs[1].view(np.uint64)).view(np.int64)
+            columns = [np.concatenate([region[stays], np.repeat(own, 2)]), np.concatenate([node[stays], pairs.T.ravel()]), np.concatenate([crowd[stays], np.ones(2 * len(own), bool)])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["region", "node", "crowded"])
+
+    return docs.select(sets.text).mapInArrow(run, "region long, node long, crowded boolean")
+
+
+def _runs(region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal regions."""
+    start = np.flatnonzero(np.append(True, region[1:] != region[:-1])) if len(region) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(region)))
+
+
+def _pairs(region: np.ndarray, node: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure) of whole regions in order of (region, node): all pairs of small ones, of others the least with each other one."""
+    start, size = _runs(region)
+    star = (size > FEW) | (np.logical_or.reduceat(crowded, start) if len(start) else np.zeros(0, bool))
+    a, b, sure = [], [], []
+    for n in np.unique(size[~star & (size > 1)]).tolist():
+        left, right = np.triu_indices(n, 1)
+        at = start[~star & (size == n)][:, None]
+        a.append(node[at + left].ravel())
+        b.append(node[at + right].ravel())
+        sure.append(np.zeros(len(a[-1]), bool))
+    first = np.repeat(start, size)
+    rest = np.repeat(star, size) & (np.arange(len(region)) != first)
+    a.append(node[first[rest]])
+    b.append(node[rest])
+    sure.append(np.ones(len(b[-1]), bool))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(sure)
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """(a, b, sure) of all regions' sets. A stream in order of regions: a region that goes on is reduced to its least set meanwhile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+
+        def made(parts: tuple) -> pa.RecordBatch:
+            a, b, sure = _pairs(*parts)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], names=["a", "b", "sure"])
 
-    return docs.select(sets.text).mapInArrow(run, "region long, node long")
+        for batch in batches:
+            new = (np.asarray(batch.column("region")), np.asarray(batch.column("node")), batch.column("crowded").to_numpy(zero_copy_only=False))
+            region, node, crowded = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
+            again = np.append(False, (region[1:] == region[:-1]) & (node[1:] == node[:-1]))
+            if again.any():  # the same set from several tasks; what one of them says of the region holds
+                crowded = np.logical_or.reduceat(crowded, np.flatnonzero(~again))
+                region, node = region[~again], node[~again]
+            start, size = _runs(region)
+            if not len(start):
+                continue
+            if size[-1] > FEW:
+                crowded[start[-1]] = True
+                yield made((region, node, crowded))
+                at = slice(start[-1], start[-1] + 1)
+            else:
+                at = slice(start[-1], None)
+                yield made((region[: start[-1]], node[: start[-1]], crowded[: start[-1]]))
+            held = (region[at], node[at], crowded[at])
+        yield made(held)
+
+    return rows.repartition("region").sortWithinPartitions("region", "node").mapInArrow(run, "a long, b long, sure boolean")
 
 
 def met(rows: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs whose components hold all near pairs. Of a region of few sets the pairs that are not certainly far from each other,
-    of a larger one the least set with each other one. ``rows`` is written; a region's sets may come several times.
+    of a larger one the least set with each other one.
     """
-    shared = rows.groupBy("region").agg(F.min("node").alias("a"), F.max("node").alias("most"), F.count("*").alias("n"))
-    shared = written(shared.where("a < most").select("region", "a", (F.col("n") <= FEW).alias("few")))
-    rows = rows.join(small(shared), "region")
-    stars = rows.where("not few and a != node").select("a", F.col("node").alias("b"))
-    sets_ = rows.where("few").groupBy("region").agg(F.array_sort(F.collect_set("node")).alias("of"))
-    left = sets_.select("of", F.posexplode("of").alias("i", "a"))
-    pairs = left.select("a", F.explode(F.slice("of", F.col("i") + 2, F.size("of"))).alias("b")).distinct()
-    return stars.unionByName(maybe_near(pairs, names, percent))
+    found = written(meetings(rows).distinct())
+    return found.where("sure").select("a", "b").unionByName(maybe_near(found.where("not sure").select("a", "b"), names, percent))
 
 
 def maybe_near(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
@@ -424,7 +489,7 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     node = F.when(F.col("first").isin(twice.tolist()), F.col("second")).otherwise(F.col("first")) if len(twice) else F.col("first")
     names = names.withColumn("node", node)
     last = crowded(docs, sets)
-    rows = written(region_rows(docs, sets, last, percent))
+    rows = region_rows(docs, sets, last, percent)
     clusters = components(met(rows, names, percent)).withColumnRenamed("root", "region")
     members = written(standing(docs, key, names, sets, clusters))
     classes = components(links(members, percent))
