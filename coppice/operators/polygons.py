@@ -53,7 +53,7 @@ def ring_edges(rings: DataFrame, by: Sequence[str], ring: str = "ring", hole: st
     """(by, EDGE) of rows with a ring of (x, y) structs, closed or open, and whether it is a hole; rings may turn either way."""
     at = F.transform(ring, lambda p: point(snapped(p["x"].cast("double")), snapped(p["y"].cast("double"))))
     rows = rings.where(F.size(ring) >= 3).select(*by, c(hole).alias("_hole"), at.alias("_at"))
-    nxt = lambda i: F.element_at("_at", i % F.size("_at") + 1)
+    nxt = lambda i: F.try_element_at("_at", i % F.greatest(F.size("_at"), F.lit(1)) + 1)
     pairs = F.transform(F.sequence(F.lit(0), F.size("_at") - 1), lambda i: F.struct(nxt(i).alias("a"), nxt(i + 1).alias("b")))
     twice = F.aggregate("_pairs", F.lit(0.0), lambda s, p: s + p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"])
     rows = rows.withColumn("_pairs", pairs).withColumn("_turn", (twice > 0) == ~F.coalesce("_hole", F.lit(False)))
