@@ -1,16 +1,15 @@
 """Queries over polygons with holes: overlay, dissolve, buffer."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import polygons
-from . import inputs
 from .registry import query, table
 
 CORNERS, HOLE = 12, 0.4
 
 # a star-shaped, concave polygon around every point, with a hole of the same shape; hole edges turn the other way
-_EDGES = f"""r AS (SELECT CAST(label AS BIGINT) AS ds, vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100.0 AS x, CAST(embedding[2] AS DOUBLE) * 100.0 AS y,
+_EDGES = f"""r AS (SELECT CAST(label AS BIGINT) AS ds, vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100.0 + 1000 * (vec_id // 500) AS x, CAST(embedding[2] AS DOUBLE) * 100.0 AS y,
     k, f, m, (2.0 + 20.0 * abs(CAST(embedding[4 + k] AS DOUBLE))) * f AS r0, (2.0 + 20.0 * abs(CAST(embedding[4 + (k + 1) % {CORNERS}] AS DOUBLE))) * f AS r1
     FROM embeddings, unnest(range({CORNERS})) AS u(k), (VALUES (1.0, 1), ({HOLE}, -1)) AS w(f, m)),
   e AS MATERIALIZED (SELECT ds, id, m, x + r0 * cos(2 * pi() * k / {CORNERS}) AS x0, y + r0 * sin(2 * pi() * k / {CORNERS}) AS y0,
@@ -32,15 +31,23 @@ def _area(k: int) -> str:
   a AS (SELECT grp, coalesce(sum(high * wide) FILTER (WHERE wound >= {k}), 0) AS area FROM w GROUP BY grp)"""
 
 
+def _place(e: DataFrame) -> list[Column]:
+    """Where a vector lies: 500 of them to a site, so that a larger table has more sites and not more on one spot."""
+    x, y = (e["embedding"][i].cast("double") * 100.0 for i in (0, 1))
+    return [x + 1000 * F.floor(e["vec_id"] / 500), y]
+
+
 def stars(spark: SparkSession, d: str) -> DataFrame:
     """(ds, id, ring, hole): a polygon with a hole around every point of ``embeddings``."""
     e = table(spark, d, "embeddings")
-    x, y = (F.col("embedding")[i].cast("double") * 100.0 for i in (0, 1))
+    px, py = _place(e)
     angle = lambda k: 2 * F.pi() * k / CORNERS
     radius = lambda k: 2.0 + 20.0 * F.abs(F.element_at("embedding", k + 4).cast("double"))
-    at = lambda k: polygons.point(x + radius(k) * F.col("f") * F.cos(angle(k)), y + radius(k) * F.col("f") * F.sin(angle(k)))
-    rows = e.select(F.col("label").cast("long").alias("ds"), F.col("vec_id").alias("id"), "embedding", F.explode(F.array(F.lit(1.0), F.lit(HOLE))).alias("f"))
-    return rows.select("ds", "id", F.transform(F.sequence(F.lit(0), F.lit(CORNERS - 1)), at).alias("ring"), (F.col("f") < 1).alias("hole"))
+    x = lambda k: F.col("px") + radius(k) * F.col("f") * F.cos(angle(k))
+    y = lambda k: F.col("py") + radius(k) * F.col("f") * F.sin(angle(k))
+    rows = e.select(F.col("label").cast("long").alias("ds"), F.col("vec_id").alias("id"), "embedding", px.alias("px"), py.alias("py"), F.explode(F.array(F.lit(1.0), F.lit(HOLE))).alias("f"))
+    ring = F.transform(F.sequence(F.lit(0), F.lit(CORNERS - 1)), lambda k: polygons.point(x(k), y(k)))
+    return rows.select("ds", "id", ring.alias("ring"), (F.col("f") < 1).alias("hole"))
 
 
 def star_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +76,7 @@ def q74(spark: SparkSession, d: str) -> DataFrame:
 
 
 # inside of a ring, an odd number of edges is passed on the way to the right; near is the distance to an edge
-@query("q75_within_buffer", f"""WITH {_EDGES}, p AS ({inputs.PTS}), b AS (SELECT ds, id, min(x0) - 1 AS minx, min(y0) - 1 AS miny, max(x0) + 1 AS maxx, max(y0) + 1 AS maxy FROM e GROUP BY ds, id),
+@query("q75_within_buffer", f"""WITH {_EDGES}, p AS (SELECT CAST(label AS BIGINT) AS ds, vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100.0 + 1000 * (vec_id // 500) AS x, CAST(embedding[2] AS DOUBLE) * 100.0 AS y FROM embeddings), b AS (SELECT ds, id, min(x0) - 1 AS minx, min(y0) - 1 AS miny, max(x0) + 1 AS maxx, max(y0) + 1 AS maxy FROM e GROUP BY ds, id),
   q AS (SELECT b.ds, b.id, p.id AS point_id, x, y FROM b JOIN p ON p.ds = b.ds AND x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy),
   t AS (SELECT q.*, e.*, greatest(0, least(1, ((q.x - x0) * (x1 - x0) + (q.y - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))) AS t FROM q JOIN e ON e.id = q.id),
   w AS (SELECT id, point_id, sum(CASE WHEN (y0 <= y) <> (y1 <= y) AND x0 + (y - y0) * (x1 - x0) / (y1 - y0) > x THEN 1 ELSE 0 END) % 2 = 1 AS inside,
@@ -77,6 +84,8 @@ def q74(spark: SparkSession, d: str) -> DataFrame:
   SELECT id, point_id FROM w WHERE inside OR d2 <= 1""")
 def q75(spark: SparkSession, d: str) -> DataFrame:
     wide = polygons.region(polygons.offset_edges(star_edges(spark, d), ["ds", "id"], 1.0, steps=64), ["ds", "id"], 1, cell=2.0)
-    points = inputs.points(spark, d).select(F.col("ds").alias("point_ds"), F.col("id").alias("point_id"), "x", "y")
+    e = table(spark, d, "embeddings")
+    x, y = _place(e)
+    points = e.select(F.col("label").cast("long").alias("point_ds"), F.col("vec_id").alias("point_id"), x.alias("x"), y.alias("y"))
     inside = polygons.points_inside(points, wide.withColumn("m", F.lit(1)), ["ds", "id"], cell=2.0)
     return inside.where("ds = point_ds").select("id", "point_id")
