@@ -13,11 +13,11 @@ which x is replicated. (Documents as pivots cannot do this step: nearly all pair
 of texts have no shingle in common, so every distance to them would be 1.) The
 distance to the empty set, |x|, cuts each region into rings of a ratio of 1 / (1 - r);
 a set is in its own ring and the one below. Shingles that many sets hold
-come last in the order (counts over all documents, of a quarter of all shingles by
-hash); the order decides what is compared, never what is found.
+come last in the order (counts over all documents, of three sixteenths of all shingles
+by hash); the order decides what is compared, never what is found.
 
 In a region of few sets all pairs are named, and each is tested by its distances to 64
-(for large sets 256 or 1,024) more pivots, classes of hashes: how many shingles two sets
+(for large sets up to 4,096) more pivots, classes of hashes: how many shingles two sets
 have in each of them differs, in sum, by no more than the sets do. That leaves out
 nearly all that meet by chance. What is left, and the larger regions, whose sets are
 mostly copies, are joined where they overlap, so that a set moves once. Where that is more
@@ -59,7 +59,7 @@ FEW = 24
 #: Pivots of a region at most, and how far apart those lie that make regions.
 PIVOTS, APART = 64, 0.5
 #: Shingles that so many sets hold come last; of the counted part of all hashes; at most so many (they are broadcast, 8 bytes each).
-CROWD, COUNTED, CROWDED = 64, 1 << 62, 1 << 20
+CROWD, COUNTED, CROWDED = FEW, 3 << 60, 1 << 20
 
 _SALTS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -112,7 +112,7 @@ class Sets:
 
 def classes_of(size: int) -> int:
     """How many classes of hashes a sketch of a set of this size has; each is four of the finer kind."""
-    return 64 if size < 1 << 11 else 256 if size < 1 << 15 else 1024
+    return 64 if size < 1 << 11 else 256 if size < 1 << 13 else 1024 if size < 1 << 17 else 4096
 
 
 def sketches(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -418,7 +418,6 @@ def grouped(parts: DataFrame, groups: DataFrame | None) -> DataFrame:
         parts = parts.join(small(groups.withColumnsRenamed({"root": "_root"})), "node", "left").withColumn("group", F.coalesce("_root", "node")).drop("_root")
     else:
         parts = parts.withColumn("group", F.col("node"))
-    parts = written(parts)
     by = parts.groupBy("region", "group").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
     per = by.groupBy("region").agg(F.sum("w").alias("total"), F.max(F.struct("w", "group", "n")).alias("main"), F.sum("n").alias("n"))
     per = per.select("region", "total", F.col("main.group").alias("main"), (F.col("total") - F.col("main.w")).alias("outsiders"), (F.col("n") - F.col("main.n")).alias("many"))
