@@ -17,12 +17,12 @@ def counts_per_group(df: DataFrame, group: str, distinct: str, names: tuple[str,
 def percentiles(df: DataFrame, keys: list[str], value: Column | str, shares: list[float], into: str = "_p") -> DataFrame:
     """Per key an array of exact percentiles, interpolated between neighbours; missing values do not count.
 
-    Rows are ranked by ranges of (key, value) and picked by rank: no buffer holds a group's values.
+    Rows are ranked once, by ranges of (key, value), and picked by rank: no buffer holds a group's values. A group's size is a plain count.
     """
     value = F.col(value) if isinstance(value, str) else value
     some = df.select(*keys, value.alias("_v")).where("_v is not null")
     ranked = running(some, keys, [F.col("_v")])
-    size = ranked.groupBy(*keys).agg(F.max("_rank").alias("_n")).withColumnsRenamed({k: f"_s_{k}" for k in keys})
+    size = some.groupBy(*keys).agg(F.count("*").alias("_n")).withColumnsRenamed({k: f"_s_{k}" for k in keys})
     at = [(F.col("_n") - 1) * s for s in shares]
     place = F.col("_rank") - 1
     picked = ranked.join(size, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys])

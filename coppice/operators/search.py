@@ -1,8 +1,11 @@
 """Balanced splits, orthogonal matching pursuit, selection schedules and parameter grids."""
 
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,11 +95,76 @@ def pursuit(columns: DataFrame, budget: int, key: str = "id", vector: str = "vec
     return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("weight").desc(), key)).cast("long"))
 
 
-def schedule(spark: SparkSession, epochs: int, warm: int, interval: int) -> DataFrame:
-    """Epochs at which a new selection is made."""
-    return spark.range(epochs).select(F.col("id").alias("epoch")).where((F.col("epoch") >= warm) & ((F.col("epoch") - warm) % interval == 0))
+def schedule(runs: DataFrame, epochs: str, warm: int, interval: int) -> DataFrame:
+    """``runs`` with a row for each ``epoch`` (from 0) at which a new selection is made; runs no longer than the warm-up have none."""
+    n = F.col(epochs).cast("long")
+    return runs.where(n > warm).withColumn("epoch", F.explode(F.sequence(F.lit(warm).cast("long"), n - 1, F.lit(interval).cast("long"))))
 
 
 def parameter_grid(spark: SparkSession, **values: list) -> DataFrame:
     """All combinations of a few parameter values."""
     return spark.createDataFrame([tuple(x) for x in product(*values.values())], list(values))
+
+
+def budgeted(sizes: DataFrame, grid: DataFrame, n: str, ratio: str = "ratio") -> DataFrame:
+    """Every row of ``sizes`` with every combination of a parameter grid and the ``budget`` that it leaves of its ``n`` parts."""
+    return sizes.crossJoin(F.broadcast(grid)).withColumn("budget", F.floor(F.col(ratio) * F.col(n)).cast("long"))
+
+
+#: Numbers (items times labels) that a split search sends to its tasks; beyond it trials are scored by joins.
+SEARCHED = 4_000_000
+
+
+def best_of_many(items: DataFrame, counts: DataFrame, key: str, weight: str, label: str, n: str, trials: int = 100_000, share: float = 0.2, seed: int = 35) -> DataFrame:
+    """(trial, score, n_val): the best of very many trials, the same that ``best_trial(balanced_split(...))`` finds.
+
+    The items' counts by label go to the tasks as one matrix (if it has at most SEARCHED numbers), trials are dealt out. A
+    block of trials is an indicator matrix, whose product with the counts gives all validation sums; a task sends its best trial, so no row of
+    a trial and an item is ever made or shuffled. Keys are expected once; items without counts weigh all the same.
+    """
+    spark = items.sparkSession
+    size = items.agg(F.count("*").alias("n")).crossJoin(counts.agg(F.countDistinct(label).alias("m"))).first()
+    if size["n"] * max(1, size["m"]) > SEARCHED:
+        return best_trial(balanced_split(items, counts, key, weight, label, n, trials, share, seed))
+    plots = items.select(F.col(key).cast("string").alias("k"), F.col(weight).cast("double").alias("w")).where("k is not null").orderBy("k").toPandas()
+    table = counts.groupBy(F.col(key).cast("string").alias("k"), F.col(label).alias("l")).agg(F.sum(n).cast("double").alias("n")).toPandas()
+    at = {k: i for i, k in enumerate(plots["k"])}
+    labels = {x: i for i, x in enumerate(table["l"].unique())}
+    matrix = np.zeros((len(plots), len(labels)))
+    total = np.zeros(len(labels))
+    for k, x, m in table.itertuples(index=False):
+        total[labels[x]] += m
+        if k in at:
+            matrix[at[k], labels[x]] += m
+    held = spark.sparkContext.broadcast((plots["k"].tolist(), plots["w"].to_numpy(), matrix, total, int(np.floor(plots["w"].sum() * share))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, weights, matrix, total, target = held.value
+        keys = [f":{k}".encode() for k in keys]
+        best = None
+        for batch in batches:
+            numbers = batch.column(0).to_pylist()
+            for i in range(0, len(numbers), 256):
+                block = numbers[i : i + 256]
+                chosen = np.zeros((len(block), len(keys)))
+                for row, trial in zip(chosen, block, strict=True):
+                    head = f"{seed}:{trial}".encode()
+                    draw = np.frombuffer(b"".join([md5(head + k, usedforsecurity=False).digest() for k in keys]), ">u8").reshape(-1, 2)
+                    order = np.lexsort((draw[:, 1], draw[:, 0]))
+                    before = np.cumsum(weights[order]) - weights[order]
+                    row[order[(before < target) | (np.arange(len(order)) == 0)]] = 1
+                val = chosen @ matrix
+                train = total - val
+                sums, rest = val.sum(axis=1), train.sum(axis=1)
+                fit = np.flatnonzero((sums > 0) & (rest > 0))
+                gap = val[fit] / sums[fit, None] - train[fit] / rest[fit, None]
+                score = np.round((gap * gap).sum(axis=1), 9)
+                found = [(float(s), block[j], int(sums[j])) for s, j in zip(score, fit.tolist(), strict=True)]
+                best = min(found + ([best] if best else []), default=best)
+        if best:
+            columns = [pa.array([best[1]], pa.int64()), pa.array([best[0]]), pa.array([best[2]], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["trial", "score", "n_val"])
+
+    pieces = max(8, min(4096, trials // 2000))
+    tried = spark.range(0, trials, 1, pieces).mapInArrow(run, "trial long, score double, n_val long")
+    return best_trial(tried)

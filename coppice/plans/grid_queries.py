@@ -74,9 +74,9 @@ _CUBE = "CASE WHEN abs({0}) <= 1 THEN (1.5::DOUBLE * abs({0}) - 2.5) * abs({0})
 @query("q78_grid_cubic", f"""WITH {_WHOLE}, x AS (SELECT i, 0.3::DOUBLE + (i + 0.5) * 0.7 AS at, CAST(floor(0.3::DOUBLE + (i + 0.5) * 0.7) AS BIGINT) AS home FROM (SELECT unnest(range(-2, 145)) AS i) q),
   f AS (SELECT a.i AS r, b.i AS c, a.at AS y, b.at AS x, a.home AS hr, b.home AS hc FROM s JOIN x a ON a.home = s.row JOIN x b ON b.home = s.col), o AS (SELECT unnest(range(-2, 3)) AS o),
   w AS (SELECT r, c, value, ({_CUBE.format("(y - 0.5 - s.row)")}) * ({_CUBE.format("(x - 0.5 - s.col)")}) AS w FROM f, o p, o q, s WHERE s.row = hr + p.o AND s.col = hc + q.o)
-  SELECT r AS row, c AS col, round(sum(w * value) / sum(w), 4) AS value FROM w WHERE w <> 0 GROUP BY r, c""")
+  SELECT r AS row, c AS col, round(sum(w * value) / sum(w), 2) AS value FROM w WHERE w <> 0 GROUP BY r, c""")
 def q78_cubic(spark: SparkSession, d: str) -> DataFrame:
-    return grids.cubic(_whole(spark, d), FINE._replace(size=1.0), COARSE._replace(size=0.7)).withColumn("value", F.round("value", 4))
+    return grids.cubic(_whole(spark, d), FINE._replace(size=1.0), COARSE._replace(size=0.7)).withColumn("value", F.round("value", 2))
 
 
 @query("q79_peak_chips", f"""WITH {_PEAKS}, b AS (SELECT row * 2147483648 + col AS chip, greatest(row - 5, 0) AS row0, greatest(col - 5, 0) AS col0, row + 6 AS row1, col + 6 AS col1 FROM t),

@@ -162,8 +162,9 @@ def q40(spark: SparkSession, d: str) -> DataFrame:
     return boxes(spark, d).select("id", *spatial.padded_box(tuple(map(F.col, spatial.BOX)), 0.02, F.lit(45), F.lit(1500)))
 
 
-_SCORES = f"""WITH i AS (SELECT plot, species, count(*) AS n FROM ({inputs.INV}) z GROUP BY 1, 2), w AS (SELECT s_suppkey AS plot, 1 + s_suppkey % 3 AS weight FROM supplier),
-  t AS (SELECT unnest(range(200)) AS trial), o AS (SELECT trial, plot, weight, sum(weight) OVER (PARTITION BY trial ORDER BY md5('35:' || trial || ':' || plot), plot ROWS UNBOUNDED PRECEDING) - weight AS before,
+def split_scores(trials: int) -> str:
+    return f"""WITH i AS (SELECT plot, species, count(*) AS n FROM ({inputs.INV}) z GROUP BY 1, 2), w AS (SELECT s_suppkey AS plot, 1 + s_suppkey % 3 AS weight FROM supplier),
+  t AS (SELECT unnest(range({trials})) AS trial), o AS (SELECT trial, plot, weight, sum(weight) OVER (PARTITION BY trial ORDER BY md5('35:' || trial || ':' || plot), plot ROWS UNBOUNDED PRECEDING) - weight AS before,
     row_number() OVER (PARTITION BY trial ORDER BY md5('35:' || trial || ':' || plot), plot) AS rn FROM t CROSS JOIN w),
   v AS (SELECT trial, plot FROM o WHERE before < (SELECT CAST(floor(sum(weight) * 0.2) AS BIGINT) FROM w) OR rn = 1),
   a AS (SELECT species, sum(n) AS n_all FROM i GROUP BY 1), s AS (SELECT trial, species, sum(n) AS nv FROM v JOIN i USING (plot) GROUP BY 1, 2),
@@ -171,6 +172,9 @@ _SCORES = f"""WITH i AS (SELECT plot, species, count(*) AS n FROM ({inputs.INV})
   g AS (SELECT trial, nv, nv / nullif(sum(nv) OVER (PARTITION BY trial), 0) - (n_all - nv) / nullif(sum(n_all - nv) OVER (PARTITION BY trial), 0) AS gap FROM f)"""
 
 
+_SCORES = split_scores(200)
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     plots = table(spark, d, "supplier").select(F.col("s_suppkey").alias("plot"), (1 + F.col("s_suppkey") % 3).alias("weight"))
     counts = inputs.inventory(spark, d).groupBy("plot", "species").agg(F.count("*").alias("n"))
@@ -198,14 +202,20 @@ def q50(spark: SparkSession, d: str) -> DataFrame:
     return both.join(shape, "plot", "left").select("type", "plot", "mission", "cx", "cy", "minx", "maxy")
 
 
-@query("q53_schedule", "SELECT e AS epoch FROM (SELECT unnest(range(500)) AS e) q WHERE e >= 100 AND (e - 100) % 50 = 0")
+@query("q53_schedule", "SELECT label, e AS epoch FROM (SELECT label, unnest(range(count(*))) AS e FROM embeddings GROUP BY label) q WHERE e >= 10 AND (e - 10) % 5 = 0")
 def q53(spark: SparkSession, d: str) -> DataFrame:
-    return search.schedule(spark, 500, 100, 50)
+    """Each label trains for as many epochs as it has vectors."""
+    runs = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("epochs"))
+    return search.schedule(runs, "epochs", 10, 5).select("label", "epoch")
 
 
-@query("q53_parameter_grid", "SELECT CAST(r AS DOUBLE) AS ratio, CAST(w AS BIGINT) AS warm, CAST(i AS BIGINT) AS every, CAST(b AS BIGINT) AS sub FROM (SELECT unnest([0.05, 0.1, 0.2, 0.3, 0.5, 0.7]) AS r) a, (SELECT unnest([0, 10, 20, 50, 100, 200]) AS w) c, (SELECT unnest([1, 10, 25, 50]) AS i) e, (SELECT unnest([50, 100, 250]) AS b) f")
+@query("q53_parameter_grid", """SELECT label, CAST(r AS DOUBLE) AS ratio, CAST(w AS BIGINT) AS warm, CAST(i AS BIGINT) AS every, CAST(b AS BIGINT) AS sub, CAST(floor(CAST(r AS DOUBLE) * n) AS BIGINT) AS budget
+  FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) l, (SELECT unnest([0.05, 0.1, 0.2, 0.3, 0.5, 0.7]) AS r) a, (SELECT unnest([0, 10, 20, 50, 100, 200]) AS w) c, (SELECT unnest([1, 10, 25, 50]) AS i) e, (SELECT unnest([50, 100, 250]) AS b) f""")
 def q53_grid(spark: SparkSession, d: str) -> DataFrame:
-    return search.parameter_grid(spark, ratio=[0.05, 0.1, 0.2, 0.3, 0.5, 0.7], warm=[0, 10, 20, 50, 100, 200], every=[1, 10, 25, 50], sub=[50, 100, 250])
+    """Every label's runs, with how many of its vectors each may take."""
+    n = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    grid = search.parameter_grid(spark, ratio=[0.05, 0.1, 0.2, 0.3, 0.5, 0.7], warm=[0, 10, 20, 50, 100, 200], every=[1, 10, 25, 50], sub=[50, 100, 250])
+    return search.budgeted(n, grid, "n").select("label", "ratio", "warm", "every", "sub", "budget")
 
 
 @query("q54_omp_select")
@@ -255,13 +265,14 @@ def q60(spark: SparkSession, d: str) -> DataFrame:
 _CUBIC = "CASE WHEN abs({0}) <= 1 THEN (1.5 * abs({0}) - 2.5) * abs({0}) * abs({0}) + 1 WHEN abs({0}) < 2 THEN ((-0.5 * abs({0}) + 2.5) * abs({0}) - 4) * abs({0}) + 2 ELSE 0.0 END"
 
 
-@query("q61_refined_raster", f"""WITH s AS MATERIALIZED ({inputs.DSM}), k AS (SELECT unnest(range(3)) AS i), n AS (SELECT unnest(range(-2, 3)) AS o),
+@query("q61_refined_raster", f"""WITH s AS MATERIALIZED (SELECT row, col, floor(value) AS value FROM ({inputs.DSM}) q), k AS (SELECT unnest(range(3)) AS i), n AS (SELECT unnest(range(-2, 3)) AS o),
   f AS (SELECT s.row * 3 + a.i AS row, s.col * 3 + b.i AS col, s.row AS r, s.col AS c, (a.i + 0.5) / 3 - 0.5 AS y, (b.i + 0.5) / 3 - 0.5 AS x FROM s, k a, k b WHERE value IS NOT NULL),
   g AS (SELECT f.row, f.col, s.value, ({_CUBIC.format('(y - p.o)')}) * ({_CUBIC.format('(x - q.o)')}) AS w FROM f, n p, n q, s WHERE s.row = f.r + p.o AND s.col = f.c + q.o AND s.value IS NOT NULL)
-  SELECT row, col, round(sum(w * value) / sum(w) + 0.0027182818, 2) AS value FROM g WHERE w <> 0 GROUP BY row, col""")
+  SELECT row, col, round(sum(w * value) / sum(w), 4) AS value FROM g WHERE w <> 0 GROUP BY row, col""")
 def q61(spark: SparkSession, d: str) -> DataFrame:
-    # the shift keeps exact halves, which prices make, from being rounded either way
-    return raster.refined(inputs.surface(spark, d), 3).withColumn("value", F.round(F.col("value") + 0.0027182818, 2))
+    # of whole heights: sums in another order differ in the ninth digit, which means of prices would turn into another last digit
+    whole = inputs.surface(spark, d).withColumn("value", F.floor("value").cast("double"))
+    return raster.refined(whole, 3).withColumn("value", F.round("value", 4))
 
 
 # a triangle that no cell centre touches

@@ -238,4 +238,6 @@ def test_split_is_balanced(spark):
     assert best["score"] == 0
     assert best["n_val"] == 12
     assert search.parameter_grid(spark, a=[1, 2], b=[3, 4, 5]).count() == 6
-    assert [r[0] for r in search.schedule(spark, 10, 2, 3).collect()] == [2, 5, 8]
+    runs = spark.createDataFrame([(1, 10), (2, 2), (3, 3)], "run int, n int")
+    assert sorted((r["run"], r["epoch"]) for r in search.schedule(runs, "n", 2, 3).collect()) == [(1, 2), (1, 5), (1, 8), (3, 2)]
+    assert search.budgeted(runs, search.parameter_grid(spark, ratio=[0.5, 0.29]), "n").selectExpr("sum(budget)").first()[0] == 5 + 2 + 1 + 0 + 1 + 0
