@@ -75,7 +75,37 @@ def test_geopackage_round_trip(spark, tmp_path):
     assert gpkg.read_gpkg(spark, path, "none").count() == 0
 
 
-def tiff(samples, order="<", tile=None, deflate=False, predictor=1, geo=True, nodata=None) -> bytes:
+def packed_codes(raw: bytes) -> bytes:
+    """LZW with the codes of TIFF."""
+    table, bits, now, width = {bytes([i]): i for i in range(256)}, [], b"", 9
+    n = 258
+
+    def put(code):
+        bits.append(f"{code:0{width}b}")
+
+    put(256)
+    for byte in raw:
+        if now + bytes([byte]) in table:
+            now += bytes([byte])
+            continue
+        put(table[now])
+        table[now + bytes([byte])] = n
+        n, now = n + 1, bytes([byte])
+        width = max(width, 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12)
+        if n == 4094:
+            put(256)
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+    if now:
+        put(table[now])
+        n += 1
+        width = max(width, 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12)
+    put(257)
+    text = "".join(bits)
+    text += "0" * (-len(text) % 8)
+    return int(text, 2).to_bytes(len(text) // 8, "big")
+
+
+def tiff(samples, order="<", tile=None, deflate=False, predictor=1, geo=True, nodata=None, big=False, lzw=False, planar=False) -> bytes:
     """A small writer of TIFF files, for the tests."""
     import zlib
 
@@ -83,7 +113,9 @@ def tiff(samples, order="<", tile=None, deflate=False, predictor=1, geo=True, no
     size = samples.dtype.itemsize
     code = {"u": 1, "i": 2, "f": 3}[samples.dtype.kind]
     pieces = []
-    if tile:
+    if planar:
+        pieces = [samples[r : r + 3, :, b : b + 1] for b in range(bands) for r in range(0, high, 3)]
+    elif tile:
         for r in range(0, high, tile):
             for c in range(0, wide, tile):
                 full = np.zeros((tile, tile, bands), samples.dtype)
@@ -97,32 +129,33 @@ def tiff(samples, order="<", tile=None, deflate=False, predictor=1, geo=True, no
         if predictor == 2:
             x = np.concatenate([x[:, :1], np.diff(x, axis=1)], axis=1)
         raw = x.astype(x.dtype.newbyteorder(order)).tobytes()
-        coded.append(zlib.compress(raw) if deflate else raw)
+        coded.append(packed_codes(raw) if lzw else zlib.compress(raw) if deflate else raw)
     body, places = b"", []
     for x in coded:
-        places.append(8 + len(body))
+        places.append((16 if big else 8) + len(body))
         body += x + b"\0" * (len(x) % 2)
     at, size_ = ((324, 325), [(322, 3, [tile]), (323, 3, [tile])]) if tile else ((273, 279), [(278, 3, [3])])
-    tags = [(256, 4, [wide]), (257, 4, [high]), (258, 3, [8 * size] * bands), (259, 3, [8 if deflate else 1]), (277, 3, [bands]), (317, 3, [predictor]), (339, 3, [code] * bands), (at[0], 4, places), (at[1], 4, [len(x) for x in coded]), *size_]
+    tags = [(256, 4, [wide]), (257, 4, [high]), (258, 3, [8 * size] * bands), (259, 3, [5 if lzw else 8 if deflate else 1]), (284, 3, [2 if planar else 1]), (277, 3, [bands]), (317, 3, [predictor]), (339, 3, [code] * bands), (at[0], 4, places), (at[1], 4, [len(x) for x in coded]), *size_]
     if geo:
         tags += [(33550, 12, [2.0, 2.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 100.0, 500.0, 0.0])]
     if nodata is not None:
         tags.append((42113, 2, f"{nodata}\0".encode()))
     form = {2: "s", 3: "H", 4: "I", 12: "d"}
     tags.sort(key=lambda t: t[0])
-    directory, extra = struct.pack(order + "H", len(tags)), b""
-    start = 8 + len(body)
-    after = start + 2 + 12 * len(tags) + 4
+    count, long, least = ("Q", "Q", 8) if big else ("H", "I", 4)
+    directory, extra = struct.pack(order + count, len(tags)), b""
+    start = (16 if big else 8) + len(body)
+    after = start + len(directory) + (4 + 2 * least) * len(tags) + least
     for tag, kind, values in tags:
         packed = values if kind == 2 else struct.pack(order + form[kind] * len(values), *values)
-        if len(packed) <= 4:
-            cell = packed.ljust(4, b"\0")
+        if len(packed) <= least:
+            cell = packed.ljust(least, b"\0")
         else:
-            cell = struct.pack(order + "I", after + len(extra))
+            cell = struct.pack(order + long, after + len(extra))
             extra += packed + b"\0" * (len(packed) % 2)
-        directory += struct.pack(order + "HHI", tag, kind, len(values)) + cell
-    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, start)
-    return head + body + directory + struct.pack(order + "I", 0) + extra
+        directory += struct.pack(order + "HH" + long, tag, kind, len(values)) + cell
+    head = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, start) if big else struct.pack(order + "HI", 42, start))
+    return head + body + directory + struct.pack(order + long, 0) + extra
 
 
 def test_rasters(spark, tmp_path):
@@ -146,6 +179,28 @@ def test_rasters(spark, tmp_path):
     assert {(r["type"], r["n_skipped"]) for r in skipped.collect()} == {("uint16", 1), ("float32", 1)}
 
 
+def test_rasters_by_ranges(spark, tmp_path):
+    """Many tasks a file, windows and bands that are not read, BigTIFF, LZW and planes."""
+    rng = np.random.default_rng(4)
+    one = (rng.integers(0, 40, (60, 50, 1)) ** 2).astype(np.uint16)
+    two = rng.integers(0, 200, (40, 33, 2)).astype(np.uint8)
+    files = {"a": (one, tiff(one, tile=16, lzw=True, predictor=2)), "b": (two, tiff(two, big=True, planar=True, order=">")), "c": (one, tiff(one, big=True, deflate=True, nodata=9))}
+    for name, (_, data) in files.items():
+        (tmp_path / f"{name}.tif").write_bytes(data)
+    paths = [str(tmp_path / f"{name}.tif") for name in files]
+    cells = rasters.ranged(spark, paths, bytes_=1500)
+    assert cells.rdd.getNumPartitions() > 12
+    for name, (want, _) in files.items():
+        got = {(r["row"], r["col"], r["band"] - 1): r["value"] for r in cells.where(F.col("path").endswith(f"{name}.tif")).collect()}
+        assert got == {(i, j, b): None if name == "c" and v == 9 else float(v) for (i, j, b), v in np.ndenumerate(want)}
+    part = rasters.ranged(spark, paths, window=(5, 7, 21, 11), bands=[2], bytes_=1500)
+    assert part.rdd.getNumPartitions() < 12
+    assert {(r["row"], r["col"], r["band"]): r["value"] for r in part.collect()} == {(i, j, 2): float(two[i, j, 1]) for i in range(5, 21) for j in range(7, 11)}
+    assert rasters.ranged(spark, []).count() == 0
+    whole = rasters.geotiff(spark, f"{tmp_path}/*.tif")
+    assert sorted(whole.select("row", "col", "band", "value").collect(), key=str) == sorted(cells.select("row", "col", "band", "value").collect(), key=str)
+
+
 def test_images(spark, tmp_path):
     import zlib
 
