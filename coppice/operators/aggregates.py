@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import correlation
@@ -90,8 +90,13 @@ def inconsistent(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def above_group_share(df: DataFrame, key: str, value: str, share: float = 0.5) -> DataFrame:
-    """Rows whose value is above a share of their group's greatest (strictly)."""
-    return df.withColumn("group_max", F.max(value).over(Window.partitionBy(key))).where(F.col(value) > share * F.col("group_max"))
+    """Rows whose value is above a share of their group's greatest (strictly), with that as ``group_max``.
+
+    The greatest values are combined on the map side and joined back, so a hot group is no task of its own.
+    """
+    most = df.groupBy(F.col(key).alias("_of")).agg(F.max(value).alias("group_max"))
+    joined = df.join(most, F.col(key).eqNullSafe(F.col("_of"))).where(F.col(value) > share * F.col("group_max"))
+    return joined.select(*df.columns, "group_max")
 
 
 def bounds(df: DataFrame, keys: list[str], box: tuple[str, str, str, str], least: float = 0.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import holds
 from ..functions.scalars import jaccard
 from ..operators import aggregates, pairwise, raster, search, spatial
+from ..operators.relational import running
 from ..sources import files
 from . import inputs
 from .registry import query, table
@@ -297,7 +298,8 @@ def q62(spark: SparkSession, d: str) -> DataFrame:
 @query("q63_selection_overlap", """WITH e AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY abs(CAST(embedding[1] AS DOUBLE)) DESC, vec_id) AS a, row_number() OVER (PARTITION BY label ORDER BY abs(CAST(embedding[2] AS DOUBLE)) DESC, vec_id) AS b FROM embeddings)
   SELECT label, round(count_if(a <= 10 AND b <= 10) / count_if(a <= 10 OR b <= 10), 6) AS jaccard FROM e GROUP BY label""")
 def q63(spark: SparkSession, d: str) -> DataFrame:
-    rank = lambda i: pairwise.rank_window(["label"], [F.abs(F.col("embedding")[i].cast("double")).desc(), F.col("vec_id")])
-    e = table(spark, d, "embeddings").select("label", "vec_id", rank(0).alias("a"), rank(1).alias("b"))
-    sets = e.groupBy("label").agg(*[F.collect_list(F.when(F.col(c) <= 10, F.col("vec_id"))).alias(c) for c in "ab"])
+    e = table(spark, d, "embeddings")
+    first = lambda i, s: running(e.select("label", "vec_id", F.abs(F.col("embedding")[i].cast("double")).alias("x")), ["label"], [-F.col("x"), F.col("vec_id")]).where("_rank <= 10").select("label", "vec_id", F.lit(s).alias("of"))
+    both = first(0, "a").unionByName(first(1, "b"))
+    sets = both.groupBy("label").agg(*[F.collect_list(F.when(F.col("of") == c, F.col("vec_id"))).alias(c) for c in "ab"])
     return sets.select("label", F.round(jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))

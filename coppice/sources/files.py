@@ -1,9 +1,10 @@
 """File scans: delimited text with declared schemas, keys in file names, lists, listings, XML and JSON."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import numbers, stem
+from ..operators.relational import first_per_key
 
 
 def csv(spark: SparkSession, path: str | list[str], schema: str | None = None, **options) -> DataFrame:
@@ -22,8 +23,7 @@ def first_rows_by_file_key(spark: SparkSession, path: str, schema: str, pattern:
     rows = spark.read.schema(schema).option("header", True).csv(path)
     rows = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.col("_metadata.file_block_start")).withColumn("_n", F.monotonically_increasing_id())
     rows = rows.withColumn(key, F.regexp_extract(F.col("_file"), pattern, 1)).where(F.col(key) != "")
-    first = F.row_number().over(Window.partitionBy("_file").orderBy("_at", "_n"))
-    return rows.withColumn("_rn", first).where("_rn = 1").drop("_rn", "_n", "_at", "_file")
+    return first_per_key(rows, ["_file"], [F.col("_at"), F.col("_n")]).drop("_n", "_at", "_file")
 
 
 def listing(spark: SparkSession, root: str, glob: str = "*", recursive: bool = False) -> DataFrame:

@@ -1,9 +1,10 @@
 """Sinks: partitioned manifests, conditional writes, derived documents, failure lists."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import moved_path
+from ..operators.relational import running
 
 
 def big_enough(df: DataFrame, key: str, least: int = 10) -> DataFrame:
@@ -51,5 +52,5 @@ def write_lines(df: DataFrame, column: str, path: str, mode: str = "overwrite")
 
 
 def numbered(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Ids from 1 within each group."""
-    return df.withColumn("id", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    """Ids from 1 within each group; rows are dealt by ranges, so a group may lie in many tasks."""
+    return running(df.drop("id"), [key], order).withColumnRenamed("_rank", "id")
