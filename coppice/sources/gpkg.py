@@ -1,10 +1,14 @@
 """GeoPackage layers as a Spark data source (one task per so many rows, Arrow batches, geometry as WKB) and as a sink.
 
-A GeoPackage is an SQLite file, so its path must be readable by the executors, and one process writes it.
+A GeoPackage is an SQLite file, so its path must be readable by the executors. A path may be a folder: then the layer is that of all
+its files, which ``write_gpkg_parts`` writes in parallel; only a single file is written by one process.
 """
 
+import os
 import sqlite3
 import struct
+import uuid
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -44,9 +48,16 @@ def header(wkb_bytes: bytes, srid: int) -> bytes:
     return b"GP" + bytes([0, 1]) + struct.pack("<i", srid) + wkb_bytes
 
 
+def files_of(path: str) -> list[str]:
+    """The GeoPackages of a folder in order of their names, or the one file."""
+    if not os.path.isdir(path):
+        return [path]
+    return [os.path.join(path, name) for name in sorted(os.listdir(path)) if name.endswith(".gpkg") and not name.startswith(".")]
+
+
 class Rows(InputPartition):
-    def __init__(self, low: int, high: int | None):
-        self.low, self.high = low, high
+    def __init__(self, path: str, low: int, high: int | None):
+        self.path, self.low, self.high = path, low, high
 
 
 def quoted(name: str) -> str:
@@ -61,15 +72,18 @@ class GeoPackageReader(DataSourceReader):
     def partitions(self):
         """Ranges of row ids that hold ``rows`` rows each, however sparse the ids are."""
         every = f"select rowid as r, row_number() over (order by rowid) as n from {quoted(self.layer)}"
-        with connected(self.path) as db:
-            starts = [r for (r,) in db.execute(f"select r from ({every}) where (n - 1) % ? = 0 order by r", (self.rows,))]
-        return [Rows(a, b) for a, b in zip(starts, [*starts, None][1:], strict=True)] or [Rows(0, 0)]
+        out = []
+        for path in files_of(self.path):
+            with connected(path) as db:
+                starts = [r for (r,) in db.execute(f"select r from ({every}) where (n - 1) % ? = 0 order by r", (self.rows,))]
+            out += [Rows(path, a, b) for a, b in zip(starts, [*starts, None][1:], strict=True)]
+        return out or [Rows(files_of(self.path)[0], 0, 0)]
 
     def read(self, partition):
         names = ", ".join(map(quoted, self.columns))
         convert = [wkb if n == self.geometry else PLAIN[str(k)] for n, k in zip(self.columns, self.kinds, strict=True)]
         end, bounds = ("", (partition.low,)) if partition.high is None else (" and rowid < ?", (partition.low, partition.high))
-        with connected(self.path) as db:
+        with connected(partition.path) as db:
             rows = db.execute(f"select {names} from {quoted(self.layer)} where rowid >= ?{end} order by rowid", bounds)
             while some := rows.fetchmany(BATCH):
                 columns = [[None if v is None else c(v) for v in values] for c, values in zip(convert, zip(*some, strict=True), strict=True)]
@@ -84,7 +98,7 @@ class GeoPackage(DataSource):
         return "gpkg"
 
     def _layer(self):
-        with connected(self.options["path"]) as db:
+        with connected(files_of(self.options["path"])[0]) as db:
             layer = self.options.get("layer") or db.execute("select table_name from gpkg_contents order by table_name").fetchone()[0]
             geometry = db.execute("select column_name from gpkg_geometry_columns where table_name = ?", (layer,)).fetchone()
             return layer, geometry and geometry[0], db.execute(f"pragma table_info({quoted(layer)})").fetchall()
@@ -113,22 +127,23 @@ def read_gpkg(spark, path: str, layer: str | None = None):
     return (reader.option("layer", layer) if layer else reader).load()
 
 
-def write_gpkg(df: DataFrame, path: str, layer: str, geometry: str | None = None, srid: int = 4326, kind: str = "GEOMETRY") -> None:
-    """A table as a layer of a new or existing GeoPackage; ``geometry`` is a column of WKB. A layer of that name is replaced.
-
-    The file is written by the driver from a stream of partitions, one in memory at a time. Booleans become
-    0 and 1, and what SQLite has no type for becomes text.
-    """
+def _insertable(df: DataFrame, geometry: str | None, kind: str) -> tuple[DataFrame, list[str]]:
+    """The columns as SQLite takes them (what it has no type for as text), and how the layer declares them."""
     declared, columns = [], []
     for f in df.schema.fields:
         name = f.dataType.typeName()
         if f.name == geometry:
             declared.append(f"{quoted(f.name)} {kind}")
         else:
-            declared.append(f"{quoted(f.name)} " + {"double": "DOUBLE", "float": "DOUBLE", "binary": "BLOB", "boolean": "BOOLEAN"}.get(name, "INTEGER" if name in ("long", "integer", "short", "byte") else "TEXT"))
+            types = {"double": "DOUBLE", "float": "DOUBLE", "binary": "BLOB", "boolean": "BOOLEAN"}
+            declared.append(f"{quoted(f.name)} " + types.get(name, "INTEGER" if name in ("long", "integer", "short", "byte") else "TEXT"))
         plain = name in ("double", "float", "binary", "boolean", "long", "integer", "short", "byte", "string")
         columns.append(df[f"`{f.name}`"] if plain else df[f"`{f.name}`"].cast("string").alias(f.name))
-    at = next((i for i, f in enumerate(df.schema.fields) if f.name == geometry), None)
+    return df.select(*columns), declared
+
+
+def _fill(path: str, layer: str, declared: list[str], geometry: str | None, at: int | None, srid: int, kind: str, rows: Iterable) -> None:
+    """A layer of a new or existing file, in place of one of that name."""
     with connected(path, "rwc") as db:
         # fixed values: the tables that the format asks for
         db.execute("pragma application_id = 1196444487")
@@ -141,5 +156,56 @@ def write_gpkg(df: DataFrame, path: str, layer: str, geometry: str | None = None
         db.execute("insert or replace into gpkg_contents (table_name, data_type, identifier, srs_id) values (?, ?, ?, ?)", (layer, "features" if geometry else "attributes", layer, srid))
         if geometry:
             db.execute("insert or replace into gpkg_geometry_columns values (?, ?, ?, ?, 0, 0)", (layer, geometry, kind, srid))
-        insert = f"insert into {quoted(layer)} values ({', '.join('?' * len(columns))})"
-        db.executemany(insert, ([None if v is None else header(bytes(v), srid) if i == at else bytes(v) if isinstance(v, bytearray) else v for i, v in enumerate(row)] for row in df.select(*columns).toLocalIterator()))
+        insert = f"insert into {quoted(layer)} values ({', '.join('?' * len(declared))})"
+        stored = lambda i, v: None if v is None else header(bytes(v), srid) if i == at else bytes(v) if isinstance(v, bytearray) else v
+        db.executemany(insert, ([stored(i, v) for i, v in enumerate(row)] for row in rows))
+
+
+def write_gpkg_parts(df: DataFrame, folder: str, layer: str, geometry: str | None = None, srid: int = 4326, kind: str = "GEOMETRY") -> DataFrame:
+    """A table as a layer in a folder of GeoPackages, a file a partition, written by the executors; returns (path, rows) of the files.
+
+    ``folder`` is one that driver and executors share. A task writes under a hidden name of its own and renames the file in the end, so a
+    task that runs again, or twice at once, leaves one whole file. A table without rows leaves one file with an empty layer.
+    """
+    rows, declared = _insertable(df, geometry, kind)
+    at = next((i for i, n in enumerate(df.columns) if n == geometry), None)
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        made, n = os.path.join(folder, f".{uuid.uuid4().hex}.gpkg"), 0
+
+        def all_() -> Iterator[tuple]:
+            nonlocal n
+            for batch in batches:
+                n += len(batch)
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        _fill(made, layer, declared, geometry, at, srid, kind, all_())
+        path = os.path.join(folder, f"part-{number:05d}.gpkg")
+        if n or number == 0:
+            os.replace(made, path)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "rows"])
+        else:
+            os.remove(made)
+
+    spark = df.sparkSession
+    found = rows.mapInArrow(run, "path string, rows long").collect()  # one row a file
+    if not found:
+        path = os.path.join(folder, "part-00000.gpkg")
+        _fill(path, layer, declared, geometry, at, srid, kind, [])
+        found = [(path, 0)]
+    return spark.createDataFrame(found, "path string, rows long")
+
+
+def write_gpkg(df: DataFrame, path: str, layer: str, geometry: str | None = None, srid: int = 4326, kind: str = "GEOMETRY") -> None:
+    """A table as a layer of a new or existing single GeoPackage; ``geometry`` is a column of WKB. A layer of that name is replaced.
+
+    One file has one writer: the driver, from a stream of partitions, one in memory at a time. That is for small exports to other
+    programs; ``write_gpkg_parts`` writes tables of any size. Booleans become 0 and 1, and what SQLite has no type for becomes text.
+    """
+    rows, declared = _insertable(df, geometry, kind)
+    at = next((i for i, n in enumerate(df.columns) if n == geometry), None)
+    _fill(path, layer, declared, geometry, at, srid, kind, rows.toLocalIterator())

@@ -73,6 +73,15 @@ def test_geopackage_round_trip(spark, tmp_path):
     assert gpkg.read_gpkg(spark, path, "names").count() == 2
     gpkg.write_gpkg(df.limit(0), path, "none", "geom")
     assert gpkg.read_gpkg(spark, path, "none").count() == 0
+    folder = str(tmp_path / "parts")
+    for _ in range(2):  # written again, the same files
+        files_ = gpkg.write_gpkg_parts(df.repartition(5, "n"), folder, "trees", "geom", 32610).collect()
+    assert sum(r["rows"] for r in files_) == df.count()
+    assert len(files_) > 1
+    back = gpkg.read_gpkg(spark, folder, "trees")
+    assert sorted(map(str, back.select("n", "species", "geom").collect())) == sorted(map(str, gpkg.read_gpkg(spark, path, "trees").select("n", "species", "geom").collect()))
+    assert [r["rows"] for r in gpkg.write_gpkg_parts(df.limit(0), str(tmp_path / "empty"), "trees", "geom").collect()] == [0]
+    assert gpkg.read_gpkg(spark, str(tmp_path / "empty"), "trees").count() == 0
 
 
 def packed_codes(raw: bytes) -> bytes:
