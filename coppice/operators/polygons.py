@@ -21,6 +21,7 @@ three corners have no edges; repeated polygons count as often as they come, whic
 changes a union not at all; an empty table gives an empty one.
 """
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -309,7 +310,7 @@ def _touching(both: DataFrame, by: list[str], cell: float) -> DataFrame:
 def points_inside(points: DataFrame, edges: DataFrame, by: Sequence[str], cell: float, x: str = "x", y: str = "y") -> DataFrame:
     """``points`` with ``by`` of every polygon that they are inside of (a point on a border may be either).
 
-    A polygon is prepared once: its edges by cell, and the numbers of the corners of these cells and of those between.
+    ``edges`` have what they hold on their left. A polygon is prepared once: its edges by cell, and the numbers of the corners of these cells and of those between.
     """
     by = list(by)
     cut = written(_merged(edges, by))
@@ -368,3 +369,22 @@ def offset_edges(edges: DataFrame, by: Sequence[str], d: float, steps: int = 16)
     step = F.transform(F.sequence(F.lit(1), F.size("way") - 1), lambda i: F.struct(F.element_at("way", i).alias("a"), F.element_at("way", i + 1).alias("b")))
     out_ = rows.select(*by, F.explode(step).alias("s")).select(*by, c("s.a.x").alias("x0"), c("s.a.y").alias("y0"), c("s.b.x").alias("x1"), c("s.b.y").alias("y1"))
     return out_.where("x0 != x1 or y0 != y1")
+
+
+def within_distance(points: DataFrame, edges: DataFrame, by: Sequence[str], d: float, cell: float, key: Sequence[str], x: str = "x", y: str = "y", steps: int = 3, condition: Column | None = None) -> DataFrame:
+    """(by, key) of the pairs that meet ``condition`` (of ``by`` and ``key``) whose point is inside of the polygon or no farther than d > 0 from it, exactly.
+
+    A buffer with few edges that lies outside of the round one names the pairs; only these are measured. ``edges`` are those of valid polygons.
+    """
+    by, key = list(by), list(key)
+    outer = d / math.cos(math.pi / (4 * steps)) * (1 + 1e-9) + NEAR
+    wide = region(offset_edges(edges, by, outer, steps), by, 1, cell)
+    near = points_inside(points.select(*key, x, y), wide, by, cell, x, y).select(*by, *key, c(x).alias("_x"), c(y).alias("_y"))
+    near = near if condition is None else near.where(condition)
+    rows = near.join(edges.select(*by, *EDGE), by)
+    dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c("_x") - c("x0")) * dx + (c("_y") - c("y0")) * dy) / (dx * dx + dy * dy)))
+    gap = (c("_x") - c("x0") - t * dx) ** 2 + (c("_y") - c("y0") - t * dy) ** 2
+    passed = ((c("y0") <= c("_y")) != (c("y1") <= c("_y"))) & (c("x0") + (c("_y") - c("y0")) * dx / F.nullif(dy, F.lit(0.0)) > c("_x"))
+    found = rows.groupBy(*by, *key).agg(F.min(gap).alias("_gap"), F.count_if(passed).alias("_n"))
+    return found.where((c("_gap") <= d * d) | (c("_n") % 2 == 1)).select(*by, *key)

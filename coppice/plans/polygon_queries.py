@@ -83,9 +83,8 @@ def q74(spark: SparkSession, d: str) -> DataFrame:
     min((x - x0 - t * (x1 - x0)) * (x - x0 - t * (x1 - x0)) + (y - y0 - t * (y1 - y0)) * (y - y0 - t * (y1 - y0))) AS d2 FROM t GROUP BY 1, 2)
   SELECT id, point_id FROM w WHERE inside OR d2 <= 1""")
 def q75(spark: SparkSession, d: str) -> DataFrame:
-    wide = polygons.region(polygons.offset_edges(star_edges(spark, d), ["ds", "id"], 1.0, steps=64), ["ds", "id"], 1, cell=2.0)
     e = table(spark, d, "embeddings")
     x, y = _place(e)
     points = e.select(F.col("label").cast("long").alias("point_ds"), F.col("vec_id").alias("point_id"), x.alias("x"), y.alias("y"))
-    inside = polygons.points_inside(points, wide.withColumn("m", F.lit(1)), ["ds", "id"], cell=2.0)
-    return inside.where("ds = point_ds").select("id", "point_id")
+    near = polygons.within_distance(points, star_edges(spark, d), ["ds", "id"], 1.0, 2.0, ["point_ds", "point_id"], condition=F.col("ds") == F.col("point_ds"))
+    return near.select("id", "point_id")

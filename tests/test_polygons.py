@@ -181,6 +181,12 @@ def test_buffers_agree_with_distances(spark, d):
                 want = within or apart < d if d > 0 else within and apart > -d
                 assert ((i, k) in got) == want, (i, k, apart)
     assert near < 60
+    if d > 0:
+        found = {(r["id"], r["k"]) for r in polygons.within_distance(df, e, ["id"], d, 1.7, ["k"]).collect()}
+        for i in range(5):
+            rings = [ring for _, j, ring, _ in rows if j == i]
+            want = {k for k, x, y in points if abs(x - 20.0 * i) < 10 and (inside((x, y), rings) or distance((x, y), rings) <= d)}
+            assert {k for j, k in found if j == i} == want
 
 
 def test_points_in_polygons_of_many_cells(spark):
