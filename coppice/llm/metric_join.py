@@ -27,8 +27,8 @@ apart make regions. A set belongs to the nearest pivot if that is nearer than
 to pivots at most 2r farther away than its nearest, and to the outside if its
 nearest is not nearer than 1 - 2r. After each level, linked sets are one group and only pairs of different groups
 matter: all that is not in a region's largest group is compared with everything in
-it, block by block. A region that the cut does not make smaller is compared
-block against block. Links are confirmed on full sets (of 64-bit hashes).
+it, block by block. A region that the cut does not make smaller, or whose
+windows would send most of it everywhere, is compared block against block. Links are confirmed on full sets (of 64-bit hashes).
 
 Defined results. Null and empty texts and texts without words have empty sets and
 are alone; a text with fewer words than a shingle has its whole sequence as its only
@@ -52,8 +52,10 @@ from .common import chunks, mixed, picked, row_key, small, written
 from .components import components
 from .tensor_minhash import confirmed, shingle_sets
 
-#: Weight of sets (shingles, LIGHT at least for each) that one task compares.
-BLOCK, LIGHT = 1 << 16, 64
+#: Weight of sets (shingles, LIGHT at least for each; 8 bytes each) that one task compares.
+BLOCK, LIGHT = 1 << 19, 64
+#: How many times its weight the parts of a region may have together; beyond it the windows cut nothing.
+SPREAD = 3
 #: Rows of a region whose pairs are all named.
 FEW = 24
 #: Pivots of a region at most, and how far apart those lie that make regions.
@@ -383,14 +385,14 @@ def cut(regions: DataFrame, percent: int, level: int) -> DataFrame:
                     continue
                 pivots = pivots or (Pivots(found) if found else None)
                 if pivots is None:  # by chance no set has become a pivot: all is outside
-                    out.append((_child(region, None), node, weight, probe, outsiders, raw, None, None))
+                    out.append((_child(region, None), node, weight, probe, outsiders, raw, None, None, region))
                     continue
                 common, distance = pivots.distances(set_)
                 close = 100 * common >= percent * (pivots.sizes + len(set_) - common)
-                out += [(None, None, None, None, None, None, int(p), node) for p in pivots.nodes[close] if p != node]
+                out += [(None, None, None, None, None, None, int(p), node, None) for p in pivots.nodes[close] if p != node]
                 for p, home in places(distance[pivots.apart], radius):
                     child = _child(region, None if p < 0 else int(pivots.nodes[pivots.apart[p]]))
-                    out.append((child, node, weight, probe and home, outsiders, raw, None, None))
+                    out.append((child, node, weight, probe and home, outsiders, raw, None, None, region))
             yield _parts(out)
             out = []
 
@@ -398,7 +400,7 @@ def cut(regions: DataFrame, percent: int, level: int) -> DataFrame:
     return rows.repartition("region", "task").sortWithinPartitions("region", "task", "member").mapInArrow(run, _PARTS)
 
 
-_PARTS = "region long, node long, weight long, probe boolean, was long, _set binary, a long, b long"
+_PARTS = "region long, node long, weight long, probe boolean, was long, _set binary, a long, b long, parent long"
 
 
 def _child(region: int, pivot: int | None) -> int:
@@ -407,7 +409,7 @@ def _child(region: int, pivot: int | None) -> int:
 
 
 def _parts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _PARTS.split(", ")])
 
@@ -472,7 +474,14 @@ def links(members: DataFrame, percent: int) -> DataFrame:
         found.append(near)
         groups = components(near if stars is None else near.unionByName(stars))
         stars = groups.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        regions = grouped(parts.where("a is null").drop("a", "b"), groups)
+        placed = parts.where("a is null").drop("a", "b")
+        total = rest.groupBy("region").agg(F.first("total").alias("total")).withColumnsRenamed({"region": "parent"})
+        wide = placed.groupBy("parent").agg(F.sum("weight").alias("placed")).join(total, "parent").where(F.col("placed") > SPREAD * F.col("total"))
+        wide = small(written(wide.select("parent")))
+        same = rest.select(*start.columns).join(wide.withColumnRenamed("parent", "region"), "region", "left_semi")
+        if not wide.isEmpty():
+            found.append(confirmed(tasks(grouped(same, groups), False), percent))
+        regions = grouped(placed.join(wide, "parent", "left_anti").select(*start.columns), groups)
 
 
 def joined(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", bits: int = 64) -> DataFrame:

@@ -53,9 +53,10 @@ def clouds(seed=4):
     return [(i, " ".join(d)) for i, d in enumerate(docs)]
 
 
-@pytest.mark.parametrize("percent,block", [(90, 1 << 9), (90, 1 << 11), (75, 1 << 10)])
-def test_recursion_equals_brute_force(spark, monkeypatch, percent, block):
+@pytest.mark.parametrize("percent,block,spread", [(90, 1 << 9, 3), (90, 1 << 11, 100), (75, 1 << 10, 1)])
+def test_recursion_equals_brute_force(spark, monkeypatch, percent, block, spread):
     monkeypatch.setattr(metric_join, "BLOCK", block)
+    monkeypatch.setattr(metric_join, "SPREAD", spread)
     calls = []
     for name in ("cut", "tasks"):
         plain = getattr(metric_join, name)
