@@ -360,7 +360,7 @@ def places(distance: np.ndarray, radius: float) -> list[tuple[int, bool]]:
 
 
 def cut(regions: DataFrame, percent: int, level: int) -> DataFrame:
-    """One level of Voronoi regions: rows (region, node, weight, probe, was, _set) of the parts, and links (a, b) of what is near a pivot.
+    """One level of Voronoi regions: rows (region, node, weight, probe, was, _set, parent) of the parts, and links (a, b) of what is near a pivot.
 
     ``regions``: region, node, group, weight, probe, outside, outsiders (the weight of all that is outside the largest
     group), total, many (rows that are outside), _set. Members are dealt by hash; every task of a region has its pivots.
