@@ -1,21 +1,29 @@
 """Main-text extraction by tag-path ratios.
 
-Every text node belongs to a root-to-leaf tag path (element names with their
-classes). Per page and path, text length and punctuation are aggregated and
-divided by the path's node count. Both ratios are smoothed along the page with a
-Gaussian window and fused by their product. A prior divides the ratio of paths
-through elements that name themselves boilerplate (navigation, adverts, comments
-and the like) by twenty. Paths whose fused ratio reaches a threshold, a share of
-the page's mean weighted by length and prior, are content, wherever they stand.
-
-An article also has short nodes: titles, list items, captions. So the element
-that holds most of the content's weight, an article if there is one, is taken
-as its container, and all text in it is kept whose path has no such prior.
-
-An empty or null page has an empty text. Pages are independent of each other, so
-repeated rows and empty tables need nothing special. A page may be of any length:
-the time is proportional to it. Extra columns are kept, whatever their names; one
-that is called like a column of the result gives way.
+A page's text falls into lines, one per run of text inside of a block element; inline
+markup belongs to its block. Every line belongs to a root-to-leaf tag path (names of
+the block elements and those around them, with their classes). Per page and path, text
+length and punctuation are aggregated and divided by the path's number of lines. Both
+ratios are smoothed along the page with a Gaussian window and fused by their product.
+The fused ratio is multiplied by the share of the path's text that is no link, and by
+the share of the page's plain text and punctuation that stands under the path's parent. Paths whose ratio reaches a threshold, a share of the page's mean weighted by
+length, are content, wherever they stand.
+
+Names only lower ratios: a path through an element that names itself boilerplate
+(navigation, adverts, comments and the like) counts ``PRIOR`` of its length and of its
+punctuation. Inside an article only whole parts (``PARTS``) can name themselves; what
+a paragraph, a pull quote or a label is called says nothing there.
+
+Short lines have low ratios and may still be text: of an article that has content, or
+``HELD`` of the page's plain text, all lines are kept that are not in such a part; elsewhere headings, paragraphs, list items,
+cells and captions are that stand beside content (under the same element, lists and
+tables looked through) and are not mostly links.
+
+An empty or null page has an empty text, and so has a page all of whose text is in
+named parts. Paths of equal ratios are kept or go together. Pages are independent of
+each other, so repeated rows and empty tables need nothing special. A page may be of
+any length: the time is proportional to it. Extra columns are kept, whatever their
+names; one that is called like a column of the result gives way.
 """
 
 from __future__ import annotations
@@ -24,6 +32,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,14 +53,22 @@ NEUTRAL_WORDS = frozenset("area bar block bottom box button buttons container co
 #: Elements around the whole page, whose classes say nothing about their text; what an article's class may say; what can hold an article.
 OUTER_TAGS = frozenset(("html", "body", "main", ""))
 NO_ARTICLE_WORDS = frozenset("ad ads advert comment comments promo promoted related replies reply respond sponsored teaser".split())
-HOLDERS = frozenset("html body main article section div center table tbody tr td".split())
+#: Elements that can name themselves inside an article.
+PARTS = frozenset("article button dialog div fieldset footer form input nav option section select svg table ul ol".split())
+#: Short lines that are kept beside content, and the elements that are looked through to find what they stand in.
+SHORT = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption blockquote pre summary address".split())
+THROUGH = frozenset("ul ol dl li dd table tbody thead tfoot tr td th figure blockquote hgroup details".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？،؟।]")
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 PRIOR = 0.05
-#: Share of the content's weight that a container holds.
-HELD = 0.7
+#: Width of the smoothing along the page, in lines: ratios of a short line bleed little into what is beside it.
+WIDTH = 0.5
+#: Share of link text from which a short line is no text.
+LINKS = 0.5
+#: Share of the page's plain text, boilerplate by name left aside, from which an article has content whatever its ratios are.
+HELD = 0.3
 
 
 def names_boilerplate(element: html_tree.Element) -> bool:
@@ -87,62 +104,124 @@ def smoothed(values: list[float], width: float = 1.0) -> list[float]:
     return out
 
 
-def fused_ratios(nodes: list[tuple[int, str, float]]) -> dict[int, float]:
-    """Each path's fused ratio; ``nodes``: (path, text, prior) of the text nodes that are not white space, in page order."""
+def fused_ratios(nodes: list[tuple[int, str, float]], width: float = 1.0) -> dict[int, float]:
+    """Each path's fused ratio; ``nodes``: (path, text, prior) of the lines, in page order."""
     length, points, count = (defaultdict(int) for _ in range(3))
     for path, text, _ in nodes:
         length[path] += len(text)
         points[path] += len(PUNCTUATION.findall(text))
         count[path] += 1
-    text_ratio = smoothed([prior * length[path] / count[path] for path, _, prior in nodes])
-    point_ratio = smoothed([prior * points[path] / count[path] for path, _, prior in nodes])
+    text_ratio = smoothed([prior * length[path] / count[path] for path, _, prior in nodes], width)
+    point_ratio = smoothed([prior * points[path] / count[path] for path, _, prior in nodes], width)
     out: dict[int, float] = defaultdict(float)
     for (path, _, prior), a, b in zip(nodes, text_ratio, point_ratio, strict=True):
         out[path] += prior * a * (1.0 + b) / count[path]
     return out
 
 
-def main_text(page: str | None, share: float = 0.25) -> str:
-    """The page's main text; ``share`` of the mean fused ratio (weighted by length and prior) is the threshold."""
+@dataclass
+class Line:
+    """A run of text inside of one block element; ``named`` if it lies in what names itself boilerplate, ``links`` of its characters in links."""
+
+    block: html_tree.Element
+    named: bool
+    article: html_tree.Element | None
+    parts: list[str]
+    links: int = 0
+    text: str = ""  # white space within is one space each
+
+    @property
+    def path(self) -> int:
+        return 2 * self.block.path + self.named
+
+    @property
+    def parent(self) -> int:
+        return self.block.parent.path if self.block.parent else 0
+
+    @property
+    def seat(self) -> html_tree.Element:
+        """What the line stands in, lists and tables looked through."""
+        at = self.block.parent or self.block
+        while at.parent is not None and (at.name in THROUGH or at.block is not at):
+            at = at.parent
+        return at
+
+
+def lines_of(page: str, names: bool = True) -> list[Line]:
+    """The lines of a page that are not white space, in page order; without ``names`` none is named."""
     reader = html_tree.Reader()
-    found = [(element, block, value) for kind, element, block, value in reader.nodes(page or "") if kind == "text"]
-    boilerplate: dict[html_tree.Element, bool] = {}
+    found = [(element, block, value) for kind, element, block, value in reader.nodes(page) if kind == "text"]
+    named: dict[html_tree.Element, bool] = {}
+    linked: dict[html_tree.Element, bool] = {}
+    article: dict[html_tree.Element, html_tree.Element | None] = {}
     inner: dict[html_tree.Element, bool] = {}  # inside an article or main
     for e in reader.elements:  # parents come first
-        within = e.parent is not None and inner[e.parent]
-        boilerplate[e] = (e.parent is not None and boilerplate[e.parent]) or (e.name == "header" and not within) or names_boilerplate(e)
+        up = e.parent
+        within = up is not None and inner[up]
+        own = (e.name == "header" and not within) or names_boilerplate(e)
+        if up is not None and article[up] is not None and e.name not in PARTS:
+            own = "hidden" in e.attrs or e.attrs.get("aria-hidden") == "true"
+        named[e] = names and ((up is not None and named[up]) or own)
+        linked[e] = e.name == "a" or (up is not None and linked[up])
+        article[e] = e if e.name == "article" else article[up] if up is not None else None
         inner[e] = within or e.name in ("article", "main")
-    some = [(e.path, value, PRIOR if boilerplate[e] else 1.0) for e, _, value in found if not value.isspace()]
-    if all(prior < 1 for _, _, prior in some):
+    out: list[Line] = []
+    last = None
+    for e, block, value in found:
+        if last != (block, named[e]):
+            out.append(Line(e.block or reader.root, named[e], article[e], []))
+            last = (block, named[e])
+        out[-1].parts.append(value)
+        out[-1].links += len(value.strip()) if linked[e] else 0
+    for line in out:
+        line.text = SPACE.sub(" ", "".join(line.parts))
+    return out
+
+
+def path_ratios(lines: list[Line]) -> tuple[dict[int, float], dict[int, float]]:
+    """Each path's fused ratio times its share of plain text and its parent's share of the page; and its share of link text."""
+    length, links = defaultdict(int), defaultdict(int)
+    under: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])  # plain text and punctuation by parent
+    for x in lines:
+        n, prior = len(x.text.strip()), PRIOR if x.named else 1.0
+        length[x.path] += n
+        links[x.path] += x.links
+        under[x.parent][0] += prior * max(0, n - x.links)
+        under[x.parent][1] += prior * len(PUNCTUATION.findall(x.text))
+    fused = fused_ratios([(x.path, x.text.strip(), PRIOR if x.named else 1.0) for x in lines], WIDTH)
+    total = [sum(x[k] for x in under.values()) or 1.0 for k in (0, 1)]
+    share = {p: (a / total[0] + b / total[1]) / 2 for p, (a, b) in under.items()}
+    link_share = {p: min(1.0, links[p] / n) for p, n in length.items()}
+    parent = {x.path: x.parent for x in lines}
+    return {p: r * (1.0 - link_share[p]) * share[parent[p]] for p, r in fused.items()}, link_share
+
+
+def main_text(page: str | None, share: float = 0.75, names: bool = True) -> str:
+    """The page's main text; ``share`` of the mean ratio (weighted by length) is the threshold. Without ``names`` ratios decide alone."""
+    lines = lines_of(page or "", names)
+    some = [x for x in lines if x.text.strip()]
+    if all(x.named for x in some):
         return ""
-    ratio = fused_ratios(some)
-    threshold = share * sum(ratio[p] * len(t) * w for p, t, w in some) / sum(len(t) * w for _, t, w in some)
+    ratio, links = path_ratios(some)
+    weight = {p: (1.0 - links[p]) * (PRIOR if p % 2 else 1.0) for p in ratio}
+    total = sum(len(x.text) * weight[x.path] for x in some)
+    threshold = share * sum(ratio[x.path] * len(x.text) * weight[x.path] for x in some) / total if total else 0.0
     content = {p for p, r in ratio.items() if r >= threshold}
-    # the container: downwards as long as one element holds most of the content's weight, no deeper than an article
-    weight: dict[html_tree.Element, float] = dict.fromkeys(reader.elements, 0.0)
-    for e, _, value in found:
-        if e.path in content and not boilerplate[e]:
-            weight[e] += ratio[e.path] * len(value)
-    heaviest: dict[html_tree.Element, html_tree.Element] = {}
-    for e in reversed(reader.elements[1:]):
-        weight[e.parent] += weight[e]
-        if e.name in HOLDERS and (e.parent not in heaviest or weight[e] >= weight[heaviest[e.parent]]):
-            heaviest[e.parent] = e
-    holder = reader.root
-    least = HELD * weight[holder]
-    while least and holder.name != "article" and (deeper := heaviest.get(holder)) is not None and weight[deeper] >= least:
-        holder = deeper
-    inside: dict[html_tree.Element, bool] = {}
-    for e in reader.elements:
-        inside[e] = bool(least) and (e is holder or (e.parent is not None and inside[e.parent]))
-    blocks: list[tuple[int, list[str]]] = []
-    for e, block, value in found:
-        if e.path in content or (inside[e] and not boilerplate[e]):
-            if not blocks or blocks[-1][0] != block:
-                blocks.append((block, []))
-            blocks[-1][1].append(value)
-    lines = (SPACE.sub(" ", "".join(parts)).strip() for _, parts in blocks)
-    return "\n\n".join(x for x in lines if x)
+    plain: dict[html_tree.Element | None, int] = defaultdict(int)
+    for x in some:
+        plain[x.article] += 0 if x.named else max(0, len(x.text.strip()) - x.links)
+    least = HELD * sum(plain.values())
+    articles = {x.article for x in some if not x.named and (x.path in content or plain[x.article] >= least)} - {None}
+    seats = {x.seat for x in some if x.path in content and not x.named}
+
+    def kept(x: Line) -> bool:
+        if x.path in content:
+            return True
+        if x.named:
+            return False
+        return x.article in articles or (x.block.name in SHORT and links[x.path] < LINKS and x.seat in seats)
+
+    return "\n\n".join(x.text.strip() for x in some if kept(x))
 
 
 def extracted(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

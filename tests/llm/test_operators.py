@@ -1,9 +1,11 @@
 import hashlib
+import pathlib
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +153,46 @@ def test_main_text_of_made_pages():
     assert 2 * hit / (got_n + want_n) >= 0.95
 
 
+def test_ratios_find_the_text_where_names_say_nothing():
+    """Pages whose classes mean nothing and that have no article: notices, menus, comments of a line and adverts against the text."""
+    rng = np.random.default_rng(21)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) + rng.choice(["", "", "", ",", "."]) for _ in range(n)).capitalize() + "."
+    hit = got_n = want_n = 0
+    for k in range(80):
+        parts = [prose(int(rng.integers(3, 9)))] + [prose(int(rng.integers(25, 90))) for _ in range(int(rng.integers(3, 9)))]
+        items = [prose(int(rng.integers(3, 7))) for _ in range(3)]
+        body = f"<h2>{parts[0]}</h2>" + "".join(f"<p>{x}</p>" for x in parts[1:]) + "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>"
+        noise = [
+            "<div class=k1><ul>" + "".join(f"<li><a href=x>{prose(2)}</a>" for _ in range(8)) + "</ul></div>",
+            f"<div class=k2><p>{prose(9)}</p></div>",
+            f"<div class=k3>{prose(6)}</div>",
+            f"<div class=k4><span>{prose(3)}</span> <a href=y>{prose(4)}</a></div>",
+            "<div class=k5>" + "".join(f"<p>{prose(7)}</p>" for _ in range(3)) + "</div>",
+        ]
+        rng.shuffle(noise)
+        page = f"<html><body>{''.join(noise[:2])}<div class=q7><div class=z{k % 3}>{body}</div></div>{''.join(noise[2:])}</body></html>"
+        got, want = Counter(tag_paths.main_text(page, names=False).split()), Counter(" ".join(parts + items).split())
+        hit, got_n, want_n = hit + (got & want).total(), got_n + got.total(), want_n + want.total()
+    assert 2 * hit / (got_n + want_n) >= 0.95
+
+
+def test_ratios_alone_keep_the_text_of_the_given_pages():
+    """With no name believed, at least 95 % of the pages have the text that they have with names; and that is the article's own."""
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not pathlib.Path(path).exists():
+        pytest.skip("no tables here")
+    pages = pa.parquet.read_table(path).column("html").to_pylist()
+    texts = [tag_paths.main_text(x) for x in pages]
+    assert sum(tag_paths.main_text(x, names=False) == y for x, y in zip(pages, texts, strict=True)) >= 0.95 * len(pages)
+    assert texts == [tag_paths.main_text(x[x.index("<article") : x.index("</article>")]) for x in pages]
+
+
+def test_names_inside_an_article():
+    prose = "A sentence that goes on, with commas, for quite a while; then it ends. " * 4
+    page = f"<body><div><p>We use cookies, as all do.</p></div><article><p>{prose}</p><p class=menu>Soup, fish, cake.</p><aside>A quote.</aside><label>Name it</label><p>{prose}</p><div class=comments><p>I read it.</p></div><form><p>Send</p></form></article></body>"
+    assert tag_paths.main_text(page).split("\n\n") == [prose.strip(), "Soup, fish, cake.", "A quote.", "Name it", prose.strip()]
+
+
 def test_reading_takes_time_in_proportion():
     import time
 
@@ -161,7 +203,6 @@ def test_reading_takes_time_in_proportion():
 
 
 def test_media_of_real_pages(spark):
-    import pathlib
 
     if not pathlib.Path("/root/testdata/sf0.001/pages.parquet").exists():
         pytest.skip("test tables are not there")
