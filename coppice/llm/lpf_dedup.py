@@ -23,7 +23,7 @@ same minimizer hash can share a window.
 
 Only hashes and positions of repeated minimizers, contexts of steps 3 and 4 and
 spans are shuffled; texts are, unless what is joined to them may be broadcast.
-Hashes have 64 bits. Grams' hashes only bring contexts together; contexts count
+Rows are told apart by 128 bits, other hashes have 64. Grams' hashes only bring contexts together; contexts count
 as equal by a second hash, so two of m distinct contexts of one minimizer are
 taken for copies with a chance of about m * m / 2**65 (1e-8 for a million).
 
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, guarded, mixed, powers, row_key, small, written
+from .common import chunks, flat, guarded, mixed, powers, row_id, small, written
 
 LENGTH = 200
 GRAM = 48
@@ -195,7 +195,7 @@ def contexts(docs: DataFrame, length: int, gram: int, text: str = "text") -> Dat
                     rows = pa.compute.take(part.column("_row"), pa.array(doc))
                     yield pa.RecordBatch.from_arrays([rows, pa.array((p + begin - offsets[doc]).astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], names=["_row", "pos", "lo", "hi", "h", "c"])
 
-    return docs.select("_row", text).mapInArrow(run, "_row long, pos int, lo short, hi short, h long, c long")
+    return docs.select("_row", text).mapInArrow(run, "_row binary, pos int, lo short, hi short, h long, c long")
 
 
 def packed(pos: Column, lo: Column, hi: Column, several: Column) -> Column:
@@ -211,7 +211,7 @@ def unpacked(x: int) -> tuple[int, int, int, int]:
 
 
 #: A context with its bytes: its windows start from pos - lo to pos - hi and all hold the gram from pos - left on, with ``right`` more bytes; n > 1 if they are known to be repeated.
-PART = "_row long, pos int, lo short, hi short, left short, right short, n long, h long, bytes binary"
+PART = "_row binary, pos int, lo short, hi short, left short, right short, n long, h long, bytes binary"
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int, gram: int, text: str = "text") -> DataFrame:
@@ -226,7 +226,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int, gram: int, text: st
         h = RangeHashes(raw).of(at, at + gram).view(np.int64)
         none = pa.array(np.zeros(len(out), np.int16))
         small_ = [pa.array(x, pa.int16()) for x in (lo, hi)]
-        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(pos, pa.int32()), *small_, none, none, pa.array(n, pa.int64()), pa.array(h), data], names=["_row", "pos", "lo", "hi", "left", "right", "n", "h", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array(row, pa.binary()), pa.array(pos, pa.int32()), *small_, none, none, pa.array(n, pa.int64()), pa.array(h), data], names=["_row", "pos", "lo", "hi", "left", "right", "n", "h", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -300,7 +300,7 @@ def by_factors(parts: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
     def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if out := solved(rows) if len(rows) > 1 else []:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_row", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["_row", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -314,7 +314,7 @@ def by_factors(parts: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 size, last = size + len(data), h
         yield from emit(held)
 
-    return parts.select("_row", "pos", "lo", "h", "n", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, "_row long, start int, end int")
+    return parts.select("_row", "pos", "lo", "h", "n", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, "_row binary, start int, end int")
 
 
 def flat_binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -392,7 +392,7 @@ def merged(rows: DataFrame) -> DataFrame:
                 out.append([a << 32 | b for a, b in joint])
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.list_(pa.int64()))], names=["_row", "spans"])
 
-    return rows.mapInArrow(run, "_row long, spans array<long>")
+    return rows.mapInArrow(run, "_row binary, spans array<long>")
 
 
 def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -402,7 +402,7 @@ def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, tex
 
 def _removed(docs: DataFrame, length: int, keep_first: bool, text: str, key: str) -> DataFrame:
     keep = [c for c in docs.columns if c != text]
-    rows = docs.withColumn("_row", row_key(key, text))
+    rows = docs.withColumn("_row", row_id(key, text))
     found = written(spans(rows.select("_row", text), length, keep_first=keep_first, text=text))
     joined = rows.select(*keep, "_row", text).join(small(found, "spans"), "_row", "left").drop("_row")
     span = "array<struct<start:int,end:int>>"

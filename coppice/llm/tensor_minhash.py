@@ -18,7 +18,9 @@ largest class, packed into as few groups as hold them, are compared with all
 blocks. So every pair of candidates is either compared or already in one class,
 and no task holds more than a block, a group and the pivots.
 
-Shingles are compared as 64-bit hashes, and a node is a 64-bit hash of a set.
+Shingles are compared as 64-bit hashes, and a node is a 64-bit hash of a set; sets
+that differ in a second hash and share a node are named by the second one instead.
+Rows are told apart by 128 bits.
 Null and empty texts, and texts without words, have empty sets and are alone.
 A text with fewer words than a shingle has its whole sequence as its only
 shingle. Repeated rows are copies like any others. Null ids sort last. A text may
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, guarded, lowered, mixed, picked, row_key, small, word_hashes, word_spans, written
+from .common import chunks, flat, guarded, lowered, mixed, picked, row_id, small, word_hashes, word_spans, written
 from .components import components
 
 ROWS = 3
@@ -81,14 +83,21 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def nodes_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set; 0 for an empty one."""
-    out = np.zeros(len(offsets) - 1, np.uint64)
+def nodes_of(values: np.ndarray, offsets: np.ndarray, bits: int = 64, clashing: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's node and a second hash of it; 0 for an empty one. A node that is known as ``clashing`` is the second hash instead.
+
+    Fewer ``bits`` of the first hash make sets meet in it (for tests).
+    """
+    first, second = (np.zeros(len(offsets) - 1, np.uint64) for _ in range(2))
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
-        sums = np.add.reduceat(mixed(values ^ np.uint64(0xD6E8FEB86659FD93)), offsets[some])
-        out[some] = mixed(sums + np.diff(offsets)[some].astype(np.uint64))
-    return out.view(np.int64)
+        n = np.diff(offsets)[some].astype(np.uint64)
+        first[some] = mixed(np.add.reduceat(mixed(values ^ np.uint64(0xD6E8FEB86659FD93)), offsets[some]) + n) >> np.uint64(64 - bits)
+        second[some] = mixed(np.add.reduceat(mixed(values ^ np.uint64(0xA0761D6478BD642F)), offsets[some]) ^ n)
+    node = first.view(np.int64)
+    if clashing:
+        node = np.where(np.isin(node, np.fromiter(clashing, np.int64)), second.view(np.int64), node)
+    return node, second.view(np.int64)
 
 
 def minima(values: np.ndarray, offsets: np.ndarray, many: int) -> np.ndarray:
@@ -110,22 +119,23 @@ def band_hashes(values: np.ndarray, offsets: np.ndarray, m: int, rows: int) -> n
     return out
 
 
-def with_nodes(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """``docs`` without ``text`` plus ``_node`` (null for an empty set) and ``n_shingles``."""
+def with_nodes(docs: DataFrame, words: int, text: str = "text", bits: int = 64, clashing: frozenset[int] = frozenset()) -> DataFrame:
+    """``docs`` without ``text`` plus ``_node`` and ``_second`` (null for an empty set) and ``n_shingles``."""
     keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep, F.lit(None).cast("long").alias("_node"), F.lit(0).cast("long").alias("n_shingles")).schema
+    schema = docs.select(*keep, *[F.lit(None).cast("long").alias(x) for x in ("_node", "_second")], F.lit(0).cast("long").alias("n_shingles")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text):
                 values, offsets = shingle_sets(part.column(text), words)
                 n = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(nodes_of(values, offsets), pa.int64(), mask=n == 0), pa.array(n)], names=[*keep, "_node", "n_shingles"])
+                both = [pa.array(x, pa.int64(), mask=n == 0) for x in nodes_of(values, offsets, bits, clashing)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *both, pa.array(n)], names=[*keep, "_node", "_second", "n_shingles"])
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def table_keys(docs: DataFrame, words: int, m: int, rows: int = ROWS, text: str = "text") -> DataFrame:
+def table_keys(docs: DataFrame, words: int, m: int, rows: int = ROWS, text: str = "text", bits: int = 64, clashing: frozenset[int] = frozenset()) -> DataFrame:
     """(key, node) rows; nodes of one batch with an equal key are combined: one row for them, and the pair under a key of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +143,7 @@ def table_keys(docs: DataFrame, words: int, m: int, rows: int = ROWS, text: str
             seen: dict[int, np.ndarray] = {}
             for part in chunks(batch, text):
                 values, offsets = shingle_sets(part.column(text), words)
-                names, n = nodes_of(values, offsets), np.diff(offsets)
+                names, n = nodes_of(values, offsets, bits, clashing)[0], np.diff(offsets)
                 new = [i for i in np.flatnonzero(n).tolist() if int(names[i]) not in seen]
                 new = list({int(names[i]): i for i in new}.values())
                 if not new:
@@ -267,15 +277,21 @@ def outside_links(members: DataFrame, links: DataFrame, percent: int) -> DataFra
     return confirmed(probes.select(task, "node", "group", "probe", "_set").unionByName(targets.select(task, "node", "group", "probe", "_set")), percent)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``n_shingles``, ``component_id`` (least ``key`` of the class), ``_row``, ``_first``.
 
     ``_row`` is the row's key, made of ``key`` and ``text``; ``_first`` says whether the row stands for its class.
     """
     docs = picked(docs, key, text)
-    rows = docs.select(key, text, row_key(key, text).alias("_row"))
-    named = written(with_nodes(rows, words, text))
-    tables = table_keys(docs, words, bands(percent / 100), text=text)
+    rows = docs.select(key, text, row_id(key, text).alias("_row"))
+    named = written(with_nodes(rows, words, text, bits))
+    # different sets of one node: of n sets about n * n / 2**65 pairs, so these few may go to the driver
+    twice = named.where("_node is not null").groupBy("_node").agg(F.min("_second").alias("a"), F.max("_second").alias("b")).where("a != b")
+    clashing = frozenset(r["_node"] for r in twice.select("_node").collect())
+    if clashing:
+        named = written(with_nodes(rows, words, text, bits, clashing))
+    named = named.drop("_second")
+    tables = table_keys(docs, words, bands(percent / 100), text=text, bits=bits, clashing=clashing)
     meet = tables.withColumn("least", F.min("node").over(Window.partitionBy("key"))).where("node != least")
     clusters = components(meet.select(F.col("least").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
     # one row stands for each node of a cluster; its set is made where its text lies
@@ -309,7 +325,7 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
 
 def _deduplicated(docs: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
     found = written(near_duplicates(docs.select(key, text), words, percent, text, key).select("_row", "_first"))
-    rows = docs.withColumn("_row", row_key(key, text))
+    rows = docs.withColumn("_row", row_id(key, text))
     out = rows.join(small(written(found.where("not _first").select("_row").distinct())), "_row", "left_anti")
     again = written(found.where("_first").groupBy("_row").count().where("count > 1").select("_row"))
     if not again.isEmpty():  # rows that are equal in id and text

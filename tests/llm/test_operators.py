@@ -382,6 +382,16 @@ def test_near_duplicates(spark, docs, frame, monkeypatch, words, percent, block)
     assert tensor_minhash.near_duplicates(frame.limit(0), words, percent).count() == 0
 
 
+def test_hashes_of_64_bits_may_meet(spark, docs, frame, monkeypatch):
+    """Equal first halves of all row ids, and nodes of three bits, change no result."""
+    bytes_ = lambda: counted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in lpf_dedup.removed(frame).collect())
+    classes = lambda bits: counted((r["doc_id"], r["n_shingles"], r["component_id"], r["_first"]) for r in tensor_minhash.near_duplicates(frame, 5, 80, bits=bits).collect())
+    kept = lambda: counted((r["doc_id"], r["text"]) for r in tensor_minhash.deduplicated(frame).collect())
+    want = bytes_(), classes(64), kept()
+    monkeypatch.setattr(common, "row_halves", lambda *cols: (F.lit(5).cast("long"), common.row_key(*cols)))
+    assert (bytes_(), classes(3), kept()) == want
+
+
 def test_bands_hold_their_promise():
     for similarity in (0.8, 0.85, 0.95):
         m = tensor_minhash.bands(similarity)
