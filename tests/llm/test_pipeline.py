@@ -6,6 +6,9 @@ from coppice.llm import queries
 
 from . import brute
 
+VECTORS = "vec_id long, label int, embedding array<float>"
+TURNS = "conv_id long, turn long, role string, text string"
+
 
 @pytest.fixture
 def tables(spark, tmp_path):
@@ -61,9 +64,14 @@ def test_stages(spark, tables):
 def test_queries_on_tables(spark, tables):
     sf_dir, rows, _ = tables
     spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string").write.parquet(f"{sf_dir}/pages.parquet")
+    vectors = [(i, i % 3, [0.25 * i] * 8) for i in range(20)] + [(20, None, None)]
+    spark.createDataFrame(vectors, VECTORS).write.parquet(f"{sf_dir}/embeddings.parquet")
+    spark.createDataFrame([(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "bot", "yes")], TURNS).write.parquet(f"{sf_dir}/conversations.parquet")
+    # no conversation 0 lends turns; 1 drops its first three (it has one), 2 its first: the root and one node
+    want = {"op3": 1, "op11": 20, "op13": 2}
     for name, query in queries.queries().items():
         n = query(spark, sf_dir).count()
-        assert n == (1 if name.startswith("op3_") else len(rows)), name
+        assert n == want.get(name.split("_")[0], len(rows)), name
 
 
 def test_empty_tables(spark, tmp_path):
@@ -74,6 +82,8 @@ def test_empty_tables(spark, tmp_path):
         spark.createDataFrame(docs, columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame(marks, labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
         spark.createDataFrame(items, benchmark).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        spark.createDataFrame([], VECTORS).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        spark.createDataFrame([], TURNS).write.parquet(f"{tmp_path}/{name}/conversations.parquet")
         return f"{tmp_path}/{name}"
 
     assert corpus_pipeline.run(spark, made("none", [], [], [])).collect() == []
