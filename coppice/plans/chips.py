@@ -18,6 +18,7 @@ def chip_records(parts: DataFrame, trees: DataFrame, width: Column, height: Colu
     """
     parts = parts.withColumn("_tree", F.struct("dataset", "image", "id"))
     boxes = bounds(above_group_share(parts, "_tree", "area", share), ["dataset", "image", "id"], BOX, edge)
-    named = boxes.join(trees.select("dataset", "id", F.col("species").alias("species_original")), ["dataset", "id"], "left")
+    # a row for every tree: however few bytes it is thought to come from, it is too much to be gathered and broadcast
+    named = boxes.join(trees.select("dataset", "id", F.col("species").alias("species_original")).hint("merge"), ["dataset", "id"], "left")
     levels = [c for c in crosswalk(F.col("species_original"))]
     return named.select("dataset", "image", "id", "species_original", *levels, *padded_box(tuple(map(F.col, BOX)), padding, width, height))

@@ -1,12 +1,13 @@
 """Work that must not grow with the square of how often a place, a box or a key comes."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from coppice.operators import relational
+from coppice.operators import pairwise, relational, spatial
 from coppice.plans import pairing
 
 
@@ -43,3 +44,55 @@ def test_plots_of_one_spot_are_paired_once(spark, tables, monkeypatch):
     got = entry.queries()["entry_pairing"](spark, d)
     assert got.count() > 0 and got.select("plot_id").distinct().count() == 30
     assert sum(x.count() for x in made) < 1_000  # at most the thousand squares that there are over one spot, not thirty plots under each flight
+
+
+def test_equal_boxes_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(relational, "PAIRS", 1000, raising=False)
+    box = lambda p: ("n" + p, "a" + p, "b" + p, "c" + p, "d" + p)
+    rows = [(i, 1.0, 1.0, 2.0, 2.0) for i in range(300)]
+    left, right = (spark.createDataFrame(rows, list(box(p))) for p in "12")
+    pairs = spatial.box_join(left, right, box("1")[1:], box("2")[1:], cell=4.0)
+    per = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 90_000 and max(per) < 15_000
+
+
+def test_crowds_are_suppressed_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairwise, "PAIRS", 100, raising=False)
+    monkeypatch.setattr(pairwise, "CROWD", 4, raising=False)
+    made = []
+    monkeypatch.setattr(pairwise, "box_join", lambda *a, f=pairwise.box_join, **k: made.append(f(*a, **k)) or made[-1])
+    rng = random.Random(27)
+    rows = [(i % 2, i, float(rng.randrange(50)), x, y, x + 2.0 + i % 3, y + 3.0) for i in range(1500) for x, y in [(rng.uniform(-1, 3), rng.uniform(-1, 3))]]
+    rows += [(0, 2000 + i, 99.0, 1.0, 1.0, 1.0, 4.0) for i in range(5)]  # without area nothing is in the way
+    kept = []
+    for b in sorted(rows, key=lambda b: (b[2], b[1]), reverse=True):
+        area = lambda p: (p[5] - p[3]) * (p[6] - p[4])
+        shared = lambda k: max(min(k[5], b[5]) - max(k[3], b[3]), 0) * max(min(k[6], b[6]) - max(k[4], b[4]), 0)  # noqa: B023, E731
+        if not any(k[0] == b[0] and min(area(k), area(b)) and shared(k) / min(area(k), area(b)) > 0.4 for k in kept):
+            kept.append(b)
+    df = spark.createDataFrame(rows, "ds long, id long, score double, minx double, miny double, maxx double, maxy double")
+    assert sorted(r["id"] for r in pairwise.suppressed(df, 0.4, 8.0).collect()) == sorted(b[1] for b in kept)
+    assert (n := sum(x.count() for x in made)) < 5_000, n
+
+
+def test_species_of_trees_are_not_broadcast(spark):
+    plan = entry.queries()["q69_chip_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_nearest_marker_looks_at_few(spark, monkeypatch):
+    looked = []
+    monkeypatch.setattr(pairwise, "within_reach", lambda *a, f=pairwise.within_reach, **k: looked.append(f(*a, **k)) or looked[-1])
+    rng = random.Random(60)
+    place = lambda: (rng.randrange(120) / 10, rng.randrange(120) / 10)
+    cells = [(i % 2, i, *place()) for i in range(1200)] + [(0, 5000, 40.0, 5.0), (1, 5001, 22.0, 5.0), (2, 5002, 1.0, 1.0), (None, 5003, 1.0, 1.0)]
+    markers = [(i % 2, i, *place()) for i in range(800)] + [(None, 900, 1.0, 1.0)]
+    want = {}
+    for ds, i, x, y in cells:
+        near = [(((x - a) ** 2 + (y - b) ** 2) ** 0.5, m) for g, m, a, b in markers if g == ds is not None]
+        if near and min(near)[0] <= 15:
+            want[i] = min(near)[1]
+    schema = "ds long, id long, x double, y double"
+    got = pairwise.nearest_marker(spark.createDataFrame(cells, schema), spark.createDataFrame(markers, schema), 15.0).collect()
+    assert {r["id"]: r["marker_id"] for r in got} == want and len(got) == len(want)
+    assert sum(x.count() for x in looked) < 30_000  # all within reach are some 480,000
