@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import written
 from .graph import components
-from .spatial import box_join, distance
+from .relational import PAIRS
+from .spatial import BOX, box_join, distance, in_cells
 
 #: Rounds of a matching or suppression before connected parts are finished one by one.
 ROUNDS = 8
@@ -135,24 +136,60 @@ def _survivors(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([k for k in out if k not in gone], columns=["ds", "id"])
 
 
+#: Overlapping pairs a box, in the mean, up to which suppression lists all of them.
+CROWD = 32
+
+
+def _shared(a: str, b: str) -> Column:
+    """The intersection's part of the smaller area; null where that is none."""
+    area = lambda p: (F.col(f"{p}maxx") - F.col(f"{p}minx")) * (F.col(f"{p}maxy") - F.col(f"{p}miny"))
+    wide = F.greatest(F.least(f"{a}maxx", f"{b}maxx") - F.greatest(f"{a}minx", f"{b}minx"), F.lit(0.0))
+    high = F.greatest(F.least(f"{a}maxy", f"{b}maxy") - F.greatest(f"{a}miny", f"{b}miny"), F.lit(0.0))
+    return wide * high / F.nullif(F.least(area(a), area(b)), F.lit(0.0))
+
+
+def _thinned(open_: DataFrame, threshold: float, cell: float) -> tuple[DataFrame, DataFrame]:
+    """(kept, undecided) boxes (ds, id, score, BOX) of crowds: rounds in which the best box of all cells that it covers is kept and what it overlaps goes.
+
+    No better box can overlap such a box, and a cell has one, so a round tests a pair a row of a cell, not all pairs of a crowd. It ends
+    when the pairs that are left are few, or when a round decides little.
+    """
+    kept, before = open_.limit(0), 0
+    key = F.struct("score", "id")
+    while True:
+        cells = in_cells(open_, BOX, cell, ("_x", "_y"))
+        top = written(cells.groupBy("ds", "_x", "_y").agg(F.max(key).alias("_top"), F.count("*").alias("_n")))
+        size = top.agg(F.sum("_n").alias("rows"), F.sum(F.col("_n").cast("double") * F.col("_n")).alias("pairs")).first()
+        rows = size["rows"] or 0
+        if (size["pairs"] or 0) <= max(CROWD * rows, PAIRS) or (before and rows > before * 31 / 32):
+            return kept, open_
+        beaten = cells.join(top, ["ds", "_x", "_y"]).groupBy("ds", "id").agg(F.max(key < F.col("_top")).alias("_beaten"))
+        best = written(open_.join(beaten.where("not _beaten").select("ds", "id"), ["ds", "id"], "left_semi"))
+        winners = in_cells(best, BOX, cell, ("_x", "_y")).withColumnsRenamed({n: f"w_{n}" for n in ("id", "score", *BOX)})
+        losers = cells.withColumnsRenamed({n: f"l_{n}" for n in ("id", "score", *BOX)})
+        lost = (F.struct("w_score", "w_id") > F.struct("l_score", "l_id")) & (_shared("w_", "l_") > threshold)
+        gone = losers.join(winners, ["ds", "_x", "_y"]).where(lost).select("ds", F.col("l_id").alias("id"))
+        decided = gone.unionByName(best.select("ds", "id")).distinct()
+        kept, open_, before = kept.unionByName(best), written(open_.join(decided, ["ds", "id"], "left_anti")), rows
+
+
 def suppressed(boxes: DataFrame, threshold: float, cell: float, group: str = "ds") -> DataFrame:
     """Non-maximum suppression by intersection over the smaller area: the boxes that greedy selection keeps.
 
-    ``boxes``: group, id, score, minx, miny, maxx, maxy. Rounds: an undecided box without an undecided
+    ``boxes``: group, id, score, minx, miny, maxx, maxy. Crowds are thinned first (``_thinned``), so pairs of boxes grow with the boxes
+    and not with the square of their number on a spot. Rounds: an undecided box without an undecided
     overlapping neighbour of higher (score, id) is kept, and its neighbours go. After ``ROUNDS`` rounds
     connected parts are finished one a task, as in ``greedy_match``.
     """
-    pick = lambda p: boxes.select(*[F.col(c).alias(f"{p}{c}") for c in (group, "id", "score", "minx", "miny", "maxx", "maxy")])
-    box = lambda p: tuple(f"{p}{c}" for c in ("minx", "miny", "maxx", "maxy"))
-    area = lambda p: (F.col(f"{p}maxx") - F.col(f"{p}minx")) * (F.col(f"{p}maxy") - F.col(f"{p}miny"))
-    wide = F.greatest(F.least("a_maxx", "b_maxx") - F.greatest("a_minx", "b_minx"), F.lit(0.0))
-    high = F.greatest(F.least("a_maxy", "b_maxy") - F.greatest("a_miny", "b_miny"), F.lit(0.0))
-    shared = wide * high / F.nullif(F.least(area("a_"), area("b_")), F.lit(0.0))
+    every = written(boxes.select(F.col(group).alias("ds"), "id", "score", *[F.col(c).cast("double").alias(c) for c in BOX]))
+    kept, every = _thinned(every, threshold, cell / 2)
+    kept = kept.select("ds", "id")
+    pick = lambda p: every.select(*[F.col(c).alias(f"{p}{c}") for c in ("ds", "id", "score", *BOX)])
+    box = lambda p: tuple(f"{p}{c}" for c in BOX)
     above = F.struct("a_score", "a_id") > F.struct("b_score", "b_id")
-    pairs = box_join(pick("a_"), pick("b_"), box("a_"), box("b_"), cell, [(f"a_{group}", f"b_{group}")], above & (shared > threshold))
-    edges = written(pairs.select(F.col(f"a_{group}").alias("ds"), F.col("a_id").alias("winner"), F.col("b_id").alias("loser"), F.col("a_score").alias("score")))
-    open_ = written(boxes.select(F.col(group).alias("ds"), "id"))
-    kept = open_.limit(0)
+    pairs = box_join(pick("a_"), pick("b_"), box("a_"), box("b_"), cell, [("a_ds", "b_ds")], above & (_shared("a_", "b_") > threshold))
+    edges = written(pairs.select(F.col("a_ds").alias("ds"), F.col("a_id").alias("winner"), F.col("b_id").alias("loser"), F.col("a_score").alias("score")))
+    open_ = written(every.select("ds", "id"))
     for n in count(1):
         if edges.isEmpty():  # nobody is in anybody's way any more
             kept = kept.unionByName(open_)

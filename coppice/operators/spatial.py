@@ -44,17 +44,18 @@ def ordered(a: Column, b: Column) -> Column:
     return F.sequence(a, F.greatest(a, b))
 
 
-def box_join(left: DataFrame, right: DataFrame, left_box: tuple[str, ...], right_box: tuple[str, ...], cell: float, on: list[tuple[str, str]] = (), condition: Column | None = None) -> DataFrame:
-    """All pairs of overlapping (or touching) boxes with equal ``on`` columns; column names must not collide."""
+def in_cells(df: DataFrame, box: tuple[str, ...], cell: float, names: tuple[str, str]) -> DataFrame:
+    """``df`` with every grid cell that a box covers."""
+    index = [F.floor(F.col(c) / cell).cast("long") for c in box]
+    return df.withColumn(names[0], F.explode(ordered(index[0], index[2]))).withColumn(names[1], F.explode(ordered(index[1], index[3])))
 
-    def covered(df: DataFrame, box: tuple[str, ...], side: str) -> DataFrame:
-        index = [F.floor(F.col(c) / cell).cast("long") for c in box]
-        return df.withColumn(f"_x{side}", F.explode(ordered(index[0], index[2]))).withColumn(f"_y{side}", F.explode(ordered(index[1], index[3])))
 
+def box_join(left: DataFrame, right: DataFrame, left_box: tuple[str, ...], right_box: tuple[str, ...], cell: float, on: list[tuple[str, str]] = (), condition: Column | None = None) -> DataFrame:
+    """All pairs of overlapping (or touching) boxes with equal ``on`` columns; column names must not collide."""
     a, b = [F.col(c) for c in left_box], [F.col(c) for c in right_box]
     home = (F.col("_xl") == F.floor(F.greatest(a[0], b[0]) / cell)) & (F.col("_yl") == F.floor(F.greatest(a[1], b[1]) / cell))
     test = [overlaps(a, b), home] + ([condition] if condition is not None else [])
-    lefts, rights, keys = spread(covered(left, left_box, "l"), covered(right, right_box, "r"), [*on, ("_xl", "_xr"), ("_yl", "_yr")])
+    lefts, rights, keys = spread(in_cells(left, left_box, cell, ("_xl", "_yl")), in_cells(right, right_box, cell, ("_xr", "_yr")), [*on, ("_xl", "_xr"), ("_yl", "_yr")])
     same = [F.col(x) == F.col(y) for x, y in keys]
     return lefts.join(rights, reduce(lambda p, q: p & q, [*same, *test])).select(*left.columns, *right.columns)
 
