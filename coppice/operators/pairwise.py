@@ -222,13 +222,39 @@ def local_maxima(points: DataFrame, a: float = 0.0, b: float = 0.0325, c: float
     return points.join(pairs.select(F.col("l_ds").alias("ds"), F.col("l_id").alias("id")).distinct(), ["ds", "id"], "left_anti")
 
 
+#: Markers that a cell looks at, in the mean, in the first round of a search for the nearest.
+LOOKS = 8
+
+
 def nearest_marker(cells: DataFrame, markers: DataFrame, reach: float) -> DataFrame:
-    """Each cell's nearest marker within reach (our substitute for a marker-seeded watershed): ds, id, marker_id, dist."""
+    """Each cell's nearest marker within reach (our substitute for a marker-seeded watershed): ds, id, marker_id, dist.
+
+    A cell that has a marker within some radius needs none beyond, so the radius starts where there are a few markers to a cell and doubles
+    for those that found none, up to ``reach``. Of markers on one point only the first is looked at. Pairs grow with the cells.
+    """
     four = ("ds", "id", "x", "y")
     dist = distance(*map(F.col, _DISTANCE))
-    pairs = within_reach(_side(cells, "l", four), _side(markers, "r", four), ("l_x", "l_y"), ("r_x", "r_y"), F.lit(float(reach)), [("l_ds", "r_ds")], dist <= reach)
-    best = pairs.groupBy(F.col("l_ds").alias("ds"), F.col("l_id").alias("id")).agg(F.min(F.struct(dist.alias("dist"), F.col("r_id").alias("marker_id"))).alias("_m"))
-    return best.select("ds", "id", "_m.marker_id", "_m.dist")
+    markers = _side(written(markers.groupBy("ds", "x", "y").agg(F.min("id").alias("id"))), "r", four)
+    left = written(_side(cells.where("ds is not null"), "l", four))
+    at = lambda p, size: [F.col(f"{p}_ds").alias("ds"), F.floor(F.col(f"{p}_x") / size).alias("x"), F.floor(F.col(f"{p}_y") / size).alias("y")]
+
+    def crowded(size: float) -> bool:
+        n = left.groupBy(*at("l", size)).agg(F.count("*").alias("n")).join(markers.groupBy(*at("r", size)).agg(F.count("*").alias("m")), ["ds", "x", "y"])
+        n = n.agg(F.sum(F.col("n").cast("double") * F.col("m")).alias("pairs"), F.sum("n").alias("n")).first()
+        return (n["pairs"] or 0) > LOOKS * (n["n"] or 0)
+
+    halvings = next((i for i in range(40) if not crowded(reach / 2**i)), 40) if reach > 0 else 0
+    done = None
+    for i in range(halvings, -1, -1):
+        radius = reach / 2**i
+        pairs = within_reach(left, markers, ("l_x", "l_y"), ("r_x", "r_y"), F.lit(float(radius)), [("l_ds", "r_ds")], dist <= radius)
+        best = pairs.groupBy("l_ds", "l_id").agg(F.min(F.struct(dist.alias("dist"), F.col("r_id").alias("marker_id"))).alias("_m"))
+        found = best.select(F.col("l_ds").alias("ds"), F.col("l_id").alias("id"), "_m.marker_id", "_m.dist")
+        if i:
+            found = written(found)
+            left = written(left.join(found.select(F.col("ds").alias("l_ds"), F.col("id").alias("l_id")), ["l_ds", "l_id"], "left_anti"))
+        done = found if done is None else done.unionByName(found)
+    return done
 
 
 def attributes_of_matches(left: DataFrame, matches: DataFrame, right: DataFrame, suffixes: tuple[str, str]) -> DataFrame:
