@@ -1,5 +1,6 @@
 """Balanced splits, orthogonal matching pursuit, selection schedules and parameter grids."""
 
+import math
 from collections.abc import Iterator
 from hashlib import md5
 from itertools import product
@@ -111,15 +112,73 @@ def budgeted(sizes: DataFrame, grid: DataFrame, n: str, ratio: str = "ratio") ->
     return sizes.crossJoin(F.broadcast(grid)).withColumn("budget", F.floor(F.col(ratio) * F.col(n)).cast("long"))
 
 
-#: Numbers (items times labels) that a split search sends to its tasks; beyond it trials are scored by joins.
-SEARCHED = 4_000_000
+#: Numbers (items times labels) that a split search sends to its tasks, 4 bytes each; beyond it trials are scored by joins.
+SEARCHED = 32_000_000
+
+_SHIFT = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINE = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_START = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+
+
+def md5_heads(head: bytes, tails: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first 8 bytes, as big-endian numbers, of the md5 of ``head`` followed by each tail: rows of bytes, the first ``sizes`` of which count.
+
+    All rows at once, as a call a row would take most of a search's time. Messages have one block: at most 55 bytes.
+    """
+    rows, width = tails.shape
+    block = np.zeros((rows, 64), np.uint8)
+    block[:, : len(head)] = np.frombuffer(head, np.uint8)
+    block[:, len(head) : len(head) + width] = tails
+    ends = sizes + len(head)
+    block[np.arange(rows), ends] = 0x80
+    block[:, 56], block[:, 57] = (ends * 8) & 255, (ends * 8) >> 8
+    used = (len(head) + width) // 4 + 1
+    words = block.view("<u4").T
+    words = [np.ascontiguousarray(words[j]) if j < used or j == 14 else None for j in range(16)]
+    a, b, c, d = (np.full(rows, x, np.uint32) for x in _START)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += _SINE[i]
+        if words[g] is not None:
+            f += words[g]
+        s = _SHIFT[i // 16][i % 4]
+        turned = f << np.uint32(s)
+        turned |= f >> np.uint32(32 - s)
+        turned += b
+        a, d, c, b = d, c, b, turned
+    a, b = a + _START[0], b + _START[1]
+    return (a.byteswap().astype(np.uint64) << np.uint64(32)) | b.byteswap()
+
+
+def _first(draw: np.ndarray, weights: np.ndarray, target: int, head: bytes, keys: list[bytes]) -> np.ndarray:
+    """The places of the items in the order of their draws until the weight reaches the target, one at least."""
+    if not len(draw):
+        return np.zeros(0, int)
+    # a cut a little beyond the expected one leaves few to be sorted
+    part = target / max(1.0, weights.sum()) + 8 / np.sqrt(len(draw))
+    some = np.flatnonzero(draw <= np.uint64(min(part, 0.999) * 2.0**64)) if part < 0.9 else np.arange(len(draw))
+    if len(some) == 0 or weights[some].sum() < target:
+        some = np.arange(len(draw))
+    order = some[np.argsort(draw[some], kind="stable")]
+    if (np.diff(draw[order].view(np.int64)) == 0).any():  # equal halves of a draw: the rest decides
+        order = np.array(sorted(order.tolist(), key=lambda i: (md5(head + keys[i], usedforsecurity=False).digest(), i)), int)
+    before = np.cumsum(weights[order]) - weights[order]
+    return order[(before < target) | (np.arange(len(order)) == 0)]
 
 
 def best_of_many(items: DataFrame, counts: DataFrame, key: str, weight: str, label: str, n: str, trials: int = 100_000, share: float = 0.2, seed: int = 35) -> DataFrame:
     """(trial, score, n_val): the best of very many trials, the same that ``best_trial(balanced_split(...))`` finds.
 
     The items' counts by label go to the tasks as one matrix (if it has at most SEARCHED numbers), trials are dealt out. A
-    block of trials is an indicator matrix, whose product with the counts gives all validation sums; a task sends its best trial, so no row of
+    trial's draws are made for all items at once, its validation sums are those of the items before the cut; a task sends its best trial, so no row of
     a trial and an item is ever made or shuffled. Keys are expected once; items without counts weigh all the same.
     """
     spark = items.sparkSession
@@ -127,33 +186,40 @@ def best_of_many(items: DataFrame, counts: DataFrame, key: str, weight: str, lab
     if size["n"] * max(1, size["m"]) > SEARCHED:
         return best_trial(balanced_split(items, counts, key, weight, label, n, trials, share, seed))
     plots = items.select(F.col(key).cast("string").alias("k"), F.col(weight).cast("double").alias("w")).where("k is not null").orderBy("k").toPandas()
-    table = counts.groupBy(F.col(key).cast("string").alias("k"), F.col(label).alias("l")).agg(F.sum(n).cast("double").alias("n")).toPandas()
+    names = [r["l"] for r in counts.select(F.col(label).alias("l")).distinct().orderBy("l").collect()]
+    # one row an item, its counts in the labels' order
+    per = [F.coalesce(F.sum(F.when(F.col(label).eqNullSafe(F.lit(x)), F.col(n))), F.lit(0)).cast("double") for x in names] or [F.lit(0.0)]
+    table = counts.groupBy(F.col(key).cast("string").alias("k")).agg(F.array(*per).alias("n"))
+    total = np.array(table.agg(F.array(*[F.sum(F.col("n")[i]) for i in range(len(per))]).alias("n")).first()["n"] or [0.0] * len(per), float)
     at = {k: i for i, k in enumerate(plots["k"])}
-    labels = {x: i for i, x in enumerate(table["l"].unique())}
-    matrix = np.zeros((len(plots), len(labels)))
-    total = np.zeros(len(labels))
-    for k, x, m in table.itertuples(index=False):
-        total[labels[x]] += m
-        if k in at:
-            matrix[at[k], labels[x]] += m
+    matrix = np.zeros((len(plots), len(per)), np.float32)
+    for r in table.join(items.select(F.col(key).cast("string").alias("k")).distinct(), "k").toLocalIterator(prefetchPartitions=True):
+        matrix[at[r["k"]]] = r["n"]
+    if matrix.size and matrix.max() >= 2**24:  # beyond, these numbers are not exact
+        return best_trial(balanced_split(items, counts, key, weight, label, n, trials, share, seed))
     held = spark.sparkContext.broadcast((plots["k"].tolist(), plots["w"].to_numpy(), matrix, total, int(np.floor(plots["w"].sum() * share))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, weights, matrix, total, target = held.value
         keys = [f":{k}".encode() for k in keys]
+        sizes = np.array([len(k) for k in keys], int)
+        width = int(sizes.max(initial=0))
+        plain = len(f"{seed}:{trials}") + width <= 55
+        tails = np.frombuffer(b"".join(k.ljust(width, b"\0") for k in keys), np.uint8).reshape(-1, width) if keys and plain else None
         best = None
         for batch in batches:
             numbers = batch.column(0).to_pylist()
             for i in range(0, len(numbers), 256):
                 block = numbers[i : i + 256]
-                chosen = np.zeros((len(block), len(keys)))
-                for row, trial in zip(chosen, block, strict=True):
+                val = np.zeros((len(block), matrix.shape[1]))
+                for row, trial in zip(val, block, strict=True):
                     head = f"{seed}:{trial}".encode()
-                    draw = np.frombuffer(b"".join([md5(head + k, usedforsecurity=False).digest() for k in keys]), ">u8").reshape(-1, 2)
-                    order = np.lexsort((draw[:, 1], draw[:, 0]))
-                    before = np.cumsum(weights[order]) - weights[order]
-                    row[order[(before < target) | (np.arange(len(order)) == 0)]] = 1
-                val = chosen @ matrix
+                    if plain:
+                        draw = np.concatenate([md5_heads(head, tails[j : j + 16384], sizes[j : j + 16384]) for j in range(0, len(keys), 16384)] or [np.zeros(0, np.uint64)])
+                    else:
+                        draw = np.frombuffer(b"".join([md5(head + k, usedforsecurity=False).digest() for k in keys]), ">u8").reshape(-1, 2)[:, 0].astype(np.uint64)
+                    order = _first(draw, weights, target, head, keys)
+                    row[:] = matrix[order].sum(axis=0, dtype=np.float64)
                 train = total - val
                 sums, rest = val.sum(axis=1), train.sum(axis=1)
                 fit = np.flatnonzero((sums > 0) & (rest > 0))

@@ -1,13 +1,15 @@
 """Work that must not grow with the square of how often a place, a box or a key comes."""
 
 import datetime
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from coppice.operators import pairwise, relational, spatial
+from coppice.operators import pairwise, relational, search, spatial
 from coppice.plans import pairing
 
 
@@ -96,3 +98,13 @@ def test_nearest_marker_looks_at_few(spark, monkeypatch):
     got = pairwise.nearest_marker(spark.createDataFrame(cells, schema), spark.createDataFrame(markers, schema), 15.0).collect()
     assert {r["id"]: r["marker_id"] for r in got} == want and len(got) == len(want)
     assert sum(x.count() for x in looked) < 30_000  # all within reach are some 480,000
+
+
+def test_draws_of_a_block_are_those_of_md5():
+    rng = random.Random(82)
+    tails = [f":{rng.randrange(10 ** rng.randrange(1, 19))}".encode() for _ in range(500)]
+    width = max(map(len, tails))
+    rows = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in tails), np.uint8).reshape(-1, width)
+    for head in (b"35:0", b"35:99999", b"35:" + b"7" * (52 - width)):
+        want = [int.from_bytes(hashlib.md5(head + t, usedforsecurity=False).digest()[:8], "big") for t in tails]
+        assert search.md5_heads(head, rows, np.array([len(t) for t in tails])).tolist() == want
