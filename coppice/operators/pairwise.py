@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import written
 from .graph import components
-from .relational import PAIRS
+from .relational import PAIRS, spread
 from .spatial import BOX, box_join, distance, in_cells
 
 #: Rounds of a matching or suppression before connected parts are finished one by one.
@@ -36,9 +36,10 @@ def within_reach(owner: DataFrame, other: DataFrame, at: tuple[str, str], to: tu
     size = F.pow(F.lit(2.0), F.col("_of"))
     for c, name in zip(to, ("_xr", "_yr"), strict=True):
         b = b.withColumn(name, F.floor(F.col(c) / size).cast("long"))
-    same = [F.col(x) == F.col(y) for x, y in [*on, ("_level", "_of"), ("_xl", "_xr"), ("_yl", "_yr")]]
+    a, b, keys = spread(a, b, [*on, ("_level", "_of"), ("_xl", "_xr"), ("_yl", "_yr")])
+    same = [F.col(x) == F.col(y) for x, y in keys]
     pairs = a.join(b, reduce(lambda p, q: p & q, [*same, condition]))
-    return pairs.drop("_level", "_reach", "_of", "_xl", "_yl", "_xr", "_yr", *[f"_c{i}" for i in range(len(on))])
+    return pairs.select(*owner.columns, *other.columns)
 
 
 def _side(points: DataFrame, prefix: str, columns: tuple[str, ...] = ("ds", "id", "x", "y", "h")) -> DataFrame:
