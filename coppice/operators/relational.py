@@ -29,15 +29,17 @@ def suffixed_join(left: DataFrame, right: DataFrame, on: list[str], how: str, su
 PAIRS = 20_000_000
 
 
-def spread(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
+def spread(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], weights: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
     """Both sides of an inner equi-join and its columns, dealt so that a task forms about PAIRS pairs however many rows a key has.
 
     Adaptive execution puts partitions together (or takes them apart) by their bytes, but the work of a join with frequent keys is
     its pairs. These are counted first. If there are more than PAIRS, the more frequent side's rows of a crowded key are dealt into
     parts by their hash and the other side's go to each part, under one more column, and the number of partitions follows from the pairs.
+    With ``weights`` (a column of each side) a row counts as so many.
     """
     names = [f"_key{i}" for i in range(len(on))]
-    count = lambda df, side, n: df.groupBy(*[F.col(pair[side]).alias(k) for pair, k in zip(on, names, strict=True)]).agg(F.count("*").alias(n))
+    rows = lambda side: F.sum(weights[side]) if weights else F.count("*")
+    count = lambda df, side, n: df.groupBy(*[F.col(pair[side]).alias(k) for pair, k in zip(on, names, strict=True)]).agg(rows(side).alias(n))
     pairs = F.col("_nl").cast("double") * F.col("_nr")
     load = written(count(left, 0, "_nl").join(count(right, 1, "_nr"), names).withColumn("_parts", F.ceil(pairs / PAIRS).cast("int")))
     total = load.agg(F.sum(pairs)).first()[0] or 0

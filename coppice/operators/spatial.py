@@ -5,7 +5,8 @@ boxes with grid cells and joining on the cell, so no pair of far boxes is ever
 formed; a pair is kept in the one cell that holds its intersection's lower
 corner. A crowded cell is an ordinary hot key of an equi-join, which adaptive
 execution splits; where the counts of a join say that many pairs are tested, crowded cells are divided
-beforehand (``relational.spread``), as adaptive execution sees bytes and not pairs.
+beforehand (``relational.spread``), as adaptive execution sees bytes and not pairs. Where boxes repeat,
+equal ones are tested as one (``repeated_box_join``), and their pairs are spelled out afterwards.
 """
 
 from functools import reduce
@@ -50,16 +51,38 @@ def in_cells(df: DataFrame, box: tuple[str, ...], cell: float, names: tuple[str,
     return df.withColumn(names[0], F.explode(ordered(index[0], index[2]))).withColumn(names[1], F.explode(ordered(index[1], index[3])))
 
 
-def box_join(left: DataFrame, right: DataFrame, left_box: tuple[str, ...], right_box: tuple[str, ...], cell: float, on: list[tuple[str, str]] = (), condition: Column | None = None) -> DataFrame:
-    """All pairs of overlapping (or touching) boxes with equal ``on`` columns; column names must not collide."""
+def box_join(left: DataFrame, right: DataFrame, left_box: tuple[str, ...], right_box: tuple[str, ...], cell: float, on: list[tuple[str, str]] = (), condition: Column | None = None, weights: tuple[str, str] | None = None) -> DataFrame:
+    """All pairs of overlapping (or touching) boxes with equal ``on`` columns; column names must not collide. ``weights`` are those of ``spread``."""
     a, b = [F.col(c) for c in left_box], [F.col(c) for c in right_box]
     home = (F.col("_xl") == F.floor(F.greatest(a[0], b[0]) / cell)) & (F.col("_yl") == F.floor(F.greatest(a[1], b[1]) / cell))
     test = [overlaps(a, b), home] + ([condition] if condition is not None else [])
-    lefts, rights, keys = spread(in_cells(left, left_box, cell, ("_xl", "_yl")), in_cells(right, right_box, cell, ("_xr", "_yr")), [*on, ("_xl", "_xr"), ("_yl", "_yr")])
+    lefts, rights, keys = spread(in_cells(left, left_box, cell, ("_xl", "_yl")), in_cells(right, right_box, cell, ("_xr", "_yr")), [*on, ("_xl", "_xr"), ("_yl", "_yr")], weights)
     same = [F.col(x) == F.col(y) for x, y in keys]
     return lefts.join(rights, reduce(lambda p, q: p & q, [*same, *test])).select(*left.columns, *right.columns)
 
 
+#: Ids of equal boxes that one row holds, about.
+TOGETHER = 256
+
+
+def _alike(df: DataFrame, key: str, box: tuple[str, ...], into: str) -> DataFrame:
+    """(box, ``into``_ids, ``into``_n): the keys of equal boxes, in several rows where there are many; boxes with a null have none."""
+    counts = df.groupBy(*[F.col(c).alias(f"_of_{c}") for c in box]).agg(F.ceil(F.count("*") / TOGETHER).alias("_parts"))
+    known = df.join(counts, [F.col(c) == F.col(f"_of_{c}") for c in box])
+    return known.groupBy(*box, F.pmod(F.xxhash64(key), F.col("_parts")).alias("_part")).agg(F.collect_list(key).alias(f"{into}_ids"), F.count("*").alias(f"{into}_n")).drop("_part")
+
+
+def repeated_box_join(left: DataFrame, right: DataFrame, keys: tuple[str, str], left_box: tuple[str, ...], right_box: tuple[str, ...], cell: float, made: list[Column]) -> DataFrame:
+    """(keys, made) of all pairs of overlapping (or touching) boxes, ``made`` being columns of the two boxes (not of keys; a null key pairs with nothing).
+
+    Equal boxes meet others once and ``made`` is computed once for them, so a pair of rows costs no more than being listed.
+    """
+    near = box_join(_alike(left, keys[0], left_box, "_l"), _alike(right, keys[1], right_box, "_r"), left_box, right_box, cell, weights=("_l_n", "_r_n"))
+    once = near.select("_l_ids", "_r_ids", *made)
+    names = once.columns[2:]
+    return once.select(F.explode("_l_ids").alias(keys[0]), "_r_ids", *names).select(keys[0], F.explode("_r_ids").alias(keys[1]), *names)
+
+
 def shifted(x: Column, y: Column, dx: Column, dy: Column) -> list[Column]:
     return [x + dx, y + dy]
 

@@ -27,9 +27,8 @@ def _named(df: DataFrame, s: str) -> DataFrame:
 def q12(spark: SparkSession, d: str) -> DataFrame:
     b = boxes(spark, d)
     names = [tuple(f"{c}{s}" for c in spatial.BOX) for s in ("_1", "_2")]
-    pairs = spatial.box_join(_named(b.where("small"), "_1"), _named(b.where("large"), "_2"), *names, cell=4.0)
-    common = spatial.intersection(*[tuple(map(F.col, n)) for n in names])
-    return pairs.select("id_1", "id_2", *[F.round(c, 4).alias(n) for c, n in zip(common, spatial.BOX, strict=True)])
+    common = [F.round(c, 4).alias(n) for c, n in zip(spatial.intersection(*[tuple(map(F.col, n)) for n in names]), spatial.BOX, strict=True)]
+    return spatial.repeated_box_join(_named(b.where("small"), "_1"), _named(b.where("large"), "_2"), ("id_1", "id_2"), *names, cell=4.0, made=common)
 
 
 @query("q15_box_within_join", f"""WITH b AS ({_BOXES}), p AS ({inputs.PTS}) SELECT p.id, b.id AS box_id FROM p JOIN b ON b.small AND abs(x) >= minx - 1.5 AND abs(x) <= maxx + 1.5 AND 900 + h * 4 >= miny - 1.5 AND 900 + h * 4 <= maxy + 1.5""")

@@ -58,6 +58,30 @@ def test_equal_boxes_are_dealt_to_many_tasks(spark, monkeypatch):
     assert sum(per) == 90_000 and max(per) < 15_000
 
 
+def test_equal_boxes_are_tested_once(spark, tables, monkeypatch):
+    monkeypatch.setattr(relational, "PAIRS", 1000)
+    monkeypatch.setattr(spatial, "TOGETHER", 16, raising=False)
+    made = []
+    monkeypatch.setattr(spatial, "box_join", lambda *a, f=spatial.box_join, **k: made.append(f(*a, **k)) or made[-1])
+    rng = random.Random(12)
+    rows = [(i, ["SMALL TIN", "LARGE TIN", "PROMO TIN", None][i % 4], 3 if i % 9 else 30, 901.0 + (i % 5 == 0)) for i in range(1200)]
+    rows += [(2000 + i, rng.choice(["SMALL", "LARGE"]), rng.choice([None, 2, 3, 4, 5]), rng.choice([None, 900.0, 902.5, 905.0])) for i in range(100)]
+    d = tables(part=(rows, "p_partkey long, p_type string, p_size int, p_retailprice double"))
+    boxes = [(k, t, float(s), p, float(s + k % 3), p + 2) for k, t, s, p in rows if t and s and p]
+    want = [
+        (a[0], b[0], max(a[2], b[2]), max(a[3], b[3]), min(a[4], b[4]), min(a[5], b[5]))
+        for a in boxes
+        if a[1].startswith("SMALL")
+        for b in boxes
+        if b[1].startswith("LARGE") and a[2] <= b[4] and b[2] <= a[4] and a[3] <= b[5] and b[3] <= a[5]
+    ]
+    got = entry.queries()["q12_box_overlap_pairs"](spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50_000
+    assert sum(x.count() for x in made) < 10_000
+    per = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per) < len(want) / 4
+
+
 def test_crowds_are_suppressed_without_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(pairwise, "PAIRS", 100, raising=False)
     monkeypatch.setattr(pairwise, "CROWD", 4, raising=False)
