@@ -22,9 +22,11 @@ changes a union not at all; an empty table gives an empty one.
 """
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +60,8 @@ def ring_edges(rings: DataFrame, by: Sequence[str], ring: str = "ring", hole: st
     pairs = F.transform(F.sequence(F.lit(0), F.size("_at") - 1), lambda i: F.struct(nxt(i).alias("a"), nxt(i + 1).alias("b")))
     twice = F.aggregate("_pairs", F.lit(0.0), lambda s, p: s + p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"])
     rows = rows.withColumn("_pairs", pairs).withColumn("_turn", (twice > 0) == ~F.coalesce("_hole", F.lit(False)))
-    p = rows.select(*by, "_turn", F.explode("_pairs").alias("_p"))
+    # outer, though never empty: for an inner explode Spark tests the arrays beforehand and makes all of them anew in every step
+    p = rows.select(*by, "_turn", F.explode_outer("_pairs").alias("_p"))
     way = lambda i, j, k: F.when(c("_turn"), c(f"_p.{i}.{k}")).otherwise(c(f"_p.{j}.{k}"))
     out = p.select(*by, way("a", "b", "x").alias("x0"), way("a", "b", "y").alias("y0"), way("b", "a", "x").alias("x1"), way("b", "a", "y").alias("y1"))
     return out.where("x0 != x1 or y0 != y1")
@@ -102,36 +105,63 @@ def _in_cells(edges: DataFrame, cell: float) -> DataFrame:
     return rows.withColumn("cx", F.explode(F.sequence(_index(left - slack, cell), _index(right + slack, cell))))
 
 
+#: Of a pair of edges the names of each one's ends.
+_BOTH = ((("x0", "y0"), ("x1", "y1")), (("x0_b", "y0_b"), ("x1_b", "y1_b")))
+
+
+def _parted(a: tuple, b: tuple, near: float) -> Column:
+    """Whether both ends of ``b`` lie on one side of ``a``, farther than ``near``."""
+    size = near * F.sqrt((c(a[1][0]) - c(a[0][0])) ** 2 + (c(a[1][1]) - c(a[0][1])) ** 2)
+    side = lambda p: (c(a[1][0]) - c(a[0][0])) * (c(p[1]) - c(a[0][1])) - (c(a[1][1]) - c(a[0][1])) * (c(p[0]) - c(a[0][0]))
+    s, t = side(b[0]), side(b[1])
+    return ((s > size) & (t > size)) | ((s < -size) & (t < -size))
+
+
+def _span(k: str, near: float) -> Column:
+    """Whether the edges of a pair are farther than ``near`` from each other along x or y."""
+    return (F.greatest(f"{k}0", f"{k}1") + near < F.least(f"{k}0_b", f"{k}1_b")) | (F.greatest(f"{k}0_b", f"{k}1_b") + near < F.least(f"{k}0", f"{k}1"))
+
+
 def _cuts(edges: DataFrame, by: Sequence[str], cell: float) -> DataFrame:
     """(by, EDGE, cut): points inside of an edge where another crosses or touches it, or ends or begins on it."""
     cells = _in_cells(edges.drop("m"), cell)
     other = cells.withColumnsRenamed({k: f"{k}_b" for k in EDGE})
-    first = F.struct(*EDGE) < F.struct(*[c(f"{k}_b").alias(k) for k in EDGE])
-    pairs = cells.join(other, [*by, "cx", "cy"]).where(first).drop("cx", "cy")
-    a0, a1, b0, b1 = ((c("x0"), c("y0")), (c("x1"), c("y1")), (c("x0_b"), c("y0_b")), (c("x1_b"), c("y1_b")))
+    first = F.lit(False)
+    for k in reversed(EDGE):
+        first = (c(k) < c(f"{k}_b")) | ((c(k) == c(f"{k}_b")) & first)
+    # most pairs of a cell are far from each other, which costs little to see; all of the rest in one join condition would be a method too long to be compiled
+    pairs = cells.join(other, [*by, "cx", "cy"]).where(~_span("x", 2 * NEAR) & ~_span("y", 2 * NEAR) & first).select(*by, *EDGE, *[f"{k}_b" for k in EDGE])
+    kinds = "".join(f"{k} {edges.schema[k].dataType.simpleString()}, " for k in [*by, *EDGE])
+    return pairs.mapInArrow(lambda batches: map(_met, batches), f"{kinds}cut struct<x:double,y:double>")
+
+
+def _met(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of a batch of pairs of edges the cuts that one makes in the other."""
+    col = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names[-8:]}
+    a0, a1, b0, b1 = ((col[f"x{i}{side}"], col[f"y{i}{side}"]) for side in ("", "_b") for i in (0, 1))
     r, s, q = ((p[0] - o[0], p[1] - o[1]) for o, p in ((a0, a1), (b0, b1), (a0, b0)))
     cross = lambda u, v: u[0] * v[1] - u[1] * v[0]
     dot = lambda u, v: u[0] * v[0] + u[1] * v[1]
-    close = lambda o, p: (F.abs(o[0] - p[0]) <= NEAR) & (F.abs(o[1] - p[1]) <= NEAR)
+    close = lambda o, p: (np.abs(o[0] - p[0]) <= NEAR) & (np.abs(o[1] - p[1]) <= NEAR)
 
-    def on(p: tuple, o: tuple, e: tuple, d: tuple) -> Column:
+    def on(p: tuple, o: tuple, e: tuple, d: tuple) -> np.ndarray:
         """Whether a point lies on an edge but not at its ends."""
         v = (p[0] - o[0], p[1] - o[1])
         along = dot(v, d)
-        return (F.abs(cross(d, v)) <= NEAR * F.sqrt(dot(d, d))) & (along > 0) & (along < dot(d, d)) & ~close(p, o) & ~close(p, e)
-
-    den = cross(r, s)
-    t, u = cross(q, s) / F.nullif(den, F.lit(0.0)), cross(q, r) / F.nullif(den, F.lit(0.0))
-    x = (snapped(a0[0] + t * r[0]), snapped(a0[1] + t * r[1]))
-    proper = F.coalesce((t > 0) & (t < 1) & (u > 0) & (u < 1), F.lit(False))
-    free = ~(close(x, a0) | close(x, a1) | close(x, b0) | close(x, b1))
-    touch = lambda p, o, e, d: F.when(on(p, o, e, d), point(*p))
-    cut = F.when(proper & free, point(*x))
-    mine = F.array_compact(F.array(touch(b0, a0, a1, r), touch(b1, a0, a1, r), cut))
-    theirs = F.array_compact(F.array(touch(a0, b0, b1, s), touch(a1, b0, b1, s), cut))
-    both = pairs.select(*by, *EDGE, *[f"{k}_b" for k in EDGE], mine.alias("mine"), theirs.alias("theirs"))
-    out = both.select(*by, *EDGE, F.explode("mine").alias("cut"))
-    return out.unionByName(both.select(*by, *[c(f"{k}_b").alias(k) for k in EDGE], F.explode("theirs").alias("cut")))
+        return (np.abs(cross(d, v)) <= NEAR * np.sqrt(dot(d, d))) & (along > 0) & (along < dot(d, d)) & ~close(p, o) & ~close(p, e)
+
+    with np.errstate(all="ignore"):
+        den = cross(r, s)
+        t, u = cross(q, s) / den, cross(q, r) / den
+        x = tuple(np.rint((o + t * w) / UNIT) * UNIT + 0.0 for o, w in zip(a0, r, strict=True))
+        across = (t > 0) & (t < 1) & (u > 0) & (u < 1) & ~(close(x, a0) | close(x, a1) | close(x, b0) | close(x, b1))
+        found = [(on(b0, a0, a1, r), "", b0), (on(b1, a0, a1, r), "", b1), (on(a0, b0, b1, s), "_b", a0), (on(a1, b0, b1, s), "_b", a1), (across, "", x), (across, "_b", x)]
+    at = [(np.flatnonzero(which), side, p) for which, side, p in found]
+    rows = pa.array(np.concatenate([i for i, _, _ in at]))
+    by = [c_.take(rows) for c_ in batch.columns[:-8]]
+    ends = [pa.array(np.concatenate([col[f"{k}{side}"][i] for i, side, _ in at])) for k in EDGE]
+    cut = pa.StructArray.from_arrays([pa.array(np.concatenate([p[k][i] for i, _, p in at])) for k in (0, 1)], ["x", "y"])
+    return pa.RecordBatch.from_arrays([*by, *ends, cut], [*batch.schema.names[:-8], *EDGE, "cut"])
 
 
 def pieces(edges: DataFrame, by: Sequence[str], cell: float) -> DataFrame:
@@ -147,7 +177,7 @@ def pieces(edges: DataFrame, by: Sequence[str], cell: float) -> DataFrame:
     way = F.concat(F.array(ends[0]), F.transform(mid, lambda p: point(p["x"], p["y"])), F.array(ends[1]))
     whole = whole.select(*by, "m", way.alias("way"))
     step = F.transform(F.sequence(F.lit(1), F.size("way") - 1), lambda i: F.struct(F.element_at("way", i).alias("a"), F.element_at("way", i + 1).alias("b")))
-    cut = whole.select(*by, "m", F.explode(step).alias("s")).select(*by, c("s.a.x").alias("x0"), c("s.a.y").alias("y0"), c("s.b.x").alias("x1"), c("s.b.y").alias("y1"), "m")
+    cut = whole.select(*by, "m", F.explode_outer(step).alias("s")).select(*by, c("s.a.x").alias("x0"), c("s.a.y").alias("y0"), c("s.b.x").alias("x1"), c("s.b.y").alias("y1"), "m")
     return _merged(cut.where("x0 != x1 or y0 != y1"), by)
 
 
@@ -224,24 +254,42 @@ def rings(border: DataFrame, by: Sequence[str]) -> DataFrame:
     # two edges may have one name: their rings are one part then, which ``_chained`` takes apart
     part = components(one.select(c("edge").alias("a"), c("next").alias("b"))).withColumnsRenamed({"node": "edge", "root": "part"})
     whole = one.join(part, "edge").select(*by, "part", *EDGE, "x2", "y2")
-    kinds = ", ".join(f"{b} {border.schema[b].dataType.simpleString()}" for b in by)
-    return whole.groupBy(*by, "part").applyInPandas(lambda rows: _chained(rows, by), f"{kinds}, ring array<struct<x:double,y:double>>, area double")
-
-
-def _chained(rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
-    """The rings of a part from their least corner on, without corners on straight lines."""
-    after = {tuple(e[:4]): tuple(e[4:]) for e in rows[[*EDGE, "x2", "y2"]].itertuples(index=False)}
-    out = []
-    while after:
-        edge = min(after)
+    parts = whole.groupBy(*by, "part").agg(F.collect_list(F.struct(*EDGE, "x2", "y2")).alias("_edges")).drop("part")
+    kinds = "".join(f"{b} {border.schema[b].dataType.simpleString()}, " for b in by)
+    return parts.mapInArrow(lambda batches: map(_in_order, batches), f"{kinds}ring array<struct<x:double,y:double>>, area double")
+
+
+def _in_order(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for every ring of a batch's parts."""
+    parts = batch.column("_edges")
+    edges = list(zip(*[f.to_pylist() for f in parts.flatten().flatten()], strict=True))
+    of, areas, corners_, ends, at = [], [], [], [0], 0
+    for i, n in enumerate(pc.list_value_length(parts).to_pylist()):
+        for ring, size in _chained(edges[at : at + n]):
+            of.append(i)
+            areas.append(size)
+            corners_ += ring
+            ends.append(len(corners_))
+        at += n
+    xy = pa.StructArray.from_arrays([pa.array([p[k] for p in corners_], pa.float64()) for k in (0, 1)], ["x", "y"])
+    rows = batch.drop_columns(["_edges"]).take(pa.array(of, pa.int64()))
+    ring = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), xy)
+    return pa.RecordBatch.from_arrays([*rows.columns, ring, pa.array(areas, pa.float64())], [*rows.schema.names, "ring", "area"])
+
+
+def _chained(edges: list[tuple]) -> Iterator[tuple[list[tuple], float]]:
+    """The rings of a part from their least corner on, without corners on straight lines, and their areas."""
+    after = {e[:4]: e[4:] for e in edges}
+    for edge in sorted(after):
+        if edge not in after:
+            continue
         ring = [edge[:2]]
         while (nxt := after.pop(edge, None)) is not None:
             ring.append(edge[2:])
             edge = (*edge[2:], *nxt)
         ring = _bent(ring[:-1])
         twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
-        out.append({**{b: rows[b].iloc[0] for b in by}, "ring": [{"x": x, "y": y} for x, y in [*ring, ring[0]]], "area": twice / 2})
-    return pd.DataFrame(out)
+        yield [*ring, ring[0]], twice / 2
 
 
 def _bent(ring: list[tuple]) -> list[tuple]:
@@ -294,17 +342,7 @@ def _touching(both: DataFrame, by: list[str], cell: float) -> DataFrame:
     cells = _in_cells(both.select(*by, "side", *ends), cell)
     other = cells.where("side = 2").withColumnsRenamed({k: f"{k}_b" for k in EDGE}).drop("side")
     pairs = cells.where("side = 1").join(other, [*by, "cx", "cy"])
-    sides = lambda a, p: (c(f"{a[1][0]}") - c(f"{a[0][0]}")) * (c(p[1]) - c(f"{a[0][1]}")) - (c(f"{a[1][1]}") - c(f"{a[0][1]}")) * (c(p[0]) - c(f"{a[0][0]}"))
-    one, two = (("x0", "y0"), ("x1", "y1")), (("x0_b", "y0_b"), ("x1_b", "y1_b"))
-
-    def parted(a: tuple, b: tuple) -> Column:
-        """Whether both ends of ``b`` lie on one side of ``a``, not on it."""
-        size = NEAR * F.sqrt((c(a[1][0]) - c(a[0][0])) ** 2 + (c(a[1][1]) - c(a[0][1])) ** 2)
-        s, t = sides(a, b[0]), sides(a, b[1])
-        return ((s > size) & (t > size)) | ((s < -size) & (t < -size))
-
-    span = lambda k: (F.greatest(f"{k}0", f"{k}1") + NEAR < F.least(f"{k}0_b", f"{k}1_b")) | (F.greatest(f"{k}0_b", f"{k}1_b") + NEAR < F.least(f"{k}0", f"{k}1"))
-    return pairs.where(~parted(one, two) & ~parted(two, one) & ~span("x") & ~span("y")).select(*by).distinct()
+    return pairs.where(~_span("x", NEAR) & ~_span("y", NEAR)).where(~_parted(*_BOTH, NEAR) & ~_parted(*_BOTH[::-1], NEAR)).select(*by).distinct()
 
 
 def points_inside(points: DataFrame, edges: DataFrame, by: Sequence[str], cell: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -367,7 +405,7 @@ def offset_edges(edges: DataFrame, by: Sequence[str], d: float, steps: int = 16)
     way = F.concat(F.array(p("x0", "y0", "ax", "ay"), p("x1", "y1", "ax", "ay")), joint, F.array(p("x1", "y1", "bx", "by_")))
     rows = rows.select(*by, way.alias("way"))
     step = F.transform(F.sequence(F.lit(1), F.size("way") - 1), lambda i: F.struct(F.element_at("way", i).alias("a"), F.element_at("way", i + 1).alias("b")))
-    out_ = rows.select(*by, F.explode(step).alias("s")).select(*by, c("s.a.x").alias("x0"), c("s.a.y").alias("y0"), c("s.b.x").alias("x1"), c("s.b.y").alias("y1"))
+    out_ = rows.select(*by, F.explode_outer(step).alias("s")).select(*by, c("s.a.x").alias("x0"), c("s.a.y").alias("y0"), c("s.b.x").alias("x1"), c("s.b.y").alias("y1"))
     return out_.where("x0 != x1 or y0 != y1")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from coppice.operators import pairwise, relational, search, spatial
+from coppice.operators import pairwise, polygons, relational, search, spatial
 from coppice.plans import pairing
 
 
@@ -101,6 +101,18 @@ def test_crowds_are_suppressed_without_all_pairs(spark, monkeypatch):
     assert (n := sum(x.count() for x in made)) < 5_000, n
 
 
+def test_rings_cost_no_group_of_pandas_and_no_array_twice(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    square = lambda x, y: [(x, y), (x + 2.0, y), (x + 2.0, y + 2.0), (x, y + 2.0)]
+    rows = [(i % 3, square(3.0 * i, 0.0), False) for i in range(30)] + [(i % 3, square(3.0 * i + 1, 1.0), False) for i in range(30)]
+    edges = polygons.ring_edges(spark.createDataFrame(rows, "ds long, ring array<struct<x:double,y:double>>, hole boolean"), ["ds"])
+    assert not [line for line in plan(edges).splitlines() if "Filter" in line and "transform(" in line]
+    made = polygons.rings(polygons.region(edges, ["ds"], 1, 2.0), ["ds"])
+    assert "InPandas" not in plan(made)
+    got = sorted((r["ds"], r["area"], len(r["ring"]), tuple(r["ring"][0])) for r in made.collect())
+    assert got == sorted((i % 3, 7.0, 9, (3.0 * i, 0.0)) for i in range(30))  # two squares that share a quarter of their area
+
+
 def test_species_of_trees_are_not_broadcast(spark):
     plan = entry.queries()["q69_chip_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert ["SortMergeJoin" in line for line in plan.splitlines() if "LeftOuter" in line] == [True]
