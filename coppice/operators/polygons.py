@@ -345,8 +345,8 @@ def _touching(both: DataFrame, by: list[str], cell: float) -> DataFrame:
     return pairs.where(~_span("x", NEAR) & ~_span("y", NEAR)).where(~_parted(*_BOTH, NEAR) & ~_parted(*_BOTH[::-1], NEAR)).select(*by).distinct()
 
 
-def points_inside(points: DataFrame, edges: DataFrame, by: Sequence[str], cell: float, x: str = "x", y: str = "y") -> DataFrame:
-    """``points`` with ``by`` of every polygon that they are inside of (a point on a border may be either).
+def points_inside(points: DataFrame, edges: DataFrame, by: Sequence[str], cell: float, x: str = "x", y: str = "y", condition: Column | None = None) -> DataFrame:
+    """``points`` with ``by`` of every polygon that they are inside of (a point on a border may be either) and that meets ``condition`` (of ``by`` and the points' columns).
 
     ``edges`` have what they hold on their left. A polygon is prepared once: its edges by cell, and the numbers of the corners of these cells and of those between.
     """
@@ -355,7 +355,8 @@ def points_inside(points: DataFrame, edges: DataFrame, by: Sequence[str], cell:
     cells = written(_in_cells(cut, cell))
     corner = written(corners(cut, cells, by, cell))
     at = points.withColumn("cx", _index(c(x), cell)).withColumn("cy", _index(c(y), cell))
-    near = at.join(corner, ["cx", "cy"]).withColumn("_row", F.struct(*points.columns))
+    allowed = F.lit(True) if condition is None else condition
+    near = at.join(corner, ["cx", "cy"]).where(allowed)
     shape = cells.groupBy(*by, "cx", "cy").agg(F.collect_list(F.struct(*EDGE, "m")).alias("_edges"))
     near = near.join(shape, [*by, "cx", "cy"])
     side, floor = _line(c("cx") + 1, cell), _line(c("cy"), cell)
@@ -374,7 +375,7 @@ def points_inside(points: DataFrame, edges: DataFrame, by: Sequence[str], cell:
     # cells without edges between two of a row: all of such a cell is as its neighbour's corner on the left
     gap = corner.withColumn("_to", F.lead("cx").over(Window.partitionBy(*by, "cy").orderBy("cx"))).where("corner > 0 and _to > cx + 1")
     inner = gap.select(*by, F.explode(F.sequence(c("cx") + 1, c("_to") - 1)).alias("cx"), "cy")
-    return beside.unionByName(at.join(inner, ["cx", "cy"]).select(*by, *points.columns))
+    return beside.unionByName(at.join(inner, ["cx", "cy"]).where(allowed).select(*by, *points.columns))
 
 
 def offset_edges(edges: DataFrame, by: Sequence[str], d: float, steps: int = 16) -> DataFrame:
@@ -415,10 +416,10 @@ def within_distance(points: DataFrame, edges: DataFrame, by: Sequence[str], d: f
     A buffer with few edges that lies outside of the round one names the pairs; only these are measured. ``edges`` are those of valid polygons.
     """
     by, key = list(by), list(key)
+    edges = written(edges.select(*by, *EDGE))
     outer = d / math.cos(math.pi / (4 * steps)) * (1 + 1e-9) + NEAR
     wide = region(offset_edges(edges, by, outer, steps), by, 1, cell)
-    near = points_inside(points.select(*key, x, y), wide, by, cell, x, y).select(*by, *key, c(x).alias("_x"), c(y).alias("_y"))
-    near = near if condition is None else near.where(condition)
+    near = points_inside(points.select(*key, x, y), wide, by, cell, x, y, condition).select(*by, *key, c(x).alias("_x"), c(y).alias("_y"))
     rows = near.join(edges.select(*by, *EDGE), by)
     dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c("_x") - c("x0")) * dx + (c("_y") - c("y0")) * dy) / (dx * dx + dy * dy)))

@@ -144,3 +144,14 @@ def test_draws_of_a_block_are_those_of_md5():
     for head in (b"35:0", b"35:99999", b"35:" + b"7" * (52 - width)):
         want = [int.from_bytes(hashlib.md5(head + t, usedforsecurity=False).digest()[:8], "big") for t in tails]
         assert search.md5_heads(head, rows, np.array([len(t) for t in tails])).tolist() == want
+
+
+def test_points_meet_only_polygons_of_their_own(spark):
+    rows = [(g, i, [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0)], False) for g in range(5) for i in range(4)]
+    edges = polygons.ring_edges(spark.createDataFrame(rows, "ds long, id long, ring array<struct<x:double,y:double>>, hole boolean"), ["ds", "id"])
+    points = spark.createDataFrame([(g, k, 0.5 + k % 5, 1.25) for g in range(5) for k in range(10)], "point_ds long, k long, x double, y double")
+    got = polygons.points_inside(points, edges, ["ds", "id"], 2.0, condition=F.col("ds") == F.col("point_ds"))
+    assert sorted((r["ds"], r["id"], r["point_ds"], r["k"]) for r in got.collect()) == [(g, i, g, k) for g in range(5) for i in range(4) for k in range(10) if k % 5 < 3]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "cx#" in line and "_edges" not in line]
+    assert sum("ds#" in line for line in joins) >= 2, plan
