@@ -216,7 +216,7 @@ def region(edges: DataFrame, by: Sequence[str], k: int, cell: float) -> DataFram
     """
     by = list(by)
     cut = written(pieces(edges, by, cell))
-    cells = written(_in_cells(cut, cell))
+    cells = _in_cells(cut, cell)  # several rows an edge, made again rather than written
     corner = corners(cut, cells, by, cell)
     mx, my = ((c(a) + c(b)) / 2 for a, b in (("x0", "x1"), ("y0", "y1")))
     mine = cut.select(*by, *[c(e).alias(f"{e}_") for e in EDGE], c("m").alias("m_"), mx.alias("px"), my.alias("py"), _index(mx, cell).alias("cx"), _index(my, cell).alias("cy"))
@@ -331,7 +331,8 @@ def overlay(left: DataFrame, right: DataFrame, key: str, on: Sequence[str], cell
     theirs = right.withColumnRenamed(key, keys[1]).join(pairs, [*on, keys[1]])
     both = written(mine.select(*by, *EDGE).withColumn("side", F.lit(1)).unionByName(theirs.select(*by, *EDGE).withColumn("side", F.lit(2))))
     common = written(region(both.drop("side"), by, 2, cell))
-    meet = _touching(both, by, cell).join(common.select(*by).distinct(), by, "left_anti")
+    # most pairs have something in common: only the others' edges are looked at again
+    meet = _touching(both.join(common.select(*by).distinct(), by, "left_anti"), by, cell)
     return common.withColumn("touching", F.lit(False)).unionByName(meet.withColumn("touching", F.lit(True)), allowMissingColumns=True)
 
 

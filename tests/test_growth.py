@@ -155,3 +155,13 @@ def test_points_meet_only_polygons_of_their_own(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line and "cx#" in line and "_edges" not in line]
     assert sum("ds#" in line for line in joins) >= 2, plan
+
+
+def test_only_pairs_without_a_common_part_are_looked_at_for_touching(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(polygons, "_touching", lambda both, *a, f=polygons._touching: seen.append(both) or f(both, *a))
+    square = lambda x: [(x, 0.0), (x + 2.0, 0.0), (x + 2.0, 2.0), (x, 2.0)]
+    put = lambda rows: polygons.ring_edges(spark.createDataFrame([(1, i, square(x), False) for i, x in rows], "ds long, id long, ring array<struct<x:double,y:double>>, hole boolean"), ["ds", "id"])
+    got = polygons.overlay(put([(0, 0.0)]), put([(1, 1.0), (3, 2.0), (5, 9.0)]), "id", ["ds"], 2.0, 8.0)
+    assert {(r["id_2"], r["touching"]) for r in got.select("id_2", "touching").collect()} == {(1, False), (3, True)}
+    assert {r["id_2"] for r in seen[0].select("id_2").collect()} == {3}
