@@ -48,6 +48,37 @@ def test_plots_of_one_spot_are_paired_once(spark, tables, monkeypatch):
     assert sum(x.count() for x in made) < 1_000  # at most the thousand squares that there are over one spot, not thirty plots under each flight
 
 
+def test_plots_of_one_spot_and_survey_year_meet_flights_as_one(spark, tables, monkeypatch):
+    """Before rows are listed, flights meet kinds of plots; however keys repeat or crowd, the result is that of the SQL."""
+    import duckdb
+
+    monkeypatch.setattr(relational, "PAIRS", 1000)
+    monkeypatch.setattr(spatial, "TOGETHER", 16)
+    formed = []
+
+    def kept(left, right, on, *rest):
+        lefts, rights, keys = relational.spread(left, right, on, *rest)
+        formed.append((lefts.join(rights, [F.col(a) == F.col(b) for a, b in keys]), "_p_ids" in right.columns))
+        return lefts, rights, keys
+
+    monkeypatch.setattr(pairing, "spread", kept)
+    day = datetime.datetime(1995, 3, 1)
+    plots = [(9000 * i + 7, "BUILDING") for i in range(200)] + [(1000 * i + 11, ["BUILDING", "MACHINERY", None][i % 3]) for i in range(60)]
+    plots += [(1011, "BUILDING"), (1011, None), (9007, "FURNITURE"), (None, "BUILDING")]
+    flown = lambda i: day + datetime.timedelta(days=i * 7 % 2000, hours=i % 30)
+    flights = [(i, flown(i)) for i in range(12_000)] + [(i, flown(i + 5)) for i in range(0, 3000, 7)] + [(21, None), (None, day)]
+    d = tables(customer=(plots, "c_custkey long, c_mktsegment string"), orders=(flights, "o_orderkey long, o_orderdate timestamp_ntz"))
+    got = entry.queries()["entry_pairing"](spark, d)
+    con = duckdb.connect()
+    for name in ("customer", "orders"):
+        con.execute(f"create view {name} as select * from read_parquet('{d}/{name}.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()["entry_pairing"]).fetchall()
+    assert len(want) > 10_000
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert all(listed for _, listed in formed)
+    assert sum(pairs.count() for pairs, _ in formed) < len(want) / 3
+
+
 def test_equal_boxes_are_dealt_to_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(relational, "PAIRS", 1000, raising=False)
     box = lambda p: ("n" + p, "a" + p, "b" + p, "c" + p, "d" + p)
